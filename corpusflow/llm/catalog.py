@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, sharding, warc
+from . import bpe, chat, exact_dedup, mixing, quality, sharding, simhash, warc
 from .common import Scratch
 
 
@@ -13,6 +13,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = bpe.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_dedup(table(spark, sf_dir, "documents")).drop("row")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -56,7 +67,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return seen.select("page_id", F.coalesce("full", "n").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op4_mixing, op6_chat_format, op7_sharding, op8_exact_dedup, op9_warc)}
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe, op3_simhash, op4_mixing, op6_chat_format, op7_sharding, op8_exact_dedup, op9_warc, op10_quality)}
 
 ORACLE = {}
 
@@ -97,6 +113,23 @@ SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(
 FROM t
 """
 
+ORACLE["op6_chat_format"] = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), x AS (
+  SELECT *, contains(text, '<turn>') OR contains(text, '</turn>') AS tag, len(text) - len(replace(text, '\', '')) AS bs FROM c
+), y AS (
+  SELECT *, len(role) + 15 + len(text) + CASE WHEN tag THEN bs + (len(text) - len(replace(text, '</turn>', ''))) // 7 + (len(text) - len(replace(text, '<turn>', ''))) // 6
+                                              WHEN regexp_matches(text, '(?s)\\.') THEN bs ELSE 0 END AS n FROM x
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(len(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(n) AS BIGINT) AS formatted_chars
+FROM y GROUP BY conv_id
+"""
+
 ORACLE["op8_exact_dedup"] = """
 SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))

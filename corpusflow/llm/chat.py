@@ -43,10 +43,12 @@ def pieces(formatted: Column) -> Column:
 
 
 def round_trips(role: Column, text: Column, level: int) -> Column:
-    """Whether the parser gives one turn back, with this role and text."""
-    back = pieces(render(role, escape(text, level)))
+    """Whether the parser gives one turn back, with this role and text, and the body holds no tag."""
+    body = escape(text, level)
+    back = pieces(render(role, body))
     one = F.get(back, F.lit(0))
-    return (F.size(back) == 1) & (parse_role(one) == role) & (unescape(parse_body(one)) == text)
+    plain = ~F.contains(body, F.lit(START)) & ~F.contains(body, F.lit(END[:-1]))
+    return plain & (F.size(back) == 1) & (parse_role(one) == role) & (unescape(parse_body(one)) == text)
 
 
 def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", loss_role: str = "assistant") -> DataFrame:
