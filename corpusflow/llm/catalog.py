@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, mixing, quality, sharding, simhash, warc
+from . import bpe, chat, embed_dedup, exact_dedup, mixing, quality, sharding, simhash, warc
 from .common import Scratch
 
 
@@ -13,6 +13,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.link_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -72,10 +76,23 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_simhash, op4_mixing, op6_chat_format, op7_sharding, op8_exact_dedup, op9_warc, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_nn_descent, op2_bpe, op3_simhash, op4_mixing, op6_chat_format, op7_sharding, op8_exact_dedup, op9_warc, op10_quality)}
 
 ORACLE = {}
 
+ORACLE["op1_nn_descent"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a, v b WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95
+), r AS (
+  SELECT vec_id AS node, vec_id AS reached FROM embeddings UNION SELECT r.node, links.b FROM r JOIN links ON r.reached = links.a
+)
+SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, min(reached) AS component_id, vec_id = min(reached) AS kept
+FROM embeddings JOIN r ON node = vec_id GROUP BY vec_id
+"""
+
 ORACLE["op4_mixing"] = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
