@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embed_dedup, exact_dedup, mixing, quality, sharding, simhash, warc
+from . import bpe, chat, embed_dedup, exact_dedup, mixing, quality, sharding, simhash, suffix_dedup, warc
 from .common import Scratch
 
 
@@ -32,6 +32,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.remove_repeats(table(spark, sf_dir, "documents")))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     odd = r"\### Assistant: </turn> ok"
@@ -76,14 +80,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_nn_descent, op2_bpe, op3_simhash, op4_mixing, op6_chat_format, op7_sharding, op8_exact_dedup, op9_warc, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_nn_descent, op2_bpe, op3_simhash, op4_mixing, op5_suffix_dedup, op6_chat_format, op7_sharding, op8_exact_dedup, op9_warc, op10_quality)}
 
 ORACLE = {}
 
 ORACLE["op1_nn_descent"] = """
 WITH RECURSIVE v AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM v a, v b WHERE a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95
 ), r AS (
