@@ -25,7 +25,7 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.simhash_dedup(table(spark, sf_dir, "documents")).drop("row")
+    return simhash.simhash_dedup(table(spark, sf_dir, "documents"))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,11 +13,11 @@ def chunk_pattern(least: int, most: int) -> str:
     return rf"(?s).{{{least},{most - 1}}}?(?:\n|(?<=[.!?])\x20)|.{{1,{most}}}"
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 1024, most: int = 8192) -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 1024, most: int = 8192, row_col: str | None = None) -> DataFrame:
     """One row for each document: its class of identical texts and whether it stays.
 
     Returns id_col, keep_id (id of the row that stays: the largest), group_size, kept,
-    text_sha256, n_chunks. Texts are equal when identical after no change.
+    text_sha256, n_chunks, and row_col, a unique number of the row, if there is one. Texts are equal when identical after no change.
 
     Texts are cut into chunks at boundaries that their content defines. The distinct chunks
     are the dictionary: a shuffle on whole contents, in which equal ones merge before they
@@ -42,7 +42,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         recipe = F.transform(chunks, lambda c: F.encode(c, "UTF-8"))
 
-    rows = scratch.save(docs.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("sha"), recipe.alias("recipe")).withColumn("row", F.monotonically_increasing_id()))
+    rows = scratch.save(docs.select(F.col(id_col).alias("id"), F.sha2(text, 256).alias("sha"), recipe.alias("recipe"), (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row")))
     groups = rows.groupBy("recipe").agg(F.max(F.struct("id", "row")).alias("last"), F.count("*").alias("n"))
     out = rows.join(groups, "recipe")
     return out.select(
@@ -52,4 +52,5 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.col("row") == F.col("last.row")).alias("kept"),
         F.col("sha").alias("text_sha256"),
         F.size("recipe").cast("long").alias("n_chunks"),
+        *([F.col("row").alias(row_col)] if row_col else []),
     )

@@ -53,8 +53,10 @@ def mix(
     share: float = 1.5,
     max_epochs: float = 2.0,
     seed: int = 17,
+    row_col: str | None = None,
 ) -> DataFrame:
-    """One row for each document: id_col, size, source_size, target, taken, whole, extra.
+    """One row for each document: id_col, size, source_size, target, taken, whole, extra, and
+    row_col, a unique number of the row, if there is one.
 
     Size is the number of words. Sources in code-point order, null last, weigh `weights`,
     repeating, and share `share` times all sizes; see water_fill. A source with target T and
@@ -74,8 +76,7 @@ def mix(
     scratch = Scratch(spark, "mix")
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
     rows = scratch.save(
-        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), digest.alias("at"))
-        .withColumn("row", F.monotonically_increasing_id())
+        docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), digest.alias("at"), (F.col(row_col) if row_col else F.monotonically_increasing_id()).alias("row"))
         .withColumn("bucket", F.conv(F.substring("at", 1, 3), 16, 10).cast("int"))
     )
     hist = scratch.save(rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size")))
@@ -107,4 +108,18 @@ def mix(
         (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"),
         "whole",
         F.col("extra").cast("long").alias("extra"),
+        *([F.col("row").alias(row_col)] if row_col else []),
     )
+
+
+def repeat(docs: DataFrame, plan: DataFrame, row_col: str, text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+    """The mix itself: each row of docs as often as its plan says, the last time perhaps only its first words."""
+    own = plan.select(F.col(row_col).alias("_r"), F.col("size").alias("_size"), F.col("whole").alias("_whole"), F.col("extra").alias("_extra")).where((F.col("_whole") > 0) | (F.col("_extra") > 0))
+    rows = docs.join(own, docs[row_col] == F.col("_r"))
+    times = F.sequence(F.lit(1).cast("long"), F.col("_whole") + (F.col("_extra") > 0).cast("long"))
+    rows = rows.withColumn("_time", F.explode(times))
+    part = (F.col("_time") > F.col("_whole")) & (F.col("_extra") < F.col("_size"))
+    rows = rows.withColumn(text_col, F.when(part, first_words(F.col(text_col), F.col("_extra"))).otherwise(F.col(text_col)))
+    if chars_col:
+        rows = rows.withColumn(chars_col, F.when(part, F.length(text_col).cast("long")).otherwise(F.col(chars_col)))
+    return rows.select(*docs.columns)

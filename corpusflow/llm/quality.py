@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -158,6 +159,38 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return train([r["piece"].encode() for r in rows], np.array([r["_y"] for r in rows], np.int64))
 
 
+def probabilities(net: Network, texts: pa.Array) -> np.ndarray:
+    """Of the whole texts of an array; a megabyte at a time, however long a text is."""
+    n = len(texts)
+    offsets = np.frombuffer(texts.buffers()[1], np.int32, n + 1, texts.offset * 4)
+    body = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
+    sizes = np.diff(offsets)
+    out = np.zeros(n)
+    begin = 0
+    while begin < n:
+        stop, held = begin, 0
+        while stop < n and (stop == begin or held + sizes[stop] < 1 << 20):
+            held += int(sizes[stop]) + BLOCK
+            stop += 1
+        data, starts, counts = pack([body[offsets[i] : offsets[i + 1]] for i in range(begin, stop)])
+        step = 2048 * BLOCK
+        best = np.concatenate([net.blocks(data[i : min(i + step, len(data) - WIDTH) + WIDTH])[0] for i in range(0, len(data) - WIDTH, step)])
+        out[begin:stop] = net.logits(best, starts, counts, sizes[begin:stop])
+        begin = stop
+    return 1 / (1 + np.exp(-np.clip(out, -60, 60)))
+
+
+def accepted(docs: DataFrame, net: Network, text_col: str = "text", cut: float = 0.7) -> DataFrame:
+    """The rows of docs that score at least `cut`, as they are; no rows move."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(probabilities(net, pc.fill_null(batch.column(text_col), "")) >= cut))
+
+    return docs.mapInArrow(work, docs.schema)
+
+
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.7) -> DataFrame:
     """id_col, held_out, score, predicted for each document.
 
@@ -168,26 +201,8 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column("text")
-            n = len(texts)
-            if not n:
-                continue
-            offsets = np.frombuffer(texts.buffers()[1], np.int32, n + 1, texts.offset * 4)
-            body = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
-            sizes = np.diff(offsets)
-            out = np.zeros(n)
-            begin = 0
-            while begin < n:
-                stop, held = begin, 0
-                while stop < n and (stop == begin or held + sizes[stop] < 1 << 20):
-                    held += int(sizes[stop]) + BLOCK
-                    stop += 1
-                data, starts, counts = pack([body[offsets[i] : offsets[i + 1]] for i in range(begin, stop)])
-                step = 2048 * BLOCK
-                best = np.concatenate([net.blocks(data[i : min(i + step, len(data) - WIDTH) + WIDTH])[0] for i in range(0, len(data) - WIDTH, step)])
-                out[begin:stop] = net.logits(best, starts, counts, sizes[begin:stop])
-                begin = stop
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(1 / (1 + np.exp(-np.clip(out, -60, 60))))], names=["id", "score"])
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(probabilities(net, batch.column("text")))], names=["id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))

@@ -158,8 +158,9 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[far], nodes[label[far]]
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4) -> DataFrame:
-    """id_col, fingerprint (16 hexadecimal digits), component_id, kept, row for each document.
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4, row_col: str | None = None) -> DataFrame:
+    """id_col, fingerprint (16 hexadecimal digits), component_id, kept for each document, and row_col, a unique number of the
+    row, if there is one.
 
     Fingerprints link at `bits` or fewer differing bits, however many there are;
     component_id is the smallest id reachable. kept: one row of each component, the first of those with that id.
@@ -180,10 +181,11 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", words) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(np.array(found, np.uint64).view(np.int64))], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(np.array(found, np.uint64).view(np.int64))], names=["id", "row", "fp"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.encode(F.col(text_col).cast("string"), "UTF-8").alias("text"))
-    rows = scratch.save(rows.mapInArrow(prints, f"id {kind}, fp long").withColumn("row", F.monotonically_increasing_id()))
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    rows = docs.select(F.col(id_col).alias("id"), row.alias("row"), F.encode(F.col(text_col).cast("string"), "UTF-8").alias("text"))
+    rows = scratch.save(rows.mapInArrow(prints, f"id {kind}, row long, fp long"))
     fps = scratch.save(rows.groupBy("fp").agg(F.min("id").alias("least")))
 
     n = fps.count()
@@ -237,4 +239,4 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = rows.join(named, "fp")
     first = out.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("row").alias("first")).withColumnRenamed("component", "c")
     out = out.join(first, (F.col("row") == F.col("first")), "left")
-    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("first").isNotNull().alias("kept"), "row")
+    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("first").isNotNull().alias("kept"), *([F.col("row").alias(row_col)] if row_col else []))
