@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from .common import Scratch, ranked
 
 #: Bytes of the grams whose hashes choose where strings meet; of text transformed at once.
-GRAM, TEXT = 16, 1 << 17
+GRAM, TEXT = 32, 1 << 17
 #: Segments of one gram beyond which its strings meet by their own hashes instead.
 CROWD = 20_000
 
@@ -23,9 +23,10 @@ CROWD = 20_000
 def grams(data: np.ndarray) -> np.ndarray:
     """A hash of the GRAM bytes at each place."""
     n = len(data) - GRAM + 1
-    a = np.ndarray((n,), "<u8", data, 0, (1,)) * np.uint64(0x9E3779B97F4A7C15)
-    a += np.ndarray((n,), "<u8", data, 8, (1,)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    a ^= a >> np.uint64(29)
+    a = np.zeros(n, np.uint64)
+    for i, odd in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)):
+        a += np.ndarray((n,), "<u8", data, 8 * i, (1,)) * np.uint64(odd)
+        a ^= a >> np.uint64(29)
     a *= np.uint64(0x165667B19E3779F9)
     a ^= a >> np.uint64(32)
     return a
@@ -207,10 +208,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         place = ranked(scratch, rows.select("id", "row"), [F.col("id").asc_nulls_last(), F.col("row")], "key")
         rows = scratch.save(rows.join(place.select("row", F.col("key").cast("long").alias("key")), "row"))
 
-    first_schema = pa.schema([("gram", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("key", pa.int64()), ("lo", pa.int32()), ("n", pa.int32()), ("dup", pa.bool_())])
+    first_schema = pa.schema([("gram", pa.int64()), ("hash", pa.int64()), ("key", pa.int64()), ("span", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_digest
+        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             body, offsets = _string_parts(batch.column("text"))
             keys = np.asarray(batch.column("key"))
@@ -231,54 +232,54 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     continue
                 at = offsets[begin:stop][t] - low + lo
                 view = memoryview(data)
-                h = np.frombuffer(b"".join([digest(view[a:b]) for a, b in zip(at.tolist(), (at + n + length - 1).tolist(), strict=True)]), "<i8").reshape(-1, 2)
-                key = keys[begin:stop][t]
-                order = np.lexsort((lo, key, h[:, 1], h[:, 0]))
-                h, key, lo, n, g = h[order], key[order], lo[order], n[order], g[order].view(np.int64)
-                dup = np.concatenate(([False], (h[1:] == h[:-1]).all(1)))
-                spread = np.where(dup, h[:, 1] ^ key, g)
+                h = np.fromiter((digest(view[a:b]) for a, b in zip(at.tolist(), (at + n + length - 1).tolist(), strict=True)), np.uint64, len(at)).view(np.int64)
+                key, g = keys[begin:stop][t], g.view(np.int64)
+                order = np.lexsort((lo, key, h, g))
+                h, key, lo, n, g = h[order], key[order], lo[order], n[order], g[order]
+                dup = np.concatenate(([False], (h[1:] == h[:-1]) & (g[1:] == g[:-1])))
+                spread = np.where(dup, h ^ key, g)  # repeats need not meet
+                span = (dup.astype(np.int64) << 60) | (lo.astype(np.int64) << 16) | n
                 for i in range(0, len(key), 50_000):
-                    j = slice(i, i + 50_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (spread[j], np.ascontiguousarray(h[j, 0]), np.ascontiguousarray(h[j, 1]), key[j], lo[j].astype(np.int32), n[j].astype(np.int32), dup[j])], schema=first_schema)
+                    yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]) for x in (spread, h, key, span)], schema=first_schema)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of sorted segments: repeats, and those whose gram has others that differ."""
-        last = None  # gram, h1, h2 of the row before
+        """Of sorted segments: repeats, and those whose gram has others that differ. A segment is known by its
+        gram and its own hash, 128 bits."""
+        last = None  # gram and hash of the row before
         alone = None  # the gram's only segment so far
         for batch in batches:
-            c = {f: np.asarray(batch.column(f)) for f in first_schema.names[:6]}
-            dup = np.asarray(batch.column("dup")).astype(bool)
-            again = dup.copy()
-            live = np.flatnonzero(~dup)
-            cand = np.zeros(len(dup), bool)
+            c = {f: np.asarray(batch.column(f)) for f in first_schema.names}
+            again = c["span"] >> 60 == 1
+            live = np.flatnonzero(~again)
+            again = again.copy()
+            cand = np.zeros(len(again), bool)
             extra = []
             if len(live):
-                g, h1, h2 = c["gram"][live], c["h1"][live], c["h2"][live]
-                pg, p1, p2 = (np.concatenate(([0 if last is None else last[i]], x[:-1])) for i, x in enumerate((g, h1, h2)))
+                g, h = c["gram"][live], c["hash"][live]
+                pg, ph = (np.concatenate(([0 if last is None else last[i]], x[:-1])) for i, x in enumerate((g, h)))
                 same_gram = g == pg
                 if last is None:
                     same_gram[0] = False
-                same = same_gram & (h1 == p1) & (h2 == p2)
+                same = same_gram & (h == ph)
                 again[live[same]] = True
                 firsts = np.flatnonzero(~same)
                 if len(firsts):
-                    fg = g[firsts]
                     follows = same_gram[firsts]  # an earlier segment of this gram differs
                     leads = np.concatenate((follows[1:], [False]))
                     cand[live[firsts[follows | leads]]] = True
                     if follows[0] and alone is not None:
                         extra.append(alone)
                     i = live[firsts[-1]]
-                    alone = None if follows[-1] else tuple(int(c[f][i]) for f in ("gram", "key", "lo", "n"))
-                    del fg
-                last = int(g[-1]), int(h1[-1]), int(h2[-1])
+                    alone = None if follows[-1] else tuple(int(c[f][i]) for f in ("gram", "key", "span"))
+                last = int(g[-1]), int(h[-1])
             pick = np.flatnonzero(again | cand)
-            cols = [np.concatenate((c[f][pick], np.array([x[i] for x in extra], c[f].dtype))) for i, f in enumerate(("gram", "key", "lo", "n"))]
+            gram, key, span = (np.concatenate((c[f][pick], np.array([x[i] for x in extra], np.int64))) for i, f in enumerate(("gram", "key", "span")))
             flag = np.concatenate((again[pick], np.zeros(len(extra), bool)))
-            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), pa.array(flag)], names=["gram", "key", "lo", "n", "dup"])
+            lo, n = (span >> 16) & 0xFFFFFFFF, span & 0xFFFF
+            yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(key), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(flag)], names=["gram", "key", "lo", "n", "dup"])
 
-    cutted = rows.select("key", "text").mapInArrow(cut, "gram long, h1 long, h2 long, key long, lo int, n int, dup boolean")
-    met = scratch.save(cutted.repartition("gram").sortWithinPartitions("gram", "dup", "h1", "h2", "key", "lo").mapInArrow(meet, "gram long, key long, lo int, n int, dup boolean"))
+    cutted = rows.select("key", "text").mapInArrow(cut, "gram long, hash long, key long, span long")
+    met = scratch.save(cutted.repartition("gram").sortWithinPartitions("gram", F.col("span") >= (1 << 60), "hash", "key", "span").mapInArrow(meet, "gram long, key long, lo int, n int, dup boolean"))
 
     # the bytes of segments that must be compared
     todo = met.where(~F.col("dup"))
