@@ -2,5 +2,406 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import classify, lexicon, text
+from ..operators import chunking, evaluate, graph, oplog, retrieval
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def over_documents(name: str, sql: str, **columns: Callable) -> None:
+    """A projection of documents by doc_id."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return table(spark, sf_dir, "documents").select("doc_id", *[f(F.col("text")).alias(n) for n, f in columns.items()])
+
+    QUERIES[name], ORACLE[name] = run, f"SELECT doc_id, {sql} FROM documents"
+
+
+# --- SQL text that several oracles share
+def sql_list(words: list[str]) -> str:
+    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+
+
+def sql_any(t: str, words: list[str]) -> str:
+    return f"(len(list_filter({sql_list(words)}, lambda w: contains({t}, w))) > 0)"
+
+
+def sql_hits(t: str, words: list[str]) -> str:
+    return f"len(list_filter({sql_list(words)}, lambda w: contains({t}, w)))"
+
+
+def quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+NORM = r"lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')))"
+WORDS = f"(CASE WHEN {NORM} = '' THEN 0 ELSE len(string_split({NORM}, ' ')) END)::BIGINT"
+LEX = rf"trim(regexp_replace(translate(translate(lower(coalesce(text, '')), {quoted(lexicon.QUOTES)}, ''), {quoted(lexicon.PUNCTUATION)}, '{' ' * len(lexicon.PUNCTUATION)}'), '\s+', ' ', 'g'))"
+TOKENS = f"list_filter(string_split({LEX}, ' '), lambda w: w <> '')"
+
+over_documents("text_normalize", f"{NORM} AS norm, {WORDS} AS words", norm=text.normalize, words=text.word_count)
+over_documents("bm25_tokens", f"{LEX} AS lexical, len({TOKENS})::BIGINT AS n_tokens", lexical=text.lexical, n_tokens=lambda t: F.size(text.tokens(t)).cast("long"))
+over_documents(
+    "keyword_set",
+    f"list_sort(list_distinct(list_filter({TOKENS}, lambda w: len(w) > 3 AND NOT list_contains({sql_list(lexicon.STOP_WORDS)}, w)))) AS keywords",
+    keywords=lambda t: F.sort_array(text.keywords(t)),
+)
+over_documents(
+    "clean_text",
+    r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g'), '\n\s*\n\s*\n+', chr(10) || chr(10), 'g'), ' {3,}', ' ', 'g'), '(?m)^\s*[0-9]{1,3}\s*$', '', 'g'), '(?mi)^\s*PAG\.?\s*$', '', 'g'), '(?m)^[\s_\-=]{5,}$', '', 'g'), '\t{2,}', ' ', 'g'), '^\s+|\s+$', '', 'g') AS cleaned",
+    cleaned=text.clean,
+)
+over_documents("fingerprints", "sha256(text) AS sha, substr(sha256(text), 1, 16) AS hash16, md5(substr(text, 1, 500)) AS prefix_md5", sha=lambda t: F.sha2(t, 256), hash16=text.hash16, prefix_md5=lambda t: F.md5(F.substring(t, 1, 500)))
+over_documents(
+    "extract_emails_urls",
+    f"list_sort(list_distinct(regexp_extract_all(text, '{text.EMAIL}'))) AS emails, list_sort(list_distinct(regexp_extract_all(text, {quoted(text.URL)}))) AS urls",
+    emails=lambda t: F.sort_array(text.emails(t)),
+    urls=lambda t: F.sort_array(text.urls(t)),
+)
+over_documents(
+    "temporal_values",
+    rf"list_sort(list_distinct(list_transform(regexp_extract_all(text, '{text.TIMES}'), lambda x: lower(regexp_replace(x, '\s+', ' ', 'g'))))) AS times",
+    times=lambda t: F.sort_array(text.times(t)),
+)
+
+
+def _sql_redact(profile: list, mask: Callable) -> str:
+    out = "text"
+    for name, pattern in profile:
+        out = f"regexp_replace({out}, '{pattern}', '{mask(name)}', 'g')"
+    return out
+
+
+over_documents("pii_redact_input", _sql_redact(lexicon.PII_INPUT, lambda n: f"[{n}_RIMOSSO]") + " AS redacted", redacted=text.redact_input)
+over_documents("pii_redact_log", _sql_redact(lexicon.PII_LOG, lambda n: n) + " AS redacted", redacted=text.redact_log)
+over_documents(
+    "safety_flags",
+    "(" + " OR ".join(f"regexp_matches(text, '{p}')" for _, p in lexicon.PII_INPUT) + f") AS pii, regexp_matches(lower(text), {quoted('|'.join(lexicon.INJECTION))}) AS injection",
+    pii=text.has_pii,
+    injection=text.has_injection,
+)
+T = "lower(text)"
+over_documents(
+    "role_classify",
+    f"CASE WHEN {sql_hits(T, lexicon.PROCEDURAL)} >= 2 THEN 'procedural' WHEN {sql_hits(T, lexicon.RULES)} >= 2 THEN 'mandatory_rule' WHEN {sql_any(T, lexicon.DEFINITIONS)} THEN 'definitional' ELSE 'descriptive' END AS role",
+    role=classify.role,
+)
+JT = "trim(lower(text))"
+over_documents(
+    "junk_filter",
+    f"(len({JT}) < 20 OR (regexp_matches({JT}, {quoted('|'.join(lexicon.JUNK))}) AND {WORDS} < 15) OR ({sql_any(JT, ['http://', 'https://', '.pdf'])} AND {WORDS} < 20)"
+    rf" OR len(regexp_replace({JT}, '[^\p{{L}}]', '', 'g')) / greatest(len({JT}), 1) < 0.4) AS junk, {WORDS} >= 30 AS long_enough",
+    junk=classify.is_junk,
+    long_enough=lambda t: text.word_count(t) >= 30,
+)
+over_documents("url_free_preview", "substr(text, 1, 150) AS preview, text[1:50] AS head", preview=lambda t: F.substring(t, 1, 150), head=lambda t: F.substring(t, 1, 50))
+
+
+@query("SELECT source, CASE WHEN contains(source, 'faq') THEN 'faq' WHEN contains(source, 'vis') OR contains(source, 'scheda') OR contains(source, 'guida') THEN 'visual_guide' ELSE 'text_document' END AS source_type, count(*) AS n, min(n_chars) AS least, max(n_chars) AS most, CAST(floor(avg(n_chars)) AS BIGINT) AS mean_chars FROM documents GROUP BY ALL")
+def source_profile(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.groupBy("source", classify.source_type(F.col("source")).alias("source_type")).agg(F.count("*").alias("n"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), F.floor(F.avg("n_chars")).alias("mean_chars"))
+
+
+@query(
+    f"""WITH x AS (SELECT doc_id, text, source, CASE WHEN text IS NULL OR text = '' OR source IS NULL OR source = '' THEN 1 ELSE 0 END AS broken,
+      CASE WHEN len(text) < 50 THEN 1 ELSE 0 END AS short, CASE WHEN {sql_any("lower(text)", lexicon.REFUSALS)} THEN 1 ELSE 0 END AS refusal FROM documents)
+      SELECT CASE WHEN broken = 1 THEN 'broken' WHEN short + refusal > 0 THEN 'rejected' ELSE 'valid' END AS verdict, count(*) AS n FROM x GROUP BY 1"""
+)
+def validate_split(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("issues", classify.issues(F.col("text"), F.col("source")))
+    broken = F.exists("issues", lambda i: F.startswith(i, F.lit("missing")))
+    return d.groupBy(F.when(broken, "broken").when(F.size("issues") > 0, "rejected").otherwise("valid").alias("verdict")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id FROM documents QUALIFY row_number() OVER (PARTITION BY substr(text, 1, 500) ORDER BY doc_id) = 1")
+def dedup_prefix500(spark, sf_dir):
+    return retrieval.dedup_prefix(table(spark, sf_dir, "documents"), F.md5(F.substring("text", 1, 500)), [F.col("doc_id")]).select("doc_id")
+
+
+@query(f"SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY md5(substr({NORM}, 1, 500)) ORDER BY CASE WHEN source = 'src0' THEN 0 ELSE 1 END, doc_id) = 1")
+def union_priority_dedup(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    first, rest = d.where("source = 'src0'").withColumn("priority", F.lit(0)), d.where("source is null or source <> 'src0'").withColumn("priority", F.lit(1))
+    both = first.unionByName(rest)
+    return retrieval.dedup_prefix(both, F.md5(F.substring(text.normalize(F.col("text")), 1, 500)), [F.col("priority"), F.col("doc_id")]).select("doc_id", "source")
+
+
+@query("SELECT doc_id, i AS idx, substr(text, i * 1700 + 1, 2000) AS passage FROM (SELECT doc_id, text, unnest(range(0, greatest(CAST(ceil((len(text) - 300) / 1700) AS BIGINT) - 1, 0) + 1)) AS i FROM documents)")
+def chunk_fixed_stride(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.inline(chunking.fixed_stride(F.col("text"), 2000, 300)))
+
+
+@query()
+def chunk_recursive(spark, sf_dir):
+    return chunking.chunk_documents(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query()
+def term_stats(spark, sf_dir):
+    return retrieval.term_stats(retrieval.postings(table(spark, sf_dir, "documents"), "doc_id", "text"))
+
+
+ORACLE["term_stats"] = f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY doc_id, term) GROUP BY term"
+
+
+def _bm25(spark: SparkSession, sf_dir: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    n, avgdl = docs.agg(F.count("*"), F.avg(F.size(text.tokens(F.col("text"))))).first()
+    index = retrieval.postings(docs, "doc_id", "text")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
+    return retrieval.bm25(index, asked, F.lit(n), F.lit(float(avgdl or 1)), k1, b)
+
+
+def _sql_bm25(k1: float, b: float) -> str:
+    return f"""w AS (SELECT doc_id AS id, {TOKENS} AS w FROM documents), p AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(w) AS dl, unnest(w) AS term FROM w) GROUP BY ALL),
+      c AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM w), q AS (SELECT item_id AS query, unnest(list_distinct({TOKENS})) AS term FROM benchmark),
+      f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+      s AS (SELECT query, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * ({k1} + 1) / (tf + {k1} * (1 - {b} + {b} * dl / avgdl))) AS score FROM p JOIN f USING (term) JOIN q USING (term), c GROUP BY query, id)"""
+
+
+@query(f"WITH {_sql_bm25(1.5, 0.75)} SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, id) AS rank, round(score, 4) AS score FROM s QUALIFY rank <= 10")
+def bm25_topk(spark, sf_dir):
+    return retrieval.top_k(_bm25(spark, sf_dir), 10).select("query", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
+
+
+@query(
+    f"""WITH {_sql_bm25(1.5, 0.75)}, t AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, id) AS rank FROM s QUALIFY rank <= 10),
+    e AS (SELECT item_id AS query, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
+    h AS (SELECT e.query, count(*) AS relevant, count(t.id) AS found, min(t.rank) AS first FROM e LEFT JOIN t USING (query, id) GROUP BY e.query)
+    SELECT count(*) AS n, round(avg(found / relevant), 6) AS recall_at_10, round(avg(found / 10.0), 6) AS precision_at_10, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, round(avg(CASE WHEN first <= 1 THEN 1.0 ELSE 0 END), 6) AS hit_1 FROM h"""
+)
+def retrieval_metrics(spark, sf_dir):
+    """Recall, precision, reciprocal rank of BM25 against the documents that hold the passage."""
+    top = retrieval.top_k(_bm25(spark, sf_dir), 10).select("query", "id", "rank")
+    items = table(spark, sf_dir, "benchmark")
+    held = table(spark, sf_dir, "documents").join(F.broadcast(items.select(F.col("item_id").alias("query"), F.col("text").alias("passage"))), F.contains(F.col("text"), F.col("passage"))).select("query", F.col("doc_id").alias("id"))
+    per = held.join(top, ["query", "id"], "left").groupBy("query").agg(F.count("*").alias("relevant"), F.count("rank").alias("found"), F.min("rank").alias("first"))
+    return per.agg(
+        F.count("*").alias("n"),
+        F.round(F.avg(F.col("found") / F.col("relevant")), 6).alias("recall_at_10"),
+        F.round(F.avg(F.col("found") / 10.0), 6).alias("precision_at_10"),
+        F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"),
+        F.round(F.avg(F.when(F.col("first") <= 1, 1.0).otherwise(0.0)), 6).alias("hit_1"),
+    )
+
+
+DIST = "list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: (v.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE) * (v.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE)))"
+KNN = f"k AS (SELECT q.vec_id AS query, v.vec_id AS id, {DIST} AS distance FROM embeddings v, embeddings q WHERE q.vec_id < 10), n AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(distance, 6), id) AS rank FROM k QUALIFY rank <= 10)"
+
+
+def _knn(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+    v = table(spark, sf_dir, "embeddings")
+    asked = [(r["vec_id"], list(r["embedding"])) for r in v.where("vec_id < 10").collect()]
+    return retrieval.nearest(v, asked, k, "vec_id", "embedding")
+
+
+@query(f"WITH {KNN} SELECT query, id, round(distance, 5) AS distance, rank FROM n")
+def knn_l2(spark, sf_dir):
+    return _knn(spark, sf_dir).select("query", "id", F.round("distance", 5).alias("distance"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    f"WITH {KNN}, {_sql_bm25(1.5, 0.75)}, b AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, id) AS rank FROM s WHERE query < 10 QUALIFY rank <= 10), "
+    "u AS (SELECT query, id, 1 / (1 + distance) AS x FROM n UNION ALL SELECT query, id, 0.6 / rank FROM b), g AS (SELECT query, id, sum(x) AS score FROM u GROUP BY query, id) "
+    "SELECT query, id, round(score, 5) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, id) AS rank FROM g QUALIFY rank <= 8"
+)
+def hybrid_fuse(spark, sf_dir):
+    """Vector similarity 1 / (1 + d) and lexical 0.6 / (1 + rank), summed by candidate."""
+    lexical = retrieval.top_k(_bm25(spark, sf_dir).where("query < 10"), 10)
+    fused = retrieval.fuse([(_knn(spark, sf_dir), 1 / (1 + F.col("distance"))), (lexical, 0.6 / F.col("rank"))])
+    return retrieval.top_k(fused, 8).select("query", "id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query(
+    f"""WITH {_sql_bm25(1.5, 0.75)}, a AS (SELECT s.*, d.source, d.text FROM s JOIN documents d ON s.id = d.doc_id),
+    r AS (SELECT query, id, score * CASE WHEN {sql_hits("lower(text)", lexicon.PROCEDURAL)} < 2 AND {sql_hits("lower(text)", lexicon.RULES)} >= 2 THEN 1.3 ELSE 1.0 END
+      * CASE WHEN {WORDS} > 700 AND {sql_hits("lower(text)", lexicon.PROCEDURAL)} < 2 AND {sql_hits("lower(text)", lexicon.RULES)} < 2 AND NOT {sql_any("lower(text)", lexicon.DEFINITIONS)} THEN 0.9 ELSE 1.0 END AS score FROM a)
+    SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, id) AS rank, round(score, 4) AS score FROM r QUALIFY rank <= 8"""
+)
+def rerank_boost(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), classify.role(F.col("text")).alias("role"), text.word_count(F.col("text")).alias("words"))
+    scored = _bm25(spark, sf_dir).join(d, "id").withColumn("score", retrieval.rerank(F.col("score"), F.col("role"), F.col("words")))
+    return retrieval.top_k(scored, 8).select("query", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN {sql_any('lower(text)', lexicon.ASK_HOW)} THEN 'procedural' WHEN {sql_any('lower(text)', lexicon.ASK_WHAT)} THEN 'definitional' ELSE 'generic' END AS intent FROM conversations WHERE role = 'user'")
+def intent_classify(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", classify.intent(F.col("text")).alias("intent"))
+
+
+@query("SELECT conv_id, turn, role FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 5")
+def session_history_last5(spark, sf_dir):
+    return oplog.last_n(table(spark, sf_dir, "conversations"), "conv_id", "turn", 5).select("conv_id", "turn", "role")
+
+
+@query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS history, count(*) AS n FROM conversations GROUP BY conv_id")
+def history_text(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n").alias("history"), F.count("*").alias("n"))
+
+
+@query("SELECT event_type, count(*) AS total, count(*) FILTER (WHERE event_type = 'error') AS errors, round(avg(value), 4) AS avg_value, round(max(value), 4) AS max_value FROM events GROUP BY event_type")
+def audit_by_type(spark, sf_dir):
+    return oplog.audit_stats(table(spark, sf_dir, "events"), "event_type")
+
+
+@query("SELECT count(*) AS total, count(*) FILTER (WHERE event_type = 'error') AS errors, round(avg(value), 4) AS avg_value, round(max(value), 4) AS max_value FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
+def audit_stats_7d(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    last = e.agg(F.max("ts").alias("last"))
+    return oplog.audit_stats(e.join(F.broadcast(last), F.col("ts") >= F.col("last") - F.expr("INTERVAL 7 DAYS")))
+
+
+@query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def latest_per_user(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+
+
+@query()
+def offered_load_1h(spark, sf_dir):
+    return oplog.offered_load(table(spark, sf_dir, "events"), "user_id", "ts", 3600).select("event_id", "load")
+
+
+ORACLE["offered_load_1h"] = "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY s RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS load FROM (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events)"
+
+
+@query()
+def rate_limiter(spark, sf_dir):
+    return oplog.limited(table(spark, sf_dir, "events"), "user_id", "ts", 2, 3600).select("event_id", "accepted")
+
+
+@query("SELECT event_id FROM (SELECT event_id, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id, event_type ORDER BY epoch(ts), event_id) AS gap FROM events) WHERE gap IS NULL OR gap > 3600")
+def ttl_dedup_1h(spark, sf_dir):
+    return oplog.ttl_dedup(table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", 3600).select("event_id")
+
+
+@query(
+    "WITH a AS (SELECT *, CASE WHEN epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY epoch(ts), event_id) > 1800 THEN 1 ELSE 0 END AS new FROM events), "
+    "b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY epoch(ts), event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM a) SELECT user_id, session, count(*) AS n, min(event_id) AS first_event FROM b GROUP BY user_id, session"
+)
+def session_windows(spark, sf_dir):
+    return oplog.sessions(table(spark, sf_dir, "events"), "user_id", "ts", 1800)
+
+
+@query(
+    "WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events), "
+    f"h AS (SELECT user_id, CAST(0 AS BIGINT) AS n, '{'0' * 64}' AS last FROM events GROUP BY user_id UNION ALL SELECT h.user_id, h.n + 1, sha256(h.last || e.event_id || ':' || e.event_type) FROM h JOIN e ON e.user_id = h.user_id AND e.r = h.n + 1) "
+    "SELECT user_id, max(n) AS n, arg_max(last, n) AS last FROM h GROUP BY user_id"
+)
+def hash_chain_build(spark, sf_dir):
+    return oplog.hash_chain(table(spark, sf_dir, "events"), "user_id", "event_id", F.concat_ws(":", F.col("event_id").cast("string"), "event_type"))
+
+
+METRICS = "SELECT 'quantity' AS metric, l_quantity AS value FROM lineitem UNION ALL SELECT 'price', l_extendedprice FROM lineitem UNION ALL SELECT 'discount', l_discount FROM lineitem"
+
+
+def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.expr("stack(3, 'quantity', l_quantity, 'price', l_extendedprice, 'discount', l_discount) AS (metric, value)"))
+
+
+@query(
+    f"""WITH m AS ({METRICS}), b AS (SELECT metric, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS min, max(value) AS max, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3 FROM m GROUP BY metric)
+    SELECT b.metric, b.n, round(b.mean, 4) AS mean, round(b.std, 4) AS std, b.min, b.max, round(q1, 4) AS q1, round(median, 4) AS median, round(q3, 4) AS q3,
+    count(*) FILTER (WHERE value < q1 - 1.5 * (q3 - q1)) AS low_outliers, count(*) FILTER (WHERE value > q3 + 1.5 * (q3 - q1)) AS high_outliers FROM m JOIN b USING (metric) GROUP BY ALL"""
+)
+def metric_stats(spark, sf_dir):
+    s = evaluate.statistics(_metrics(spark, sf_dir))
+    return s.select("metric", "n", *[F.round(c, 4).alias(c) for c in ("mean", "std")], "min", "max", *[F.round(c, 4).alias(c) for c in ("q1", "median", "q3")], "low_outliers", "high_outliers")
+
+
+@query("SELECT round(corr(l_quantity, l_extendedprice), 6) AS quantity_price, round(corr(l_quantity, l_discount), 6) AS quantity_discount, round(corr(l_extendedprice, l_tax), 6) AS price_tax FROM lineitem")
+def metric_corr(spark, sf_dir):
+    pairs = (("l_quantity", "l_extendedprice", "quantity_price"), ("l_quantity", "l_discount", "quantity_discount"), ("l_extendedprice", "l_tax", "price_tax"))
+    return table(spark, sf_dir, "lineitem").agg(*[F.round(F.corr(a, b), 6).alias(n) for a, b, n in pairs])
+
+
+@query("SELECT quality, toxic, count(*) AS n, round(greatest(0, avg(quality) * 60 - least(2.0 * sum(toxic), 20)), 4) AS health FROM labels GROUP BY quality, toxic")
+def health_score(spark, sf_dir):
+    return table(spark, sf_dir, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n"), F.round(evaluate.health(F.avg("quality"), F.sum("toxic"), F.lit(0)), 4).alias("health"))
+
+
+@query("""SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href="([^"#]+)', 1))) AS url FROM pages""")
+def html_links(spark, sf_dir):
+    return graph.page_links(table(spark, sf_dir, "pages"))
+
+
+@query("""WITH l AS (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href="([^"#]+)', 1))) AS url FROM pages) SELECT url, count(*) AS frequency, min(page_id) AS first_page FROM l GROUP BY url""")
+def link_map(spark, sf_dir):
+    return graph.page_links(table(spark, sf_dir, "pages")).groupBy("url").agg(F.count("*").alias("frequency"), F.min("page_id").alias("first_page"))
+
+
+@query(
+    "SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path, "
+    "CASE WHEN len(s) > 100 THEN substr(s, 1, 100) || '_' || substr(md5(url), 1, 8) ELSE s END AS slug, "
+    + "CASE "
+    + " ".join(f"WHEN contains(lower(url), '{w}') THEN '{n}'" for w, n in lexicon.SECTIONS)
+    + f" ELSE 'Generale' END AS section, regexp_matches(url, '(?i){'|'.join(lexicon.EXCLUDED)}') AS excluded FROM (SELECT *, regexp_replace(regexp_replace(url, '^https?://', ''), '[^a-zA-Z0-9]+', '_', 'g') AS s FROM pages)"
+)
+def url_parts(spark, sf_dir):
+    u = F.col("url")
+    return table(spark, sf_dir, "pages").select("page_id", text.host(u).alias("host"), text.path(u).alias("path"), text.url_slug(u).alias("slug"), classify.section(u).alias("section"), classify.excluded(u).alias("excluded"))
+
+
+@query("SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def anti_new_docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id")
+
+
+@query("SELECT d.doc_id, coalesce(CAST(l.quality AS VARCHAR), 'unknown') AS quality FROM documents d LEFT JOIN labels l USING (doc_id)")
+def left_default(spark, sf_dir):
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", F.coalesce(F.col("quality").cast("string"), F.lit("unknown")).alias("quality"))
+
+
+@query("SELECT a.l_orderkey, a.l_linenumber, count(*) AS near FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber BETWEEN a.l_linenumber - 1 AND a.l_linenumber + 1 GROUP BY ALL")
+def band_join(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    wide = li.withColumn("near", F.explode(F.sequence(F.col("l_linenumber") - 1, F.col("l_linenumber") + 1)))
+    other = li.withColumnRenamed("l_linenumber", "near")
+    return wide.join(other, ["l_orderkey", "near"]).groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("near"))
+
+
+@query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents WHERE text IS NOT NULL) SELECT doc_id, CAST(pos AS INTEGER) AS pos, last_value(CASE WHEN len(line) < 80 THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section FROM l")
+def fill_forward(spark, sf_dir):
+    """The last short line above each line, as a section's heading is carried forward."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    above = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return lines.select("doc_id", "pos", F.last(F.when(F.length("line") < 80, F.col("line")), True).over(above).alias("section"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+def cube_lineitem(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
+
+
+@query("SELECT n_name, o_orderpriority, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_name, o_orderpriority)")
+def rollup_orders(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return o.rollup("n_name", "o_orderpriority").agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id FROM documents INTERSECT SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM labels WHERE toxic = 1")
+def intersect_except(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels")
+    return table(spark, sf_dir, "documents").select("doc_id").intersect(labels.select("doc_id")).exceptAll(labels.where("toxic = 1").select("doc_id").distinct())
