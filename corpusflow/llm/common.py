@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -61,6 +62,11 @@ class Scratch:
         if at:
             _remove(self.spark, at)
 
+    def free(self) -> None:
+        """Lets Spark remove the shuffle files of frames that are no longer referred to."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def _end(self) -> None:
         try:
             _remove(self.spark, self.root)

@@ -281,6 +281,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     cutted = rows.select("key", "text").mapInArrow(cut, "gram long, hash long, key long, span long")
     met = scratch.save(cutted.repartition("gram").sortWithinPartitions("gram", F.col("span") >= (1 << 60), "hash", "key", "span").mapInArrow(meet, "gram long, key long, lo int, n int, dup boolean"))
 
+    del cutted
+    scratch.free()
+
     # the bytes of segments that must be compared
     todo = met.where(~F.col("dup"))
     size = F.col("n") + (length - 1)
@@ -310,7 +313,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     else:
         found = compare(parts, buckets, length)
     covers = met.where("dup").select("key", F.col("lo").alias("a"), (F.col("lo") + size).alias("b")).unionByName(found)
-    covers = covers.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("covers"))
+    covers = scratch.save(covers.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("covers")))
+    del parts, found
+    scratch.free()
 
     kind = docs.schema[id_col].dataType.simpleString()
 
