@@ -18,6 +18,8 @@ from .common import Scratch, ranked
 GRAM, TEXT = 32, 1 << 17
 #: Segments of one gram beyond which its strings meet by their own hashes instead.
 CROWD = 20_000
+#: Entries of a table of letter counts; a longer text is searched instead.
+COUNTS = 1 << 24
 
 
 def grams(data: np.ndarray) -> np.ndarray:
@@ -103,10 +105,18 @@ def expand(symbols: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
     letter = code[bwt]
     counts = np.bincount(letter, minlength=len(used))
     before = np.cumsum(counts) - counts
-    seen = np.zeros((len(used), n + 1), np.int32)
-    seen[letter, np.arange(1, n + 1)] = 1
-    np.cumsum(seen, axis=1, out=seen)
-    step = before[letter] + seen[letter, np.arange(n)]
+    place = np.argsort(letter, kind="stable")  # the places of each letter, in order
+    step = np.empty(n, np.int64)
+    step[place] = np.arange(n)
+    if len(used) * (n + 1) <= COUNTS:
+        seen = np.zeros((len(used), n + 1), np.int32)
+        seen[letter, np.arange(1, n + 1)] = 1
+        np.cumsum(seen, axis=1, out=seen)
+        begin = lambda at: (before[:, None] + seen[:, at]).ravel()
+    else:  # a search instead of a table, for bounded memory
+        sorted_places = letter[place] * (n + 1) + place
+        first = np.arange(len(used)) * (n + 1)
+        begin = lambda at: np.searchsorted(sorted_places, (first[:, None] + at[None, :]).ravel())
     known = np.zeros(n + 1, bool)
     known[[0, n]] = True
     low, high = np.array([0]), np.array([n])
@@ -115,9 +125,8 @@ def expand(symbols: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
         single = step[low[one]]
         wide_low, wide_high = low[~one], high[~one]
         found_low, found_high = [single], [single + 1]
-        for i in range(0, len(wide_low), 1 << 14):
-            a = (before[:, None] + seen[:, wide_low[i : i + (1 << 14)]]).ravel()
-            b = (before[:, None] + seen[:, wide_high[i : i + (1 << 14)]]).ravel()
+        for i in range(0, len(wide_low), 1 << 13):
+            a, b = begin(wide_low[i : i + (1 << 13)]), begin(wide_high[i : i + (1 << 13)])
             some = b > a
             found_low.append(a[some])
             found_high.append(b[some])
