@@ -115,8 +115,8 @@ def expand(symbols: np.ndarray, order: np.ndarray, least: int) -> np.ndarray:
         begin = lambda at: (before[:, None] + seen[:, at]).ravel()
     else:  # a search instead of a table, for bounded memory
         sorted_places = letter[place] * (n + 1) + place
-        first = np.arange(len(used)) * (n + 1)
-        begin = lambda at: np.searchsorted(sorted_places, (first[:, None] + at[None, :]).ravel())
+        bases = np.arange(len(used)) * (n + 1)
+        begin = lambda at: np.searchsorted(sorted_places, (bases[:, None] + at[None, :]).ravel())
     known = np.zeros(n + 1, bool)
     known[[0, n]] = True
     low, high = np.array([0]), np.array([n])
