@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Runs without white space whose tokens a task remembers before it starts anew (no effect on results).
-REMEMBERED = 600_000
+REMEMBERED = 300_000
 
 
 def byte_letters() -> list[str]:
@@ -229,7 +229,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     Null and empty texts have no tokens and decode to the empty text. Rows are independent:
     repeated rows and null ids are kept as they are, and no rows move. Other columns are not
-    read. A task holds one Arrow batch, the runs of 8 MB of it, and 500 rows of the output.
+    read. A task holds one Arrow batch, the runs of 6 MB of it, and 500 rows of the output.
     """
     with open(path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -243,7 +243,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             begin = 0
             while begin < len(texts):
                 stop, held = begin, 0
-                while stop < len(texts) and (stop == begin or held + sizes[stop] < 8 << 20):
+                while stop < len(texts) and (stop == begin or held + sizes[stop] < 6 << 20):
                     held += sizes[stop]
                     stop += 1
                 some = [x or "" for x in texts.slice(begin, stop - begin).to_pylist()]
