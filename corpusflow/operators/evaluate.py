@@ -39,3 +39,17 @@ def health(mean: Column, outliers: Column, critical: Column) -> Column:
 
 def rating(score: Column) -> Column:
     return F.when(score >= 90, "EXCELLENT").when(score >= 75, "GOOD").when(score >= 60, "MODERATE").otherwise("CRITICAL")
+
+
+def consistency(vectors: DataFrame, by: str, vec_col: str) -> DataFrame:
+    """(by, n, consistency): the mean cosine of all pairs of a group, 1 for a single vector.
+
+    The unit vectors' sum tells it without pairs: (|sum|^2 - n) / (n (n - 1)). Null and zero vectors are left out.
+    """
+    v = F.transform(vec_col, lambda x: x.cast("double"))
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    unit = vectors.select(by, v.alias("_v"), norm.alias("_n")).where("_n > 0")
+    sums = unit.select(by, F.posexplode(F.transform("_v", lambda x: x / F.col("_n"))).alias("_i", "_x")).groupBy(by, "_i").agg(F.sum("_x").alias("_s"), F.count("*").alias("n"))
+    return sums.groupBy(by).agg(F.max("n").alias("n"), F.sum(F.col("_s") * F.col("_s")).alias("_q")).select(
+        by, "n", F.when(F.col("n") < 2, 1.0).otherwise((F.col("_q") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("consistency")
+    )

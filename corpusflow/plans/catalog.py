@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, lexicon, text
-from ..operators import chunking, evaluate, graph, oplog, retrieval
+from ..operators import chunking, ensemble, evaluate, evidence, expansion, graph, oplog, retrieval
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -405,3 +405,74 @@ def rollup_orders(spark, sf_dir):
 def intersect_except(spark, sf_dir):
     labels = table(spark, sf_dir, "labels")
     return table(spark, sf_dir, "documents").select("doc_id").intersect(labels.select("doc_id")).exceptAll(labels.where("toxic = 1").select("doc_id").distinct())
+
+
+# --- Expansion, evidence, ensemble
+LEXICON = [("than", ["collegare", "abbinare", "registrare"]), ("in", ["dentro", "entro"])]
+
+
+def _sql_synonyms() -> str:
+    arms = " ".join(f"WHEN contains(lower(text), '{t}') THEN [" + ", ".join(f"replace(lower(text), '{t}', '{s}')" for s in syn[:2]) + "]" for t, syn in LEXICON)
+    return f"list_transform(CASE {arms} ELSE [] END, lambda x: upper(x[1:1]) || x[2:])"
+
+
+@query(f"SELECT item_id, list_sort(list_distinct([text] || {_sql_synonyms()} || ['procedura per ' || text, 'come si fa a ' || text])) AS variants FROM benchmark")
+def expand_queries(spark, sf_dir):
+    variants = expansion.expand(F.col("text"), F.lit("procedural"), LEXICON)
+    return table(spark, sf_dir, "benchmark").select("item_id", F.sort_array(variants).alias("variants"))
+
+
+PHONE = dict(lexicon.PII_INPUT)["PHONE"]
+SQL_TIMES = rf"list_transform(regexp_extract_all({{}}, '{text.TIMES}'), lambda x: lower(regexp_replace(x, '\s+', ' ', 'g')))"
+
+
+@query(
+    f"""WITH x AS (SELECT lang, source, regexp_extract_all(text, '{text.EMAIL}') AS e, regexp_extract_all(text, '{PHONE}') AS p, {SQL_TIMES.format("text")} AS t FROM documents),
+    g AS (SELECT lang, source, count(*) AS docs, """
+    + ", ".join(f"coalesce(len(list_distinct(flatten(list({c})))), 0)::BIGINT AS {n}" for c, n in zip("ept", evidence.KINDS, strict=True))
+    + " FROM x GROUP BY lang, source) SELECT *, docs >= 2 AND greatest(emails, phones, times) <= 1 AS sufficient FROM g"
+)
+def evidence_groups(spark, sf_dir):
+    return evidence.groups(table(spark, sf_dir, "documents"), ["lang", "source"], "doc_id", "text")
+
+
+@query(
+    f"""WITH l AS (SELECT source, doc_id, trim(unnest(string_split(text, chr(10)))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents WHERE text IS NOT NULL),
+    k AS (SELECT * FROM l WHERE line <> '' AND (regexp_matches(line, '{text.EMAIL}') OR regexp_matches(line, '{PHONE}') OR regexp_matches(line, '{text.TIMES}')))
+    SELECT source, line, min(doc_id) AS first_doc, arg_min(pos, doc_id::HUGEINT * 1000000000000 + pos) AS first_line FROM k GROUP BY source, line"""
+)
+def evidence_lines(spark, sf_dir):
+    return evidence.stated(table(spark, sf_dir, "documents"), ["source"], "doc_id", "text")
+
+
+KEYWORDS = f"list_distinct(list_filter({TOKENS}, lambda w: len(w) > 3 AND NOT list_contains({sql_list(lexicon.STOP_WORDS)}, w)))"
+
+
+@query(
+    rf"""WITH {_sql_bm25(1.5, 0.75)}, t AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, id) AS rank FROM s QUALIFY rank <= 20),
+    k AS (SELECT item_id AS query, lower(text) AS ql, {KEYWORDS} AS kws FROM benchmark), d AS (SELECT doc_id AS id, text AS content, lower(text) AS low, {TOKENS} AS own, {TOKENS.replace("coalesce(text,", "coalesce(source,")} AS named FROM documents),
+    j AS (SELECT query, id, rank, ql, kws, content, low, len(list_intersect(kws, own)) AS met, len(list_filter(list_intersect(kws, named), lambda w: NOT list_contains({sql_list(ensemble.NAME_NOISE)}, w))) AS names,
+      {sql_any("ql", lexicon.ASK_WHAT)} AND NOT {sql_any("ql", lexicon.ASK_HOW)} AS definitional, list_filter(regexp_split_to_array(ql, '\s+'), lambda w: len(w) > 3) AS terms FROM t JOIN d USING (id) JOIN k USING (query))
+    SELECT query, id, round(greatest(0.0, 1 - (rank - 1) * 0.05)
+      * CASE WHEN definitional AND len(list_filter(kws, lambda w: regexp_matches(low, '\b' || w || '\w*\s*(dell\w+)?\s*:'))) > 0 THEN 1.5 WHEN definitional AND len(list_filter(kws, lambda w: starts_with(trim(low), w))) > 0 THEN 1.2 ELSE 1.0 END
+      * CASE WHEN len(content) < 500 AND met >= 2 AND met / len(kws) > 0.5 THEN 1.3 ELSE 1.0 END * CASE WHEN names >= 2 THEN 1.45 WHEN names = 1 THEN 1.3 ELSE 1.0 END
+      * CASE WHEN len(content) > 2000 AND len(terms) > 0 AND len(list_filter(terms, lambda w: contains(low, w))) = 0 THEN 0.5 ELSE 1.0 END, 6)::DOUBLE AS score FROM j"""
+)
+def ensemble_boost(spark, sf_dir):
+    """The 20 best of BM25 by rank, with the boosts for definitions, density and names and the penalty for length."""
+    top = retrieval.top_k(_bm25(spark, sf_dir), 20).select("query", "id", "rank")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "source")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("q"), text.keywords(F.col("text")).alias("kws"))
+    q, kws, content = F.col("q"), F.col("kws"), F.col("content")
+    boosts = ensemble.definition_boost(classify.intent(q) == "definitional", kws, content) * ensemble.density_boost(kws, content) * ensemble.name_boost(kws, F.col("source"))
+    score = ensemble.rank_score(F.col("rank")) * boosts * ensemble.length_penalty(q, content)
+    return top.join(docs, "id").join(asked, "query").select("query", "id", F.round(score, 6).alias("score"))
+
+
+@query(
+    """WITH u AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x, sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))) AS n FROM embeddings),
+    s AS (SELECT label, i, sum(x / n) AS s, count(*) AS n FROM u WHERE n > 0 GROUP BY label, i)
+    SELECT label, max(n) AS n, round(CASE WHEN max(n) < 2 THEN 1.0 ELSE (sum(s * s) - max(n)) / (max(n) * (max(n) - 1)) END, 6) AS consistency FROM s GROUP BY label"""
+)
+def answer_consistency(spark, sf_dir):
+    return evaluate.consistency(table(spark, sf_dir, "embeddings"), "label", "embedding").select("label", "n", F.round("consistency", 6).alias("consistency"))

@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from corpusflow.functions import classify, text
-from corpusflow.operators import chunking, evaluate, graph
-from corpusflow.sources import sinks
+from corpusflow.operators import chunking, ensemble, evaluate, expansion, graph
+from corpusflow.sources import faq, sinks
 from corpusflow.streaming import twins
 
 
@@ -59,3 +59,33 @@ def test_stream(spark, tmp_path):
     run = twins.session_counts(stream).writeStream.outputMode("append").format("memory").queryName("sessions").trigger(availableNow=True).start()
     run.awaitTermination(120)
     assert spark.table("sessions").count() > 0
+
+
+def test_expansion(spark):
+    lexicon = [("scaricare", ["salvare", "esportare", "avere"])]
+    got = one(spark, expansion.expand(F.lit("Come scaricare?"), F.lit("definitional"), lexicon))
+    assert got == ["Come scaricare?", "Come salvare?", "Come esportare?", "definizione di Come scaricare?", "cosa significa Come scaricare?"]
+    assert one(spark, expansion.expand(F.lit("Altro"), F.lit("generic"), lexicon)) == ["Altro"]
+    meanings = {"ABC": ["primo", "secondo", "terzo"]}
+    assert one(spark, expansion.with_acronyms(F.lit("Cosa dice ABC o XY?"), meanings)) == "Cosa dice ABC o XY? primo secondo"
+    assert one(spark, expansion.with_acronyms(F.lit("niente"), meanings)) == "niente"
+
+
+def test_ensemble(spark):
+    words = F.array(F.lit("delega"), F.lit("azienda"))
+    boost = lambda text: one(spark, ensemble.definition_boost(F.lit(True), words, F.lit(text)))
+    assert (boost("Ecco: la delega : atto"), boost("Delega come atto"), boost("altro")) == (1.5, 1.2, 1.0)
+    assert one(spark, ensemble.name_boost(words, F.lit("delega_azienda.pdf"))) == 1.45
+    assert one(spark, ensemble.length_penalty(F.lit("la delega"), F.lit("x" * 2001))) == 0.5
+    assert one(spark, ensemble.allowed(F.lit("come?"), F.lit("checklist"))) is False
+
+
+def test_faq(spark):
+    read = lambda t: [tuple(r) for r in one(spark, faq.pairs(F.lit(t)))]
+    assert read("Q: Uno?\nA: Si\ncerto\n\nQ: Due?\nA: No") == [("Uno?", "Si\ncerto"), ("Due?", "No")]
+    assert read("DOMANDA: Uno?\nRISPOSTA: Si") == [("Uno?", "Si")]
+    assert read("### Uno?\n\nSi\n### Due?\nNo") == [("Uno?", "Si"), ("Due?", "No")]
+    assert read("niente") == []
+    text = "# T\n## A\n### S\n#### Domanda: Uno?\nSi\ncerto\n\n---\nfuori\n## B\n#### Domanda 2: Due?\nNo"
+    got = faq.markdown_faq(spark.createDataFrame([(1, text)], ["id", "text"]), "id", "text").orderBy("question").collect()
+    assert [tuple(r)[1:] for r in got] == [("B", None, "Due?", "No"), ("A", "S", "Uno?", "Si\ncerto")]
