@@ -15,6 +15,9 @@ from .common import Scratch, components
 
 #: Fingerprints that a shard should hold, and that a node of a tree in memory is compared with directly.
 SHARD, LEAF = 8000, 64
+#: Fingerprints that no vantage point cuts are compared directly up to so many, so many pairs at once.
+DENSE, PAIRS = 1024, 1 << 18
+ALL = np.uint64(2**64 - 1)
 #: Fingerprints the trees' vantage points are drawn from, at most; levels of shards, at most.
 SAMPLE, LEVELS = 8192, 12
 
@@ -117,25 +120,34 @@ def reached(full: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, int]]:
 def search(homes: np.ndarray, guests: np.ndarray, mask: np.uint64, bits: int, radius: int, rng: np.random.Generator) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Links between guests and homes, by a vantage-point tree in memory: arrays of their ends.
     A dense node gives links that connect its groups, not all pairs."""
-    stack = [(homes, guests, homes & mask, guests & mask)]
+    stack = [(homes, guests)]
     while stack:
-        h, g, hb, gb = stack.pop()
+        h, g = stack.pop()
         if not len(h) or not len(g):
             continue
-        cut = best_split(hb, radius, rng) if len(h) > LEAF else None
+        cut = None
+        if len(h) > LEAF:
+            # where the block alone prunes nothing, whole fingerprints do, within all the bits
+            for view, reach in ((mask, radius), (ALL, bits)):
+                hv, gv = h & view, g & view
+                cut = best_split(hv, reach, rng)
+                if cut:
+                    break
         if cut:
-            dh, dg = away(hb, cut[0]), away(gb, cut[0])
-            for a, b in ((dh <= cut[1], dg <= cut[1] + radius), (dh > cut[1], dg > cut[1] - radius)):
-                stack.append((h[a], g[b], hb[a], gb[b]))
-            continue
-        if len(h) * len(g) <= 1 << 16:
-            a, b = np.nonzero(np.bitwise_count(g[:, None] ^ h[None, :]) <= bits)
-            if len(a) <= 4 * (len(g) + len(h)):
-                yield g[a], h[b]
-                continue
-        both = np.union1d(g, h)
-        for members, first in reached(both, bits):
-            yield np.full(len(members), both[first]), both[members]
+            dh, dg = away(hv, cut[0]), away(gv, cut[0])
+            stack.append((h[dh <= cut[1]], g[dg <= cut[1] + reach]))
+            stack.append((h[dh > cut[1]], g[dg > cut[1] - reach]))
+        elif len(h) > DENSE:
+            both = np.union1d(g, h)
+            for members, first in reached(both, bits):
+                yield np.full(len(members), both[first]), both[members]
+        else:
+            step = max(1, PAIRS // len(h))
+            for i in range(0, len(g), step):
+                part = g[i : i + step]
+                a, b = np.nonzero(np.bitwise_count(part[:, None] ^ h[None, :]) <= bits)
+                ends = part[a], h[b]
+                yield forest(*ends) if len(a) > 4 * (len(part) + len(h)) else ends
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

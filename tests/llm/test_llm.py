@@ -196,3 +196,18 @@ def test_pipeline_stages(spark):
 
 def test_catalog_has_all_ten():
     assert [f"op{i}" for i in range(1, 11)] == sorted({n.split("_")[0] for n in catalog.QUERIES}, key=lambda x: int(x[2:]))
+
+
+def test_simhash_search_dense_and_block_equal():
+    """Leaves, dense groups and sets that only whole fingerprints cut give the components of all pairs."""
+    rng = np.random.default_rng(1)
+    masks, radius = simhash.blocks(4)
+    near = [0x123456789ABCDEF0 ^ sum(1 << int(x) for x in rng.choice(64, rng.integers(0, 9), replace=False)) for _ in range(2500)]
+    same_block = rng.integers(0, 2**63, 2500, dtype=np.uint64) & ~np.uint64(masks[0]) | np.uint64(5)
+    fps = np.unique(np.concatenate((np.array(near, np.uint64), same_block)))
+    a, b = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4)
+    found = [pair for m in masks for pair in simhash.search(fps, fps, np.uint64(m), 4, radius, np.random.default_rng(0))]
+    got = simhash.forest(*(np.concatenate(x) for x in zip(*found, strict=True)))
+    want = simhash.forest(fps[a], fps[b])
+    assert len(want[0]) > 1000
+    assert dict(zip(*got, strict=True)) == dict(zip(*want, strict=True))
