@@ -41,6 +41,25 @@ def rating(score: Column) -> Column:
     return F.when(score >= 90, "EXCELLENT").when(score >= 75, "GOOD").when(score >= 60, "MODERATE").otherwise("CRITICAL")
 
 
+def citation_accuracy(citations: Column, pages: Column, sources: Column) -> Column:
+    """Share of the non-empty citations that name one of the pages or sources; 1 where there are none.
+
+    Null lists are empty ones; a null citation, page or source matches nothing.
+    """
+    none = F.array().cast("array<string>")
+    kept = F.filter(F.coalesce(citations, none), lambda c: F.trim(c) != "")
+    known = F.transform(F.concat(F.coalesce(pages.cast("array<string>"), none), F.coalesce(sources, none)), F.lower)
+    found = F.filter(kept, lambda c: F.exists(known, lambda k: F.coalesce(F.contains(F.lower(c), k), F.lit(False))))
+    return F.when(F.size(kept) == 0, 1.0).otherwise(F.size(found) / F.size(kept))
+
+
+def chunk_verdict(judgment: Column) -> Column:
+    """1, 0.5 or 0 for a judge's word on a chunk; a null one counts as useless."""
+    some = judgment.contains("PARZIALMENTE")
+    useful = judgment.contains("UTILE") & ~some & ~judgment.contains("INUTILE")
+    return F.when(useful, 1.0).when(some, 0.5).otherwise(0.0)
+
+
 def consistency(vectors: DataFrame, by: str, vec_col: str) -> DataFrame:
     """(by, n, consistency): the mean cosine of all pairs of a group, 1 for a single vector.
 

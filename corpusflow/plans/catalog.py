@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, lexicon, text
-from ..operators import chunking, ensemble, evaluate, evidence, expansion, graph, oplog, retrieval
+from ..operators import align, chunking, ensemble, evaluate, evidence, expansion, graph, oplog, retrieval
+from ..sources import docx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -476,3 +477,42 @@ def ensemble_boost(spark, sf_dir):
 )
 def answer_consistency(spark, sf_dir):
     return evaluate.consistency(table(spark, sf_dir, "embeddings"), "label", "embedding").select("label", "n", F.round("consistency", 6).alias("consistency"))
+
+
+# --- FAQ paragraphs, citations, verdicts, alignment
+@query(
+    r"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, regexp_replace(unnest(string_split(text, chr(10))), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
+    m AS (SELECT *, contains(t, '?') AS q, NOT contains(t, '?') AND upper(t) = t AND lower(t) <> t AND regexp_matches(t, '^[^ \t\r\n]+([ \t\r\n]+[^ \t\r\n]+){0,4}$') AS s FROM l WHERE t <> ''),
+    b AS (SELECT *, count(*) FILTER (WHERE q OR s) OVER w AS block, coalesce(last_value(CASE WHEN s THEN t END IGNORE NULLS) OVER w, 'GENERALE') AS section FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+    g AS (SELECT doc_id, block, max(section) AS section, max(t) FILTER (WHERE q) AS question, string_agg(t, ' ' ORDER BY pos) FILTER (WHERE NOT q AND NOT s) AS answer FROM b GROUP BY doc_id, block)
+    SELECT *, CASE WHEN regexp_matches(question, '(?i)come|dove|quando|quanto') THEN 'procedural' ELSE 'definitional' END AS role FROM g WHERE question IS NOT NULL AND answer IS NOT NULL"""
+)
+def faq_paragraphs(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    return docx.faq_sections(lines, "doc_id")
+
+
+@query(
+    """WITH c AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda c: trim(c) <> '') AS cs, lower(source) AS src, CAST(doc_id % 100 AS VARCHAR) AS page FROM documents)
+    SELECT doc_id, CASE WHEN cs IS NULL OR len(cs) = 0 THEN 1.0 ELSE len(list_filter(cs, lambda c: coalesce(contains(lower(c), page), false) OR coalesce(contains(lower(c), src), false))) / len(cs) END::DOUBLE AS accuracy FROM c"""
+)
+def citation_accuracy(spark, sf_dir):
+    """Each line of a document taken as a citation of its source or of a page."""
+    accuracy = evaluate.citation_accuracy(F.split("text", "\n"), F.array(F.col("doc_id") % 100), F.array("source"))
+    return table(spark, sf_dir, "documents").select("doc_id", accuracy.alias("accuracy"))
+
+
+@query("SELECT source, round(avg(CASE WHEN quality = 1 AND toxic = 0 THEN 1.0 WHEN quality = 1 THEN 0.5 ELSE 0.0 END), 9)::DOUBLE AS precision, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY source")
+def context_precision(spark, sf_dir):
+    """Mean verdict on the labelled documents of a source."""
+    said = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "UTILE").when(F.col("quality") == 1, "PARZIALMENTE_UTILE").otherwise("INUTILE")
+    seen = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    return seen.groupBy("source").agg(F.round(F.avg(evaluate.chunk_verdict(said)), 9).alias("precision"), F.count("*").alias("n"))
+
+
+@query()
+def align_pages(spark, sf_dir):
+    """Each benchmark passage against the page its number points to and those beside it."""
+    pages = table(spark, sf_dir, "documents").groupBy((F.col("doc_id") + 1).alias("page")).agg(F.min("text").alias("text")).withColumn("doc", F.lit(0))
+    chunks = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit(0).alias("doc"), (F.col("item_id") + 1).alias("page"), F.col("text").alias("chunk"))
+    return align.align(chunks, pages)

@@ -1,10 +1,13 @@
 """Small cases of single operators."""
 
+import random
+import zipfile
+
 from pyspark.sql import functions as F
 
 from corpusflow.functions import classify, text
-from corpusflow.operators import chunking, ensemble, evaluate, expansion, graph
-from corpusflow.sources import faq, sinks
+from corpusflow.operators import align, chunking, ensemble, evaluate, expansion, graph
+from corpusflow.sources import docx, faq, sinks
 from corpusflow.streaming import twins
 
 
@@ -89,3 +92,38 @@ def test_faq(spark):
     text = "# T\n## A\n### S\n#### Domanda: Uno?\nSi\ncerto\n\n---\nfuori\n## B\n#### Domanda 2: Due?\nNo"
     got = faq.markdown_faq(spark.createDataFrame([(1, text)], ["id", "text"]), "id", "text").orderBy("question").collect()
     assert [tuple(r)[1:] for r in got] == [("B", None, "Due?", "No"), ("A", "S", "Uno?", "Si\ncerto")]
+
+
+def test_docx(spark, tmp_path):
+    made = [("Heading1", "Guida"), ("", "AREA UNO"), ("", "Come si fa?"), ("", "Prima"), ("", " poi "), ("", "Perché?"), ("", "ALTRA"), ("", "fuori")]
+    line = lambda s, t: f'<w:p><w:pPr><w:pStyle w:val="{s}"/><w:tabs><w:tab/></w:tabs></w:pPr><w:r><w:t>{t}</w:t></w:r></w:p>'
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as box:
+        box.writestr("word/document.xml", f'<w:document xmlns:w="{docx.W[1:-1]}"><w:body>{"".join(line(*x) for x in made)}</w:body></w:document>')
+    (tmp_path / "broken.docx").write_bytes(b"no archive")
+    parts = docx.paragraphs(spark, str(tmp_path))
+    assert [(r["style"], r["text"]) for r in parts.orderBy("pos").collect()] == made
+    assert docx.markdown(parts).first()["markdown"].startswith("## Guida\n\nAREA UNO\n\nCome si fa?")
+    assert [tuple(r)[2:] for r in docx.faq_sections(parts).collect()] == [("AREA UNO", "Come si fa?", "Prima poi", "procedural")]
+
+
+def test_citations(spark):
+    rate = lambda c: one(spark, evaluate.citation_accuracy(c, F.array(F.lit(12)), F.array(F.lit("Manuale"), F.lit(None))))
+    assert rate(F.array(*map(F.lit, ("pag. 12", "dal manuale", "altro", " ")))) == 2 / 3
+    assert rate(F.lit(None).cast("array<string>")) == 1.0
+    verdicts = [one(spark, evaluate.chunk_verdict(F.lit(x).cast("string"))) for x in ("UTILE", "PARZIALMENTE_UTILE", "INUTILE", None)]
+    assert verdicts == [1.0, 0.5, 0.0, 0.0]
+
+
+def test_align(spark):
+    rng = random.Random(3)
+    for _ in range(200):
+        a, b = ("".join(rng.choices("abc", k=rng.randrange(12))) for _ in range(2))
+        rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                rows[i + 1][j + 1] = rows[i][j] + 1 if x == y else max(rows[i][j + 1], rows[i + 1][j])
+        assert align.common(a, b) == rows[-1][-1]
+    pages = spark.createDataFrame([("d", 1, "uno\ndue"), ("d", 2, "\nBeta  alfa\ngamma"), ("d", 3, None)], ["doc", "page", "text"])
+    chunks = spark.createDataFrame([(1, "d", 1, "Alfa beta gamma"), (2, "d", 9, "x"), (3, "d", 2, None)], "id int, doc string, page int, chunk string")
+    got = {r["id"]: tuple(r)[1:] for r in align.align(chunks, pages).collect()}
+    assert got == {1: (100.0, 2, "beta alfa gamma"), 2: (0.0, 9, ""), 3: (0.0, 1, "")}
