@@ -69,17 +69,17 @@ def by_key(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table], pa.Reco
 
 
 def best_of(table: pa.Table, k: int) -> pa.RecordBatch | None:
-    """Of the members of one group (node, vec, floor): for each the k most similar others above its floor."""
+    """Of the members of one key (node, vec, grp, floor): for each the k most similar of other groups above its floor."""
     n = table.num_rows
     if n < 2:
         return None
     table = table.combine_chunks()
-    nodes, floor = np.asarray(table["node"]), np.asarray(table["floor"])
+    nodes, group, floor = np.asarray(table["node"]), np.asarray(table["grp"]), np.asarray(table["floor"])
     vectors, dims = unit(table["vec"].chunk(0))
     rows, cols, sims = [], [], []
     for i in range(0, n, 1024):
         s = cosines(vectors[i : i + 1024], vectors, dims[i : i + 1024], dims)
-        s[nodes[i : i + 1024][:, None] == nodes[None, :]] = -3
+        s[group[i : i + 1024][:, None] == group[None, :]] = -3
         if n > k:
             top = np.argpartition(-s, k - 1, axis=1)[:, :k]
         else:
@@ -136,9 +136,10 @@ def link_embeddings(
     that it lists, the other members of that neighbourhood, and keeps the better ones, until fewer than
     `settled` of the entries change. Neighbourhoods larger than CROWD are dealt out at random to several.
 
-    A list that is full of links may hide more. So lists are enlarged: all nodes that links
-    connect are compared with one another, in pairs of blocks, which gives exact counts however
-    large a group is, with no pair leaving a task. Recall is audited: `audited` nodes are compared
+    A list that is full of links may hide more. So nodes with such lists get lists of their k most similar in
+    other components, by the same trees and rounds; the links among them join components, until there are none.
+    All nodes of a component are then compared with one another, in pairs of blocks, which gives exact
+    counts however large a group is, with no pair leaving a task. Recall is audited: `audited` nodes are compared
     with all others in blocks; while it is below `recall`, more trees and rounds follow.
 
     Vectors that are null, zero or hold null or non-finite components link with nothing, nor do vectors of
@@ -162,8 +163,8 @@ def link_embeddings(
     sample, _ = unit(pa.array([x for x in picked if len(x) == width], pa.list_(pa.float64()))) if picked else (np.zeros((0, 0)), None)
     depth = int(max(0, np.ceil(np.log2(max(1, n) / LEAF))))
 
-    def planted(seed: int, floor: DataFrame | None) -> DataFrame:
-        """Links of each node to the most similar in its leaves of new trees."""
+    def planted(pool: DataFrame, seed: int, floor: DataFrame | None) -> DataFrame:
+        """Links of each node of the pool (node, vec, grp) to the most similar in its leaves of new trees."""
         rng = np.random.default_rng(seed)
         trees = [grow(sample, min(depth, 8), rng) for _ in range(TREES)]
         more = rng.normal(size=(width, TREES * max(0, min(depth - 8, 40)))) if depth > 8 else None
@@ -179,11 +180,10 @@ def link_embeddings(
                         part = more[: v.shape[1], t :: TREES]
                         key = key * np.int64(1 << 40) + ((v[:, : len(part)] @ part > 0) @ (np.int64(1) << np.arange(part.shape[1], dtype=np.int64)))
                     key = key * TREES + t
-                    yield pa.RecordBatch.from_arrays([pa.array(key), batch.column("node"), batch.column("vec"), batch.column("floor")], names=["key", "node", "vec", "floor"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), *(batch.column(c) for c in ("node", "vec", "grp", "floor"))], names=["key", "node", "vec", "grp", "floor"])
 
-        rows = nodes.select("node", "vec")
-        rows = rows.join(floor, "node", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0))) if floor is not None else rows.withColumn("floor", F.lit(-2.0))
-        dealt = rows.select("node", "vec", "floor").mapInArrow(deal, f"key long, node long, vec {kind}, floor double")
+        rows = pool.join(floor, "node", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0))) if floor is not None else pool.withColumn("floor", F.lit(-2.0))
+        dealt = rows.select("node", "vec", "grp", "floor").mapInArrow(deal, f"key long, node long, vec {kind}, grp long, floor double")
         return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: by_key(it, lambda t: best_of(t, k)), edge)
 
     def top(edges: DataFrame) -> DataFrame:
@@ -193,33 +193,59 @@ def link_embeddings(
     def floors(lists: DataFrame) -> DataFrame:
         return lists.groupBy(F.col("a").alias("node")).agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(-2.0).alias("floor"))
 
-    def met(lists: DataFrame) -> DataFrame:
-        """Better neighbours from neighbourhoods: members come with their vectors and their lists' floors."""
-        both = lists.select(F.col("a").alias("at"), F.col("b").alias("node")).unionByName(lists.select(F.col("b").alias("at"), F.col("a").alias("node"))).distinct()
+    def met(pool: DataFrame, lists: DataFrame, paths: DataFrame) -> DataFrame:
+        """Better neighbours from the neighbourhoods of paths: members come with their vectors and their lists' floors."""
+        both = paths.select(F.col("a").alias("at"), F.col("b").alias("node")).unionByName(paths.select(F.col("b").alias("at"), F.col("a").alias("node"))).distinct()
         degree = both.groupBy("at").agg(F.ceil(F.count("*") / CROWD).alias("parts"))
         key = F.when(F.col("parts") > 1, F.xxhash64("at", F.pmod(F.xxhash64("node", F.lit(5)), "parts"))).otherwise(F.col("at"))
         both = both.join(degree, "at").select(key.alias("key"), "node")
-        whole = nodes.select("node", "vec").join(floors(lists), "node", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
-        sent = both.join(whole, "node").select("key", "node", "vec", "floor")
+        whole = pool.join(floors(lists), "node", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
+        sent = both.join(whole, "node").select("key", "node", "vec", "grp", "floor")
         return sent.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: by_key(it, lambda t: best_of(t, k)), edge)
 
-    lists = None
-    seed = 0
-    for _ in range(3):
-        more = planted(seed, None if lists is None else floors(lists))
-        lists = scratch.save(top(more if lists is None else more.unionByName(lists.drop("rank"))))
+    def refined(pool: DataFrame, size: int, lists: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        """lists after rounds of meeting, at the neighbours in them and in the known lists."""
         for _ in range(max_rounds):
-            new = scratch.save(top(lists.drop("rank").unionByName(met(lists))))
+            old = lists.drop("rank")
+            paths = old.select("a", "b") if known is None else old.select("a", "b").unionByName(known)
+            new = scratch.save(top(old.unionByName(met(pool, lists, paths))))
             changed = new.join(lists, ["a", "b"], "left_anti").count()
             scratch.drop(lists)
             lists = new
-            if changed <= settled * n * k:
+            if changed <= settled * size * k:
                 break
-        label = scratch.save(components(scratch, lists.where(F.col("sim") >= threshold).select("a", "b")))
+        return lists
+
+    def joined(lists: DataFrame, seed: int) -> DataFrame:
+        """Components of the links in the lists and of those that full lists hide."""
+        links = lists.where(F.col("sim") >= threshold).select("a", "b")
+        # of a hidden link both ends have full lists: the other end would list it
+        full = scratch.save(links.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n")).where(F.col("n") >= k).select("node"))
+        known = lists.select("a", "b").join(full.withColumnRenamed("node", "a"), "a", "left_semi").join(full.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b")
+        while True:
+            label = scratch.save(components(scratch, links))
+            pool = scratch.save(nodes.select("node", "vec").join(full, "node", "left_semi").join(label.withColumnRenamed("component", "grp"), "node"))
+            size, groups = pool.agg(F.count("*"), F.count_distinct("grp")).first()
+            if groups < 2:
+                return label
+            across = refined(pool, size, scratch.save(top(planted(pool, seed, None))), known)
+            hidden = scratch.save(across.where(F.col("sim") >= threshold).select("a", "b"))
+            scratch.drop(across)
+            scratch.drop(pool)
+            if hidden.isEmpty():
+                return label
+            scratch.drop(label)
+            links = links.unionByName(hidden)
+
+    every = nodes.select("node", "vec", F.col("node").alias("grp"))
+    lists = None
+    for seed in range(3):
+        more = planted(every, seed, None if lists is None else floors(lists))
+        lists = refined(every, n, scratch.save(top(more if lists is None else more.unionByName(lists.drop("rank")))))
+        label = joined(lists, seed)
         counts = scratch.save(counted(nodes, label, threshold, kind))
         if found(scratch, nodes, counts, threshold, audited) >= recall:
             break
-        seed += 1
 
     named = nodes.join(label, "node", "left").join(counts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))

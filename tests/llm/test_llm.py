@@ -211,3 +211,21 @@ def test_simhash_search_dense_and_block_equal():
     want = simhash.forest(fps[a], fps[b])
     assert len(want[0]) > 1000
     assert dict(zip(*got, strict=True)) == dict(zip(*want, strict=True))
+
+
+def test_embeddings_links_that_full_lists_hide(spark):
+    """Groups larger than the lists, each closer to itself than to the other it links to."""
+    rng = np.random.default_rng(5)
+
+    def group(centre, n):
+        return centre + rng.normal(size=(n, 16)) * 0.002
+
+    a, far = np.eye(16)[0], np.eye(16)[5]
+    b = a * np.cos(0.25) + np.eye(16)[1] * np.sin(0.25)
+    c = a * np.cos(0.5) + np.eye(16)[1] * np.sin(0.5)  # links to b's group, not to a's
+    v = np.concatenate((group(a, 30), group(b, 30), group(c, 30), group(far, 20)))
+    got = {r["vec_id"]: r for r in embed_dedup.link_embeddings(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    links = u @ u.T >= 0.95
+    assert [links[0].sum(), links[30].sum(), links[60].sum(), links[90].sum()] == [60, 90, 60, 20]
+    assert all((got[i]["n_links"], got[i]["component_id"]) == (links[i].sum() - 1, 0 if i < 90 else 90) for i in range(len(v)))
