@@ -10,11 +10,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, components
+from .simhash import forest
 
 #: Vectors in a leaf of a projection tree, the sample that the trees are fitted on, trees at a time.
 LEAF, SAMPLE, TREES = 256, 4096, 6
 #: Members of a neighbourhood that are compared at once, of a component's block.
 CROWD, BLOCK = 256, 512
+#: Nodes of a block when all are compared with all; at most so many are audited, until so many of them have links.
+WHOLE, AUDIT, LINKED = 4096, 4096, 128
 
 
 def unit(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -139,8 +142,9 @@ def link_embeddings(
     A list that is full of links may hide more. So nodes with such lists get lists of their k most similar in
     other components, by the same trees and rounds; the links among them join components, until there are none.
     All nodes of a component are then compared with one another, in pairs of blocks, which gives exact
-    counts however large a group is, with no pair leaving a task. Recall is audited: `audited` nodes are compared
-    with all others in blocks; while it is below `recall`, more trees and rounds follow.
+    counts however large a group is, with no pair leaving a task. Recall is audited: `audited` nodes, and more until
+    enough of them have links, are compared with all others in blocks; while the mean of their shares is below
+    `recall`, more trees and rounds follow, and after three attempts all nodes are compared with all.
 
     Vectors that are null, zero or hold null or non-finite components link with nothing, nor do vectors of
     different lengths. Rows repeated with one id and vector are vectors of their own. A null id is larger
@@ -246,6 +250,9 @@ def link_embeddings(
         counts = scratch.save(counted(nodes, label, threshold, kind))
         if found(scratch, nodes, counts, threshold, audited) >= recall:
             break
+    else:
+        label = scratch.save(components(scratch, compared(nodes, n, threshold)))
+        counts = scratch.save(counted(nodes, label, threshold, kind))
 
     named = nodes.join(label, "node", "left").join(counts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -258,7 +265,8 @@ def link_embeddings(
 
 
 def counted(nodes: DataFrame, label: DataFrame, threshold: float, kind: str) -> DataFrame:
-    """(node, links): the weights of a node's links, all members of a component compared in pairs of blocks."""
+    """(node, links, others): the weights of a node's links and their number, all members of a component compared in
+    pairs of blocks."""
     sizes = label.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     place = label.join(sizes, "component").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     pairs = place.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -271,39 +279,76 @@ def counted(nodes: DataFrame, label: DataFrame, threshold: float, kind: str) ->
         ids, weight = np.asarray(table["node"]), np.asarray(table["weight"])
         v, dims = unit(table["vec"].chunk(0))
         low, up = np.flatnonzero(np.asarray(table["lower"])), np.flatnonzero(np.asarray(table["upper"]))
-        links = np.zeros(len(ids), np.int64)
+        links, others = np.zeros((2, len(ids)), np.int64)
         same = len(low) == len(up) == len(ids)
         for i in range(0, len(low), 1024):
             some = low[i : i + 1024]
             hit = (cosines(v[some], v[up], dims[some], dims[up]) >= threshold) & (ids[some][:, None] != ids[up][None, :])
             links[some] += hit @ weight[up]
+            others[some] += hit.sum(1)
             if not same:
                 links[up] += weight[some] @ hit
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links)], names=["node", "links"])
+                others[up] += hit.sum(0)
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(others)], names=["node", "links", "others"])
+
+    out = sent.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: by_key(it, compare), "node long, links long, others long")
+    return out.groupBy("node").agg(F.sum("links").alias("links"), F.sum("others").alias("others"))
+
+
+def compared(nodes: DataFrame, n: int, threshold: float) -> DataFrame:
+    """(a, b): links that connect what is linked, all nodes compared with all in pairs of blocks."""
+    parts = max(1, -(-n // WHOLE))
+    place = nodes.select("node", "vec", F.pmod(F.xxhash64("node"), F.lit(parts)).alias("mine"))
+    pairs = place.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    key = F.least("mine", "other") * parts + F.greatest("mine", "other")
+    sent = pairs.select(key.cast("long").alias("key"), "node", "vec", (F.col("mine") <= F.col("other")).alias("lower"), (F.col("mine") >= F.col("other")).alias("upper"))
+
+    def compare(table: pa.Table) -> pa.RecordBatch | None:
+        table = table.combine_chunks()
+        ids = np.asarray(table["node"])
+        v, dims = unit(table["vec"].chunk(0))
+        low, up = np.flatnonzero(np.asarray(table["lower"])), np.flatnonzero(np.asarray(table["upper"]))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in range(0, len(low), 1024):
+            some = low[i : i + 1024]
+            x, y = np.nonzero((cosines(v[some], v[up], dims[some], dims[up]) >= threshold) & (ids[some][:, None] != ids[up][None, :]))
+            x, y = forest(ids[some][x], ids[up][y])
+            a.append(x)
+            b.append(y)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in forest(np.concatenate(a), np.concatenate(b))], names=["a", "b"])
 
-    out = sent.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: by_key(it, compare), "node long, links long")
-    return out.groupBy("node").agg(F.sum("links").alias("links"))
+    return sent.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: by_key(it, compare), "a long, b long")
 
 
 def found(scratch: Scratch, nodes: DataFrame, counts: DataFrame, threshold: float, audited: int) -> float:
-    """The share of links found, of a bounded number of nodes compared with all."""
-    asked = nodes.orderBy(F.xxhash64("node", F.lit(9))).limit(audited).select("node", "vec").collect()
-    if not asked:
-        return 1.0
+    """The share of a node's links found, on average over the linked ones of a bounded number of nodes that are compared
+    with all: so a large group weighs no more than its nodes do. More are drawn until enough are linked."""
+    while True:
+        asked = nodes.orderBy(F.xxhash64("node", F.lit(9))).limit(audited).select("node", "vec").collect()
+        if not asked:
+            return 1.0
+        linked, share = shares(nodes, asked, counts, threshold)
+        if linked >= LINKED or len(asked) < audited or audited >= AUDIT:
+            return share if linked else 1.0
+        audited = min(AUDIT, audited * 4)
+
+
+def shares(nodes: DataFrame, asked: list, counts: DataFrame, threshold: float) -> tuple[int, float]:
+    """How many of the asked nodes have links to others, and the mean of their shares found."""
     ids = np.array([r["node"] for r in asked], np.int64)
     q, qd = unit(pa.array([r["vec"] for r in asked], pa.list_(pa.float64())))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        links = np.zeros(len(ids), np.int64)
+        there = np.zeros(len(ids), np.int64)
         for batch in batches:
             for i in range(0, batch.num_rows, 2048):
                 part = batch.slice(i, 2048)
                 v, d = unit(part.column("vec"))
                 w = min(v.shape[1], q.shape[1])
-                hit = (cosines(q[:, :w], v[:, :w], qd, d) >= threshold) & (ids[:, None] != np.asarray(part.column("node"))[None, :])
-                links += hit @ np.asarray(part.column("weight"))
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links)], names=["node", "there"])
+                there += ((cosines(q[:, :w], v[:, :w], qd, d) >= threshold) & (ids[:, None] != np.asarray(part.column("node"))[None, :])).sum(1)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(there)], names=["node", "there"])
 
-    true = nodes.select("node", "vec", "weight").mapInArrow(count, "node long, there long").groupBy("node").agg(F.sum("there").alias("there")).where("there > 0")
-    got = true.join(counts, "node", "left").agg(F.sum("there"), F.sum(F.least("there", F.coalesce("links", F.lit(0))))).first()
-    return 1.0 if not got[0] else got[1] / got[0]
+    true = nodes.select("node", "vec").mapInArrow(count, "node long, there long").groupBy("node").agg(F.sum("there").alias("there")).where("there > 0")
+    share = F.least(F.col("there"), F.coalesce("others", F.lit(0))) / F.col("there")
+    got = true.join(counts, "node", "left").agg(F.count("*"), F.avg(share)).first()
+    return got[0], got[1] or 0.0

@@ -229,3 +229,29 @@ def test_embeddings_links_that_full_lists_hide(spark):
     links = u @ u.T >= 0.95
     assert [links[0].sum(), links[30].sum(), links[60].sum(), links[90].sum()] == [60, 90, 60, 20]
     assert all((got[i]["n_links"], got[i]["component_id"]) == (links[i].sum() - 1, 0 if i < 90 else 90) for i in range(len(v)))
+
+
+def test_embeddings_audit_weighs_nodes(spark):
+    """A hot group that is found whole does not hide that all pairs are lost."""
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(100, 16))
+    v = np.concatenate((base[:1] + rng.normal(size=(100, 16)) * 0.001, base[1:], base[1:] + rng.normal(size=(99, 16)) * 0.01))
+    nodes = spark.createDataFrame([(i, x.tolist(), 1) for i, x in enumerate(v)], "node long, vec array<double>, weight long")
+    counts = spark.createDataFrame([(i, 99, 99) for i in range(100)], "node long, links long, others long")
+    assert embed_dedup.found(None, nodes, counts, 0.95, 256) < 0.9
+
+
+def test_embeddings_fall_back_to_all_pairs(spark, monkeypatch):
+    """Where lists and trees are too poor for the recall asked, the result is exact all the same."""
+    monkeypatch.setattr(embed_dedup, "LEAF", 2)
+    monkeypatch.setattr(embed_dedup, "TREES", 1)
+    monkeypatch.setattr(embed_dedup, "WHOLE", 100, raising=False)
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=(200, 64))
+    v = np.concatenate((base, base + rng.normal(size=(200, 64)) * 0.28))
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    links = u @ u.T >= 0.95
+    assert links.sum() > 500
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in embed_dedup.link_embeddings(rows, k=1, max_rounds=1).collect()}
+    assert got == {i: links[i].sum() - 1 for i in range(len(v))}
