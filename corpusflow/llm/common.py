@@ -7,7 +7,7 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space, and what a word is, as a Java regular expression and a DuckDB (RE2) one.
@@ -18,10 +18,13 @@ WORD = rf"[^{SPACE}]+"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see: spark.checkpoint.dir.
 
-    Where it is unset (tests on one machine) a temporary folder is set for the session.
+    Where it is unset and Spark runs on one machine (tests) a temporary folder is set for the session; on a cluster
+    that is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors see")
         found = "file://" + tempfile.mkdtemp(prefix="corpusflow-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -36,7 +39,8 @@ def _remove(spark: SparkSession, path: str) -> None:
 class Scratch:
     """Tables written to the shared folder to cut lineage: they outlive a lost executor.
 
-    drop() removes one that later steps don't read; what is left goes when Python ends.
+    drop() removes one that later steps don't read; what is left goes when Python ends. Where a long session runs many
+    queries, end() removes a query's tables once its result has been written.
     """
 
     def __init__(self, spark: SparkSession, name: str):
@@ -67,6 +71,10 @@ class Scratch:
         gc.collect()
         self.spark._jvm.System.gc()
 
+    def end(self) -> None:
+        self._end()
+        atexit.unregister(self._end)
+
     def _end(self) -> None:
         try:
             _remove(self.spark, self.root)
@@ -121,3 +129,22 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
         mark = tuple(seen)
     hubs = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(hubs)
+
+
+#: Words of 32 bits in a filter, at most: the bound of what is broadcast, some 10 MB.
+WORDS = 1 << 18
+
+
+def key_filter(keys: DataFrame) -> DataFrame:
+    """A Bloom filter of one hash over the column `h` (long) of keys: (word, bits), at most WORDS rows."""
+    place = F.pmod("h", F.lit(WORDS * 32))
+    return keys.select(F.shiftright(place, 5).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), place.bitwiseAND(31).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+
+
+def with_maybe(rows: DataFrame, h: Column, held: DataFrame, name: str) -> DataFrame:
+    """rows with a boolean column: false where no key of the filter has the hash h. The filter's size is bounded, so it is broadcast."""
+    place = F.pmod(h, F.lit(WORDS * 32))
+    found = rows.withColumn("_place", place).withColumn("_word", F.shiftright("_place", 5))
+    found = found.join(F.broadcast(held.withColumnRenamed("word", "_word").withColumnRenamed("bits", "_bits")), "_word", "left")
+    bit = F.call_function("shiftright", F.col("_bits"), F.col("_place").bitwiseAND(31).cast("int")).bitwiseAND(1) == 1
+    return found.withColumn(name, F.coalesce(bit, F.lit(False))).drop("_place", "_word", "_bits")
