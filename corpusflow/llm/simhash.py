@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,35 +15,84 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, components
 
-#: Fingerprints that a shard should hold, and that a node of a tree in memory is compared with directly.
-SHARD, LEAF = 8000, 64
+#: Fingerprints that a shard should hold, beyond which it is cut again, and that a node of a tree in memory is compared
+#: with directly.
+SHARD, SPLIT, LEAF = 8000, 32_000, 64
 #: Fingerprints that no vantage point cuts are compared directly up to so many, so many pairs at once.
 DENSE, PAIRS = 1024, 1 << 18
 ALL = np.uint64(2**64 - 1)
-#: Fingerprints the trees' vantage points are drawn from, at most; levels of shards, at most.
-SAMPLE, LEVELS = 8192, 12
+#: Fingerprints that the vantage points of one tree are drawn from, at most; levels of one tree, at most. A shard that is
+#: still too large gets a tree of its own.
+SAMPLE, LEVELS = 8192, 10
+#: Classes of shingles that have fingerprints of their own, and the fewest shingles a class should hold.
+CLASSES, HELD = 16, 3
+#: Bits within which whole fingerprints are candidates, and members of a group compared with one another at once.
+FAR, PIECE = 18, 4096
 
 
-def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
-    """64 bits, each set if over half the hashes of the text's shingles have it set.
+def shingles(text: bytes, words: int = 4, seed: int = 42) -> np.ndarray:
+    """The hashes of a text's shingles, repeats included.
 
     A-Z become lower case, words are runs without ASCII white space, a shingle is so many words with a
-    space between; fewer words are one shingle, none give 0.
+    space between; fewer words are one shingle, no words give none.
     """
     parts = text.lower().split()
     if not parts:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(parts)
     n = max(1, len(parts) - words + 1)
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     starts = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
     ends = (starts + sizes)[min(words, len(parts)) - 1 :]
     one = xxhash.xxh64_intdigest
-    hashes = np.fromiter((one(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends.tolist(), strict=True)), np.uint64, n)
+    return np.fromiter((one(joined[a:b], seed) for a, b in zip(starts[:n].tolist(), ends.tolist(), strict=True)), np.uint64, n)
+
+
+def bits_of(hashes: np.ndarray) -> np.ndarray:
+    return np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each set if over half the hashes have it set; 0 for none."""
     ones = np.zeros(64, np.int64)
-    for i in range(0, n, 1 << 16):
-        ones += np.unpackbits(hashes[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
+    for i in range(0, len(hashes), 1 << 16):
+        ones += bits_of(hashes[i : i + (1 << 16)]).sum(0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
+    return majority(shingles(text, words, seed))
+
+
+def sketch(distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of classes of a set of shingles: (fingerprint, class).
+
+    Shingles are dealt to 2^k classes by other bits of a mix of their hash, so many that a class holds HELD to twice HELD
+    of them, and the first CLASSES classes get a majority of their own. A set close below the border to the next k
+    gets those classes too, so sets of a similarity of 0.8 or more share a k. If 11 % of the shingles on
+    either side differ, a class is the same on both sides with a chance of 0.26 to 0.51, and so one of 16 is with 0.99.
+    """
+    n = len(distinct)
+    prints, names = [], []
+    k = max(0, int(np.floor(np.log2(max(1, n) / HELD))))
+    mixed = (distinct ^ (distinct >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    mixed ^= mixed >> np.uint64(32)
+    mixed *= np.uint64(0xD6E8FEB86659FD93)
+    for level in (k, k + 1) if n >= 0.8 * HELD * 2 ** (k + 1) else (k,):
+        of = mixed >> np.uint64(64 - level) if level else np.zeros(n, np.uint64)
+        chosen = np.flatnonzero(of < CLASSES)
+        if not len(chosen):
+            continue
+        chosen = chosen[np.argsort(of[chosen], kind="stable")]
+        own = of[chosen]
+        first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+        held = np.diff(np.concatenate((first, [len(own)])))
+        ones = np.add.reduceat(bits_of(distinct[chosen]).astype(np.int32), first)
+        found = np.packbits(ones * 2 > held[:, None], axis=1, bitorder="little").view("<u8").ravel()
+        large = held >= min(2, n)
+        prints.append(found[large])
+        names.append((own[first][large] + np.uint64(level * CLASSES)).astype(np.int32))
+    return (np.concatenate(prints), np.concatenate(names)) if prints else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
 
 
 def blocks(bits: int) -> tuple[list[int], int]:
@@ -72,17 +123,26 @@ def best_split(fps: np.ndarray, radius: int, rng: np.random.Generator) -> tuple[
     return best[1:]
 
 
-def plant(fps: np.ndarray, depth: int, radius: int, rng: np.random.Generator) -> tuple | None:
-    """A tree of (point, distance, inner, outer) over a sample; None is a shard."""
-    cut = best_split(fps, radius, rng) if depth and len(fps) >= 8 else None
+def cut_of(fps: np.ndarray, views: list[tuple[np.uint64, int]], rng: np.random.Generator) -> tuple | None:
+    """The first view (mask, radius) of fps that a vantage point cuts: (mask, radius, point, distance)."""
+    for mask, radius in views:
+        cut = best_split(fps & mask, radius, rng)
+        if cut:
+            return mask, radius, *cut
+    return None
+
+
+def plant(fps: np.ndarray, depth: int, views: list[tuple[np.uint64, int]], rng: np.random.Generator) -> tuple | None:
+    """A tree of (mask, radius, point, distance, inner, outer) over a sample; None is a shard."""
+    cut = cut_of(fps, views, rng) if depth and len(fps) >= 8 else None
     if cut is None:
         return None
-    d = away(fps, cut[0])
-    return (*cut, plant(fps[d <= cut[1]], depth - 1, radius, rng), plant(fps[d > cut[1]], depth - 1, radius, rng))
+    d = away(fps & cut[0], cut[2])
+    return (*cut, plant(fps[d <= cut[3]], depth - 1, views, rng), plant(fps[d > cut[3]], depth - 1, views, rng))
 
 
-def route(tree: tuple | None, values: np.ndarray, homes: np.ndarray, guests: np.ndarray, radius: int, name: str = "") -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
-    """Deals out the places of values to shards: each has one home, and visits every shard that may hold
+def route(tree: tuple | None, homes: np.ndarray, guests: np.ndarray, name: str) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+    """Deals out fingerprints to shards: each has one home, and visits every shard that may hold
     one within the radius. By the triangle inequality those differ from it by no more than the radius in their
     distance to a vantage point."""
     if not len(guests):
@@ -90,10 +150,10 @@ def route(tree: tuple | None, values: np.ndarray, homes: np.ndarray, guests: np.
     if tree is None:
         yield name, homes, guests
         return
-    point, r, inner, outer = tree
-    d = away(values, point)
-    yield from route(inner, values, homes[d[homes] <= r], guests[d[guests] <= r + radius], radius, name + "0")
-    yield from route(outer, values, homes[d[homes] > r], guests[d[guests] > r - radius], radius, name + "1")
+    mask, radius, point, r, inner, outer = tree
+    dh, dg = away(homes & mask, point), away(guests & mask, point)
+    yield from route(inner, homes[dh <= r], guests[dg <= r + radius], name + "0")
+    yield from route(outer, homes[dh > r], guests[dg > r - radius], name + "1")
 
 
 def reached(full: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, int]]:
@@ -125,18 +185,13 @@ def search(homes: np.ndarray, guests: np.ndarray, mask: np.uint64, bits: int, ra
         h, g = stack.pop()
         if not len(h) or not len(g):
             continue
-        cut = None
-        if len(h) > LEAF:
-            # where the block alone prunes nothing, whole fingerprints do, within all the bits
-            for view, reach in ((mask, radius), (ALL, bits)):
-                hv, gv = h & view, g & view
-                cut = best_split(hv, reach, rng)
-                if cut:
-                    break
+        # where the block alone prunes nothing, whole fingerprints do, within all the bits
+        cut = cut_of(h, [(mask, radius), (ALL, bits)], rng) if len(h) > LEAF else None
         if cut:
-            dh, dg = away(hv, cut[0]), away(gv, cut[0])
-            stack.append((h[dh <= cut[1]], g[dg <= cut[1] + reach]))
-            stack.append((h[dh > cut[1]], g[dg > cut[1] - reach]))
+            view, reach, point, r = cut
+            dh, dg = away(h & view, point), away(g & view, point)
+            stack.append((h[dh <= r], g[dg <= r + reach]))
+            stack.append((h[dh > r], g[dg > r - reach]))
         elif len(h) > DENSE:
             both = np.union1d(g, h)
             for members, first in reached(both, bits):
@@ -170,67 +225,80 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[far], nodes[label[far]]
 
 
-def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4, row_col: str | None = None) -> DataFrame:
-    """id_col, fingerprint (16 hexadecimal digits), component_id, kept for each document, and row_col, a unique number of the
-    row, if there is one.
+def packed(held: dict[str, list]) -> pa.RecordBatch:
+    """(shard, homes, guests), fingerprints as bytes."""
+    columns = [[np.concatenate([x[i] for x in pairs]).tobytes() for pairs in held.values()] for i in (0, 1)]
+    return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), *(pa.array(c, pa.binary()) for c in columns)], names=["shard", "homes", "guests"])
 
-    Fingerprints link at `bits` or fewer differing bits, however many there are;
-    component_id is the smallest id reachable. kept: one row of each component, the first of those with that id.
 
-    Distinct fingerprints are cut into blocks, so that linked ones differ in at most one bit
-    (for 4 bits: three blocks) of some block. For each block a vantage-point tree, drawn from a bounded
-    sample, deals them out to shards; each shard builds its own tree, so pruning goes on in memory. A shard
-    returns links that connect what it found linked, at most one for each fingerprint. Components then come from
-    joins on the whole set of links.
+def linked(scratch: Scratch, fps: DataFrame, bits: int) -> DataFrame:
+    """(fp, component) of distinct fingerprints (fp): those that link at `bits` or fewer differing bits with others.
 
-    Null texts count as empty (fingerprint 0, linked like any other). A null id is larger than
-    all others; a component of null ids only has a null component_id. Other columns are not read.
+    Fingerprints are cut into blocks, so that linked ones differ in few bits of some block (for 4 bits: at most one of
+    some of three). For each block a vantage-point tree, drawn from a bounded sample, deals them out to shards. A shard
+    over SPLIT gets a tree of its own, drawn from a sample of it, over the block or whole fingerprints, until
+    none is over; one that no vantage point cuts is compared in pairs of pieces. Each shard builds trees in
+    memory too, and returns links that connect what it found linked, at most one for each fingerprint.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "simhash")
-    kind = docs.schema[id_col].dataType.simpleString()
-
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", words) for x in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(np.array(found, np.uint64).view(np.int64))], names=["id", "row", "fp"])
-
-    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
-    rows = docs.select(F.col(id_col).alias("id"), row.alias("row"), F.encode(F.col(text_col).cast("string"), "UTF-8").alias("text"))
-    rows = scratch.save(rows.mapInArrow(prints, f"id {kind}, row long, fp long"))
-    fps = scratch.save(rows.groupBy("fp").agg(F.min("id").alias("least")))
-
     n = fps.count()
     sample = np.array([r[0] for r in fps.select("fp").orderBy(F.xxhash64("fp", F.lit(1))).limit(SAMPLE).collect()], np.int64).view(np.uint64)
     masks, radius = blocks(bits)
     depth = int(min(LEVELS, max(2, np.ceil(np.log2(max(1, n) / SHARD)))))
-    trees = [plant(sample & np.uint64(m), depth, radius, np.random.default_rng(k)) for k, m in enumerate(masks)]
+    trees = [plant(sample, depth, [(np.uint64(m), radius)], np.random.default_rng(k)) for k, m in enumerate(masks)]
+
+    def views(shard: str) -> list[tuple[np.uint64, int]]:
+        return [(np.uint64(masks[int(shard.split(":")[0])]), radius), (ALL, bits)]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = defaultdict(list), 0
-
-        def out() -> pa.RecordBatch:
-            keys = list(held)
-            columns = [[np.concatenate([x[i] for x in held[k]]).tobytes() for k in keys] for i in (0, 1)]
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *(pa.array(c, pa.binary()) for c in columns)], names=["shard", "homes", "guests"])
-
         for batch in batches:
             found = np.asarray(batch.column(0)).astype(np.int64).view(np.uint64)
-            for k, mask in enumerate(masks):
-                where = found & np.uint64(mask)
-                by = np.arange(len(found))
-                for shard, homes, guests in route(trees[k], where, by, by, radius):
-                    held[f"{k}:{shard}"].append((found[homes], found[guests]))
+            for k, tree in enumerate(trees):
+                for shard, homes, guests in route(tree, found, found, f"{k}:"):
+                    held[shard].append((homes, guests))
                     size += len(homes) + len(guests)
             if size > 1 << 21:
-                yield out()
+                yield packed(held)
                 held.clear()
                 size = 0
         if held:
-            yield out()
+            yield packed(held)
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A share of the homes that makes about SAMPLE of each shard, chosen by their values."""
+        for batch in batches:
+            out = []
+            for homes, n in zip(batch.column("homes"), np.asarray(batch.column("n")).tolist(), strict=True):
+                found = np.frombuffer(homes.as_buffer(), "<u8")
+                mixed = (found ^ (found >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+                out.append(found[mixed < np.uint64(min(1.0, SAMPLE / n) * (2**64 - 2049))].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), pa.array(out, pa.binary())], names=["shard", "homes"])
+
+    def planted(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard = key[0].as_py()
+        found = np.concatenate([np.frombuffer(x.as_buffer(), "<u8") for batch in batches for x in batch.column("homes")])
+        tree = plant(np.unique(found), LEVELS, views(shard), np.random.default_rng(len(shard)))
+        yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([pickle.dumps(tree)], pa.binary())], names=["shard", "tree"])
+
+    def deal_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                shard, tree = batch.column("shard")[i].as_py(), pickle.loads(batch.column("tree")[i].as_py())
+                homes, guests = (np.frombuffer(batch.column(c)[i].as_buffer(), "<u8") for c in ("homes", "guests"))
+                held = defaultdict(list)
+                if tree is not None:
+                    for to, h, g in route(tree, homes, guests, shard):
+                        held[to].append((h, g))
+                else:  # pieces by value, each home with each guest
+                    pieces = -(-int(batch.column("n")[i].as_py()) // SPLIT)
+                    h, g = homes % np.uint64(pieces), guests % np.uint64(pieces)
+                    for a in range(pieces):
+                        for b in range(pieces):
+                            held[f"{shard}:{a}-{b}"].append((homes[h == a], guests[g == b]))
+                yield packed(held)
 
     def link(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.uint64(masks[int(key[0].as_py().split(":")[0])])
+        mask = views(key[0].as_py())[0][0]
         homes, guests = [], []
         for batch in batches:
             for to, name in ((homes, "homes"), (guests, "guests")):
@@ -241,9 +309,50 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for i in range(0, len(a), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x[i : i + 50_000]).view(np.int64)) for x in (a, b)], names=["a", "b"])
 
-    dealt = fps.select("fp").mapInArrow(deal, "shard string, homes binary, guests binary")
-    edges = scratch.save(dealt.groupBy("shard").applyInArrow(link, "a long, b long"))
-    label = components(scratch, edges).withColumnRenamed("node", "fp")
+    kind = "shard string, homes binary, guests binary"
+    dealt = scratch.save(fps.select("fp").mapInArrow(deal, kind))
+    ready = []
+    while True:
+        sizes = dealt.groupBy("shard").agg(F.sum(F.octet_length("homes") / 8).cast("long").alias("n"))
+        # pieces of what no vantage point cuts (two colons) are as small as they get
+        large = scratch.save(sizes.where((F.col("n") > SPLIT) & ~F.col("shard").rlike(":.*:")))
+        if large.isEmpty():
+            ready.append(dealt)
+            break
+        ready.append(dealt.join(large, "shard", "left_anti"))
+        rest = dealt.join(large, "shard")
+        grown = rest.select("shard", "homes", "n").mapInArrow(drawn, "shard string, homes binary").groupBy("shard").applyInArrow(planted, "shard string, tree binary")
+        dealt = scratch.save(rest.join(scratch.save(grown), "shard").mapInArrow(deal_again, kind))
+    whole = reduce(DataFrame.unionByName, ready)
+    edges = scratch.save(whole.groupBy("shard").applyInArrow(link, "a long, b long"))
+    return components(scratch, edges).withColumnRenamed("node", "fp")
+
+
+def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4, bits: int = 4, row_col: str | None = None) -> DataFrame:
+    """id_col, fingerprint (16 hexadecimal digits), component_id, kept for each document, and row_col, a unique number of the
+    row, if there is one.
+
+    Fingerprints (see shingles, majority) link at `bits` or fewer differing bits, however many there are (see linked);
+    component_id is the smallest id reachable. kept: one row of each component, the first of those with that id.
+
+    Null texts count as empty (fingerprint 0, linked like any other). A null id is larger than
+    all others; a component of null ids only has a null component_id. Repeated rows are rows of their own. Other
+    columns are not read; an empty table gives an empty result.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "simhash")
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [fingerprint(x.as_buffer().to_pybytes() if x.is_valid else b"", words) for x in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("row"), pa.array(np.array(found, np.uint64).view(np.int64))], names=["id", "row", "fp"])
+
+    row = F.col(row_col) if row_col else F.monotonically_increasing_id()
+    rows = docs.select(F.col(id_col).alias("id"), row.alias("row"), F.encode(F.col(text_col).cast("string"), "UTF-8").alias("text"))
+    rows = scratch.save(rows.mapInArrow(prints, f"id {kind}, row long, fp long"))
+    fps = scratch.save(rows.groupBy("fp").agg(F.min("id").alias("least")))
+    label = linked(scratch, fps, bits)
     named = fps.join(label, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = scratch.save(named.join(least, "component").select("fp", "component", "component_id"))
@@ -252,3 +361,122 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     first = out.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(F.min("row").alias("first")).withColumnRenamed("component", "c")
     out = out.join(first, (F.col("row") == F.col("first")), "left")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("first").isNotNull().alias("kept"), *([F.col("row").alias(row_col)] if row_col else []))
+
+
+def pieced(members: DataFrame) -> DataFrame:
+    """(row, first): pairs of members (grp, row, fp) of one group within FAR bits; groups are compared in pairs of pieces."""
+    parts = members.groupBy("grp").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("parts"))
+    placed = members.join(parts, "grp").withColumn("mine", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
+    sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    key = F.xxhash64("grp", F.least("mine", "other"), F.greatest("mine", "other"))
+    sent = sent.select(key.alias("key"), "row", "fp", (F.col("mine") <= F.col("other")).alias("low"), (F.col("mine") >= F.col("other")).alias("up"))
+
+    def compare(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
+        rows, fps = np.asarray(table["row"]), np.asarray(table["fp"]).view(np.uint64)
+        low, up = np.flatnonzero(np.asarray(table["low"])), np.flatnonzero(np.asarray(table["up"]))
+        step = max(1, PAIRS // max(1, len(up)))
+        for i in range(0, len(low), step):
+            some = low[i : i + step]
+            a, b = np.nonzero(np.bitwise_count(fps[some][:, None] ^ fps[up][None, :]) <= FAR)
+            a, b = rows[some[a]], rows[up[b]]
+            lower, upper = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+            if len(lower):
+                yield pa.RecordBatch.from_arrays([pa.array(upper), pa.array(lower)], names=["row", "first"])
+
+    return sent.groupBy("key").applyInArrow(compare, "row long, first long")
+
+
+def near_dedup(docs: DataFrame, row_col: str, text_col: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 2, order: list | None = None) -> DataFrame:
+    """(row_col, component, kept): documents linked at `similarity` or more, by the sets of their shingles of `words` words.
+
+    At that similarity whole fingerprints differ in 10 bits on average, within which trees prune little. So each document gets
+    several fingerprints, of samples of its shingles (see sketch), next to the whole one. Trees find those within
+    `bits` of one another (4 for whole ones); they make groups of documents. In each group the
+    members are compared with the first, shingle by shingle; those that don't link are a group again, as long as
+    such rounds link much. So a dense group gives a pair for each member and round. What is left of the groups
+    is compared within them by whole fingerprints, in pairs of pieces, and those within FAR bits (two in ten thousand at
+    0.8 differ in more) by shingles. Two documents that are both linked to one first need no link of their own; a
+    link between one that is and one that isn't is only found through another of the (up to 33) groups they share.
+
+    kept: of each component the first row in `order` (columns of docs; row_col is the last). Empty texts have no shingles and
+    link with nothing; null texts count as empty. row_col is a unique, stable number of the row. An
+    empty table gives an empty result.
+    """
+    scratch = Scratch(docs.sparkSession, "near")
+    by = [F.col(c) for c in (order or [])]
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, fps, places, sets = [], [], [], []
+            for i, x in zip(batch.column("row").to_pylist(), batch.column("text"), strict=True):
+                found = shingles(x.as_buffer().to_pybytes() if x.is_valid else b"", words)
+                distinct = np.unique(found)
+                own, names = sketch(distinct)
+                if len(found):
+                    own, names = np.append(own, np.uint64(majority(found))), np.append(names, -1)
+                ids.append(i)
+                fps.append(own.view(np.int64))
+                places.append(names)
+                sets.append(distinct.view(np.int64))
+                if sum(map(len, sets)) > 500_000 or len(ids) > 2000:
+                    yield block(ids, fps, places, sets)
+                    ids, fps, places, sets = [], [], [], []
+            if ids:
+                yield block(ids, fps, places, sets)
+
+    def block(ids: list, fps: list, places: list, sets: list) -> pa.RecordBatch:
+        lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in c]))), pa.int32()), pa.array(np.concatenate(c), t)) for c, t in ((fps, pa.int64()), (places, pa.int32()), (sets, pa.int64()))]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *lists], names=["row", "fps", "places", "shingles"])
+
+    text = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
+    read = docs.select(F.col(row_col).alias("row"), text.alias("text")).mapInArrow(prints, "row long, fps array<long>, places array<int>, shingles array<long>")
+    read = scratch.save(read)
+    ranks = docs.select(F.col(row_col).alias("row"), F.struct(*by, F.col(row_col)).alias("order"))
+    own = scratch.save(read.select("row", F.explode(F.arrays_zip("fps", "places")).alias("x")).select("row", F.col("x.fps").alias("fp"), (F.col("x.places") < 0).alias("whole")))
+
+    # groups of documents: the components of their fingerprints; a fingerprint of one document alone is found by no equal one
+    groups = []
+    for whole, reach in ((False, bits), (True, 4)):
+        some = own.where("whole" if whole else "not whole")
+        label = linked(scratch, scratch.save(some.select("fp").distinct()), reach)
+        named = some.join(label, "fp", "left").select("row", F.xxhash64(F.coalesce("component", "fp"), F.lit(whole)).alias("grp"))
+        groups.append(named)
+    members = reduce(DataFrame.unionByName, groups).distinct()
+    crowded = members.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp")
+    members = scratch.save(members.join(crowded, "grp").join(ranks, "row").select("grp", "row", "order"))
+    sizes = scratch.save(read.join(members.select("row").distinct(), "row").select("row", "shingles", F.size("shingles").alias("n")))
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Of pairs (row, first) those that link, as (a, b)."""
+        asked = pairs.join(sizes, "row").join(sizes.select(F.col("row").alias("first"), F.col("shingles").alias("b"), F.col("n").alias("m")), "first")
+        # sets so unlike in size can't be that similar
+        asked = asked.where((F.least("n", "m") >= similarity * F.greatest("n", "m")) & (F.col("n") > 0))
+        both = F.size(F.array_intersect("shingles", "b"))
+        return asked.where(both >= similarity * (F.col("n") + F.col("m") - both)).select(F.col("first").alias("a"), F.col("row").alias("b"))
+
+    links, turn = None, 0
+    while not members.isEmpty():
+        turn += 1
+        first = members.groupBy("grp").agg(F.min(F.struct("order", "row")).alias("f")).select("grp", F.col("f.row").alias("first"))
+        pairs = scratch.save(members.join(first, "grp").where("row <> first").select("grp", "row", "first", "order"))
+        found = scratch.save(alike(pairs.select("row", "first").distinct()))
+        links = found if links is None else links.unionByName(found)
+        done = pairs.join(found, (F.col("row") == F.col("b")) & (F.col("first") == F.col("a")), "left_anti").select("grp", "row", "order")
+        more = done.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp")
+        members = scratch.save(done.join(more, "grp", "left_semi"))
+        if turn >= 4 and 20 * found.count() < pairs.count():
+            break
+    if not members.isEmpty():
+        whole = own.where("whole").select("row", "fp")
+        near = scratch.save(pieced(members.join(whole, "row").select("grp", "row", "fp")).distinct())
+        links = links.unionByName(scratch.save(alike(near)))
+
+    if links is None:
+        return ranks.select(F.col("row").alias(row_col), F.col("row").alias("component"), F.lit(True).alias("kept"))
+    label = components(scratch, links).withColumnRenamed("node", "row")
+    named = scratch.save(ranks.join(label, "row"))
+    first = named.groupBy("component").agg(F.min("order").alias("least")).select(F.col("component").alias("c"), "least")
+    near = named.join(first, F.col("component") == F.col("c")).select("row", "component", (F.col("order") == F.col("least")).alias("kept"))
+    out = ranks.join(near, "row", "left")
+    return out.select(F.col("row").alias(row_col), F.coalesce("component", "row").alias("component"), F.coalesce("kept", F.lit(True)).alias("kept"))
