@@ -38,8 +38,8 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    odd = r"\### Assistant: </turn> ok"
-    extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], turns.schema)
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(r"\### Assistant: </turn> ok").alias("text"))
     scratch = Scratch(spark, "chat")
     chats = scratch.save(chat.format_chats(turns.unionByName(extra)))
     back = chat.read_back(chats).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("no", "role", "text", "loss"))).alias("t"))
