@@ -29,7 +29,8 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     new one. Slots are gapless from 0 in each shard, in the order of (bucket, id, checksum,
     size): rows are counted by shard and bucket of their id, the sums give each bucket its
     first slot, and only buckets are ordered, so that no task sees a shard. The counts are at
-    most shards * BUCKETS rows, so they are broadcast.
+    most shards * BUCKETS rows, so they are broadcast for up to 64 shards (some 3 MB), joined by a shuffle for more.
+    The law is of the key alone, so equal texts need not share a shard.
 
     Null ids share one key; null texts count as empty: size 1, checksum 0. Rows repeated
     with one id go to one shard, in slots next to one another. Other columns are not read.
@@ -50,7 +51,7 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     first = rows.groupBy("shard", "bucket").agg(F.count("*").alias("n")).select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     at = F.row_number().over(Window.partitionBy("shard", "bucket").orderBy("id", "crc", "size"))
-    return rows.withColumn("at", at).join(F.broadcast(first), ["shard", "bucket"]).select(
+    return rows.withColumn("at", at).join(F.broadcast(first) if len(weights) <= 64 else first, ["shard", "bucket"]).select(
         F.col("id").alias(id_col),
         "size",
         F.col("crc").cast("long").alias("text_crc32"),
