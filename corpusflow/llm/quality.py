@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bytes a filter sees, of a letter's embedding, filters, bytes between two windows.
@@ -34,8 +34,11 @@ class Network:
 
     def blocks(self, data: np.ndarray, where: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
         """For each block of data (whole blocks, then WIDTH bytes more) the maximum of each filter over the
-        windows that begin in it, and the windows' places if asked for."""
-        n = len(data) - WIDTH
+        windows that begin in it, and the windows' places if asked for; a megabyte at a time."""
+        n, step = len(data) - WIDTH, 2048 * BLOCK
+        if n > step:
+            parts = [(i, *self.blocks(data[i : min(i + step, n) + WIDTH], where)) for i in range(0, n, step)]
+            return np.concatenate([x for _, x, _ in parts]), np.concatenate([x + i for i, _, x in parts]) if where else None
         seen = self.letters[data]
         best = place = None
         for at in range(0, WIDTH, STEP):
@@ -140,23 +143,28 @@ def held_out(key: Column, fold: int = 2, folds: int = 4) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.encode(key.cast("string"), "UTF-8")), F.lit(folds)) == fold, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labels: int = 2000, max_pieces: int = 4) -> Network:
-    """A network fitted on at most max_labels labelled rows outside the held-out fold.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labels: int = 2000, max_bytes: int = 64 << 20) -> Network:
+    """A network fitted on a bounded sample of the labelled rows outside the held-out fold, on their whole texts.
 
-    The sample is the rows first in the order of a digest of their id; of a text it takes at
-    most max_pieces pieces of 2 blocks, evenly spaced, so the driver gets at most 8 MB. The
-    sample's ids are broadcast: their number is bounded by max_labels.
+    The sample is the rows first in the order of a digest of their id: at most max_labels, whose texts are of at most
+    max_bytes together (a text over a sixteenth of that is in no sample). That bounds what the driver gets. The
+    ids are broadcast: their number is bounded by max_labels. Labels other than 0 and 1 and null ids don't count; of
+    several labels of one id the largest does. Without labels of both kinds every text gets one score.
     """
     names = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
     names = names.orderBy(F.xxhash64("_id"), "_id").limit(max_labels)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    size = 2 * BLOCK
-    spare = F.greatest(F.length(text) - size, F.lit(0))
-    begin = F.sequence(F.lit(0), F.lit(max_pieces - 1))
-    pieces = F.when(F.length(text) <= size * max_pieces, F.array(text)).otherwise(F.transform(begin, lambda i: F.substr(text, (F.floor(spare * i / (max_pieces - 1)) + 1).cast("int"), F.lit(size))))
-    rows = docs.select(F.col(id_col).alias("_id"), pieces.alias("pieces")).join(F.broadcast(names), "_id").select("_id", "_y", F.explode("pieces").alias("piece")).collect()
-    rows.sort(key=lambda r: (str(r["_id"]), r["piece"]))
-    return train([r["piece"].encode() for r in rows], np.array([r["_y"] for r in rows], np.int64))
+    rows = docs.select(F.col(id_col).alias("_id"), F.encode(text, "UTF-8").alias("_text")).join(F.broadcast(names), "_id")
+    rows = rows.select("_y", "_text", F.octet_length("_text").alias("_n"), F.xxhash64("_id").alias("_h"), F.md5("_text").alias("_m"))
+    rows = rows.where(F.col("_n") <= max_bytes // 16)
+    # the running size is of sizes alone: at most max_labels rows and those that repeat their ids
+    order = Window.orderBy("_h", "_m").rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.select("_h", "_m", "_n").withColumn("_end", F.sum("_n").over(order)).withColumn("_at", F.row_number().over(Window.orderBy("_h", "_m")))
+    last = ends.where((F.col("_end") <= max_bytes) & (F.col("_at") <= max_labels)).orderBy(F.desc("_at")).limit(1).select("_h", "_m").collect()
+    if not last:
+        return train([], np.zeros(0, np.int64))
+    found = rows.where(F.struct("_h", "_m") <= F.struct(F.lit(last[0]["_h"]), F.lit(last[0]["_m"]))).orderBy("_h", "_m").limit(max_labels).collect()
+    return train([bytes(r["_text"]) for r in found], np.array([r["_y"] for r in found], np.int64))
 
 
 def probabilities(net: Network, texts: pa.Array) -> np.ndarray:
@@ -173,9 +181,7 @@ def probabilities(net: Network, texts: pa.Array) -> np.ndarray:
             held += int(sizes[stop]) + BLOCK
             stop += 1
         data, starts, counts = pack([body[offsets[i] : offsets[i + 1]] for i in range(begin, stop)])
-        step = 2048 * BLOCK
-        best = np.concatenate([net.blocks(data[i : min(i + step, len(data) - WIDTH) + WIDTH])[0] for i in range(0, len(data) - WIDTH, step)])
-        out[begin:stop] = net.logits(best, starts, counts, sizes[begin:stop])
+        out[begin:stop] = net.logits(net.blocks(data)[0], starts, counts, sizes[begin:stop])
         begin = stop
     return 1 / (1 + np.exp(-np.clip(out, -60, 60)))
 
