@@ -6,13 +6,18 @@ import atexit
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space, and what a word is, as a Java regular expression and a DuckDB (RE2) one.
 SPACE = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE}]+"
+#: Links that one task connects, at most.
+FEW = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -95,10 +100,31 @@ def ranked(scratch: Scratch, df: DataFrame, order: list, name: str) -> DataFrame
     return parts.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + at - 1).drop("_part", "_before")
 
 
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect the same nodes, at most one for each: every one to its group's least."""
+    nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        np.minimum.at(new, label[x], low)
+        np.minimum.at(new, label[y], low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    far = label != np.arange(len(nodes))
+    return nodes[far], nodes[label[far]]
+
+
 def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(node, component) for each node of the links (a, b): the smallest node reachable.
 
-    Alternates a large-star and a small-star step until nothing changes. Each takes a
+    Each partition's links are first cut to those that connect the same nodes. Where at most FEW are left, one task
+    connects them: its size is checked. Else this alternates a large-star and a small-star step until nothing changes. Each takes a
     minimum for each node, pre-aggregated before its shuffle, and a join whose skewed keys
     Spark can split; no task sees all links of a hub.
     """
@@ -117,7 +143,26 @@ def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
             out = seen.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         return out.where("a <> b").distinct()
 
-    now = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append([np.asarray(batch.column(i)) for i in (0, 1)])
+            size += batch.num_rows
+            if size > FEW:
+                held = [forest(*(np.concatenate([x[i] for x in held]) for i in (0, 1)))]
+                size = len(held[0][0])
+                if size > FEW // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[0]], names=["a", "b"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in forest(*(np.concatenate([x[i] for x in held]) for i in (0, 1)))], names=["a", "b"])
+
+    now = scratch.save(edges.where("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).mapInArrow(cut, "a long, b long"))
+    if now.count() <= FEW:
+        whole = scratch.save(now.coalesce(1).mapInArrow(cut, "a long, b long"))
+        hubs = whole.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+        return whole.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(hubs)
+    now = scratch.save(now.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     while True:
         new = scratch.save(star(star(now, True), False))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,15 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
-from .simhash import forest
+from .common import Scratch, components, forest
 
 #: Vectors in a leaf of a projection tree, the sample that the trees are fitted on, trees at a time.
 LEAF, SAMPLE, TREES = 256, 4096, 6
-#: Members of a neighbourhood that are compared at once, of a component's block.
-CROWD, BLOCK = 256, 512
+#: Members of a neighbourhood that are compared at once, of a block of a component with full lists.
+CROWD, BLOCK = 256, 2048
+#: The widest list; nodes with more links are counted in blocks.
+WIDEST = 32
 #: Nodes of a block when all are compared with all; at most so many are audited, until so many of them have links.
-WHOLE, AUDIT, LINKED = 4096, 4096, 128
+WHOLE, AUDIT, LINKED = 4096, 16_384, 128
+log = logging.getLogger(__name__)
 
 
 def unit(vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -137,14 +140,19 @@ def link_embeddings(
     weight. NN-descent then refines each node's list of its k most similar: the first lists come from
     leaves of projection trees; in each round every node meets, at each node that lists it or
     that it lists, the other members of that neighbourhood, and keeps the better ones, until fewer than
-    `settled` of the entries change. Neighbourhoods larger than CROWD are dealt out at random to several.
+    `settled` of the entries change that may lead to a link (within twice its angle). Neighbourhoods larger than CROWD
+    are dealt out at random to several, anew in each round.
 
-    A list that is full of links may hide more. So nodes with such lists get lists of their k most similar in
-    other components, by the same trees and rounds; the links among them join components, until there are none.
-    All nodes of a component are then compared with one another, in pairs of blocks, which gives exact
-    counts however large a group is, with no pair leaving a task. Recall is audited: `audited` nodes, and more until
+    A list that is full of links may hide more. So lists of nodes whose list is full of links are enlarged, to twice the
+    length each time up to WIDEST, and the joins run on among these nodes (of a hidden link both ends have full lists, else
+    the other end lists it). The links are the lists' entries of at least `threshold`, both ways; joins among their neighbours
+    run until they bring no more. Nodes that are full even so get lists of their most similar in other components, by
+    the same trees and rounds; links among them join components, until there are none. In the components of such
+    nodes links are counted, not listed, in pairs of blocks (see counted), which is exact however large a group is.
+
+    Recall is audited: `audited` nodes, and more until
     enough of them have links, are compared with all others in blocks; while the mean of their shares is below
-    `recall`, more trees and rounds follow, and after three attempts all nodes are compared with all.
+    `recall`, more trees and rounds follow, and after three attempts all nodes are compared with all. The figure is logged.
 
     Vectors that are null, zero or hold null or non-finite components link with nothing, nor do vectors of
     different lengths. Rows repeated with one id and vector are vectors of their own. A null id is larger
@@ -166,6 +174,7 @@ def link_embeddings(
     width = max(map(len, picked), default=0)
     sample, _ = unit(pa.array([x for x in picked if len(x) == width], pa.list_(pa.float64()))) if picked else (np.zeros((0, 0)), None)
     depth = int(max(0, np.ceil(np.log2(max(1, n) / LEAF))))
+    near = float(np.cos(min(np.pi, 2 * np.arccos(min(1.0, threshold)))))  # of two that link with one node
 
     def planted(pool: DataFrame, seed: int, floor: DataFrame | None) -> DataFrame:
         """Links of each node of the pool (node, vec, grp) to the most similar in its leaves of new trees."""
@@ -190,49 +199,78 @@ def link_embeddings(
         dealt = rows.select("node", "vec", "grp", "floor").mapInArrow(deal, f"key long, node long, vec {kind}, grp long, floor double")
         return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: by_key(it, lambda t: best_of(t, k)), edge)
 
-    def top(edges: DataFrame) -> DataFrame:
+    def top(edges: DataFrame, width: int = k) -> DataFrame:
         order = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
-        return edges.groupBy("a", "b").agg(F.max("sim").alias("sim")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        return edges.groupBy("a", "b").agg(F.max("sim").alias("sim")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= width)
 
-    def floors(lists: DataFrame) -> DataFrame:
-        return lists.groupBy(F.col("a").alias("node")).agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(-2.0).alias("floor"))
+    def floors(lists: DataFrame, width: int = k) -> DataFrame:
+        return lists.groupBy(F.col("a").alias("node")).agg(F.when(F.count("*") >= width, F.min("sim")).otherwise(-2.0).alias("floor"))
 
-    def met(pool: DataFrame, lists: DataFrame, paths: DataFrame) -> DataFrame:
+    def met(pool: DataFrame, paths: DataFrame, floor: DataFrame, width: int, turn: int) -> DataFrame:
         """Better neighbours from the neighbourhoods of paths: members come with their vectors and their lists' floors."""
         both = paths.select(F.col("a").alias("at"), F.col("b").alias("node")).unionByName(paths.select(F.col("b").alias("at"), F.col("a").alias("node"))).distinct()
         degree = both.groupBy("at").agg(F.ceil(F.count("*") / CROWD).alias("parts"))
-        key = F.when(F.col("parts") > 1, F.xxhash64("at", F.pmod(F.xxhash64("node", F.lit(5)), "parts"))).otherwise(F.col("at"))
+        key = F.when(F.col("parts") > 1, F.xxhash64("at", F.pmod(F.xxhash64("node", F.lit(turn)), "parts"))).otherwise(F.col("at"))
         both = both.join(degree, "at").select(key.alias("key"), "node")
-        whole = pool.join(floors(lists), "node", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
+        whole = pool.join(floor, "node", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
         sent = both.join(whole, "node").select("key", "node", "vec", "grp", "floor")
-        return sent.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: by_key(it, lambda t: best_of(t, k)), edge)
+        return sent.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: by_key(it, lambda t: best_of(t, width)), edge)
 
-    def refined(pool: DataFrame, size: int, lists: DataFrame, known: DataFrame | None = None) -> DataFrame:
-        """lists after rounds of meeting, at the neighbours in them and in the known lists."""
-        for _ in range(max_rounds):
+    def refined(pool: DataFrame, lists: DataFrame, known: DataFrame | None = None, width: int = k, least: float = near) -> DataFrame:
+        """lists after rounds of meeting, at the neighbours in them and in the known lists, until few entries of `least` change."""
+        for turn in range(max_rounds):
             old = lists.drop("rank")
             paths = old.select("a", "b") if known is None else old.select("a", "b").unionByName(known)
-            new = scratch.save(top(old.unionByName(met(pool, lists, paths))))
-            changed = new.join(lists, ["a", "b"], "left_anti").count()
+            new = scratch.save(top(old.unionByName(met(pool, paths, floors(lists, width), width, turn)), width))
+            changed, held = new.where(F.col("sim") >= least).join(lists.select("a", "b", F.lit(1).alias("was")), ["a", "b"], "left").agg(F.count_if(F.col("was").isNull()), F.count("*")).first()
             scratch.drop(lists)
             lists = new
-            if changed <= settled * size * k:
+            if changed <= settled * held:
                 break
         return lists
 
-    def joined(lists: DataFrame, seed: int) -> DataFrame:
-        """Components of the links in the lists and of those that full lists hide."""
-        links = lists.where(F.col("sim") >= threshold).select("a", "b")
-        # of a hidden link both ends have full lists: the other end would list it
-        full = scratch.save(links.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n")).where(F.col("n") >= k).select("node"))
-        known = lists.select("a", "b").join(full.withColumnRenamed("node", "a"), "a", "left_semi").join(full.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b")
+    def full_of(links: DataFrame, width: int) -> DataFrame:
+        """(node) whose lists of this length hold links only."""
+        return scratch.save(links.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n")).where(F.col("n") >= width).select("node"))
+
+    def within(edges: DataFrame, some: DataFrame) -> DataFrame:
+        """Those between two of the nodes."""
+        return edges.join(some.withColumnRenamed("node", "a"), "a", "left_semi").join(some.withColumnRenamed("node", "b"), "b", "left_semi").select("a", "b", "sim")
+
+    def linked(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(a, b, sim) both ways, the links in lists that are enlarged where they are full; (node) that are full even so."""
+        links = lists.where(F.col("sim") >= threshold).select("a", "b", "sim")
+        width, full = k, full_of(links, k)
+        while width < WIDEST and not full.isEmpty():
+            width *= 2
+            pool = nodes.join(full, "node", "left_semi").select("node", "vec", F.col("node").alias("grp"))
+            wider = refined(pool, scratch.save(top(within(links, full), width)), None, width, threshold)
+            links = scratch.save(links.unionByName(wider.where(F.col("sim") >= threshold).select("a", "b", "sim")).distinct())
+            full = full_of(links, width)
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+        both = scratch.save(both.groupBy("a", "b").agg(F.max("sim").alias("sim")))
+        while True:  # neighbours of neighbours by links alone, where lists are not full
+            pool = nodes.select("node", "vec", F.col("node").alias("grp")).join(both.select(F.col("a").alias("node")).distinct(), "node", "left_semi").join(full, "node", "left_anti")
+            paths = both.join(full.withColumnRenamed("node", "a"), "a", "left_anti").join(full.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b")
+            floor = pool.select("node", F.lit(threshold - 1e-12).alias("floor"))
+            found = met(pool, paths, floor, CROWD, 0).where(F.col("sim") >= threshold).join(both.select("a", "b"), ["a", "b"], "left_anti")
+            found = scratch.save(found.groupBy("a", "b").agg(F.max("sim").alias("sim")))
+            if found.isEmpty():
+                return both, full
+            back = found.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")
+            both = scratch.save(both.unionByName(found).unionByName(back).groupBy("a", "b").agg(F.max("sim").alias("sim")))
+
+    def joined(links: DataFrame, full: DataFrame, seed: int) -> DataFrame:
+        """Components of the links and of those that full lists hide."""
+        known = within(links, full).select("a", "b")
+        links = links.select("a", "b")
         while True:
             label = scratch.save(components(scratch, links))
             pool = scratch.save(nodes.select("node", "vec").join(full, "node", "left_semi").join(label.withColumnRenamed("component", "grp"), "node"))
-            size, groups = pool.agg(F.count("*"), F.count_distinct("grp")).first()
+            groups = pool.agg(F.count_distinct("grp")).first()[0]
             if groups < 2:
                 return label
-            across = refined(pool, size, scratch.save(top(planted(pool, seed, None))), known)
+            across = refined(pool, scratch.save(top(planted(pool, seed, None))), known)
             hidden = scratch.save(across.where(F.col("sim") >= threshold).select("a", "b"))
             scratch.drop(across)
             scratch.drop(pool)
@@ -241,18 +279,30 @@ def link_embeddings(
             scratch.drop(label)
             links = links.unionByName(hidden)
 
+    def counts_of(links: DataFrame, full: DataFrame, label: DataFrame) -> DataFrame:
+        """(node, links, others): of components without full lists the links listed, of others all of them, counted in blocks."""
+        crowded = scratch.save(label.join(full, "node", "left_semi").select("component").distinct())
+        listed = links.join(label.withColumnRenamed("node", "a").join(crowded, "component", "left_anti"), "a").join(nodes.select(F.col("node").alias("b"), "weight"), "b")
+        listed = listed.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("links"), F.count("*").alias("others"))
+        if crowded.isEmpty():
+            return scratch.save(listed)
+        return scratch.save(listed.unionByName(counted(scratch, nodes, label.join(crowded, "component", "left_semi"), threshold)))
+
     every = nodes.select("node", "vec", F.col("node").alias("grp"))
     lists = None
     for seed in range(3):
         more = planted(every, seed, None if lists is None else floors(lists))
-        lists = refined(every, n, scratch.save(top(more if lists is None else more.unionByName(lists.drop("rank")))))
-        label = joined(lists, seed)
-        counts = scratch.save(counted(nodes, label, threshold, kind))
-        if found(scratch, nodes, counts, threshold, audited) >= recall:
+        lists = refined(every, scratch.save(top(more if lists is None else more.unionByName(lists.drop("rank")))))
+        links, full = linked(lists)
+        label = joined(links, full, seed)
+        counts = counts_of(links, full, label)
+        share = found(scratch, nodes, counts, threshold, audited)
+        log.info("attempt %d: audited recall %.4f", seed + 1, share)
+        if share >= recall:
             break
     else:
         label = scratch.save(components(scratch, compared(nodes, n, threshold)))
-        counts = scratch.save(counted(nodes, label, threshold, kind))
+        counts = scratch.save(counted(scratch, nodes, label, threshold))
 
     named = nodes.join(label, "node", "left").join(counts, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -264,35 +314,98 @@ def link_embeddings(
 
 
 
-def counted(nodes: DataFrame, label: DataFrame, threshold: float, kind: str) -> DataFrame:
-    """(node, links, others): the weights of a node's links and their number, all members of a component compared in
-    pairs of blocks."""
-    sizes = label.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    place = label.join(sizes, "component").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    pairs = place.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    key = F.xxhash64("component", F.least("mine", "other"), F.greatest("mine", "other"))
-    sent = pairs.select("node", key.alias("key"), (F.col("mine") <= F.col("other")).alias("lower"), (F.col("mine") >= F.col("other")).alias("upper"))
-    sent = sent.join(nodes.select("node", "vec", "weight"), "node")
+def counted(scratch: Scratch, nodes: DataFrame, label: DataFrame, threshold: float) -> DataFrame:
+    """(node, links, others): the weights of a node's links and their number, all members of a component compared.
 
-    def compare(table: pa.Table) -> pa.RecordBatch | None:
-        table = table.combine_chunks()
-        ids, weight = np.asarray(table["node"]), np.asarray(table["weight"])
+    Members are packed into blocks of at most about BLOCK, by the signs of random projections, then by chance. A block has a centre
+    and a radius; if by the triangle inequality of angles all pairs of two blocks link, or none, their sizes tell the counts. Only
+    the other pairs of blocks are sent and compared.
+    """
+    angle = float(np.arccos(min(1.0, threshold)))
+
+    def leaf(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signs: dict[int, np.ndarray] = {}
+        for batch in batches:
+            v, _ = unit(batch.column("vec"))
+            if not len(v):
+                continue
+            if v.shape[1] not in signs:
+                signs[v.shape[1]] = np.random.default_rng(11).normal(size=(v.shape[1], 8))
+            code = (v @ signs[v.shape[1]] > 0) @ (1 << np.arange(8))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("component", "node", "vec", "weight")] + [pa.array(code.astype(np.int64))], names=["component", "node", "vec", "weight", "leaf"])
+
+    kind = nodes.schema["vec"].dataType.simpleString()
+    members = label.join(nodes.select("node", "vec", "weight"), "node").select("component", "node", "vec", "weight")
+    members = scratch.save(members.mapInArrow(leaf, f"component long, node long, vec {kind}, weight long, leaf long"))
+    sizes = members.groupBy("component").agg(F.count("*").alias("n"))
+    members = members.join(sizes, "component").withColumn("leaf", F.when(F.col("n") <= BLOCK, 0).otherwise(F.col("leaf"))).drop("n")
+    parts = members.groupBy("component", "leaf").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    members = members.join(parts, ["component", "leaf"]).withColumn("part", F.pmod(F.xxhash64("node"), "parts"))
+
+    def pack(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
         v, dims = unit(table["vec"].chunk(0))
-        low, up = np.flatnonzero(np.asarray(table["lower"])), np.flatnonzero(np.asarray(table["upper"]))
-        links, others = np.zeros((2, len(ids)), np.int64)
-        same = len(low) == len(up) == len(ids)
-        for i in range(0, len(low), 1024):
-            some = low[i : i + 1024]
-            hit = (cosines(v[some], v[up], dims[some], dims[up]) >= threshold) & (ids[some][:, None] != ids[up][None, :])
-            links[some] += hit @ weight[up]
-            others[some] += hit.sum(1)
-            if not same:
-                links[up] += weight[some] @ hit
-                others[up] += hit.sum(0)
-        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(links), pa.array(others)], names=["node", "links", "others"])
+        w = np.asarray(table["weight"])
+        centre = v.sum(0)
+        centre /= max(np.linalg.norm(centre), 5e-324)
+        radius = float(np.arccos(np.clip(v @ centre, -1, 1)).max()) if np.linalg.norm(centre) > 0.5 else np.pi
+        row = [key[0].as_py(), len(v), int(w.sum()), radius, centre.tobytes(), np.asarray(table["node"]).tobytes(), w.tobytes(), v.tobytes()]
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=["component", "n", "w", "radius", "centre", "nodes", "weights", "vecs"])
+
+    packed = members.groupBy("component", "leaf", "part").applyInArrow(pack, "component long, n long, w long, radius double, centre binary, nodes binary, weights binary, vecs binary")
+    packed = scratch.save(packed.withColumn("block", F.monotonically_increasing_id()))
+    heads = packed.select("component", "block", "n", "w", "radius", "centre")
+    place = Window.partitionBy("component").orderBy("block")
+    heads = scratch.save(heads.withColumn("at", F.row_number().over(place)).withColumn("last", F.count("*").over(Window.partitionBy("component"))))
+    left = heads.select("component", F.col("block").alias("x"), F.col("n").alias("nx"), F.col("w").alias("wx"), F.col("radius").alias("rx"), F.col("centre").alias("cx"), F.explode(F.sequence("at", "last")).alias("at"))
+    right = heads.select("component", F.col("block").alias("y"), F.col("n").alias("ny"), F.col("w").alias("wy"), F.col("radius").alias("ry"), F.col("centre").alias("cy"), "at")
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            verdict = []
+            for cx, cy, rx, ry in zip(*(batch.column(c).to_pylist() for c in ("cx", "cy", "rx", "ry")), strict=True):
+                between = float(np.arccos(np.clip(np.frombuffer(cx) @ np.frombuffer(cy), -1, 1)))
+                verdict.append(1 if between + rx + ry < angle - 1e-6 else -1 if between - rx - ry > angle + 1e-6 else 0)
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("x", "y", "nx", "wx", "ny", "wy")] + [pa.array(verdict, pa.int32())], names=["x", "y", "nx", "wx", "ny", "wy", "verdict"])
+
+    pairs = scratch.save(left.join(right, ["component", "at"]).select("x", "y", "nx", "wx", "ny", "wy", "rx", "ry", "cx", "cy").mapInArrow(decide, "x long, y long, nx long, wx long, ny long, wy long, verdict int"))
+    sure = pairs.where("verdict = 1")
+    ends = sure.select(F.col("x").alias("block"), F.col("wy").alias("w"), F.col("ny").alias("n")).unionByName(sure.where("x <> y").select(F.col("y").alias("block"), F.col("wx").alias("w"), F.col("nx").alias("n")))
+    # a node is no link of its own
+    own = sure.where("x = y").select(F.col("x").alias("block"), F.lit(1).alias("own"))
+    ends = ends.groupBy("block").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).join(own, "block", "left").select("block", "w", "n", F.coalesce("own", F.lit(0)).alias("own"))
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, weights = (np.frombuffer(batch.column(c)[i].as_buffer(), np.int64) for c in ("nodes", "weights"))
+                w, n, own = (batch.column(c)[i].as_py() for c in ("w", "n", "own"))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(w - weights * own), pa.array(np.full(len(ids), n - own))], names=["node", "links", "others"])
 
-    out = sent.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: by_key(it, compare), "node long, links long, others long")
-    return out.groupBy("node").agg(F.sum("links").alias("links"), F.sum("others").alias("others"))
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                a, b, wa, wb = (np.frombuffer(batch.column(c)[i].as_buffer(), np.int64) for c in ("nodes", "nodes_y", "weights", "weights_y"))
+                va, vb = (np.frombuffer(batch.column(c)[i].as_buffer()).reshape(len(x), -1) for c, x in (("vecs", a), ("vecs_y", b)))
+                same = batch.column("x")[i].as_py() == batch.column("y")[i].as_py()
+                links, others, back, backs = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64), np.zeros(len(b), np.int64), np.zeros(len(b), np.int64)
+                for j in range(0, len(a), 512):
+                    hit = (va[j : j + 512] @ vb.T >= threshold) & (a[j : j + 512][:, None] != b[None, :])
+                    links[j : j + 512], others[j : j + 512] = hit @ wb, hit.sum(1)
+                    back += wa[j : j + 512] @ hit
+                    backs += hit.sum(0)
+                ends = ((a, links, others),) if same else ((a, links, others), (b, back, backs))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*ends, strict=True)], names=["node", "links", "others"])
+
+    out = "node long, links long, others long"
+    body = packed.select("block", "nodes", "weights", "vecs")
+    counts = body.select("block", "nodes", "weights").join(ends, "block").mapInArrow(spread, out)
+    open_pairs = pairs.where("verdict = 0").select("x", "y")
+    other = body.select(F.col("block").alias("y"), F.col("nodes").alias("nodes_y"), F.col("weights").alias("weights_y"), F.col("vecs").alias("vecs_y"))
+    both = open_pairs.join(body.withColumnRenamed("block", "x"), "x").join(other, "y").repartition("x", "y")
+    counts = counts.unionByName(both.mapInArrow(compare, out))
+    return counts.groupBy("node").agg(F.sum("links").alias("links"), F.sum("others").alias("others"))
 
 
 def compared(nodes: DataFrame, n: int, threshold: float) -> DataFrame:
@@ -322,7 +435,8 @@ def compared(nodes: DataFrame, n: int, threshold: float) -> DataFrame:
 
 def found(scratch: Scratch, nodes: DataFrame, counts: DataFrame, threshold: float, audited: int) -> float:
     """The share of a node's links found, on average over the linked ones of a bounded number of nodes that are compared
-    with all: so a large group weighs no more than its nodes do. More are drawn until enough are linked."""
+    with all: so a large group weighs no more than its nodes do. More are drawn until enough are linked; 1 where none of
+    AUDIT nodes is, as there are too few links to tell."""
     while True:
         asked = nodes.orderBy(F.xxhash64("node", F.lit(9))).limit(audited).select("node", "vec").collect()
         if not asked:

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components
+from .common import Scratch, components, forest
 
 #: Fingerprints that a shard should hold, beyond which it is cut again, and that a node of a tree in memory is compared
 #: with directly.
@@ -205,26 +205,6 @@ def search(homes: np.ndarray, guests: np.ndarray, mask: np.uint64, bits: int, ra
                 yield forest(*ends) if len(a) > 4 * (len(part) + len(h)) else ends
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect the same fingerprints, at most one for each: every one to its group's least."""
-    nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
-    x, y = ends[: len(a)], ends[len(a) :]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, x, low)
-        np.minimum.at(new, y, low)
-        np.minimum.at(new, label[x], low)
-        np.minimum.at(new, label[y], low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    far = label != np.arange(len(nodes))
-    return nodes[far], nodes[label[far]]
-
-
 def packed(held: dict[str, list]) -> pa.RecordBatch:
     """(shard, homes, guests), fingerprints as bytes."""
     columns = [[np.concatenate([x[i] for x in pairs]).tobytes() for pairs in held.values()] for i in (0, 1)]
