@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +17,11 @@ from .common import Scratch, ranked
 
 #: Bytes of the grams whose hashes choose where strings meet; of text transformed at once.
 GRAM, TEXT = 32, 1 << 17
-#: Segments of one gram beyond which its strings meet by their own hashes instead.
+#: Differing segments of one gram beyond which they are cut again by the strings' next grams.
 CROWD = 20_000
 #: Entries of a table of letter counts; a longer text is searched instead.
 COUNTS = 1 << 24
+NONE = np.uint64(2**64 - 1)
 
 
 def grams(data: np.ndarray) -> np.ndarray:
@@ -67,6 +69,17 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.nda
     return text[cut], start[cut] - offsets[text[cut]], ends - cut, hashes[spot[cut]]
 
 
+def segments_again(part: np.ndarray, length: int, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cuts one segment, whose strings share their `level` least gram hashes, into runs that share the next one too: (first start,
+    number of starts, next hash; the largest number where a string has no further gram)."""
+    hashes, window = grams(part), length - GRAM + 1
+    for _ in range(level):
+        hashes = np.where(hashes == hashes[:window].min(), NONE, hashes)
+    spot = chosen(hashes, window)
+    cut = np.flatnonzero(np.concatenate(([True], spot[1:] != spot[:-1])))
+    return cut, np.diff(np.concatenate((cut, [len(spot)]))), hashes[spot[cut]]
+
+
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
     """The suffix array, by doubling from prefixes of seven symbols (0 to 256)."""
     n = len(symbols)
@@ -195,10 +208,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the text. Strings are judged on the input and never cross documents.
 
     Every string belongs to the gram in it with the least hash, and a run of strings with one gram is a segment (some 40 strings). Of
-    equal segments, met within a batch or by hash, only the first is looked at further; the others are removed whole. Segments of
-    one gram that differ meet in a text of about TEXT bytes, whose transform is expanded to `length`. A gram
-    with more than CROWD differing segments is dealt out by the hashes of its strings, of which the least place is
-    taken before they are shuffled.
+    equal segments (known by gram and XXH3-128, 192 bits), met within a batch or by gram, only the first is looked at further; the
+    others are removed whole. A gram with more than CROWD differing segments has them cut again by the next least gram
+    of their strings, and so on: equal strings share all their grams. Segments of
+    one gram that differ meet in a text of about TEXT bytes, whose transform is expanded to `length`.
 
     Null texts count as empty. Ids that are null (larger than all others), repeated or not integers are ranked first;
     equal ones are ordered as read. Other columns are not read.
@@ -217,10 +230,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         place = ranked(scratch, rows.select("id", "row"), [F.col("id").asc_nulls_last(), F.col("row")], "key")
         rows = scratch.save(rows.join(place.select("row", F.col("key").cast("long").alias("key")), "row"))
 
-    first_schema = pa.schema([("gram", pa.int64()), ("hash", pa.int64()), ("key", pa.int64()), ("span", pa.int64())])
+    names = ["gram", "hash", "hash2", "key", "span"]
+    schema = ", ".join(f"{x} long" for x in names)
+
+    def known(body: np.ndarray, at: np.ndarray, sizes: np.ndarray, key: np.ndarray, lo: np.ndarray, n: np.ndarray, gram: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Rows of segments at places of body; those equal to an earlier one of the batch are marked as such."""
+        digest, view = xxhash.xxh3_128_digest, memoryview(body)
+        both = np.frombuffer(b"".join([digest(view[a:b]) for a, b in zip(at.tolist(), (at + sizes).tolist(), strict=True)]), np.int64).reshape(-1, 2)
+        gram = gram.view(np.int64)
+        order = np.lexsort((lo, key, both[:, 1], both[:, 0], gram))
+        h, h2, key, lo, n, gram = both[order, 0], both[order, 1], key[order], lo[order], n[order], gram[order]
+        dup = np.concatenate(([False], (h[1:] == h[:-1]) & (h2[1:] == h2[:-1]) & (gram[1:] == gram[:-1])))
+        span = (dup.astype(np.int64) << 60) | (lo.astype(np.int64) << 16) | n
+        # repeats need not meet
+        gram, h, h2 = np.where(dup, key & 0xFFFFF, gram), np.where(dup, 0, h), np.where(dup, 0, h2)
+        for i in range(0, len(key), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]) for x in (gram, h, h2, key, span)], names=names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             body, offsets = _string_parts(batch.column("text"))
             keys = np.asarray(batch.column("key"))
@@ -237,39 +264,44 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 else:
                     found.append(segments(data, offsets[begin : stop + 1] - low, length))
                 t, lo, n, g = (np.concatenate([x[i] for x in found]) for i in range(4))
-                if not len(t):
-                    continue
-                at = offsets[begin:stop][t] - low + lo
-                view = memoryview(data)
-                h = np.fromiter((digest(view[a:b]) for a, b in zip(at.tolist(), (at + n + length - 1).tolist(), strict=True)), np.uint64, len(at)).view(np.int64)
-                key, g = keys[begin:stop][t], g.view(np.int64)
-                order = np.lexsort((lo, key, h, g))
-                h, key, lo, n, g = h[order], key[order], lo[order], n[order], g[order]
-                dup = np.concatenate(([False], (h[1:] == h[:-1]) & (g[1:] == g[:-1])))
-                spread = np.where(dup, h ^ key, g)  # repeats need not meet
-                span = (dup.astype(np.int64) << 60) | (lo.astype(np.int64) << 16) | n
-                for i in range(0, len(key), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]) for x in (spread, h, key, span)], schema=first_schema)
+                if len(t):
+                    yield from known(data, offsets[begin:stop][t] - low + lo, n + length - 1, keys[begin:stop][t], lo, n, g)
+
+    def cut_again(level: int):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                body, offsets = _string_parts(batch.column("text"))
+                out: list[tuple] = []
+                for i, (key, want) in enumerate(zip(batch.column("key").to_pylist(), batch.column("wanted").to_pylist(), strict=True)):
+                    for x in want:
+                        a = int(offsets[i]) + x["lo"]
+                        lo, n, g = segments_again(body[a : a + x["n"] + length - 1], length, level)
+                        mixed = (np.uint64(x["gram"] * 0x9E3779B97F4A7C15 & (2**64 - 1)) ^ g) * np.uint64(0xC2B2AE3D27D4EB4F)
+                        out.append((lo + a, n + length - 1, np.full(len(lo), key), lo + x["lo"], n, mixed ^ (mixed >> np.uint64(31))))
+                    if len(out) > 20_000 or (out and i == batch.num_rows - 1):
+                        yield from known(body, *(np.concatenate(c) for c in zip(*out, strict=True)))
+                        out = []
+
+        return work
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of sorted segments: repeats, and those whose gram has others that differ. A segment is known by its
-        gram and its own hash, 128 bits."""
-        last = None  # gram and hash of the row before
+        """Of sorted segments: repeats, and those whose gram has others that differ."""
+        last = None  # gram and hashes of the row before
         alone = None  # the gram's only segment so far
         for batch in batches:
-            c = {f: np.asarray(batch.column(f)) for f in first_schema.names}
+            c = {f: np.asarray(batch.column(f)) for f in names}
             again = c["span"] >> 60 == 1
             live = np.flatnonzero(~again)
             again = again.copy()
             cand = np.zeros(len(again), bool)
             extra = []
             if len(live):
-                g, h = c["gram"][live], c["hash"][live]
-                pg, ph = (np.concatenate(([0 if last is None else last[i]], x[:-1])) for i, x in enumerate((g, h)))
+                g, h, h2 = c["gram"][live], c["hash"][live], c["hash2"][live]
+                pg, ph, ph2 = (np.concatenate(([0 if last is None else last[i]], x[:-1])) for i, x in enumerate((g, h, h2)))
                 same_gram = g == pg
                 if last is None:
                     same_gram[0] = False
-                same = same_gram & (h == ph)
+                same = same_gram & (h == ph) & (h2 == ph2)
                 again[live[same]] = True
                 firsts = np.flatnonzero(~same)
                 if len(firsts):
@@ -280,25 +312,44 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         extra.append(alone)
                     i = live[firsts[-1]]
                     alone = None if follows[-1] else tuple(int(c[f][i]) for f in ("gram", "key", "span"))
-                last = int(g[-1]), int(h[-1])
+                last = int(g[-1]), int(h[-1]), int(h2[-1])
             pick = np.flatnonzero(again | cand)
             gram, key, span = (np.concatenate((c[f][pick], np.array([x[i] for x in extra], np.int64))) for i, f in enumerate(("gram", "key", "span")))
             flag = np.concatenate((again[pick], np.zeros(len(extra), bool)))
             lo, n = (span >> 16) & 0xFFFFFFFF, span & 0xFFFF
             yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(key), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(flag)], names=["gram", "key", "lo", "n", "dup"])
 
-    cutted = rows.select("key", "text").mapInArrow(cut, "gram long, hash long, key long, span long")
-    met = scratch.save(cutted.repartition("gram").sortWithinPartitions("gram", F.col("span") >= (1 << 60), "hash", "key", "span").mapInArrow(meet, "gram long, key long, lo int, n int, dup boolean"))
+    def met_of(cutted: DataFrame) -> DataFrame:
+        dealt = cutted.repartition("gram").sortWithinPartitions("gram", F.col("span") >= (1 << 60), "hash", "hash2", "key", "span")
+        return scratch.save(dealt.mapInArrow(meet, "gram long, key long, lo int, n int, dup boolean"))
+
+    size = F.col("n") + (length - 1)
+
+    def wanted(some: DataFrame) -> DataFrame:
+        """The texts of segments, with a list of these."""
+        return rows.select("key", "text").join(some.groupBy("key").agg(F.collect_list(F.struct("gram", "lo", "n")).alias("wanted")), "key")
 
-    del cutted
+    met = met_of(rows.select("key", "text").mapInArrow(cut, schema))
     scratch.free()
+    repeats = [met.where("dup")]
+    todo = [met.where("not dup")]
+    level = 0
+    while True:
+        level += 1
+        sizes = todo[-1].groupBy("gram").agg(F.count("*").alias("segments"))
+        hot = sizes.where(F.col("segments") > CROWD).select("gram")
+        if level > length - GRAM or hot.isEmpty():  # a string has no more grams than that
+            break
+        hot = scratch.save(hot)
+        some = todo[-1].join(hot, "gram", "left_semi")
+        todo[-1] = todo[-1].join(hot, "gram", "left_anti")
+        met = met_of(wanted(some).mapInArrow(cut_again(level), schema))
+        repeats.append(met.where("dup"))
+        todo.append(met.where("not dup"))
+    todo, repeats = reduce(DataFrame.unionByName, todo), reduce(DataFrame.unionByName, repeats)
 
     # the bytes of segments that must be compared
-    todo = met.where(~F.col("dup"))
-    size = F.col("n") + (length - 1)
-    sizes = todo.groupBy("gram").agg(F.count("*").alias("segments"), F.sum(size).alias("bytes"))
-    total, most = sizes.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("segments"), F.lit(0))).first()
-    wanted = todo.groupBy("key").agg(F.collect_list(F.struct("gram", "lo", "n")).alias("wanted"))
+    total = todo.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     buckets = max(1, total // TEXT)
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,16 +365,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["gram", "key", "lo", "part"])
                     out = []
 
-    parts = rows.select("key", "text").join(wanted, "key").mapInArrow(extract, "gram long, key long, lo int, part binary")
-    if most > CROWD:
-        hot = sizes.where(F.col("segments") > CROWD).select("gram")
-        parts = scratch.save(parts)
-        found = compare(parts.join(hot, "gram", "left_anti"), buckets, length).unionByName(compare_crowd(parts.join(hot, "gram", "left_semi"), length))
-    else:
-        found = compare(parts, buckets, length)
-    covers = met.where("dup").select("key", F.col("lo").alias("a"), (F.col("lo") + size).alias("b")).unionByName(found)
+    found = compare(wanted(todo).mapInArrow(extract, "gram long, key long, lo int, part binary"), buckets, length)
+    covers = repeats.select("key", F.col("lo").alias("a"), (F.col("lo") + size).alias("b")).unionByName(found)
     covers = scratch.save(covers.groupBy("key").agg(F.collect_list(F.struct("a", "b")).alias("covers")))
-    del parts, found
+    del found
     scratch.free()
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -398,27 +443,6 @@ def compare(parts: DataFrame, buckets: int, length: int) -> DataFrame:
     return dealt.repartition("bucket").sortWithinPartitions("bucket", "gram").mapInArrow(work, "key long, a int, b int")
 
 
-def compare_crowd(parts: DataFrame, length: int) -> DataFrame:
-    """The same for grams with very many segments: equal strings meet by hash, the least place taken first."""
-
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_digest
-        for batch in batches:
-            for i in range(0, batch.num_rows, 200):
-                keys, places, hashes = [], [], []
-                some = batch.slice(i, 200)
-                for key, lo, part in zip(some.column("key").to_pylist(), some.column("lo").to_pylist(), some.column("part").to_pylist(), strict=True):
-                    n = len(part) - length + 1
-                    keys += [key] * n
-                    places += range(lo, lo + n)
-                    hashes += [digest(part[j : j + length]) for j in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes, pa.binary()), pa.array(keys, pa.int64()), pa.array(places, pa.int32())], names=["h", "key", "a"])
-
-    rows = parts.select("key", "lo", "part").mapInArrow(strings, "h binary, key long, a int")
-    first = rows.groupBy("h").agg(F.min(F.struct("key", "a")).alias("first"))
-    return rows.join(first, "h").where(F.struct("key", "a") != F.col("first")).select("key", "a", (F.col("a") + length).alias("b"))
-
-
 def digests(out: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return out.select(id_col, "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
