@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, components, forest
 
 #: Vectors in a leaf of a projection tree, the sample that the trees are fitted on, trees at a time.
-LEAF, SAMPLE, TREES = 256, 4096, 6
+LEAF, SAMPLE, TREES = 256, 4096, 10
 #: Members of a neighbourhood that are compared at once, of a block of a component with full lists.
 CROWD, BLOCK = 256, 2048
 #: The widest list; nodes with more links are counted in blocks.
@@ -140,11 +140,11 @@ def link_embeddings(
     weight. NN-descent then refines each node's list of its k most similar: the first lists come from
     leaves of projection trees; in each round every node meets, at each node that lists it or
     that it lists, the other members of that neighbourhood, and keeps the better ones, until fewer than
-    `settled` of the entries change that may lead to a link (within twice its angle). Neighbourhoods larger than CROWD
+    `settled` of the entries change that may lead to a link (within twice its angle; lists full of links don't count). Neighbourhoods larger than CROWD
     are dealt out at random to several, anew in each round.
 
-    A list that is full of links may hide more. So lists of nodes whose list is full of links are enlarged, to twice the
-    length each time up to WIDEST, and the joins run on among these nodes (of a hidden link both ends have full lists, else
+    A list that is full of links may hide more. So lists of nodes whose list is full of links are enlarged, to four times the
+    length each time up to WIDEST, by a join among these nodes (of a hidden link both ends have full lists, else
     the other end lists it). The links are the lists' entries of at least `threshold`, both ways; joins among their neighbours
     run until they bring no more. Nodes that are full even so get lists of their most similar in other components, by
     the same trees and rounds; links among them join components, until there are none. In the components of such
@@ -199,39 +199,44 @@ def link_embeddings(
         dealt = rows.select("node", "vec", "grp", "floor").mapInArrow(deal, f"key long, node long, vec {kind}, grp long, floor double")
         return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: by_key(it, lambda t: best_of(t, k)), edge)
 
-    def top(edges: DataFrame, width: int = k) -> DataFrame:
+    def top(edges: DataFrame, width: int = k, old: DataFrame | None = None) -> DataFrame:
+        """(a, b, sim, was, rank): the lists out of edges (a, b, sim) and old lists, whose entries have `was` 1. One shuffle."""
+        rows = edges.select("a", "b", "sim", F.lit(0).alias("was"))
+        if old is not None:
+            rows = rows.unionByName(old.select("a", "b", "sim", F.lit(1).alias("was")))
         order = Window.partitionBy("a").orderBy(F.desc("sim"), "b")
-        return edges.groupBy("a", "b").agg(F.max("sim").alias("sim")).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= width)
+        best = rows.repartition("a").groupBy("a", "b").agg(F.max("sim").alias("sim"), F.max("was").alias("was"))
+        return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= width)
 
     def floors(lists: DataFrame, width: int = k) -> DataFrame:
-        return lists.groupBy(F.col("a").alias("node")).agg(F.when(F.count("*") >= width, F.min("sim")).otherwise(-2.0).alias("floor"))
+        return lists.where(F.col("rank") == width).select(F.col("a").alias("node"), F.col("sim").alias("floor"))
 
     def met(pool: DataFrame, paths: DataFrame, floor: DataFrame, width: int, turn: int) -> DataFrame:
         """Better neighbours from the neighbourhoods of paths: members come with their vectors and their lists' floors."""
-        both = paths.select(F.col("a").alias("at"), F.col("b").alias("node")).unionByName(paths.select(F.col("b").alias("at"), F.col("a").alias("node"))).distinct()
-        degree = both.groupBy("at").agg(F.ceil(F.count("*") / CROWD).alias("parts"))
+        both = paths.select(F.col("a").alias("at"), F.col("b").alias("node")).unionByName(paths.select(F.col("b").alias("at"), F.col("a").alias("node")))
+        both = both.repartition("at").distinct().withColumn("parts", F.ceil(F.count("*").over(Window.partitionBy("at")) / CROWD))
         key = F.when(F.col("parts") > 1, F.xxhash64("at", F.pmod(F.xxhash64("node", F.lit(turn)), "parts"))).otherwise(F.col("at"))
-        both = both.join(degree, "at").select(key.alias("key"), "node")
         whole = pool.join(floor, "node", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
-        sent = both.join(whole, "node").select("key", "node", "vec", "grp", "floor")
+        sent = both.select(key.alias("key"), "node").join(whole, "node").select("key", "node", "vec", "grp", "floor")
         return sent.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: by_key(it, lambda t: best_of(t, width)), edge)
 
-    def refined(pool: DataFrame, lists: DataFrame, known: DataFrame | None = None, width: int = k, least: float = near) -> DataFrame:
-        """lists after rounds of meeting, at the neighbours in them and in the known lists, until few entries of `least` change."""
+    def refined(pool: DataFrame, lists: DataFrame, known: DataFrame | None = None) -> DataFrame:
+        """lists after rounds of meeting, at the neighbours in them and in the known lists, until few entries change that may lead to
+        a link. Lists full of links don't count: more links don't fit in them."""
         for turn in range(max_rounds):
-            old = lists.drop("rank")
-            paths = old.select("a", "b") if known is None else old.select("a", "b").unionByName(known)
-            new = scratch.save(top(old.unionByName(met(pool, paths, floors(lists, width), width, turn)), width))
-            changed, held = new.where(F.col("sim") >= least).join(lists.select("a", "b", F.lit(1).alias("was")), ["a", "b"], "left").agg(F.count_if(F.col("was").isNull()), F.count("*")).first()
+            paths = lists.select("a", "b") if known is None else lists.select("a", "b").unionByName(known)
+            new = scratch.save(top(met(pool, paths, floors(lists), k, turn), k, lists).withColumn("last", F.min("sim").over(Window.partitionBy("a"))).withColumn("held", F.count("*").over(Window.partitionBy("a"))))
+            open_ = new.where((F.col("sim") >= near) & ~((F.col("held") >= k) & (F.col("last") >= threshold)))
+            changed, held = open_.agg(F.count_if(F.col("was") == 0), F.count("*")).first()
             scratch.drop(lists)
             lists = new
             if changed <= settled * held:
                 break
         return lists
 
-    def full_of(links: DataFrame, width: int) -> DataFrame:
+    def full_of(lists: DataFrame, width: int) -> DataFrame:
         """(node) whose lists of this length hold links only."""
-        return scratch.save(links.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n")).where(F.col("n") >= width).select("node"))
+        return scratch.save(lists.where((F.col("rank") == width) & (F.col("sim") >= threshold)).select(F.col("a").alias("node")))
 
     def within(edges: DataFrame, some: DataFrame) -> DataFrame:
         """Those between two of the nodes."""
@@ -240,20 +245,21 @@ def link_embeddings(
     def linked(lists: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(a, b, sim) both ways, the links in lists that are enlarged where they are full; (node) that are full even so."""
         links = lists.where(F.col("sim") >= threshold).select("a", "b", "sim")
-        width, full = k, full_of(links, k)
+        width, full = k, full_of(lists, k)
         while width < WIDEST and not full.isEmpty():
-            width *= 2
+            width *= 4
             pool = nodes.join(full, "node", "left_semi").select("node", "vec", F.col("node").alias("grp"))
-            wider = refined(pool, scratch.save(top(within(links, full), width)), None, width, threshold)
-            links = scratch.save(links.unionByName(wider.where(F.col("sim") >= threshold).select("a", "b", "sim")).distinct())
-            full = full_of(links, width)
-        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
-        both = scratch.save(both.groupBy("a", "b").agg(F.max("sim").alias("sim")))
+            paths = within(links, full)
+            floor = pool.select("node", F.lit(threshold - 1e-12).alias("floor"))
+            wider = scratch.save(top(met(pool, paths, floor, width, 99), width, paths))
+            links = links.unionByName(wider.where(F.col("sim") >= threshold).select("a", "b", "sim"))
+            full = full_of(wider, width)
+        links = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+        both = scratch.save(links.groupBy("a", "b").agg(F.max("sim").alias("sim")))
         while True:  # neighbours of neighbours by links alone, where lists are not full
-            pool = nodes.select("node", "vec", F.col("node").alias("grp")).join(both.select(F.col("a").alias("node")).distinct(), "node", "left_semi").join(full, "node", "left_anti")
             paths = both.join(full.withColumnRenamed("node", "a"), "a", "left_anti").join(full.withColumnRenamed("node", "b"), "b", "left_anti").select("a", "b")
-            floor = pool.select("node", F.lit(threshold - 1e-12).alias("floor"))
-            found = met(pool, paths, floor, CROWD, 0).where(F.col("sim") >= threshold).join(both.select("a", "b"), ["a", "b"], "left_anti")
+            floor = nodes.select("node", F.lit(threshold - 1e-12).alias("floor"))
+            found = met(every, paths, floor, CROWD, 0).where(F.col("sim") >= threshold).join(both.select("a", "b"), ["a", "b"], "left_anti")
             found = scratch.save(found.groupBy("a", "b").agg(F.max("sim").alias("sim")))
             if found.isEmpty():
                 return both, full
@@ -292,7 +298,7 @@ def link_embeddings(
     lists = None
     for seed in range(3):
         more = planted(every, seed, None if lists is None else floors(lists))
-        lists = refined(every, scratch.save(top(more if lists is None else more.unionByName(lists.drop("rank")))))
+        lists = refined(every, scratch.save(top(more, k, lists)))
         links, full = linked(lists)
         label = joined(links, full, seed)
         counts = counts_of(links, full, label)
