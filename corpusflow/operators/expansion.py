@@ -46,3 +46,15 @@ def with_acronyms(question: Column, meanings: dict[str, list[str]], most: int =
     found = F.regexp_extract_all(question, F.lit(r"\b([A-Z]{2,6})\b"), F.lit(1))
     added = F.flatten(F.array_compact(F.transform(found, lambda a: F.try_element_at(known, a))))
     return F.when(F.size(added) > 0, F.concat_ws(" ", question, F.array_join(added, " "))).otherwise(question)
+
+
+def strategies(question: Column, intent: Column, lexicon: list[tuple[str, list[str]]], reworded: Column | None = None, names: tuple[str, ...] = ("synonyms", "intent"), most: int = 5) -> Column:
+    """A struct of original, synonyms, llm, intent and all: the variants by strategy, and each text once, the question first, at most `most`."""
+    nothing = F.array().cast("array<string>")
+    made = {
+        "synonyms": by_synonym(question, lexicon) if "synonyms" in names else nothing,
+        "llm": reworded if reworded is not None and "llm" in names else nothing,
+        "intent": by_intent(question, intent) if "intent" in names else nothing,
+    }
+    every = F.slice(F.array_distinct(F.concat(F.array(question), *made.values())), 1, most)
+    return F.struct(F.array(question).alias("original"), *[v.alias(k) for k, v in made.items()], every.alias("all"))

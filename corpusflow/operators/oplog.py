@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections import deque
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import canonical_json
+
 
 def audit_stats(events: DataFrame, *by: str) -> DataFrame:
     return events.groupBy(*by).agg(
@@ -21,41 +27,134 @@ def chained(previous: Column, entry: Column) -> Column:
     return F.sha2(F.concat(previous, entry), 256)
 
 
-def hash_chain(rows: DataFrame, key: str, order: str, entry: Column) -> DataFrame:
-    """(key, n, last): the fold of each key's entries in order, from 64 zeros. A chain is sequential by nature; keys are parallel."""
-    listed = rows.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), entry.alias("e")))).alias("l"))
-    return listed.select(key, F.size("l").cast("long").alias("n"), F.aggregate("l", F.lit("0" * 64), lambda h, x: chained(h, x["e"])).alias("last"))
+#: The hash before the first entry of a chain.
+GENESIS = "0" * 64
+
+
+def linked_entry(fields: dict[str, Column], previous: Column) -> Column:
+    """The JSON of an entry that is hashed: its fields and the hash of the entry before, keys in order."""
+    return canonical_json(fields | {"previous_audit_hash": previous})
+
+
+def hash_chain(rows: DataFrame, key: str, order: str, fields: dict[str, Column]) -> DataFrame:
+    """(key, order, previous_audit_hash, audit_hash) of rows, each key's entries chained in order from 64 zeros.
+
+    The JSON of an entry has the hash before at a fixed place, so its parts around are made by Spark and the fold only
+    hashes, a batch at a time. A chain is sequential by nature; keys are parallel. Entries without a key are left out.
+    """
+    before = {k: c for k, c in fields.items() if k < "previous_audit_hash"}
+    after = {k: c for k, c in fields.items() if k > "previous_audit_hash"}
+    head = F.concat(F.regexp_replace(canonical_json(before), r"\}$", ", " if before else ""), F.lit('"previous_audit_hash": "'))
+    tail = F.concat(F.lit('", ' if after else '"'), F.substr(canonical_json(after), F.lit(2)))
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in (key, order)}
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, last = object(), GENESIS
+        for frame in batches:
+            previous, own = [], []
+            for k, start, stop in zip(frame["k"], frame["head"], frame["tail"], strict=True):
+                if k != now:
+                    now, last = k, GENESIS
+                previous.append(last)
+                last = hashlib.sha256((start + last + stop).encode()).hexdigest()
+                own.append(last)
+            yield pd.DataFrame({"k": frame["k"], "o": frame["o"], "previous_audit_hash": previous, "audit_hash": own})
+
+    parts = rows.select(F.col(key).alias("k"), F.col(order).alias("o"), head.alias("head"), tail.alias("tail")).where("k is not null")
+    made = parts.repartition("k").sortWithinPartitions("k", "o").mapInPandas(work, f"k {kinds[key]}, o {kinds[order]}, previous_audit_hash string, audit_hash string")
+    return made.withColumnRenamed("k", key).withColumnRenamed("o", order)
+
+
+def verify_chain(entries: DataFrame, key: str, order: str, fields: dict[str, Column]) -> DataFrame:
+    """entries with `ok`: whether the hash is that of the entry, and the one before is that of the entry before. All entries at once."""
+    before = F.coalesce(F.lag("audit_hash").over(Window.partitionBy(key).orderBy(order)), F.lit(GENESIS))
+    own = F.sha2(linked_entry(fields, F.col("previous_audit_hash")), 256)
+    return entries.withColumn("ok", (F.col("audit_hash") == own) & (F.col("previous_audit_hash") == before))
 
 
 def offered_load(events: DataFrame, key: str, ts: str, seconds: int) -> DataFrame:
-    """Requests of the key in the trailing seconds, this one included."""
-    at = F.col(ts).cast("timestamp").cast("long")
-    return events.withColumn("load", F.count("*").over(Window.partitionBy(key).orderBy(at).rangeBetween(-seconds, 0)))
+    """Requests of the key in the trailing seconds, strictly, this one and others of its time included."""
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    return events.withColumn("load", F.count("*").over(Window.partitionBy(key).orderBy(at).rangeBetween(-seconds * 1_000_000 + 1, 0)))
 
 
-def limited(events: DataFrame, key: str, ts: str, most: int, seconds: int) -> DataFrame:
-    """Each event with `accepted`: at most `most` accepted ones of a key in the trailing seconds; rejected ones don't count."""
+def folded(events: DataFrame, key: str, ts: str, limiter: Callable) -> DataFrame:
+    """(k, event_id, t, accepted): a new limiter over each key's events in order of time and id, a batch at a time; only its state is held.
+    Events without a key are left out."""
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["t", "event_id"])
-        kept: list[float] = []
-        out = []
-        for t in frame["t"]:
-            kept = [x for x in kept if t - x < seconds]
-            out.append(len(kept) < most)
-            if out[-1]:
-                kept.append(t)
-        return frame.assign(accepted=out)
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = object(), None
+        for frame in batches:
+            out = []
+            for k, t in zip(frame["k"], frame["t"], strict=True):
+                if k != now:
+                    now, state = k, limiter()
+                out.append(state.accept(int(t)))
+            yield frame.assign(accepted=out)
 
-    rows = events.select(F.col(key).alias("k"), "event_id", F.col(ts).cast("timestamp").cast("double").alias("t"))
-    return rows.groupBy("k").applyInPandas(fold, "k long, event_id long, t double, accepted boolean")
+    rows = events.select(F.col(key).alias("k"), "event_id", F.unix_micros(F.col(ts).cast("timestamp")).alias("t")).where("k is not null")
+    kind = events.schema[key].dataType.simpleString()
+    return rows.repartition("k").sortWithinPartitions("k", "t", "event_id").mapInPandas(work, f"k {kind}, event_id long, t long, accepted boolean")
 
 
-def ttl_dedup(events: DataFrame, key: list[str], ts: str, seconds: int) -> DataFrame:
-    """Events whose key was not seen in the seconds before."""
-    at = F.col(ts).cast("timestamp").cast("double")
-    before = F.lag(at).over(Window.partitionBy(*key).orderBy(at, "event_id"))
-    return events.withColumn("_b", at - before).where(F.col("_b").isNull() | (F.col("_b") > seconds)).drop("_b")
+class Log:
+    """At most `most` accepted in the trailing seconds, strictly; rejected ones don't count. Holds `most` times."""
+
+    def __init__(self, most: int, seconds: int):
+        self.most, self.seconds, self.kept = most, seconds, deque()
+
+    def accept(self, t: int) -> bool:
+        kept = self.kept
+        while kept and t - kept[0] >= self.seconds * 1_000_000:
+            kept.popleft()
+        if len(kept) >= self.most:
+            return False
+        kept.append(t)
+        return True
+
+
+class Bucket:
+    """A leaky bucket: `rate` requests a minute flow out, up to `burst` may wait."""
+
+    def __init__(self, rate: float, burst: int):
+        self.rate, self.burst, self.level, self.last = rate, burst, 0.0, 0
+
+    def accept(self, t: int) -> bool:
+        self.level, self.last = max(0.0, self.level - (t - self.last) / 60e6 * self.rate), t
+        if self.level > self.burst:
+            return False
+        self.level += 1
+        return True
+
+
+class Cache:
+    """Accepts what it doesn't hold, and then holds it for so many seconds."""
+
+    def __init__(self, seconds: int):
+        self.seconds, self.since = seconds, None
+
+    def accept(self, t: int) -> bool:
+        if self.since is not None and t - self.since < self.seconds * 1_000_000:
+            return False
+        self.since = t
+        return True
+
+
+def limited(events: DataFrame, key: str, ts: str, most: int = 15, seconds: int = 60) -> DataFrame:
+    """Each event with `accepted`: at most `most` accepted ones of a key in the trailing seconds."""
+    return folded(events, key, ts, lambda: Log(most, seconds))
+
+
+def leaky(events: DataFrame, key: str, ts: str, rate: float = 10.0, burst: int = 5) -> DataFrame:
+    """Each event with `accepted`: a proxy's limit of `rate` a minute and bursts of `burst` more."""
+    return folded(events, key, ts, lambda: Bucket(rate, burst))
+
+
+def ttl_misses(events: DataFrame, key: list[str], ts: str, seconds: int) -> DataFrame:
+    """Events that a cache answers anew: the first of its key, and the first when `seconds` have passed since the last such one.
+    A hit doesn't prolong an entry's life."""
+    whole = F.to_json(F.struct(*key), {"ignoreNullFields": "false"})
+    return folded(events.withColumn("_key", whole), "_key", ts, lambda: Cache(seconds)).where("accepted").select("event_id")
 
 
 def sessions(events: DataFrame, key: str, ts: str, gap: int) -> DataFrame:

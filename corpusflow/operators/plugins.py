@@ -6,18 +6,21 @@ numbers. They run on the executors, so they must be importable or picklable ther
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+log = logging.getLogger(__name__)
 #: What a refused answer says.
 REFUSALS = ["non è presente", "non emerge", "non ho trovato informazioni", "non è specificato", "mi dispiace"]
 #: What to do with a chunk, by the type of its document.
 REWRITING = {
     "table": "Converti la tabella in elenco strutturato discorsivo.",
     "slide": "Unisci i punti elenco in un discorso fluido e completo.",
+    "web_content": "Riscrivi questo testo estratto da una pagina web in italiano professionale. Mantieni SEMPRE invariati: indirizzi email, URL, numeri di telefono, nomi propri, sigle tecniche e scadenze temporali. Elimina navigazione, breadcrumb e testi di menu non informativi.",
 }
 REWRITING_DEFAULT = "Riscrivi in italiano professionale mantenendo i dati tecnici."
 
@@ -33,7 +36,7 @@ def generate(prompt: Column, generator: Callable[[pd.Series], pd.Series]) -> Col
             try:
                 out.loc[asked.index] = list(generator(asked))
             except Exception:  # a model's failure is not the plan's: callers have a default for null
-                pass
+                log.warning("a generator failed on %d prompts", len(asked), exc_info=True)
         return out
 
     return call(prompt)
@@ -65,6 +68,7 @@ def scored(candidates: DataFrame, scorer: Callable[[pd.Series, pd.Series], pd.Se
         try:
             return pd.Series(list(scorer(question, content)), index=question.index, dtype="float64")
         except Exception:  # the whole query then keeps its order
+            log.warning("a scorer failed on %d pairs", len(question), exc_info=True)
             return pd.Series([None] * len(question), index=question.index, dtype="float64")
 
     raw = candidates.withColumn("_s", F.nanvl(call("question", F.substring("content", 1, letters)), F.lit(None)))

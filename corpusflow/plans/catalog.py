@@ -2,115 +2,48 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import classify, lexicon, text
-from ..operators import align, chunking, ensemble, evaluate, evidence, expansion, graph, oplog, plugins, retrieval
+from ..functions import classify, text
+from ..operators import align, chunking, evaluate, expansion, oplog, retrieval
 from ..sources import docx
+from . import expected as E
+from .registry import ORACLE, QUERIES, over_documents, query, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable:
-    def add(f: Callable) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def over_documents(name: str, sql: str, **columns: Callable) -> None:
-    """A projection of documents by doc_id."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return table(spark, sf_dir, "documents").select("doc_id", *[f(F.col("text")).alias(n) for n, f in columns.items()])
-
-    QUERIES[name], ORACLE[name] = run, f"SELECT doc_id, {sql} FROM documents"
-
-
-# --- SQL text that several oracles share
-def sql_list(words: list[str]) -> str:
-    return "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
-
-
-def sql_any(t: str, words: list[str]) -> str:
-    return f"(len(list_filter({sql_list(words)}, lambda w: contains({t}, w))) > 0)"
-
-
-def sql_hits(t: str, words: list[str]) -> str:
-    return f"len(list_filter({sql_list(words)}, lambda w: contains({t}, w)))"
-
-
-def quoted(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
-NORM = r"lower(trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')))"
-WORDS = f"(CASE WHEN {NORM} = '' THEN 0 ELSE len(string_split({NORM}, ' ')) END)::BIGINT"
-LEX = rf"trim(regexp_replace(translate(translate(lower(coalesce(text, '')), {quoted(lexicon.QUOTES)}, ''), {quoted(lexicon.PUNCTUATION)}, '{' ' * len(lexicon.PUNCTUATION)}'), '\s+', ' ', 'g'))"
-TOKENS = f"list_filter(string_split({LEX}, ' '), lambda w: w <> '')"
+WORDS, NORM, TOKENS = E.WORDS, E.NORM, E.TOKENS
 
 over_documents("text_normalize", f"{NORM} AS norm, {WORDS} AS words", norm=text.normalize, words=text.word_count)
-over_documents("bm25_tokens", f"{LEX} AS lexical, len({TOKENS})::BIGINT AS n_tokens", lexical=text.lexical, n_tokens=lambda t: F.size(text.tokens(t)).cast("long"))
-over_documents(
-    "keyword_set",
-    f"list_sort(list_distinct(list_filter({TOKENS}, lambda w: len(w) > 3 AND NOT list_contains({sql_list(lexicon.STOP_WORDS)}, w)))) AS keywords",
-    keywords=lambda t: F.sort_array(text.keywords(t)),
+over_documents("bm25_tokens", f"{E.LEX} AS lexical, len({TOKENS})::BIGINT AS n_tokens", lexical=text.lexical, n_tokens=lambda t: F.size(text.tokens(t)).cast("long"))
+over_documents("keyword_set", f"list_sort({E.KEYWORDS}) AS keywords", keywords=lambda t: F.sort_array(text.keywords(t)))
+CLEANED = E.STRIP.format(
+    r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+    '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g'), '\n\s*\n\s*\n+', chr(10) || chr(10), 'g'), ' {{3,}}', ' ', 'g'), '(?m)^\s*\d{{1,3}}\s*$', '', 'g'),
+    '(?mi)^\s*PAG\.?\s*$', '', 'g'), '(?m)^[\s_\-=]{{5,}}$', '', 'g'), '\t{{2,}}', ' ', 'g')""".replace("{{", "{").replace("}}", "}")
 )
+over_documents("clean_text", f"{CLEANED} AS cleaned", cleaned=text.clean)
 over_documents(
-    "clean_text",
-    r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x08\x0b\x0c\x0e-\x1f]', '', 'g'), '\n\s*\n\s*\n+', chr(10) || chr(10), 'g'), ' {3,}', ' ', 'g'), '(?m)^\s*[0-9]{1,3}\s*$', '', 'g'), '(?mi)^\s*PAG\.?\s*$', '', 'g'), '(?m)^[\s_\-=]{5,}$', '', 'g'), '\t{2,}', ' ', 'g'), '^\s+|\s+$', '', 'g') AS cleaned",
-    cleaned=text.clean,
+    "fingerprints",
+    "sha256(text) AS sha, substr(sha256(text), 1, 16) AS hash16, md5(substr(text, 1, 500)) AS prefix_md5",
+    sha=lambda t: F.sha2(t, 256),
+    hash16=text.hash16,
+    prefix_md5=lambda t: F.md5(F.substring(t, 1, 500)),
 )
-over_documents("fingerprints", "sha256(text) AS sha, substr(sha256(text), 1, 16) AS hash16, md5(substr(text, 1, 500)) AS prefix_md5", sha=lambda t: F.sha2(t, 256), hash16=text.hash16, prefix_md5=lambda t: F.md5(F.substring(t, 1, 500)))
 over_documents(
     "extract_emails_urls",
-    f"list_sort(list_distinct(regexp_extract_all(text, '{text.EMAIL}'))) AS emails, list_sort(list_distinct(regexp_extract_all(text, {quoted(text.URL)}))) AS urls",
+    f"list_sort(list_distinct(regexp_extract_all(text, {E.quoted(E.EMAIL)}))) AS emails, list_sort(list_distinct(regexp_extract_all(text, {E.quoted(E.LINK)}))) AS urls",
     emails=lambda t: F.sort_array(text.emails(t)),
     urls=lambda t: F.sort_array(text.urls(t)),
 )
-over_documents(
-    "temporal_values",
-    rf"list_sort(list_distinct(list_transform(regexp_extract_all(text, '{text.TIMES}'), lambda x: lower(regexp_replace(x, '\s+', ' ', 'g'))))) AS times",
-    times=lambda t: F.sort_array(text.times(t)),
-)
-
-
-def _sql_redact(profile: list, mask: Callable) -> str:
-    out = "text"
-    for name, pattern in profile:
-        out = f"regexp_replace({out}, '{pattern}', '{mask(name)}', 'g')"
-    return out
-
-
-over_documents("pii_redact_input", _sql_redact(lexicon.PII_INPUT, lambda n: f"[{n}_RIMOSSO]") + " AS redacted", redacted=text.redact_input)
-over_documents("pii_redact_log", _sql_redact(lexicon.PII_LOG, lambda n: n) + " AS redacted", redacted=text.redact_log)
-over_documents(
-    "safety_flags",
-    "(" + " OR ".join(f"regexp_matches(text, '{p}')" for _, p in lexicon.PII_INPUT) + f") AS pii, regexp_matches(lower(text), {quoted('|'.join(lexicon.INJECTION))}) AS injection",
-    pii=text.has_pii,
-    injection=text.has_injection,
-)
-T = "lower(text)"
-over_documents(
-    "role_classify",
-    f"CASE WHEN {sql_hits(T, lexicon.PROCEDURAL)} >= 2 THEN 'procedural' WHEN {sql_hits(T, lexicon.RULES)} >= 2 THEN 'mandatory_rule' WHEN {sql_any(T, lexicon.DEFINITIONS)} THEN 'definitional' ELSE 'descriptive' END AS role",
-    role=classify.role,
-)
-JT = "trim(lower(text))"
+over_documents("temporal_values", f"list_sort({E.times('text')}) AS times", times=lambda t: F.sort_array(text.times(t)))
+over_documents("pii_redact_input", E.masked("text", E.PII_INPUT) + " AS redacted", redacted=text.redact_input)
+over_documents("pii_redact_log", E.masked("text", E.PII_LOG) + " AS redacted", redacted=text.redact_log)
+over_documents("safety_flags", f"{E.has_pii('text')} AS pii, {E.injected('text')} AS injection", pii=text.has_pii, injection=text.has_injection)
+over_documents("role_classify", f"{E.role('text')} AS role", role=classify.role)
+JT = E.STRIP.format("lower(text)")
 over_documents(
     "junk_filter",
-    f"(len({JT}) < 20 OR (regexp_matches({JT}, {quoted('|'.join(lexicon.JUNK))}) AND {WORDS} < 15) OR ({sql_any(JT, ['http://', 'https://', '.pdf'])} AND {WORDS} < 20)"
+    f"(len({JT}) < 20 OR (regexp_matches({JT}, {E.quoted('(?i)' + '|'.join(E.JUNK))}) AND {WORDS} < 15) OR ({E.any_of(JT, ['http://', 'https://', '.pdf'])} AND {WORDS} < 20)"
     rf" OR len(regexp_replace({JT}, '[^\p{{L}}]', '', 'g')) / greatest(len({JT}), 1) < 0.4) AS junk, {WORDS} >= 30 AS long_enough",
     junk=classify.is_junk,
     long_enough=lambda t: text.word_count(t) >= 30,
@@ -124,14 +57,42 @@ def source_profile(spark, sf_dir):
     return d.groupBy("source", classify.source_type(F.col("source")).alias("source_type")).agg(F.count("*").alias("n"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), F.floor(F.avg("n_chars")).alias("mean_chars"))
 
 
-@query(
-    f"""WITH x AS (SELECT doc_id, text, source, CASE WHEN text IS NULL OR text = '' OR source IS NULL OR source = '' THEN 1 ELSE 0 END AS broken,
-      CASE WHEN len(text) < 50 THEN 1 ELSE 0 END AS short, CASE WHEN {sql_any("lower(text)", lexicon.REFUSALS)} THEN 1 ELSE 0 END AS refusal FROM documents)
-      SELECT CASE WHEN broken = 1 THEN 'broken' WHEN short + refusal > 0 THEN 'rejected' ELSE 'valid' END AS verdict, count(*) AS n FROM x GROUP BY 1"""
+ISSUES = f"""CASE WHEN text IS NULL OR text = '' THEN ['Chiave mancante o nulla: text_content'] || CASE WHEN source IS NULL THEN ['Metadata mancante: source_type'] ELSE [] END
+      WHEN source IS NULL THEN ['Metadata mancante: source_type']
+      ELSE CASE WHEN len(text) < 50 THEN ['Testo troppo breve (' || len(text) || ' chars).'] ELSE [] END
+        || list_transform(list_filter({E.sql_list(E.REFUSALS)}, lambda p: contains(lower(text), p))[1:1], lambda p: 'Rifiuto LLM rilevato: ''' || p || '''') END"""
+
+
+def _validated(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    chunks = d.select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("parent_doc_id"), F.col("text").alias("text_content"), F.col("source").alias("source_type"), F.lit("").alias("web_section"))
+    return classify.validated(chunks)
+
+
+@query(f"SELECT doc_id, {ISSUES} AS issues, substr(coalesce(text, ''), 1, 50) AS preview FROM documents WHERE len({ISSUES}) > 0")
+def validate_rejected(spark, sf_dir):
+    """Rejected passages with why and a preview."""
+    return _validated(spark, sf_dir).where(F.size("issues") > 0).select(F.col("chunk_id").alias("doc_id"), "issues", "preview")
+
+
+BOXES = "(len(text) - len(replace(text, '{0}', ''))) / {1} > 3"
+CATEGORY = (
+    "CASE WHEN source = 'web_page' THEN 'web_content' WHEN contains(lower(text), 'sanzione') AND (contains(lower(text), 'euro') OR contains(text, '€')) THEN 'sanctions_table' "
+    f"WHEN {BOXES.format('[ ]', 3)} OR {BOXES.format('☐', 1)} THEN 'checklist' WHEN source = 'faq' OR {E.any_of('lower(text)', ['significa', 'definizione'])} THEN 'glossary' "
+    f"WHEN {E.any_of('lower(text)', ['cliccare', 'selezionare', 'accedere'])} THEN 'procedural' ELSE 'other' END"
 )
+
+
+@query(rf"""SELECT doc_id, {CATEGORY} AS chunk_category, regexp_matches(text, '[A-Z]{{6}}\d{{2}}[A-Z]\d{{2}}[A-Z]\d{{3}}[A-Z]') AS pii_warning FROM documents WHERE len({ISSUES}) = 0""")
+def validate_accepted(spark, sf_dir):
+    """Valid passages with their category and the flag of a tax number."""
+    return _validated(spark, sf_dir).where(F.size("issues") == 0).select(F.col("chunk_id").alias("doc_id"), "chunk_category", "pii_warning")
+
+
+@query(f"SELECT CASE WHEN len({ISSUES}) = 0 THEN 'valid' WHEN text IS NULL OR text = '' OR source IS NULL THEN 'broken' ELSE 'rejected' END AS verdict, count(*) AS n FROM documents GROUP BY 1")
 def validate_split(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").withColumn("issues", classify.issues(F.col("text"), F.col("source")))
-    broken = F.exists("issues", lambda i: F.startswith(i, F.lit("missing")))
+    d = _validated(spark, sf_dir)
+    broken = F.exists("issues", lambda i: i.contains("mancante"))
     return d.groupBy(F.when(broken, "broken").when(F.size("issues") > 0, "rejected").otherwise("valid").alias("verdict")).agg(F.count("*").alias("n"))
 
 
@@ -167,87 +128,165 @@ def term_stats(spark, sf_dir):
 ORACLE["term_stats"] = f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS}) AS term FROM documents) GROUP BY doc_id, term) GROUP BY term"
 
 
-def _bm25(spark: SparkSession, sf_dir: str, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    n, avgdl = docs.agg(F.count("*"), F.avg(F.size(text.tokens(F.col("text"))))).first()
-    index = retrieval.postings(docs, "doc_id", "text")
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
-    return retrieval.bm25(index, asked, F.lit(n), F.lit(float(avgdl or 1)), k1, b)
+def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), "text")
+
+
+def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    return retrieval.bm25_top(table(spark, sf_dir, "documents"), _questions(spark, sf_dir), k)
+
+
+RANKED = "row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, id) AS rank"
 
 
-def _sql_bm25(k1: float, b: float) -> str:
-    return f"""w AS (SELECT doc_id AS id, {TOKENS} AS w FROM documents), p AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(w) AS dl, unnest(w) AS term FROM w) GROUP BY ALL),
-      c AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM w), q AS (SELECT item_id AS query, unnest(list_distinct({TOKENS})) AS term FROM benchmark),
-      f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
-      s AS (SELECT query, id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * ({k1} + 1) / (tf + {k1} * (1 - {b} + {b} * dl / avgdl))) AS score FROM p JOIN f USING (term) JOIN q USING (term), c GROUP BY query, id)"""
+def sql_top(k: int) -> str:
+    return f"{E.bm25()}, t AS (SELECT query, id, score, {RANKED} FROM s QUALIFY rank <= {k})"
 
 
-@query(f"WITH {_sql_bm25(1.5, 0.75)} SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, id) AS rank, round(score, 4) AS score FROM s QUALIFY rank <= 10")
+@query(f"WITH {sql_top(10)} SELECT query, id, rank, round(score, 4) AS score FROM t")
 def bm25_topk(spark, sf_dir):
-    return retrieval.top_k(_bm25(spark, sf_dir), 10).select("query", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
+    return _bm25(spark, sf_dir, 10).select("query", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
+
+
+FOLDED = r"list_filter(regexp_split_to_array(strip_accents(lower(coalesce(text, ''))), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
+
+
+@query(
+    f"""WITH w AS (SELECT doc_id AS id, {FOLDED} AS w FROM documents),
+    p AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(w) AS dl, unnest(w) AS term FROM w) GROUP BY ALL),
+    c AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM w),
+    q AS (SELECT query, term, count(*) AS times FROM (SELECT item_id AS query, unnest({FOLDED}) AS term FROM benchmark) GROUP BY ALL),
+    i AS (SELECT term, greatest(ln((n - count(*) + 0.5) / (count(*) + 0.5)), 1e-6) AS idf FROM p, c GROUP BY term, n),
+    s AS (SELECT query, id, sum(idf * times * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))) AS score, count(*) AS held
+          FROM p JOIN i USING (term) JOIN q USING (term), c GROUP BY query, id)
+    SELECT query, id, {RANKED}, round(-score, 4) AS fts_rank FROM s WHERE held = (SELECT count(*) FROM q z WHERE z.query = s.query) QUALIFY rank <= 15"""
+)
+def fts_topk(spark, sf_dir):
+    """Full-text search: documents with all of a question's terms."""
+    found = retrieval.full_text(table(spark, sf_dir, "documents"), _questions(spark, sf_dir))
+    return found.select("query", "id", F.col("rank").cast("long").alias("rank"), F.round("fts_rank", 4).alias("fts_rank"))
+
+
+HELD = "e AS (SELECT item_id AS query, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
+
+
+def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query, id): documents that hold the whole passage of an item.
+
+    They share its first eight words as a shingle; that equality joins, then `contains` decides. A passage of fewer words is
+    a shingle of all of them."""
+    words = lambda c: F.filter(F.split(c, r"\s+"), lambda w: w != "")
+    items = _questions(spark, sf_dir).withColumn("w", words(F.col("text")))
+    # the passage's first and last word may be part of a longer one in the document
+    inner = F.slice("w", 2, 8)
+    items = items.where(F.size("w") >= 10).select("query", F.col("text").alias("passage"), F.xxhash64(F.array_join(inner, " ")).alias("key"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").withColumn("w", words(F.col("text"))).where(F.size("w") >= 8)
+    grams = F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 8), " ")))
+    # ids and shingles alone are joined; texts only for what meets
+    met = d.select("id", F.explode(grams).alias("key")).join(items.select("key", "query"), "key").select("id", "query").distinct()
+    long = met.join(d.select("id", "text"), "id").join(items.select("query", "passage"), "query").where(F.contains("text", F.col("passage"))).select("query", "id")
+    short = _questions(spark, sf_dir).where(F.size(words(F.col("text"))) < 10)
+    few = short.limit(10_001).count()  # passages without eight whole words inside are compared with every text
+    if few == 0:
+        return long
+    rest = F.broadcast(short) if few <= 10_000 else short
+    return long.unionByName(d.select("id", F.col("text").alias("t")).join(rest, F.contains(F.col("t"), F.col("text"))).select("query", "id"))
 
 
 @query(
-    f"""WITH {_sql_bm25(1.5, 0.75)}, t AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, id) AS rank FROM s QUALIFY rank <= 10),
-    e AS (SELECT item_id AS query, doc_id AS id FROM benchmark b JOIN documents d ON contains(d.text, b.text)),
-    h AS (SELECT e.query, count(*) AS relevant, count(t.id) AS found, min(t.rank) AS first FROM e LEFT JOIN t USING (query, id) GROUP BY e.query)
-    SELECT count(*) AS n, round(avg(found / relevant), 6) AS recall_at_10, round(avg(found / 10.0), 6) AS precision_at_10, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, round(avg(CASE WHEN first <= 1 THEN 1.0 ELSE 0 END), 6) AS hit_1 FROM h"""
+    f"""WITH {sql_top(10)}, {HELD}, r AS (SELECT query, count(*) AS retrieved FROM t GROUP BY query),
+    h AS (SELECT e.query, count(*) AS relevant, count(t.id) AS found, min(t.rank) AS first, any_value(retrieved) AS retrieved FROM e LEFT JOIN t USING (query, id) LEFT JOIN r USING (query) GROUP BY e.query)
+    SELECT count(*) AS n, round(avg(found / relevant), 6) AS recall_at_10, round(avg(coalesce(found / retrieved, 0)), 6) AS precision_at_10,
+      round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, round(avg(CASE WHEN first <= 1 THEN 1.0 ELSE 0 END), 6) AS hit_1 FROM h"""
 )
 def retrieval_metrics(spark, sf_dir):
-    """Recall, precision, reciprocal rank of BM25 against the documents that hold the passage."""
-    top = retrieval.top_k(_bm25(spark, sf_dir), 10).select("query", "id", "rank")
-    items = table(spark, sf_dir, "benchmark")
-    held = table(spark, sf_dir, "documents").join(F.broadcast(items.select(F.col("item_id").alias("query"), F.col("text").alias("passage"))), F.contains(F.col("text"), F.col("passage"))).select("query", F.col("doc_id").alias("id"))
-    per = held.join(top, ["query", "id"], "left").groupBy("query").agg(F.count("*").alias("relevant"), F.count("rank").alias("found"), F.min("rank").alias("first"))
+    """Recall, precision by what was retrieved, reciprocal rank of BM25 against the documents that hold the passage."""
+    top = _bm25(spark, sf_dir, 10).select("query", "id", "rank")
+    got = top.groupBy("query").agg(F.count("*").alias("retrieved"))
+    per = _held(spark, sf_dir).join(top, ["query", "id"], "left").groupBy("query").agg(F.count("*").alias("relevant"), F.count("rank").alias("found"), F.min("rank").alias("first")).join(got, "query", "left")
     return per.agg(
         F.count("*").alias("n"),
         F.round(F.avg(F.col("found") / F.col("relevant")), 6).alias("recall_at_10"),
-        F.round(F.avg(F.col("found") / 10.0), 6).alias("precision_at_10"),
+        F.round(F.avg(F.coalesce(F.col("found") / F.col("retrieved"), F.lit(0.0))), 6).alias("precision_at_10"),
         F.round(F.avg(F.coalesce(1.0 / F.col("first"), F.lit(0.0))), 6).alias("mrr"),
         F.round(F.avg(F.when(F.col("first") <= 1, 1.0).otherwise(0.0)), 6).alias("hit_1"),
     )
 
 
+@query(
+    f"""WITH {sql_top(10)}, {HELD}, f AS (SELECT b.item_id, (SELECT min(rank) FROM t JOIN e USING (query, id) WHERE query = b.item_id) AS r FROM benchmark b)
+    SELECT round(avg(CASE WHEN r <= 1 THEN 1 ELSE 0 END), 4) AS recall_at_1, round(avg(CASE WHEN r <= 1 THEN 1.0 / r ELSE 0 END), 4) AS mrr_at_1,
+      round(avg(CASE WHEN r <= 5 THEN 1 ELSE 0 END), 4) AS recall_at_5, round(avg(CASE WHEN r <= 5 THEN 1.0 / r ELSE 0 END), 4) AS mrr_at_5,
+      round(avg(CASE WHEN r <= 10 THEN 1 ELSE 0 END), 4) AS coverage_at_10, count(*) AS total_queries FROM f"""
+)
+def rank_metrics(spark, sf_dir):
+    """Hit rate and reciprocal rank at 1 and 5, coverage at 10, over all items."""
+    found = _bm25(spark, sf_dir, 10).join(_held(spark, sf_dir), ["query", "id"]).groupBy("query").agg(F.min("rank").cast("long").alias("r"))
+    return evaluate.rank_summary(_questions(spark, sf_dir).join(found, "query", "left"), "r", [1, 5], 10)
+
+
 DIST = "list_sum(list_transform(range(1, len(v.embedding) + 1), lambda i: (v.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE) * (v.embedding[i]::DOUBLE - q.embedding[i]::DOUBLE)))"
-KNN = f"k AS (SELECT q.vec_id AS query, v.vec_id AS id, {DIST} AS distance FROM embeddings v, embeddings q WHERE q.vec_id < 10), n AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(distance, 6), id) AS rank FROM k QUALIFY rank <= 10)"
 
 
-def _knn(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+@query(
+    f"""WITH k AS (SELECT q.vec_id AS query, v.vec_id AS id, {DIST} AS distance FROM embeddings v, embeddings q WHERE q.vec_id % 50 = 0)
+    SELECT query, id, round(distance, 5) AS distance, row_number() OVER (PARTITION BY query ORDER BY round(distance, 6), id) AS rank FROM k QUALIFY rank <= 10"""
+)
+def knn_l2(spark, sf_dir):
+    """The ten nearest of every row whose id is divisible by 50, among all rows."""
     v = table(spark, sf_dir, "embeddings")
-    asked = [(r["vec_id"], list(r["embedding"])) for r in v.where("vec_id < 10").collect()]
-    return retrieval.nearest(v, asked, k, "vec_id", "embedding")
+    asked = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vec"))
+    return retrieval.nearest(v, asked, 10, "vec_id", "embedding").select("query", "id", F.round("distance", 5).alias("distance"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"WITH {KNN} SELECT query, id, round(distance, 5) AS distance, rank FROM n")
-def knn_l2(spark, sf_dir):
-    return _knn(spark, sf_dir).select("query", "id", F.round("distance", 5).alias("distance"), F.col("rank").cast("long").alias("rank"))
+def sql_vector(t: str) -> str:
+    """The counts of 64 buckets of words by md5, of length 1, out of a table with tokens w."""
+    return f"""(SELECT *, list_transform(c, lambda x: CASE WHEN z > 0 THEN x / z ELSE x END) AS vec FROM (SELECT *, sqrt(list_sum(list_transform(c, lambda x: x * x))) AS z FROM
+      (SELECT *, list_transform(range(64), lambda i: len(list_filter(w, lambda x: CAST('0x' || substr(md5(x), 1, 4) AS INTEGER) % 64 = i))::DOUBLE) AS c FROM {t})))"""
+
+
+LOCAL_CONCEPTS = [("THAN", ["than", "then"]), ("DANS", ["dans"]), ("NICHT", ["nicht"]), ("POUR", ["pour", "avec"])]
+SQL_CONCEPTS = "list_filter([" + ", ".join(f"CASE WHEN {E.any_of('lower(coalesce(text, {0}))'.format(chr(39) * 2), words)} THEN '{name}' END" for name, words in LOCAL_CONCEPTS) + "], lambda x: x IS NOT NULL)"
 
 
 @query(
-    f"WITH {KNN}, {_sql_bm25(1.5, 0.75)}, b AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, id) AS rank FROM s WHERE query < 10 QUALIFY rank <= 10), "
-    "u AS (SELECT query, id, 1 / (1 + distance) AS x FROM n UNION ALL SELECT query, id, 0.6 / rank FROM b), g AS (SELECT query, id, sum(x) AS score FROM u GROUP BY query, id) "
-    "SELECT query, id, round(score, 5) AS score, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, id) AS rank FROM g QUALIFY rank <= 8"
+    f"""WITH {sql_top(40)}, dv AS (SELECT doc_id AS id, vec FROM {sql_vector(f"(SELECT doc_id, {TOKENS} AS w FROM documents)")}),
+    qv AS (SELECT item_id AS query, vec FROM {sql_vector(f"(SELECT item_id, {TOKENS} AS w FROM benchmark)")}),
+    k AS (SELECT query, id, list_sum(list_transform(range(1, 65), lambda i: (dv.vec[i] - qv.vec[i]) * (dv.vec[i] - qv.vec[i]))) AS distance FROM dv, qv),
+    n AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(distance, 6), id) AS rank FROM k QUALIFY rank <= 40),
+    u AS (SELECT query, id, 1 / (1 + distance) AS x FROM n UNION ALL SELECT query, id, 0.6 / rank FROM t), g AS (SELECT query, id, sum(x) AS score FROM u GROUP BY query, id),
+    d AS (SELECT doc_id AS id, {E.role('text')} AS role, {WORDS} AS words, {SQL_CONCEPTS} AS concepts FROM documents),
+    a AS (SELECT item_id AS query, {NORM} AS ql, CASE WHEN {E.any_of(NORM, E.SERVICE)} THEN 12 ELSE 8 END AS k FROM benchmark),
+    r AS (SELECT query, id, k, score * CASE WHEN role IN ('mandatory_rule', 'access_rule', 'service_mapping', 'contact_rule') THEN 1.3 ELSE 1.0 END
+      * CASE WHEN len(list_filter(concepts, lambda c: contains(ql, lower(c)))) >= 2 THEN 1.1 WHEN len(list_filter(concepts, lambda c: contains(ql, lower(c)))) = 1 THEN 1.05 ELSE 1.0 END
+      * CASE WHEN words > 700 AND role = 'descriptive' THEN 0.9 ELSE 1.0 END AS score FROM g JOIN d USING (id) JOIN a USING (query))
+    SELECT query, id, round(score, 5) AS score, {RANKED} FROM r QUALIFY rank <= k"""
 )
 def hybrid_fuse(spark, sf_dir):
-    """Vector similarity 1 / (1 + d) and lexical 0.6 / (1 + rank), summed by candidate."""
-    lexical = retrieval.top_k(_bm25(spark, sf_dir).where("query < 10"), 10)
-    fused = retrieval.fuse([(_knn(spark, sf_dir), 1 / (1 + F.col("distance"))), (lexical, 0.6 / F.col("rank"))])
-    return retrieval.top_k(fused, 8).select("query", "id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
+    """Forty candidates each by vector and by words, summed, reranked by role, concepts and length; 8 or 12 by the question."""
+    docs = table(spark, sf_dir, "documents")
+    asked = _questions(spark, sf_dir)
+    body = F.col("text")
+    near = retrieval.nearest(docs.select("doc_id", retrieval.embedding(body).alias("vec")), asked.select("query", retrieval.embedding(body).alias("vec")), 40, "doc_id", "vec")
+    passages = docs.select(F.col("doc_id").alias("id"), classify.role(body).alias("role"), text.word_count(body).alias("words"), text.concepts(body, LOCAL_CONCEPTS, False).alias("concepts"))
+    questions = asked.withColumnRenamed("text", "question")
+    out = retrieval.hybrid(near, _bm25(spark, sf_dir, 40), passages, questions, classify.depth(F.col("question")))
+    return out.select("query", "id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query(
-    f"""WITH {_sql_bm25(1.5, 0.75)}, a AS (SELECT s.*, d.source, d.text FROM s JOIN documents d ON s.id = d.doc_id),
-    r AS (SELECT query, id, score * CASE WHEN {sql_hits("lower(text)", lexicon.PROCEDURAL)} < 2 AND {sql_hits("lower(text)", lexicon.RULES)} >= 2 THEN 1.3 ELSE 1.0 END
-      * CASE WHEN {WORDS} > 700 AND {sql_hits("lower(text)", lexicon.PROCEDURAL)} < 2 AND {sql_hits("lower(text)", lexicon.RULES)} < 2 AND NOT {sql_any("lower(text)", lexicon.DEFINITIONS)} THEN 0.9 ELSE 1.0 END AS score FROM a)
-    SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, id) AS rank, round(score, 4) AS score FROM r QUALIFY rank <= 8"""
+    f"""WITH {sql_top(40)}, a AS (SELECT t.*, d.text FROM t JOIN documents d ON t.id = d.doc_id),
+    r AS (SELECT query, id, score * CASE WHEN ({E.role('text')}) = 'mandatory_rule' THEN 1.3 ELSE 1.0 END * CASE WHEN {WORDS} > 700 AND ({E.role('text')}) = 'descriptive' THEN 0.9 ELSE 1.0 END AS score FROM a)
+    SELECT query, id, {RANKED}, round(score, 4) AS score FROM r QUALIFY rank <= 8"""
 )
 def rerank_boost(spark, sf_dir):
+    """The forty best by words, reranked by role and length."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), classify.role(F.col("text")).alias("role"), text.word_count(F.col("text")).alias("words"))
-    scored = _bm25(spark, sf_dir).join(d, "id").withColumn("score", retrieval.rerank(F.col("score"), F.col("role"), F.col("words")))
+    scored = _bm25(spark, sf_dir, 40).drop("rank").join(d, "id").withColumn("score", retrieval.rerank(F.col("score"), F.col("role"), F.col("words")))
     return retrieval.top_k(scored, 8).select("query", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
 
 
-@query(f"SELECT conv_id, turn, CASE WHEN {sql_any('lower(text)', lexicon.ASK_HOW)} THEN 'procedural' WHEN {sql_any('lower(text)', lexicon.ASK_WHAT)} THEN 'definitional' ELSE 'generic' END AS intent FROM conversations WHERE role = 'user'")
+@query(f"SELECT conv_id, turn, {E.intent('text')} AS intent FROM conversations WHERE role = 'user'")
 def intent_classify(spark, sf_dir):
     return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", classify.intent(F.col("text")).alias("intent"))
 
@@ -257,46 +296,16 @@ def session_history_last5(spark, sf_dir):
     return oplog.last_n(table(spark, sf_dir, "conversations"), "conv_id", "turn", 5).select("conv_id", "turn", "role")
 
 
-@query("SELECT conv_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS history, count(*) AS n FROM conversations GROUP BY conv_id")
-def history_text(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.concat(x["role"], F.lit(": "), x["text"])), "\n").alias("history"), F.count("*").alias("n"))
-
-
 @query("SELECT event_type, count(*) AS total, count(*) FILTER (WHERE event_type = 'error') AS errors, round(avg(value), 4) AS avg_value, round(max(value), 4) AS max_value FROM events GROUP BY event_type")
 def audit_by_type(spark, sf_dir):
     return oplog.audit_stats(table(spark, sf_dir, "events"), "event_type")
 
 
-@query("SELECT count(*) AS total, count(*) FILTER (WHERE event_type = 'error') AS errors, round(avg(value), 4) AS avg_value, round(max(value), 4) AS max_value FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
-def audit_stats_7d(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    last = e.agg(F.max("ts").alias("last"))
-    return oplog.audit_stats(e.join(F.broadcast(last), F.col("ts") >= F.col("last") - F.expr("INTERVAL 7 DAYS")))
-
-
 @query("SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def latest_per_user(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
 
 
-@query()
-def offered_load_1h(spark, sf_dir):
-    return oplog.offered_load(table(spark, sf_dir, "events"), "user_id", "ts", 3600).select("event_id", "load")
-
-
-ORACLE["offered_load_1h"] = "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY s RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS load FROM (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s FROM events)"
-
-
-@query()
-def rate_limiter(spark, sf_dir):
-    return oplog.limited(table(spark, sf_dir, "events"), "user_id", "ts", 2, 3600).select("event_id", "accepted")
-
-
-@query("SELECT event_id FROM (SELECT event_id, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id, event_type ORDER BY epoch(ts), event_id) AS gap FROM events) WHERE gap IS NULL OR gap > 3600")
-def ttl_dedup_1h(spark, sf_dir):
-    return oplog.ttl_dedup(table(spark, sf_dir, "events"), ["user_id", "event_type"], "ts", 3600).select("event_id")
-
-
 @query(
     "WITH a AS (SELECT *, CASE WHEN epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY epoch(ts), event_id) > 1800 THEN 1 ELSE 0 END AS new FROM events), "
     "b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY epoch(ts), event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM a) SELECT user_id, session, count(*) AS n, min(event_id) AS first_event FROM b GROUP BY user_id, session"
@@ -305,66 +314,6 @@ def session_windows(spark, sf_dir):
     return oplog.sessions(table(spark, sf_dir, "events"), "user_id", "ts", 1800)
 
 
-@query(
-    "WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events), "
-    f"h AS (SELECT user_id, CAST(0 AS BIGINT) AS n, '{'0' * 64}' AS last FROM events GROUP BY user_id UNION ALL SELECT h.user_id, h.n + 1, sha256(h.last || e.event_id || ':' || e.event_type) FROM h JOIN e ON e.user_id = h.user_id AND e.r = h.n + 1) "
-    "SELECT user_id, max(n) AS n, arg_max(last, n) AS last FROM h GROUP BY user_id"
-)
-def hash_chain_build(spark, sf_dir):
-    return oplog.hash_chain(table(spark, sf_dir, "events"), "user_id", "event_id", F.concat_ws(":", F.col("event_id").cast("string"), "event_type"))
-
-
-METRICS = "SELECT 'quantity' AS metric, l_quantity AS value FROM lineitem UNION ALL SELECT 'price', l_extendedprice FROM lineitem UNION ALL SELECT 'discount', l_discount FROM lineitem"
-
-
-def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem")
-    return li.select(F.expr("stack(3, 'quantity', l_quantity, 'price', l_extendedprice, 'discount', l_discount) AS (metric, value)"))
-
-
-@query(
-    f"""WITH m AS ({METRICS}), b AS (SELECT metric, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS std, min(value) AS min, max(value) AS max, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, quantile_cont(value, 0.75) AS q3 FROM m GROUP BY metric)
-    SELECT b.metric, b.n, round(b.mean, 4) AS mean, round(b.std, 4) AS std, b.min, b.max, round(q1, 4) AS q1, round(median, 4) AS median, round(q3, 4) AS q3,
-    count(*) FILTER (WHERE value < q1 - 1.5 * (q3 - q1)) AS low_outliers, count(*) FILTER (WHERE value > q3 + 1.5 * (q3 - q1)) AS high_outliers FROM m JOIN b USING (metric) GROUP BY ALL"""
-)
-def metric_stats(spark, sf_dir):
-    s = evaluate.statistics(_metrics(spark, sf_dir))
-    return s.select("metric", "n", *[F.round(c, 4).alias(c) for c in ("mean", "std")], "min", "max", *[F.round(c, 4).alias(c) for c in ("q1", "median", "q3")], "low_outliers", "high_outliers")
-
-
-@query("SELECT round(corr(l_quantity, l_extendedprice), 6) AS quantity_price, round(corr(l_quantity, l_discount), 6) AS quantity_discount, round(corr(l_extendedprice, l_tax), 6) AS price_tax FROM lineitem")
-def metric_corr(spark, sf_dir):
-    pairs = (("l_quantity", "l_extendedprice", "quantity_price"), ("l_quantity", "l_discount", "quantity_discount"), ("l_extendedprice", "l_tax", "price_tax"))
-    return table(spark, sf_dir, "lineitem").agg(*[F.round(F.corr(a, b), 6).alias(n) for a, b, n in pairs])
-
-
-@query("SELECT quality, toxic, count(*) AS n, round(greatest(0, avg(quality) * 60 - least(2.0 * sum(toxic), 20)), 4) AS health FROM labels GROUP BY quality, toxic")
-def health_score(spark, sf_dir):
-    return table(spark, sf_dir, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n"), F.round(evaluate.health(F.avg("quality"), F.sum("toxic"), F.lit(0)), 4).alias("health"))
-
-
-@query("""SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href="([^"#]+)', 1))) AS url FROM pages""")
-def html_links(spark, sf_dir):
-    return graph.page_links(table(spark, sf_dir, "pages"))
-
-
-@query("""WITH l AS (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href="([^"#]+)', 1))) AS url FROM pages) SELECT url, count(*) AS frequency, min(page_id) AS first_page FROM l GROUP BY url""")
-def link_map(spark, sf_dir):
-    return graph.page_links(table(spark, sf_dir, "pages")).groupBy("url").agg(F.count("*").alias("frequency"), F.min("page_id").alias("first_page"))
-
-
-@query(
-    "SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS host, regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1) AS path, "
-    "CASE WHEN len(s) > 100 THEN substr(s, 1, 100) || '_' || substr(md5(url), 1, 8) ELSE s END AS slug, "
-    + "CASE "
-    + " ".join(f"WHEN contains(lower(url), '{w}') THEN '{n}'" for w, n in lexicon.SECTIONS)
-    + f" ELSE 'Generale' END AS section, regexp_matches(url, '(?i){'|'.join(lexicon.EXCLUDED)}') AS excluded FROM (SELECT *, regexp_replace(regexp_replace(url, '^https?://', ''), '[^a-zA-Z0-9]+', '_', 'g') AS s FROM pages)"
-)
-def url_parts(spark, sf_dir):
-    u = F.col("url")
-    return table(spark, sf_dir, "pages").select("page_id", text.host(u).alias("host"), text.path(u).alias("path"), text.url_slug(u).alias("slug"), classify.section(u).alias("section"), classify.excluded(u).alias("excluded"))
-
-
 @query("SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def anti_new_docs(spark, sf_dir):
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id")
@@ -423,62 +372,6 @@ def expand_queries(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.sort_array(variants).alias("variants"))
 
 
-PHONE = dict(lexicon.PII_INPUT)["PHONE"]
-SQL_TIMES = rf"list_transform(regexp_extract_all({{}}, '{text.TIMES}'), lambda x: lower(regexp_replace(x, '\s+', ' ', 'g')))"
-
-
-@query(
-    f"""WITH x AS (SELECT lang, source, regexp_extract_all(text, '{text.EMAIL}') AS e, regexp_extract_all(text, '{PHONE}') AS p, {SQL_TIMES.format("text")} AS t FROM documents),
-    g AS (SELECT lang, source, count(*) AS docs, """
-    + ", ".join(f"coalesce(len(list_distinct(flatten(list({c})))), 0)::BIGINT AS {n}" for c, n in zip("ept", evidence.KINDS, strict=True))
-    + " FROM x GROUP BY lang, source) SELECT *, docs >= 2 AND greatest(emails, phones, times) <= 1 AS sufficient FROM g"
-)
-def evidence_groups(spark, sf_dir):
-    return evidence.groups(table(spark, sf_dir, "documents"), ["lang", "source"], "doc_id", "text")
-
-
-@query(
-    f"""WITH l AS (SELECT source, doc_id, trim(unnest(string_split(text, chr(10)))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents WHERE text IS NOT NULL),
-    k AS (SELECT * FROM l WHERE line <> '' AND (regexp_matches(line, '{text.EMAIL}') OR regexp_matches(line, '{PHONE}') OR regexp_matches(line, '{text.TIMES}')))
-    SELECT source, line, min(doc_id) AS first_doc, arg_min(pos, doc_id::HUGEINT * 1000000000000 + pos) AS first_line FROM k GROUP BY source, line"""
-)
-def evidence_lines(spark, sf_dir):
-    return evidence.stated(table(spark, sf_dir, "documents"), ["source"], "doc_id", "text")
-
-
-KEYWORDS = f"list_distinct(list_filter({TOKENS}, lambda w: len(w) > 3 AND NOT list_contains({sql_list(lexicon.STOP_WORDS)}, w)))"
-
-
-@query(
-    rf"""WITH {_sql_bm25(1.5, 0.75)}, t AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, id) AS rank FROM s QUALIFY rank <= 20),
-    k AS (SELECT item_id AS query, lower(text) AS ql, {KEYWORDS} AS kws FROM benchmark), d AS (SELECT doc_id AS id, text AS content, lower(text) AS low, {TOKENS} AS own, {TOKENS.replace("coalesce(text,", "coalesce(source,")} AS named FROM documents),
-    j AS (SELECT query, id, rank, ql, kws, content, low, len(list_intersect(kws, own)) AS met, len(list_filter(list_intersect(kws, named), lambda w: NOT list_contains({sql_list(ensemble.NAME_NOISE)}, w))) AS names,
-      {sql_any("ql", lexicon.ASK_WHAT)} AND NOT {sql_any("ql", lexicon.ASK_HOW)} AS definitional, list_filter(regexp_split_to_array(ql, '\s+'), lambda w: len(w) > 3) AS terms FROM t JOIN d USING (id) JOIN k USING (query))
-    SELECT query, id, round(greatest(0.0, 1 - (rank - 1) * 0.05)
-      * CASE WHEN definitional AND len(list_filter(kws, lambda w: regexp_matches(low, '\b' || w || '\w*\s*(dell\w+)?\s*:'))) > 0 THEN 1.5 WHEN definitional AND len(list_filter(kws, lambda w: starts_with(trim(low), w))) > 0 THEN 1.2 ELSE 1.0 END
-      * CASE WHEN len(content) < 500 AND met >= 2 AND met / len(kws) > 0.5 THEN 1.3 ELSE 1.0 END * CASE WHEN names >= 2 THEN 1.45 WHEN names = 1 THEN 1.3 ELSE 1.0 END
-      * CASE WHEN len(content) > 2000 AND len(terms) > 0 AND len(list_filter(terms, lambda w: contains(low, w))) = 0 THEN 0.5 ELSE 1.0 END, 6)::DOUBLE AS score FROM j"""
-)
-def ensemble_boost(spark, sf_dir):
-    """The 20 best of BM25 by rank, with the boosts for definitions, density and names and the penalty for length."""
-    top = retrieval.top_k(_bm25(spark, sf_dir), 20).select("query", "id", "rank")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "source")
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("q"), text.keywords(F.col("text")).alias("kws"))
-    q, kws, content = F.col("q"), F.col("kws"), F.col("content")
-    boosts = ensemble.definition_boost(classify.intent(q) == "definitional", kws, content) * ensemble.density_boost(kws, content) * ensemble.name_boost(kws, F.col("source"))
-    score = ensemble.rank_score(F.col("rank")) * boosts * ensemble.length_penalty(q, content)
-    return top.join(docs, "id").join(asked, "query").select("query", "id", F.round(score, 6).alias("score"))
-
-
-@query(
-    """WITH u AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x, sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE))) AS n FROM embeddings),
-    s AS (SELECT label, i, sum(x / n) AS s, count(*) AS n FROM u WHERE n > 0 GROUP BY label, i)
-    SELECT label, max(n) AS n, round(CASE WHEN max(n) < 2 THEN 1.0 ELSE (sum(s * s) - max(n)) / (max(n) * (max(n) - 1)) END, 6) AS consistency FROM s GROUP BY label"""
-)
-def answer_consistency(spark, sf_dir):
-    return evaluate.consistency(table(spark, sf_dir, "embeddings"), "label", "embedding").select("label", "n", F.round("consistency", 6).alias("consistency"))
-
-
 # --- FAQ paragraphs, citations, verdicts, alignment
 @query(
     r"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, regexp_replace(unnest(string_split(replace(text, ',', '?'), chr(10))), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
@@ -519,25 +412,4 @@ def align_pages(spark, sf_dir):
     return align.align(chunks, pages)
 
 
-def _overlap(question, content):
-    """A stand-in for a cross-encoder: the share of a question's words that the text has."""
-    out = []
-    for q, t in zip(question, content, strict=True):
-        words = set(q.lower().split(" "))
-        out.append(len(words & set((t or "").lower().split(" "))) / len(words))
-    return out
-
-
-@query(
-    f"""WITH {_sql_bm25(1.5, 0.75)}, t AS (SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, id) AS was FROM s QUALIFY was <= 20),
-    j AS (SELECT query, id, was, list_distinct(string_split(lower(b.text), ' ')) AS qs, string_split(lower(coalesce(d.text, '')[1:2048]), ' ') AS ts FROM t JOIN benchmark b ON item_id = query JOIN documents d ON doc_id = id),
-    r AS (SELECT query, id, was, len(list_intersect(qs, ts)) / len(qs) AS score FROM j)
-    SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY score DESC, was, id) AS rank, round(score, 6)::DOUBLE AS score FROM r WHERE score >= 0.1 QUALIFY rank <= 5"""
-)
-def rerank_scored(spark, sf_dir):
-    """The 20 best of BM25, put in order by a pair scorer."""
-    top = retrieval.top_k(_bm25(spark, sf_dir), 20).select("query", "id", "rank")
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("question"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    best = plugins.scored(top.join(docs, "id").join(asked, "query"), _overlap, 5, 0.1)
-    return best.select("query", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+from . import answers, corpus, evaluation, operations  # noqa: E402, F401 (they register their queries)
