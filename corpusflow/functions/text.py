@@ -207,7 +207,8 @@ def first_number(text: Column) -> Column:
 
 def clamp(value: Column, low: int, high: int, default: int) -> Column:
     """A text or number as an integer within bounds; the default where it is none."""
-    return F.coalesce(F.greatest(F.lit(low), F.least(F.lit(high), value.try_cast("int"))), F.lit(default))
+    number = value.try_cast("int")
+    return F.when(number.isNull(), default).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), number)))
 
 
 def casefolded(text: Column) -> Column:

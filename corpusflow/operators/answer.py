@@ -123,7 +123,7 @@ def quoting(prompts: pd.Series) -> pd.Series:
         if at < 0:
             return "Mi dispiace"
         body = prompt[prompt.find("\n", at + 1) + 1 :]
-        stop = min((x for x in (body.find("\n\n"), body.find("\n[2] ")) if x >= 0), default=len(body))
+        stop = min((x for x in map(body.find, ("\n\n[2] ", "\n\n===", "\n\nDOMANDA:", "\n\nRISPOSTA:")) if x >= 0), default=len(body))
         return body[:stop]
 
     return prompts.map(first)

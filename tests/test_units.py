@@ -16,7 +16,12 @@ def one(spark, column):
 
 
 def test_intent(spark):
-    for question, intent in (("Come faccio ad accedere?", "procedural"), ("Cos'è il cruscotto?", "definitional"), ("Orari", "generic")):
+    cases = [
+        ("Come faccio ad accedere?", "procedural"), ("Dove trovo il modulo?", "procedural"), ("Come scaricare la delega?", "procedural"), ("Vorrei sapere come inserire i dati", "procedural"),
+        ("Cosa significa BDN?", "acronym_definition"), ("per cosa sta OdC?", "acronym_definition"), ("Cosa si intende per SQNBA?", "acronym_definition"), ("Cosa significa uva?", "generic"),
+        ("Cos'è il cruscotto?", "definitional"), ("A cosa serve la checklist?", "definitional"), ("Orari", "generic"),
+    ]
+    for question, intent in cases:
         assert one(spark, classify.intent(F.lit(question))) == intent
 
 
@@ -31,12 +36,65 @@ def test_metrics(spark):
 def test_statistics(spark):
     rows = spark.createDataFrame([("m", x) for x in (0.8, 0.85, 0.9, 0.92, 0.95)], ["metric", "value"])
     got = evaluate.statistics(rows).first()
-    assert round(got["mean"], 3) == 0.884 and got["median"] == 0.9
+    assert round(got["mean"], 3) == 0.884 and got["median"] == 0.9 and got["mode"] == 0.8
+    rng = random.Random(2)
+    values = [rng.choice([round(rng.gauss(0, 1), 2), None, 5.0]) for _ in range(3001)]
+    many = spark.createDataFrame([("m", x) for x in values] + [("n", None), ("o", 1.0)], "metric string, value double")
+    got = {r["metric"]: r for r in evaluate.statistics(many).collect()}
+    import pandas as pd
+
+    plain = pd.Series([x for x in values if x is not None])
+    assert set(got) == {"m", "o"} and got["o"]["q1"] == got["o"]["q3"] == 1.0 and got["o"]["std"] is None
+    for name, want in (("q1", plain.quantile(0.25)), ("median", plain.median()), ("q3", plain.quantile(0.75)), ("variance", plain.var()), ("mode", plain.mode()[0])):
+        assert abs(got["m"][name] - want) < 1e-9
+
+
+def plain_split(content, size, overlap, separators=chunking.SEPARATORS):
+    """Pieces that begin with their separator, merged as long as they fit: a plain version."""
+    at = next((i for i, x in enumerate(separators) if x in content), len(separators) - 1)
+    sep, finer = separators[at], separators[at + 1 :]
+    first, *rest = content.split(sep)
+    pieces = [p for p in [first, *(sep + r for r in rest)] if p]
+    out, good = [], []
+
+    def merge():
+        window, total = [], 0
+        for p in good:
+            if window and total + len(p) > size:
+                out.append("".join(window))
+                while total > overlap or (total > 0 and total + len(p) > size):
+                    total -= len(window.pop(0))
+            window.append(p)
+            total += len(p)
+        if window:
+            out.append("".join(window))
+        good.clear()
+
+    for p in pieces:
+        if len(p) < size:
+            good.append(p)
+        else:
+            merge()
+            out.extend(plain_split(p, size, overlap, finer) if finer else [p])
+    merge()
+    return [x.strip() for x in out if x.strip()]
 
 
 def test_split():
-    parts = chunking.recursive_split("a" * 50 + "\n\n" + "b" * 50 + ". " + "c" * 50, 60, 10)
-    assert all(len(p) <= 60 for p in parts) and "".join(parts).count("c") >= 50
+    rng = random.Random(7)
+    texts = ["a" * 50 + "\n\n" + "b" * 50 + ". " + "c" * 50, "", " ", "\n\n\n\nx", "x" * 5000, "wort " * 900]
+    texts += ["".join(rng.choices(["a", "bb", " ", ", ", ". ", "\n", "\n\n", "lang" * 9], k=rng.randrange(300))) for _ in range(300)]
+    for content in texts:
+        for size, overlap in ((60, 10), (200, 50), (25, 24)):
+            assert list(chunking.recursive_split(content, size, overlap)) == plain_split(content, size, overlap)
+
+
+def test_split_rows(spark):
+    rows = spark.createDataFrame([(1, "x", "uno. due. " * 500), (2, "y", None), (3, "z", "  ")], "id long, idx2 string, text string")
+    got = chunking.split_rows(rows, "text", 100, 20).collect()
+    assert {r["id"] for r in got} == {1} and [r["idx"] for r in got] == list(range(len(got))) and all(len(r["passage"]) <= 100 for r in got)
+    long = "\n".join(["wort " * 100] * 3000)
+    assert chunking.chunk_documents(spark.createDataFrame([(1, long)], "id long, text string"), "id", "text").count() == len(plain_split(long, 2000, 300))
 
 
 def test_trim(spark):
@@ -45,9 +103,19 @@ def test_trim(spark):
 
 
 def test_crawl(spark):
-    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("b", "a")], ["src", "dst"])
-    got = graph.crawl(spark.createDataFrame([("a",)], ["url"]), edges, 2)
-    assert {tuple(r) for r in got.collect()} == {("a", 0), ("b", 1), ("c", 2)}
+    link = lambda *to: " ".join(f'<a class="x" href={h}>y</a>' for h in to)
+    pages = [
+        ("http://s.it/", link('"/b"', "'c/d?x=1&amp;y=2'", '"http://andere.it/x"', '"mailto:a@b.it"', '"/f/a.PDF"', "#top")),
+        ("http://s.it/b", link('"../e"', '"/"', '"./g/../h"')),
+        ("http://s.it/e", link('"/tief"', "/z.docx")),
+        ("http://s.it/c/d?x=1&y=2", link('"//s.it/k"')),
+    ]
+    got = graph.crawl(spark.createDataFrame([("http://s.it/",)], ["url"]), spark.createDataFrame(pages, ["url", "html"]), 2)
+    want = {
+        ("http://s.it/", 0, "page"), ("http://s.it/b", 1, "page"), ("http://s.it/c/d?x=1&y=2", 1, "page"), ("http://s.it/f/a.PDF", 1, "file"), ("http://s.it/e", 2, "page"), ("http://s.it/h", 2, "page"),
+        ("http://s.it/k", 2, "page"), ("http://s.it/z.docx", 3, "file"),
+    }
+    assert {tuple(r) for r in got.collect()} == want
 
 
 def test_versions(spark):
