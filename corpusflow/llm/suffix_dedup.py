@@ -89,7 +89,7 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
         packed[: n - i] |= symbols[i:]
     size = 7
     while True:
-        order = np.argsort(packed, kind="stable")
+        order = np.argsort(packed)  # equal ones are told apart by the next round
         seen = packed[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate(([0], seen[1:] != seen[:-1])))
@@ -208,7 +208,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     the text. Strings are judged on the input and never cross documents.
 
     Every string belongs to the gram in it with the least hash, and a run of strings with one gram is a segment (some 40 strings). Of
-    equal segments (known by gram and XXH3-128, 192 bits), met within a batch or by gram, only the first is looked at further; the
+    equal segments (known by gram and 88 bits of XXH3, 152 bits in all), met within a batch or by gram, only the first is looked at further; the
     others are removed whole. A gram with more than CROWD differing segments has them cut again by the next least gram
     of their strings, and so on: equal strings share all their grams. Segments of
     one gram that differ meet in a text of about TEXT bytes, whose transform is expanded to `length`.
@@ -230,22 +230,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         place = ranked(scratch, rows.select("id", "row"), [F.col("id").asc_nulls_last(), F.col("row")], "key")
         rows = scratch.save(rows.join(place.select("row", F.col("key").cast("long").alias("key")), "row"))
 
-    names = ["gram", "hash", "hash2", "key", "span"]
+    # a span is one number: whether it is a repeat, bits of the second half of the hash, the first start, the number of starts
+    low = (length - GRAM + 1).bit_length()
+    high = low + 31
+    more, starts = (1 << (62 - high)) - 1, (1 << low) - 1
+    names = ["gram", "hash", "key", "span"]
     schema = ", ".join(f"{x} long" for x in names)
 
     def known(body: np.ndarray, at: np.ndarray, sizes: np.ndarray, key: np.ndarray, lo: np.ndarray, n: np.ndarray, gram: np.ndarray) -> Iterator[pa.RecordBatch]:
         """Rows of segments at places of body; those equal to an earlier one of the batch are marked as such."""
         digest, view = xxhash.xxh3_128_digest, memoryview(body)
         both = np.frombuffer(b"".join([digest(view[a:b]) for a, b in zip(at.tolist(), (at + sizes).tolist(), strict=True)]), np.int64).reshape(-1, 2)
+        h, h2 = both[:, 0], both[:, 1] & more
         gram = gram.view(np.int64)
-        order = np.lexsort((lo, key, both[:, 1], both[:, 0], gram))
-        h, h2, key, lo, n, gram = both[order, 0], both[order, 1], key[order], lo[order], n[order], gram[order]
+        order = np.lexsort((lo, key, h))
+        h, h2, key, lo, n, gram = h[order], h2[order], key[order], lo[order], n[order], gram[order]
         dup = np.concatenate(([False], (h[1:] == h[:-1]) & (h2[1:] == h2[:-1]) & (gram[1:] == gram[:-1])))
-        span = (dup.astype(np.int64) << 60) | (lo.astype(np.int64) << 16) | n
+        span = (dup.astype(np.int64) << 62) | (np.where(dup, 0, h2) << high) | (lo.astype(np.int64) << low) | n
         # repeats need not meet
-        gram, h, h2 = np.where(dup, key & 0xFFFFF, gram), np.where(dup, 0, h), np.where(dup, 0, h2)
+        gram, h = np.where(dup, key & 0xFFFFF, gram), np.where(dup, 0, h)
         for i in range(0, len(key), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]) for x in (gram, h, h2, key, span)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]) for x in (gram, h, key, span)], names=names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -290,13 +295,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         alone = None  # the gram's only segment so far
         for batch in batches:
             c = {f: np.asarray(batch.column(f)) for f in names}
-            again = c["span"] >> 60 == 1
+            again = c["span"] >> 62 == 1
             live = np.flatnonzero(~again)
             again = again.copy()
             cand = np.zeros(len(again), bool)
             extra = []
             if len(live):
-                g, h, h2 = c["gram"][live], c["hash"][live], c["hash2"][live]
+                g, h, h2 = c["gram"][live], c["hash"][live], c["span"][live] >> high
                 pg, ph, ph2 = (np.concatenate(([0 if last is None else last[i]], x[:-1])) for i, x in enumerate((g, h, h2)))
                 same_gram = g == pg
                 if last is None:
@@ -316,11 +321,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             pick = np.flatnonzero(again | cand)
             gram, key, span = (np.concatenate((c[f][pick], np.array([x[i] for x in extra], np.int64))) for i, f in enumerate(("gram", "key", "span")))
             flag = np.concatenate((again[pick], np.zeros(len(extra), bool)))
-            lo, n = (span >> 16) & 0xFFFFFFFF, span & 0xFFFF
+            lo, n = (span >> low) & 0x7FFFFFFF, span & starts
             yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(key), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(flag)], names=["gram", "key", "lo", "n", "dup"])
 
     def met_of(cutted: DataFrame) -> DataFrame:
-        dealt = cutted.repartition("gram").sortWithinPartitions("gram", F.col("span") >= (1 << 60), "hash", "hash2", "key", "span")
+        dealt = cutted.repartition("gram").sortWithinPartitions("gram", F.col("span") >= (1 << 62), "hash", "key", "span")
         return scratch.save(dealt.mapInArrow(meet, "gram long, key long, lo int, n int, dup boolean"))
 
     size = F.col("n") + (length - 1)
