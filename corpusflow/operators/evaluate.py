@@ -56,7 +56,9 @@ def quartiles(long: DataFrame, name: str = "metric", value: str = "value", accur
     rows = long.where(v.isNotNull()).select(F.col(name).alias("_m"), v.cast("double").alias("_v"))
     shares = (0.25, 0.5, 0.75)
     sketch = rows.groupBy("_m").agg(F.count("*").alias("_n"), F.percentile_approx("_v", F.array(*[F.lit(min(1.0, max(0.0, s + d))) for s in shares for d in (-3 / accuracy, 3 / accuracy)]), accuracy).alias("_b"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
-    spans = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("share"), F.col("_b")[2 * i].alias("low"), F.col("_b")[2 * i + 1].alias("high")) for i, s in enumerate(shares)])
+    few = F.col("_n") <= accuracy  # then all values are within the bracket
+    ends = lambda i: (F.when(few, F.col("_low")).otherwise(F.col("_b")[2 * i]).alias("low"), F.when(few, F.col("_high")).otherwise(F.col("_b")[2 * i + 1]).alias("high"))
+    spans = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("share"), *ends(i)) for i, s in enumerate(shares)])
     wide = sketch.select("_m", "_n", spans.alias("_s"))
     seen = rows.join(F.broadcast(wide) if metrics_are_few(wide) else wide, "_m")
     # of each quartile: how many are below its bracket, and the values in it

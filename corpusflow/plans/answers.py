@@ -14,8 +14,10 @@ from .registry import query, table
 @query(
     rf"""WITH {sql_top(20)}, k AS (SELECT item_id AS query, lower(text) AS ql, {E.KEYWORDS} AS kws FROM benchmark),
     d AS (SELECT doc_id AS id, text AS content, lower(text) AS low, {E.TOKENS} AS own, {E.TOKENS.replace("coalesce(text,", "coalesce(source,")} AS named FROM documents),
-    j AS (SELECT query, id, rank, ql, kws, content, low, len(list_intersect(kws, own)) AS met, len(list_filter(list_intersect(kws, named), lambda w: NOT list_contains({E.sql_list(E.NAME_NOISE)}, w))) AS names,
-      {E.any_of("ql", E.DEFINITION)} AS definitional, list_filter(regexp_split_to_array(ql, '\s+'), lambda w: len(w) > 3) AS terms FROM t JOIN d USING (id) JOIN k USING (query))
+    j AS (SELECT query, id, rank, ql, kws, content, low, len(list_intersect(kws, own)) AS met, len(list_filter(list_intersect(kws, named),
+      lambda w: NOT list_contains({E.sql_list(E.NAME_NOISE)}, w))) AS names,
+      {E.any_of("ql", E.DEFINITION)} AS definitional, list_filter(regexp_split_to_array(ql, '\s+'), lambda w: len(w) > 3) AS terms FROM t
+        JOIN d USING (id) JOIN k USING (query))
     SELECT query, id, round(greatest(0.0, 1 - (rank - 1) * 0.05)
       * CASE WHEN definitional AND len(list_filter(kws, lambda w: regexp_matches(low, '\b' || w || '\w*\s*(dell\w+)?\s*:'))) > 0 THEN 1.5
              WHEN definitional AND len(list_filter(kws, lambda w: starts_with(trim(low), w))) > 0 THEN 1.2 ELSE 1.0 END
@@ -51,12 +53,17 @@ def _kind(id_col):
 
 @query(
     rf"""WITH {sql_top(8)}, {NEAR}, a AS (SELECT item_id AS query, lower(text) AS ql, {E.KEYWORDS} AS kws, {E.intent('text')} AS intent FROM benchmark),
-    w AS (SELECT query, CASE intent WHEN 'acronym_definition' THEN 0.3 WHEN 'procedural' THEN 0.7 ELSE 0.6 END AS v, CASE intent WHEN 'acronym_definition' THEN 0.7 WHEN 'procedural' THEN 0.3 ELSE 0.4 END AS l FROM a),
-    u AS (SELECT query, id, greatest(0, 1 - 0.05 * (rank - 1)) * v AS x FROM nn JOIN w USING (query) UNION ALL SELECT query, id, greatest(0, 1 - 0.05 * (rank - 1)) * l FROM t JOIN w USING (query)),
+    w AS (SELECT query, CASE intent WHEN 'acronym_definition' THEN 0.3 WHEN 'procedural' THEN 0.7 ELSE 0.6 END AS v, CASE intent
+      WHEN 'acronym_definition' THEN 0.7 WHEN 'procedural' THEN 0.3 ELSE 0.4 END AS l FROM a),
+    u AS (SELECT query, id, greatest(0, 1 - 0.05 * (rank - 1)) * v AS x FROM nn JOIN w USING (query) UNION ALL SELECT query, id, greatest(0,
+      1 - 0.05 * (rank - 1)) * l FROM t JOIN w USING (query)),
     g AS (SELECT query, id, sum(x) AS base FROM u GROUP BY query, id), d AS (SELECT doc_id AS id, text AS content, lower(text) AS low, {E.TOKENS} AS own FROM documents),
-    j AS (SELECT *, len(list_intersect(kws, own)) AS met, {E.any_of("ql", E.DEFINITION)} AS definitional, list_filter(regexp_split_to_array(ql, '\s+'), lambda z: len(z) > 3) AS terms, {KINDS} AS kind FROM g JOIN d USING (id) JOIN a USING (query)),
-    r AS (SELECT query, id, base * CASE WHEN definitional AND len(list_filter(kws, lambda z: regexp_matches(low, '\b' || z || '\w*\s*(dell\w+)?\s*:'))) > 0 THEN 1.5 WHEN definitional AND len(list_filter(kws, lambda z: starts_with(trim(low), z))) > 0 THEN 1.2 ELSE 1.0 END
-      * CASE WHEN len(content) < 500 AND met >= 2 AND met / len(kws) > 0.5 THEN 1.3 ELSE 1.0 END * CASE WHEN len(content) > 2000 AND len(terms) > 0 AND len(list_filter(terms, lambda z: contains(low, z))) = 0 THEN 0.5 ELSE 1.0 END AS score
+    j AS (SELECT *, len(list_intersect(kws, own)) AS met, {E.any_of("ql", E.DEFINITION)} AS definitional, list_filter(regexp_split_to_array(ql,
+      '\s+'), lambda z: len(z) > 3) AS terms, {KINDS} AS kind FROM g JOIN d USING (id) JOIN a USING (query)),
+    r AS (SELECT query, id, base * CASE WHEN definitional AND len(list_filter(kws, lambda z: regexp_matches(low,
+      '\b' || z || '\w*\s*(dell\w+)?\s*:'))) > 0 THEN 1.5 WHEN definitional AND len(list_filter(kws, lambda z: starts_with(trim(low), z))) > 0 THEN 1.2 ELSE 1.0 END
+      * CASE WHEN len(content) < 500 AND met >= 2 AND met / len(kws) > 0.5 THEN 1.3 ELSE 1.0 END * CASE WHEN len(content) > 2000 AND len(terms) > 0
+        AND len(list_filter(terms, lambda z: contains(low, z))) = 0 THEN 0.5 ELSE 1.0 END AS score
       FROM j WHERE (kind <> 'sanctions_table' OR contains(ql, 'sanzion')) AND (kind <> 'checklist' OR contains(ql, 'controll') OR contains(ql, 'check')))
     SELECT query, id, round(score, 5)::DOUBLE AS score, {RANKED} FROM r QUALIFY rank <= 8"""
 )
@@ -72,7 +79,10 @@ def ensemble_weighted(spark, sf_dir):
 SHARE = "SELECT query, id, rank AS was, len(list_intersect(list_distinct(regexp_split_to_array(trim(lower(b.text)), '\\s+')), regexp_split_to_array(lower(coalesce(d.text, '')[1:2048]), '\\s+'))) / len(list_distinct(regexp_split_to_array(trim(lower(b.text)), '\\s+'))) AS score FROM t JOIN benchmark b ON item_id = query JOIN documents d ON doc_id = id"
 
 
-@query(f"WITH {sql_top(20)}, r AS ({SHARE}) SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY score DESC, was, id) AS rank, round(score, 6)::DOUBLE AS score FROM r WHERE score >= 0.1 QUALIFY rank <= 5")
+@query(
+    f"WITH {sql_top(20)}, r AS ({SHARE}) SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY score DESC, was, id) AS rank, round(score, "
+    f"6)::DOUBLE AS score FROM r WHERE score >= 0.1 QUALIFY rank <= 5"
+)
 def rerank_scored(spark, sf_dir):
     """The 20 best by words, put in order by a pair scorer: a stand-in for a cross-encoder."""
     return _scored(spark, sf_dir, 5, 0.1).select("query", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
@@ -88,7 +98,10 @@ def _scored(spark, sf_dir, k, least=None):
 FACTORS = "CASE kind WHEN 'master_faq' THEN 5.0 WHEN 'faq' THEN 2.5 ELSE 1.0 END"
 
 
-@query(f"WITH {sql_top(20)}, r AS ({SHARE}), b AS (SELECT query, id, score * {FACTORS} AS score FROM (SELECT *, {KINDS} AS kind FROM r)) SELECT query, id, round(score, 6)::DOUBLE AS score, {RANKED} FROM b QUALIFY rank <= 8")
+@query(
+    f"WITH {sql_top(20)}, r AS ({SHARE}), b AS (SELECT query, id, score * {FACTORS} AS score FROM (SELECT *, {KINDS} AS kind FROM r)) SELECT query, id, "
+    f"round(score, 6)::DOUBLE AS score, {RANKED} FROM b QUALIFY rank <= 8"
+)
 def rerank_metadata(spark, sf_dir):
     """Scores times the factor of each passage's category; categories are dealt by id."""
     rows = _scored(spark, sf_dir, 20).select("query", "id", "score", _kind("id").alias("category"))
@@ -97,7 +110,11 @@ def rerank_metadata(spark, sf_dir):
     return out.select("query", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(f"WITH {sql_top(20)}, r AS (SELECT *, {KINDS} AS kind FROM ({SHARE})), m AS (SELECT *, max(CASE WHEN kind = 'master_faq' THEN score END) OVER (PARTITION BY query) AS best FROM r) SELECT query, id, round(score, 6)::DOUBLE AS score FROM m WHERE coalesce(best <= 0.12, true) OR (kind = 'master_faq' AND score > 0.1)")
+@query(
+    f"WITH {sql_top(20)}, r AS (SELECT *, {KINDS} AS kind FROM ({SHARE})), m AS (SELECT *, max(CASE WHEN kind = 'master_faq' THEN score END) OVER "
+    f"(PARTITION BY query) AS best FROM r) SELECT query, id, round(score, 6)::DOUBLE AS score FROM m WHERE coalesce(best <= 0.12, true) OR (kind = "
+    f"'master_faq' AND score > 0.1)"
+)
 def faq_gate(spark, sf_dir):
     """Where the curated FAQ has a strong match only its rows stay; the stand-in's scores are low, so are the limits."""
     rows = _scored(spark, sf_dir, 20).select("query", "id", "score", _kind("id").alias("category"))
@@ -137,7 +154,10 @@ def context_text(spark, sf_dir):
     return answer.context(_passages(spark, sf_dir)).select("query", F.md5("context").alias("context"))
 
 
-@query(f"WITH {sql_top(8)}, p AS ({PASSAGE}), f AS (SELECT query, source, page, min(rank) AS r FROM p WHERE coalesce(source, '') <> '' GROUP BY ALL) SELECT query, list(source || ':' || coalesce(CAST(page AS VARCHAR), '-') ORDER BY r) AS sources FROM f GROUP BY query")
+@query(
+    f"WITH {sql_top(8)}, p AS ({PASSAGE}), f AS (SELECT query, source, page, min(rank) AS r FROM p WHERE coalesce(source, '') <> '' GROUP BY ALL) SELECT "
+    f"query, list(source || ':' || coalesce(CAST(page AS VARCHAR), '-') ORDER BY r) AS sources FROM f GROUP BY query"
+)
 def source_list(spark, sf_dir):
     """The distinct sources of an answer by rank."""
     s = answer.sources(_passages(spark, sf_dir))
@@ -146,7 +166,8 @@ def source_list(spark, sf_dir):
 
 @query(
     f"""WITH {sql_top(8)}, p AS ({PASSAGE}), l AS (SELECT query, rank, 0 AS pos, 'http://x/' || source AS a, ' - [Link Esterno: http://x/' || source || '](http://x/' || source || ')' AS line FROM p WHERE source IS NOT NULL
-      UNION ALL SELECT query, rank, 1, 'mailto:' || (doc_id % 3) || '@x.it', ' - [Contatto Email: ' || (doc_id % 3) || '@x.it](mailto:' || (doc_id % 3) || '@x.it)' FROM p),
+      UNION ALL SELECT query, rank, 1, 'mailto:' || (doc_id % 3) || '@x.it',
+        ' - [Contatto Email: ' || (doc_id % 3) || '@x.it](mailto:' || (doc_id % 3) || '@x.it)' FROM p),
     f AS (SELECT query, a, min(rank * 2 + pos) AS o, any_value(line) AS line FROM l GROUP BY query, a) SELECT query, string_agg(line, chr(10) ORDER BY o) AS links FROM f GROUP BY query"""
 )
 def link_list(spark, sf_dir):
@@ -154,7 +175,10 @@ def link_list(spark, sf_dir):
     return answer.link_lines(_passages(spark, sf_dir))
 
 
-@query(rf"WITH {sql_top(8)}, p AS ({PASSAGE}) SELECT query, max(CASE WHEN len(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 150 THEN 1 ELSE 0 END) = 1 AS usable, avg(len(text)) < 50 AS out_of_domain FROM p GROUP BY query")
+@query(
+    rf"WITH {sql_top(8)}, p AS ({PASSAGE}) SELECT query, max(CASE WHEN len(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 150 THEN 1 ELSE 0 END) = 1 AS "
+    rf"usable, avg(len(text)) < 50 AS out_of_domain FROM p GROUP BY query"
+)
 def context_usable(spark, sf_dir):
     return answer.usable(_passages(spark, sf_dir))
 
@@ -189,3 +213,44 @@ def plain_answers(spark, sf_dir):
     """The baseline: five passages by vector alone."""
     asked = _questions(spark, sf_dir).select(F.col("query").alias("id"), F.col("text").alias("question"))
     return answer.plain_answers(asked, local_passages(spark, sf_dir))
+
+
+@query(
+    f"""WITH {sql_top(8)}, {NEAR}, u AS (SELECT query, id, rank, 0 AS l FROM nn UNION ALL SELECT query, id, rank, 1 FROM t),
+    k AS (SELECT u.*, d.text FROM u JOIN documents d ON d.doc_id = id QUALIFY row_number() OVER (PARTITION BY query, md5(substr(text, 1, 500)) ORDER BY l, rank, id) = 1),
+    n AS (SELECT query, id, text, row_number() OVER (PARTITION BY query ORDER BY l, rank, id) AS was FROM k),
+    r AS (SELECT n.query, n.id, was, len(list_intersect(list_distinct(regexp_split_to_array(trim(lower(b.text)), '\\s+')),
+      regexp_split_to_array(lower(n.text[1:2048]), '\\s+'))) / len(list_distinct(regexp_split_to_array(trim(lower(b.text)), '\\s+'))) AS score FROM n
+      JOIN benchmark b ON item_id = query)
+    SELECT query, id, row_number() OVER (PARTITION BY query ORDER BY score DESC, was, id) AS rank, round(score, 6)::DOUBLE AS score FROM r QUALIFY rank <= 5"""
+)
+def merge_rerank(spark, sf_dir):
+    """Both searches' candidates, each once, by the pair scorer."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    lists = [x.select("query", "id", "rank").join(docs, "id") for x in (_near(spark, sf_dir, 8), _bm25(spark, sf_dir, 8))]
+    asked = _questions(spark, sf_dir).withColumnRenamed("text", "question")
+    best = plugins.scored(retrieval.united(lists).join(asked, "query"), answer.overlap, 5)
+    return best.select("query", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))
+
+
+CONTACT = f"regexp_matches(lower(coalesce(text, '')), {E.quoted(E.EMAIL)}) OR regexp_matches(lower(coalesce(text, '')), {E.quoted(E.PHONE)})"
+
+
+@query(
+    f"""SELECT doc_id, list_filter([CASE WHEN doc_id % 2 = 0 AND regexp_matches(lower(coalesce(text, '')), {E.quoted(E.DURATION)}) THEN 'times' END, CASE WHEN doc_id % 2 = 1 AND ({CONTACT}) THEN 'contacts' END], lambda x: x IS NOT NULL) AS reasons FROM documents"""
+)
+def answer_reasons(spark, sf_dir):
+    """Why a passage may answer at once: every other one is asked for times, the rest for contacts."""
+    from ..operators import evidence
+
+    q = F.when(F.col("doc_id") % 2 == 0, "Quali sono gli orari?").otherwise("Chi posso contattare?")
+    return table(spark, sf_dir, "documents").select("doc_id", evidence.answerable(q, F.coalesce("text", F.lit(""))).alias("reasons"))
+
+
+@query(
+    f"""WITH {sql_top(8)}, c AS (SELECT query, id, {KINDS} AS kind FROM t), m AS (SELECT *, max(CASE WHEN kind = 'faq' THEN 1 ELSE 0 END) OVER (PARTITION BY query) AS any_faq FROM c) SELECT query, id FROM m WHERE kind = 'faq' OR any_faq = 0"""
+)
+def concept_filter(spark, sf_dir):
+    """Passages that share a concept with the question, all where none does; categories stand for concepts."""
+    found = _bm25(spark, sf_dir, 8).select("query", "id", F.array(_kind("id")).alias("concepts"), F.array(F.lit("faq")).alias("asked"))
+    return retrieval.sharing_concepts(found).select("query", "id")

@@ -51,7 +51,11 @@ over_documents(
 over_documents("url_free_preview", "substr(text, 1, 150) AS preview, text[1:50] AS head", preview=lambda t: F.substring(t, 1, 150), head=lambda t: F.substring(t, 1, 50))
 
 
-@query("SELECT source, CASE WHEN contains(source, 'faq') THEN 'faq' WHEN contains(source, 'vis') OR contains(source, 'scheda') OR contains(source, 'guida') THEN 'visual_guide' ELSE 'text_document' END AS source_type, count(*) AS n, min(n_chars) AS least, max(n_chars) AS most, CAST(floor(avg(n_chars)) AS BIGINT) AS mean_chars FROM documents GROUP BY ALL")
+@query(
+    "SELECT source, CASE WHEN contains(source, 'faq') THEN 'faq' WHEN contains(source, 'vis') OR contains(source, 'scheda') OR contains(source, 'guida') "
+    "THEN 'visual_guide' ELSE 'text_document' END AS source_type, count(*) AS n, min(n_chars) AS least, max(n_chars) AS most, CAST(floor(avg(n_chars)) AS "
+    "BIGINT) AS mean_chars FROM documents GROUP BY ALL"
+)
 def source_profile(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.groupBy("source", classify.source_type(F.col("source")).alias("source_type")).agg(F.count("*").alias("n"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), F.floor(F.avg("n_chars")).alias("mean_chars"))
@@ -89,7 +93,10 @@ def validate_accepted(spark, sf_dir):
     return _validated(spark, sf_dir).where(F.size("issues") == 0).select(F.col("chunk_id").alias("doc_id"), "chunk_category", "pii_warning")
 
 
-@query(f"SELECT CASE WHEN len({ISSUES}) = 0 THEN 'valid' WHEN text IS NULL OR text = '' OR source IS NULL THEN 'broken' ELSE 'rejected' END AS verdict, count(*) AS n FROM documents GROUP BY 1")
+@query(
+    f"SELECT CASE WHEN len({ISSUES}) = 0 THEN 'valid' WHEN text IS NULL OR text = '' OR source IS NULL THEN 'broken' ELSE 'rejected' END AS verdict, "
+    f"count(*) AS n FROM documents GROUP BY 1"
+)
 def validate_split(spark, sf_dir):
     d = _validated(spark, sf_dir)
     broken = F.exists("issues", lambda i: i.contains("mancante"))
@@ -101,7 +108,10 @@ def dedup_prefix500(spark, sf_dir):
     return retrieval.dedup_prefix(table(spark, sf_dir, "documents"), F.md5(F.substring("text", 1, 500)), [F.col("doc_id")]).select("doc_id")
 
 
-@query(f"SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY md5(substr({NORM}, 1, 500)) ORDER BY CASE WHEN source = 'src0' THEN 0 ELSE 1 END, doc_id) = 1")
+@query(
+    f"SELECT doc_id, source FROM documents QUALIFY row_number() OVER (PARTITION BY md5(substr({NORM}, 1, 500)) ORDER BY CASE WHEN source = 'src0' THEN 0 "
+    f"ELSE 1 END, doc_id) = 1"
+)
 def union_priority_dedup(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     first, rest = d.where("source = 'src0'").withColumn("priority", F.lit(0)), d.where("source is null or source <> 'src0'").withColumn("priority", F.lit(1))
@@ -109,7 +119,10 @@ def union_priority_dedup(spark, sf_dir):
     return retrieval.dedup_prefix(both, F.md5(F.substring(text.normalize(F.col("text")), 1, 500)), [F.col("priority"), F.col("doc_id")]).select("doc_id", "source")
 
 
-@query("SELECT doc_id, i AS idx, substr(text, i * 1700 + 1, 2000) AS passage FROM (SELECT doc_id, text, unnest(range(0, greatest(CAST(ceil((len(text) - 300) / 1700) AS BIGINT) - 1, 0) + 1)) AS i FROM documents)")
+@query(
+    "SELECT doc_id, i AS idx, substr(text, i * 1700 + 1, 2000) AS passage FROM (SELECT doc_id, text, unnest(range(0, greatest(CAST(ceil((len(text) - 300) "
+    "/ 1700) AS BIGINT) - 1, 0) + 1)) AS i FROM documents)"
+)
 def chunk_fixed_stride(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", F.inline(chunking.fixed_stride(F.col("text"), 2000, 300)))
@@ -195,7 +208,8 @@ def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {sql_top(10)}, {HELD}, r AS (SELECT query, count(*) AS retrieved FROM t GROUP BY query),
-    h AS (SELECT e.query, count(*) AS relevant, count(t.id) AS found, min(t.rank) AS first, any_value(retrieved) AS retrieved FROM e LEFT JOIN t USING (query, id) LEFT JOIN r USING (query) GROUP BY e.query)
+    h AS (SELECT e.query, count(*) AS relevant, count(t.id) AS found, min(t.rank) AS first, any_value(retrieved) AS retrieved FROM e LEFT
+      JOIN t USING (query, id) LEFT JOIN r USING (query) GROUP BY e.query)
     SELECT count(*) AS n, round(avg(found / relevant), 6) AS recall_at_10, round(avg(coalesce(found / retrieved, 0)), 6) AS precision_at_10,
       round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, round(avg(CASE WHEN first <= 1 THEN 1.0 ELSE 0 END), 6) AS hit_1 FROM h"""
 )
@@ -254,11 +268,13 @@ SQL_CONCEPTS = "list_filter([" + ", ".join(f"CASE WHEN {E.any_of('lower(coalesce
     qv AS (SELECT item_id AS query, vec FROM {sql_vector(f"(SELECT item_id, {TOKENS} AS w FROM benchmark)")}),
     k AS (SELECT query, id, list_sum(list_transform(range(1, 65), lambda i: (dv.vec[i] - qv.vec[i]) * (dv.vec[i] - qv.vec[i]))) AS distance FROM dv, qv),
     n AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(distance, 6), id) AS rank FROM k QUALIFY rank <= 40),
-    u AS (SELECT query, id, 1 / (1 + distance) AS x FROM n UNION ALL SELECT query, id, 0.6 / rank FROM t), g AS (SELECT query, id, sum(x) AS score FROM u GROUP BY query, id),
+    u AS (SELECT query, id, 1 / (1 + distance) AS x FROM n UNION ALL SELECT query, id, 0.6 / rank FROM t), g AS (SELECT query, id, sum(x) AS score
+      FROM u GROUP BY query, id),
     d AS (SELECT doc_id AS id, {E.role('text')} AS role, {WORDS} AS words, {SQL_CONCEPTS} AS concepts FROM documents),
     a AS (SELECT item_id AS query, {NORM} AS ql, CASE WHEN {E.any_of(NORM, E.SERVICE)} THEN 12 ELSE 8 END AS k FROM benchmark),
     r AS (SELECT query, id, k, score * CASE WHEN role IN ('mandatory_rule', 'access_rule', 'service_mapping', 'contact_rule') THEN 1.3 ELSE 1.0 END
-      * CASE WHEN len(list_filter(concepts, lambda c: contains(ql, lower(c)))) >= 2 THEN 1.1 WHEN len(list_filter(concepts, lambda c: contains(ql, lower(c)))) = 1 THEN 1.05 ELSE 1.0 END
+      * CASE WHEN len(list_filter(concepts, lambda c: contains(ql, lower(c)))) >= 2 THEN 1.1 WHEN len(list_filter(concepts, lambda c: contains(ql,
+        lower(c)))) = 1 THEN 1.05 ELSE 1.0 END
       * CASE WHEN words > 700 AND role = 'descriptive' THEN 0.9 ELSE 1.0 END AS score FROM g JOIN d USING (id) JOIN a USING (query))
     SELECT query, id, round(score, 5) AS score, {RANKED} FROM r QUALIFY rank <= k"""
 )
@@ -276,7 +292,8 @@ def hybrid_fuse(spark, sf_dir):
 
 @query(
     f"""WITH {sql_top(40)}, a AS (SELECT t.*, d.text FROM t JOIN documents d ON t.id = d.doc_id),
-    r AS (SELECT query, id, score * CASE WHEN ({E.role('text')}) = 'mandatory_rule' THEN 1.3 ELSE 1.0 END * CASE WHEN {WORDS} > 700 AND ({E.role('text')}) = 'descriptive' THEN 0.9 ELSE 1.0 END AS score FROM a)
+    r AS (SELECT query, id, score * CASE WHEN ({E.role('text')}) = 'mandatory_rule' THEN 1.3 ELSE 1.0 END * CASE WHEN {WORDS} > 700
+      AND ({E.role('text')}) = 'descriptive' THEN 0.9 ELSE 1.0 END AS score FROM a)
     SELECT query, id, {RANKED}, round(score, 4) AS score FROM r QUALIFY rank <= 8"""
 )
 def rerank_boost(spark, sf_dir):
@@ -296,7 +313,10 @@ def session_history_last5(spark, sf_dir):
     return oplog.last_n(table(spark, sf_dir, "conversations"), "conv_id", "turn", 5).select("conv_id", "turn", "role")
 
 
-@query("SELECT event_type, count(*) AS total, count(*) FILTER (WHERE event_type = 'error') AS errors, round(avg(value), 4) AS avg_value, round(max(value), 4) AS max_value FROM events GROUP BY event_type")
+@query(
+    "SELECT event_type, count(*) AS total, count(*) FILTER (WHERE event_type = 'error') AS errors, round(avg(value), 4) AS avg_value, round(max(value), 4) "
+    "AS max_value FROM events GROUP BY event_type"
+)
 def audit_by_type(spark, sf_dir):
     return oplog.audit_stats(table(spark, sf_dir, "events"), "event_type")
 
@@ -324,7 +344,10 @@ def left_default(spark, sf_dir):
     return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", F.coalesce(F.col("quality").cast("string"), F.lit("unknown")).alias("quality"))
 
 
-@query("SELECT a.l_orderkey, a.l_linenumber, count(*) AS near FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber BETWEEN a.l_linenumber - 1 AND a.l_linenumber + 1 GROUP BY ALL")
+@query(
+    "SELECT a.l_orderkey, a.l_linenumber, count(*) AS near FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber BETWEEN "
+    "a.l_linenumber - 1 AND a.l_linenumber + 1 GROUP BY ALL"
+)
 def band_join(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
     wide = li.withColumn("near", F.explode(F.sequence(F.col("l_linenumber") - 1, F.col("l_linenumber") + 1)))
@@ -332,7 +355,11 @@ def band_join(spark, sf_dir):
     return wide.join(other, ["l_orderkey", "near"]).groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("near"))
 
 
-@query("WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents WHERE text IS NOT NULL) SELECT doc_id, CAST(pos AS INTEGER) AS pos, last_value(CASE WHEN len(line) < 80 THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section FROM l")
+@query(
+    "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents "
+    "WHERE text IS NOT NULL) SELECT doc_id, CAST(pos AS INTEGER) AS pos, last_value(CASE WHEN len(line) < 80 THEN line END IGNORE NULLS) OVER (PARTITION "
+    "BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section FROM l"
+)
 def fill_forward(spark, sf_dir):
     """The last short line above each line, as a section's heading is carried forward."""
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
@@ -345,7 +372,10 @@ def cube_lineitem(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
-@query("SELECT n_name, o_orderpriority, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_name, o_orderpriority)")
+@query(
+    "SELECT n_name, o_orderpriority, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY "
+    "ROLLUP (n_name, o_orderpriority)"
+)
 def rollup_orders(spark, sf_dir):
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     return o.rollup("n_name", "o_orderpriority").agg(F.count("*").alias("n"))
@@ -375,9 +405,12 @@ def expand_queries(spark, sf_dir):
 # --- FAQ paragraphs, citations, verdicts, alignment
 @query(
     r"""WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS pos, regexp_replace(unnest(string_split(replace(text, ',', '?'), chr(10))), '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
-    m AS (SELECT *, contains(t, '?') AS q, NOT contains(t, '?') AND upper(t) = t AND lower(t) <> t AND regexp_matches(t, '^[^ \t\r\n]+([ \t\r\n]+[^ \t\r\n]+){0,4}$') AS s FROM l WHERE t <> ''),
-    b AS (SELECT *, count(*) FILTER (WHERE q OR s) OVER w AS block, coalesce(last_value(CASE WHEN s THEN t END IGNORE NULLS) OVER w, 'GENERALE') AS section FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
-    g AS (SELECT doc_id, block, max(section) AS section, max(t) FILTER (WHERE q) AS question, string_agg(t, ' ' ORDER BY pos) FILTER (WHERE NOT q AND NOT s) AS answer FROM b GROUP BY doc_id, block)
+    m AS (SELECT *, contains(t, '?') AS q, NOT contains(t, '?') AND upper(t) = t AND lower(t) <> t AND regexp_matches(t,
+      '^[^ \t\r\n]+([ \t\r\n]+[^ \t\r\n]+){0,4}$') AS s FROM l WHERE t <> ''),
+    b AS (SELECT *, count(*) FILTER (WHERE q OR s) OVER w AS block, coalesce(last_value(CASE WHEN s THEN t END IGNORE NULLS) OVER w,
+      'GENERALE') AS section FROM m WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)),
+    g AS (SELECT doc_id, block, max(section) AS section, max(t) FILTER (WHERE q) AS question, string_agg(t, ' ' ORDER BY pos) FILTER (WHERE NOT q
+      AND NOT s) AS answer FROM b GROUP BY doc_id, block)
     SELECT *, CASE WHEN regexp_matches(question, '(?i)come|dove|quando|quanto') THEN 'procedural' ELSE 'definitional' END AS role FROM g WHERE question IS NOT NULL AND answer IS NOT NULL"""
 )
 def faq_paragraphs(spark, sf_dir):
@@ -396,7 +429,10 @@ def citation_accuracy(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", accuracy.alias("accuracy"))
 
 
-@query("SELECT source, round(avg(CASE WHEN quality = 1 AND toxic = 0 THEN 1.0 WHEN quality = 1 THEN 0.5 ELSE 0.0 END), 9)::DOUBLE AS precision, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY source")
+@query(
+    "SELECT source, round(avg(CASE WHEN quality = 1 AND toxic = 0 THEN 1.0 WHEN quality = 1 THEN 0.5 ELSE 0.0 END), 9)::DOUBLE AS precision, count(*) AS n "
+    "FROM documents JOIN labels USING (doc_id) GROUP BY source"
+)
 def context_precision(spark, sf_dir):
     """Mean verdict on the labelled documents of a source."""
     said = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "UTILE").when(F.col("quality") == 1, "PARZIALMENTE_UTILE").otherwise("INUTILE")

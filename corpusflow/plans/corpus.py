@@ -31,7 +31,7 @@ over_documents("sentence_trim", f"{TRIMMED} AS trimmed", trimmed=text.trim_to_se
 over_documents(
     "lenient_numbers",
     r"TRY_CAST(nullif(regexp_extract(text, '-?[0-9]{1,15}'), '') AS BIGINT) AS first_int, TRY_CAST(nullif(regexp_extract(text, '-?[0-9]{1,15}(?:\.[0-9]{1,15})?'), '') AS DOUBLE) AS first_number, "
-    "coalesce(greatest(0, least(100, TRY_CAST(substr(text, 1, 3) AS INTEGER))), 50) AS clamped",
+    "CASE WHEN TRY_CAST(substr(text, 1, 3) AS INTEGER) IS NULL THEN 50 ELSE greatest(0, least(100, TRY_CAST(substr(text, 1, 3) AS INTEGER))) END AS clamped",
     first_int=text.first_int,
     first_number=text.first_number,
     clamped=lambda t: text.clamp(F.substring(t, 1, 3), 0, 100, 50),
@@ -42,7 +42,11 @@ NUMBERS = r"""(SELECT list_sort(list_distinct(regexp_extract_all(p, '\b\d{1,4}(?
 over_documents("alignment_norm", f"{ALIGNED} AS norm, {NUMBERS} AS nums", norm=text.aligned, nums=text.numbers)
 
 
-@query("SELECT doc_id, CASE WHEN len(a) = 0 THEN 0.0 ELSE round(len(list_intersect(a, b)) / len(a), 6) END AS overlap FROM (SELECT doc_id, list_distinct(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda w: w <> '')) AS a, list_distinct(regexp_split_to_array(coalesce(substr(text, 1, 200), ''), '\\s+')) AS b FROM documents)")
+@query(
+    "SELECT doc_id, CASE WHEN len(a) = 0 THEN 0.0 ELSE round(len(list_intersect(a, b)) / len(a), 6) END AS overlap FROM (SELECT doc_id, "
+    "list_distinct(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda w: w <> '')) AS a, "
+    "list_distinct(regexp_split_to_array(coalesce(substr(text, 1, 200), ''), '\\s+')) AS b FROM documents)"
+)
 def word_overlap(spark, sf_dir):
     """The share of a text's words that its first 200 characters have."""
     t = F.coalesce("text", F.lit(""))
@@ -94,7 +98,8 @@ def evidence_by_concept(spark, sf_dir):
 
 @query(
     f"""WITH l AS (SELECT source, doc_id, trim(unnest(string_split(text, chr(10)))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents WHERE text IS NOT NULL),
-    k AS (SELECT * FROM l WHERE line <> '' AND (regexp_matches(line, {E.quoted(E.EMAIL)}) OR regexp_matches(line, {E.quoted(E.PHONE)}) OR regexp_matches(line, {E.quoted(E.DURATION)})))
+    k AS (SELECT * FROM l WHERE line <> '' AND (regexp_matches(line, {E.quoted(E.EMAIL)}) OR regexp_matches(line, {E.quoted(E.PHONE)})
+      OR regexp_matches(line, {E.quoted(E.DURATION)})))
     SELECT source, line, min(doc_id) AS first_doc, arg_min(pos, doc_id::HUGEINT * 1000000000000 + pos) AS first_line FROM k GROUP BY source, line"""
 )
 def evidence_lines(spark, sf_dir):
@@ -102,14 +107,21 @@ def evidence_lines(spark, sf_dir):
 
 
 # --- Concepts, index text, rules
-@query(f"SELECT doc_id, {sql_concepts('lower(text)')} AS concepts, CASE WHEN coalesce(text, '') = '' THEN '' WHEN len({sql_concepts('lower(text)')}) = 0 THEN text ELSE trim(array_to_string(list_transform({sql_concepts('lower(text)')}, lambda c: '[' || c || ']'), ' ') || ' ' || text) END AS index_text FROM documents")
+@query(
+    f"SELECT doc_id, {sql_concepts('lower(text)')} AS concepts, CASE WHEN coalesce(text, '') = '' THEN '' WHEN len({sql_concepts('lower(text)')}) = 0 THEN "
+    f"text ELSE trim(array_to_string(list_transform({sql_concepts('lower(text)')}, lambda c: '[' || c || ']'), ' ') || ' ' || text) END AS index_text FROM "
+    f"documents"
+)
 def concept_tags(spark, sf_dir):
     """The concepts of a text, and what is indexed of it."""
     d = table(spark, sf_dir, "documents").withColumn("concepts", text.concepts(F.col("text"), LOCAL, False))
     return d.select("doc_id", F.when(F.col("text").isNotNull(), F.col("concepts")).otherwise(F.col("concepts")).alias("concepts"), text.index_text(F.col("text"), F.col("concepts")).alias("index_text"))
 
 
-@query(f"SELECT item_id, CASE WHEN len({sql_concepts('lower(text)')}) = 0 THEN text ELSE array_to_string(list_transform({sql_concepts('lower(text)')}, lambda c: '[' || c || ']'), ' ') || ' ' || text END AS tagged, text || ' [role: operatore]' AS with_role FROM benchmark")
+@query(
+    f"SELECT item_id, CASE WHEN len({sql_concepts('lower(text)')}) = 0 THEN text ELSE array_to_string(list_transform({sql_concepts('lower(text)')}, lambda "
+    f"c: '[' || c || ']'), ' ') || ' ' || text END AS tagged, text || ' [role: operatore]' AS with_role FROM benchmark"
+)
 def query_tags(spark, sf_dir):
     q = F.col("text")
     return table(spark, sf_dir, "benchmark").select("item_id", text.tagged(q, text.concepts(q, LOCAL, False)).alias("tagged"), text.with_role(q, F.lit("operatore")).alias("with_role"))
@@ -140,7 +152,8 @@ def rule_lift(spark, sf_dir):
 @query(f"""SELECT doc_id, CASE WHEN contains(n, 'guida') THEN CASE WHEN contains(n, 'richiesta') THEN 'guide_procedural' ELSE 'guide_reference' END
       WHEN contains(n, 'checklist') THEN 'checklist' WHEN contains(n, 'modulo') THEN 'form_module' WHEN contains(n, 'circolare') THEN 'normative'
       WHEN ticks >= 3 THEN 'checklist' WHEN {E.hits('t', ['passo ', 'step ', '1.', '2.', '3.', 'clicca', 'seleziona', 'inserisci'])} >= 3 THEN 'guide_procedural'
-      WHEN {E.any_of('t', ['sanzione', 'infrazione', "penalita'"])} THEN 'sanctions' WHEN {E.any_of('substr(t, 1, 200)', ['registr', 'accesso al sistema', 'accedi', 'login'])} THEN 'access_procedure'
+      WHEN {E.any_of('t', ['sanzione', 'infrazione', "penalita'"])} THEN 'sanctions'
+        WHEN {E.any_of('substr(t, 1, 200)', ['registr', 'accesso al sistema', 'accedi', 'login'])} THEN 'access_procedure'
       WHEN {E.any_of('substr(t, 1, 200)', ['si intende', "e' definito", 'con il termine'])} THEN 'definition' ELSE 'descriptive' END AS category
     FROM (SELECT doc_id, lower(text) AS t, ['', 'guida.pdf', 'guida_richiesta.pdf', 'checklist.pdf', 'modulo.docx', 'circolare.pdf', '', ''][doc_id % 8 + 1] AS n,
       (len(t) - len(replace(t, ' si ', ''))) // 4 + (len(t) - len(replace(t, ' no ', ''))) // 4 + (len(t) - len(replace(t, 'si' || chr(10), ''))) // 3 + (len(t) - len(replace(t, 'no' || chr(10), ''))) // 3 AS ticks FROM documents)""")
@@ -161,9 +174,12 @@ def domain_keywords(spark, sf_dir):
 
 @query(
     f"""SELECT doc_id, CASE WHEN n < 500 AND i > 2 THEN 'visual_guide' WHEN n < 500 AND i = 0 THEN 'mixed' WHEN tables > 0 AND n > 500 THEN 'table' WHEN n < 1000 AND i > 5 THEN 'slide' ELSE 'textual' END AS doc_type,
-      CASE WHEN n < 500 AND i > 2 THEN 0.95 WHEN n < 500 AND i = 0 THEN 0.5 WHEN tables > 0 AND n > 500 THEN 0.9 WHEN n < 1000 AND i > 5 THEN 0.85 ELSE 1.0 END::DOUBLE AS quality_score, tables > 0 AS has_tables,
-      CASE WHEN n < 500 AND i > 2 THEN 'vision_llm' WHEN n < 500 AND i = 0 THEN 'ocr_tesseract' WHEN tables > 0 AND n > 500 THEN 'text_extract' WHEN n < 1000 AND i > 5 THEN 'vision_llm' ELSE 'text_extract' END AS strategy
-    FROM (SELECT doc_id, len(t) AS n, doc_id % 8 AS i, len(list_filter(string_split(t, chr(10)), lambda x: len(x) - len(replace(x, '|', '')) >= 2 OR (len(x) > 20 AND (len(x) - len(replace(x, '   ', ''))) / 3 > 3))) AS tables
+      CASE WHEN n < 500 AND i > 2 THEN 0.95 WHEN n < 500 AND i = 0 THEN 0.5 WHEN tables > 0 AND n > 500 THEN 0.9 WHEN n < 1000 AND i > 5 THEN 0.85
+        ELSE 1.0 END::DOUBLE AS quality_score, tables > 0 AS has_tables,
+      CASE WHEN n < 500 AND i > 2 THEN 'vision_llm' WHEN n < 500 AND i = 0 THEN 'ocr_tesseract' WHEN tables > 0 AND n > 500 THEN 'text_extract'
+        WHEN n < 1000 AND i > 5 THEN 'vision_llm' ELSE 'text_extract' END AS strategy
+    FROM (SELECT doc_id, len(t) AS n, doc_id % 8 AS i, len(list_filter(string_split(t, chr(10)), lambda x: len(x) - len(replace(x, '|', '')) >= 2
+      OR (len(x) > 20 AND (len(x) - len(replace(x, '   ', ''))) / 3 > 3))) AS tables
       FROM (SELECT doc_id, replace(coalesce(text, ''), ',', '|') AS t FROM documents))"""
 )
 def document_profile(spark, sf_dir):
@@ -173,14 +189,21 @@ def document_profile(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", p.alias("p")).select("doc_id", "p.doc_type", "p.quality_score", "p.has_tables", "p.strategy")
 
 
-@query("SELECT doc_id, len(text) <= 3000 AND coalesce(label, '') NOT IN ('sanctions_table', 'checklist') AS admitted, CASE WHEN len(text) > 3000 THEN 'too long' WHEN label IN ('sanctions_table', 'checklist') THEN label END AS reason FROM (SELECT *, CASE doc_id % 5 WHEN 0 THEN 'checklist' WHEN 1 THEN 'sanctions_table' WHEN 2 THEN 'glossary' END AS label FROM documents)")
+@query(
+    "SELECT doc_id, len(text) <= 3000 AND coalesce(label, '') NOT IN ('sanctions_table', 'checklist') AS admitted, CASE WHEN len(text) > 3000 THEN 'too "
+    "long' WHEN label IN ('sanctions_table', 'checklist') THEN label END AS reason FROM (SELECT *, CASE doc_id % 5 WHEN 0 THEN 'checklist' WHEN 1 THEN "
+    "'sanctions_table' WHEN 2 THEN 'glossary' END AS label FROM documents)"
+)
 def index_admission(spark, sf_dir):
     """Which passages are indexed, and why not; categories are dealt by id."""
     kind = F.when(F.col("doc_id") % 5 == 0, "checklist").when(F.col("doc_id") % 5 == 1, "sanctions_table").when(F.col("doc_id") % 5 == 2, "glossary")
     return table(spark, sf_dir, "documents").select("doc_id", classify.admitted(F.col("text"), kind).alias("admitted"), classify.admission_reason(F.col("text"), kind).alias("reason"))
 
 
-@query("SELECT doc_id, coalesce(CASE doc_id % 3 WHEN 0 THEN true WHEN 1 THEN len(t) - len(replace(t, '|', '')) > 10 OR len(t) - len(replace(t, ';', '')) > 10 ELSE false END, false) AS excluded FROM (SELECT doc_id, replace(text, ',', ';') AS t FROM documents)")
+@query(
+    "SELECT doc_id, coalesce(CASE doc_id % 3 WHEN 0 THEN true WHEN 1 THEN len(t) - len(replace(t, '|', '')) > 10 OR len(t) - len(replace(t, ';', '')) > 10 "
+    "ELSE false END, false) AS excluded FROM (SELECT doc_id, replace(text, ',', ';') AS t FROM documents)"
+)
 def noisy_docs(spark, sf_dir):
     """Which found passages are left out; types are dealt by id, commas stand for semicolons."""
     kind = F.when(F.col("doc_id") % 3 == 0, "sanzioni").when(F.col("doc_id") % 3 == 1, "table").otherwise("checklist")
@@ -230,7 +253,10 @@ def expand_strategies(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", s.alias("s")).select("item_id", "s.synonyms", "s.intent", F.sort_array("s.all").alias("every"))
 
 
-@query("SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'Che dice BDN o XY? banca dati nazionale base dati nazionale' WHEN 1 THEN 'PEC e PIN posta elettronica certificata codice pin password' ELSE text END AS expanded FROM benchmark")
+@query(
+    "SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'Che dice BDN o XY? banca dati nazionale base dati nazionale' WHEN 1 THEN 'PEC e PIN posta elettronica "
+    "certificata codice pin password' ELSE text END AS expanded FROM benchmark"
+)
 def acronym_expand(spark, sf_dir):
     """Acronyms' meanings after a question; two thirds of the items are questions with acronyms."""
     from ..functions import lexicon
@@ -256,9 +282,11 @@ over(
 )
 HREF = r"""regexp_extract_all(html, '(?is)<a\b[^>]*?\bhref\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+)', 1)"""
 LINKS = rf"""h AS (SELECT page_id, url AS base, trim(replace(regexp_replace(unnest(list_distinct({HREF})), '^["'']|["'']$', '', 'g'), '&amp;', '&')) AS href FROM pages),
-  a AS (SELECT page_id, base, CASE WHEN regexp_matches(c, '^[a-zA-Z][a-zA-Z0-9+.\-]*:') THEN c WHEN c = '' THEN base WHEN starts_with(c, '//') THEN regexp_extract(base, '^([a-z]+):', 1) || ':' || c
+  a AS (SELECT page_id, base, CASE WHEN regexp_matches(c, '^[a-zA-Z][a-zA-Z0-9+.\-]*:') THEN c WHEN c = '' THEN base WHEN starts_with(c, '//')
+    THEN regexp_extract(base, '^([a-z]+):', 1) || ':' || c
     WHEN starts_with(c, '/') THEN regexp_extract(base, '^([a-z]+://[^/?#]*)', 1) || c WHEN starts_with(c, '?') THEN regexp_replace(base, '[?#].*$', '') || c
-    ELSE regexp_extract(regexp_replace(base, '[?#].*$', ''), '^([a-z]+://.*/|[a-z]+://[^/]*)', 1) || c END AS url FROM (SELECT *, regexp_replace(href, '#.*$', '') AS c FROM h WHERE href <> '')),
+    ELSE regexp_extract(regexp_replace(base, '[?#].*$', ''), '^([a-z]+://.*/|[a-z]+://[^/]*)', 1) || c END AS url FROM (SELECT *, regexp_replace(href,
+      '#.*$', '') AS c FROM h WHERE href <> '')),
   l AS (SELECT DISTINCT page_id, url FROM a WHERE NOT regexp_matches(url, {E.quoted(E.EXCLUDED)}) AND lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) = lower(regexp_extract(base, '^[a-z]+://([^/?#:]+)', 1)))"""
 
 
@@ -269,13 +297,17 @@ def html_links(spark, sf_dir):
 
 LINES = rf"""t AS (SELECT page_id AS id, regexp_split_to_array(replace(replace(html, '>', '>' || chr(10)), '"', ' '), '\r\n|[\n\r]') AS l FROM pages),
   u AS (SELECT id, l, unnest(l) AS line, generate_subscripts(l, 1) AS p FROM t),
-  f AS (SELECT id, p, generate_subscripts(x, 1) AS nth, regexp_replace(regexp_replace(unnest(x), '^\s+|\s+$', '', 'g'), '\.$', '') AS raw, substr(array_to_string(list_transform(l[greatest(p - 1, 1):p + 1], lambda z: regexp_replace(z, '^\s+|\s+$', '', 'g')), ' '), 1, 500) AS context
+  f AS (SELECT id, p, generate_subscripts(x, 1) AS nth, regexp_replace(regexp_replace(unnest(x), '^\s+|\s+$', '', 'g'), '\.$', '') AS raw,
+    substr(array_to_string(list_transform(l[greatest(p - 1, 1):p + 1], lambda z: regexp_replace(z, '^\s+|\s+$', '', 'g')), ' '), 1, 500) AS context
     FROM (SELECT *, regexp_extract_all(line, {E.quoted(E.LINE_LINK)}, 1) AS x FROM u) WHERE len(x) > 0),
   g AS (SELECT id, p, nth, CASE WHEN starts_with(lower(raw), 'www.') THEN 'https://' || raw ELSE raw END AS url, context FROM f)"""
 KIND = """CASE WHEN contains(d, 'example.com') THEN CASE WHEN contains(w, 'manual') OR contains(c, 'manuale') OR contains(c, 'istruzioni') THEN 'manuale_example.com' WHEN contains(w, 'guida') OR contains(c, 'guida') THEN 'guida_example.com'
-    WHEN contains(w, 'dashboard') OR contains(c, 'cruscotto') THEN 'cruscotto_example.com' WHEN contains(w, 'delega') OR contains(c, 'deleghe') THEN 'deleghe_example.com' ELSE 'pagina_example.com' END
-  WHEN contains(w, 'example.com') THEN 'pagina_example.com' WHEN contains(d, 'salute.gov.it') THEN CASE WHEN contains(c, 'guida') OR contains(c, 'manuale') THEN 'guida_ministeriale' ELSE 'pagina_ministeriale' END
-  WHEN contains(c, 'manuale') OR contains(c, 'manual') OR contains(c, 'istruzioni') THEN 'manuale_generico' WHEN contains(c, 'guida') OR contains(c, 'help') THEN 'guida_generica' WHEN contains(c, 'cruscotto') OR contains(c, 'dashboard') THEN 'cruscotto_generico'
+    WHEN contains(w, 'dashboard') OR contains(c, 'cruscotto') THEN 'cruscotto_example.com' WHEN contains(w, 'delega') OR contains(c, 'deleghe')
+      THEN 'deleghe_example.com' ELSE 'pagina_example.com' END
+  WHEN contains(w, 'example.com') THEN 'pagina_example.com' WHEN contains(d, 'salute.gov.it') THEN CASE WHEN contains(c, 'guida') OR contains(c,
+    'manuale') THEN 'guida_ministeriale' ELSE 'pagina_ministeriale' END
+  WHEN contains(c, 'manuale') OR contains(c, 'manual') OR contains(c, 'istruzioni') THEN 'manuale_generico' WHEN contains(c, 'guida') OR contains(c,
+    'help') THEN 'guida_generica' WHEN contains(c, 'cruscotto') OR contains(c, 'dashboard') THEN 'cruscotto_generico'
   WHEN contains(c, 'delega') OR contains(c, 'deleghe') THEN 'deleghe_generiche' WHEN contains(c, 'modulo') OR contains(c, 'modulistica') THEN 'modulo_documentazione' ELSE 'link_generico' END"""
 
 
@@ -292,8 +324,10 @@ def line_context(spark, sf_dir):
 
 @query(
     f"""WITH {LINES}, n AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY id, p, nth) AS r FROM g),
-    m AS (SELECT url, count(*) AS frequency, list_sort(list_distinct(list(id))) AS sources, list(context ORDER BY r) FILTER (WHERE r <= 5) AS contexts FROM n GROUP BY url),
-    k AS (SELECT *, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS d, lower(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1)) AS w, lower(contexts[1]) AS c FROM m)
+    m AS (SELECT url, count(*) AS frequency, list_sort(list_distinct(list(id))) AS sources, list(context ORDER BY r) FILTER (WHERE r <= 5) AS contexts
+      FROM n GROUP BY url),
+    k AS (SELECT *, lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) AS d, lower(regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1)) AS w,
+      lower(contexts[1]) AS c FROM m)
     SELECT url, d AS domain, {KIND} AS category, sources, contexts, frequency FROM k"""
 )
 def link_map(spark, sf_dir):

@@ -23,7 +23,8 @@ def _metrics(spark, sf_dir):
 
 @query(
     f"""WITH m AS ({LONG}), {BASE}
-    SELECT b.metric, b.n, round(b.mean, 4) AS mean, round(median, 4) AS median, round(mode, 4) AS mode, round(b.std, 4) AS std, round(variance, 2) AS variance, b.min, b.max, round(b.max - b.min, 4) AS range,
+    SELECT b.metric, b.n, round(b.mean, 4) AS mean, round(median, 4) AS median, round(mode, 4) AS mode, round(b.std, 4) AS std, round(variance,
+      2) AS variance, b.min, b.max, round(b.max - b.min, 4) AS range,
     round(q1, 4) AS q1, round(q3, 4) AS q3, round(q3 - q1, 4) AS iqr,
     count(*) FILTER (WHERE value < q1 - 1.5 * (q3 - q1)) AS low_outliers, count(*) FILTER (WHERE value > q3 + 1.5 * (q3 - q1)) AS high_outliers FROM m JOIN b USING (metric) JOIN o USING (metric) GROUP BY ALL"""
 )
@@ -59,7 +60,10 @@ SQL_LONG = f"x AS ({SQL_SCORES}), m AS (SELECT id, metric, value FROM x UNPIVOT
 FENCES = "q AS (SELECT metric, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM m GROUP BY metric), y AS (SELECT *, q1 - 1.5 * (q3 - q1) AS low, q3 + 1.5 * (q3 - q1) AS high FROM q)"
 
 
-@query(f"WITH {SQL_LONG}, {FENCES} SELECT id, metric, value, CASE WHEN value < low THEN 'low' ELSE 'high' END AS side FROM m JOIN y USING (metric) WHERE value < low OR value > high")
+@query(
+    f"WITH {SQL_LONG}, {FENCES} SELECT id, metric, value, CASE WHEN value < low THEN 'low' ELSE 'high' END AS side FROM m JOIN y USING (metric) WHERE value "
+    f"< low OR value > high"
+)
 def metric_outliers(spark, sf_dir):
     """The rows beyond their metric's fences."""
     long = evaluate.long_form(_scores(spark, sf_dir), "id", FIVE)
@@ -81,8 +85,10 @@ def critical_rows(spark, sf_dir):
 
 @query(
     f"""WITH {SQL_LONG}, {FENCES}, s AS (SELECT m.metric, round(avg(value), 4) AS mean, count(*) FILTER (WHERE value < low) AS low FROM m JOIN y USING (metric) GROUP BY m.metric),
-    c AS (SELECT count(DISTINCT id) AS n FROM m JOIN y USING (metric) WHERE value < low), h AS (SELECT avg(mean) * 60 AS base, least(sum(low) * 2, 20)::BIGINT AS o, (SELECT least(n * 3, 20)::BIGINT FROM c) AS k FROM s)
-    SELECT round(greatest(0, base - o - k), 2) AS overall_score, CASE WHEN greatest(0, base - o - k) >= 90 THEN 'excellent' WHEN greatest(0, base - o - k) >= 75 THEN 'good' WHEN greatest(0, base - o - k) >= 60 THEN 'fair' ELSE 'poor' END AS rating,
+    c AS (SELECT count(DISTINCT id) AS n FROM m JOIN y USING (metric) WHERE value < low), h AS (SELECT avg(mean) * 60 AS base, least(sum(low) * 2,
+      20)::BIGINT AS o, (SELECT least(n * 3, 20)::BIGINT FROM c) AS k FROM s)
+    SELECT round(greatest(0, base - o - k), 2) AS overall_score, CASE WHEN greatest(0, base - o - k) >= 90 THEN 'excellent' WHEN greatest(0,
+      base - o - k) >= 75 THEN 'good' WHEN greatest(0, base - o - k) >= 60 THEN 'fair' ELSE 'poor' END AS rating,
       round(base, 2) AS base_score, o AS outlier_penalty, k AS critical_penalty FROM h"""
 )
 def health_score(spark, sf_dir):
@@ -105,14 +111,18 @@ def status_flags(spark, sf_dir):
 CASES = "CASE metric " + " ".join(f"WHEN '{m}' THEN {t}" for m, t in LIMITS.items()) + " END"
 
 
-@query(f"WITH {SQL_LONG} SELECT metric, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max, count(*) FILTER (WHERE value < {CASES}) AS below_threshold FROM m GROUP BY metric")
+@query(
+    f"WITH {SQL_LONG} SELECT metric, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max, count(*) FILTER (WHERE value < {CASES}) AS "
+    f"below_threshold FROM m GROUP BY metric"
+)
 def evaluation_metrics(spark, sf_dir):
     return evaluate.metric_summary(_scores(spark, sf_dir), "id", lexicon.THRESHOLDS).withColumn("mean", F.round("mean", 6))
 
 
 @query(
     f"""WITH s AS (SELECT {STATUS} AS status FROM (SELECT len({FAILED}) AS critical_flags FROM ({SQL_SCORES})))
-    SELECT count(*) AS n, count(*) FILTER (WHERE status = 'EXCELLENT') AS excellent, count(*) FILTER (WHERE status = 'GOOD') AS good, count(*) FILTER (WHERE status = 'MODERATE') AS moderate,
+    SELECT count(*) AS n, count(*) FILTER (WHERE status = 'EXCELLENT') AS excellent, count(*) FILTER (WHERE status = 'GOOD') AS good,
+      count(*) FILTER (WHERE status = 'MODERATE') AS moderate,
       count(*) FILTER (WHERE status = 'CRITICAL') AS critical, round(count(*) FILTER (WHERE status IN ('EXCELLENT', 'GOOD')) / count(*) * 100, 4) AS health FROM s"""
 )
 def evaluation_status(spark, sf_dir):
@@ -125,7 +135,9 @@ SAID = "CASE (doc_id + i) % 4 WHEN 0 THEN 'SUPPORTATO' WHEN 1 THEN 'PARZIALMENTE
 @query(
     rf"""WITH c AS (SELECT doc_id, unnest(c) AS claim, generate_subscripts(c, 1) - 1 AS i FROM (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_replace(regexp_replace(x, '^\s+|\s+$', '', 'g'), '^[\d\-\*\.]+\s*', '')), lambda x: len(x) > 10) AS c FROM documents)),
     v AS (SELECT doc_id, {SAID} AS said FROM c)
-    SELECT d.doc_id, CASE WHEN count(said) = 0 THEN 1.0 ELSE round((count(*) FILTER (WHERE said = 'SUPPORTATO') + 0.5 * count(*) FILTER (WHERE said = 'PARZIALMENTE_SUPPORTATO')) / count(said), 6) END::DOUBLE AS score, count(said) AS n,
+    SELECT d.doc_id, CASE WHEN count(said) = 0 THEN 1.0
+      ELSE round((count(*) FILTER (WHERE said = 'SUPPORTATO') + 0.5 * count(*) FILTER (WHERE said = 'PARZIALMENTE_SUPPORTATO')) / count(said),
+      6) END::DOUBLE AS score, count(said) AS n,
       count(*) FILTER (WHERE said = 'SUPPORTATO') AS supported, count(*) FILTER (WHERE said = 'PARZIALMENTE_SUPPORTATO') AS partial,
       count(said) - count(*) FILTER (WHERE said = 'SUPPORTATO') - count(*) FILTER (WHERE said = 'PARZIALMENTE_SUPPORTATO') AS unsupported FROM documents d LEFT JOIN v USING (doc_id) GROUP BY d.doc_id"""
 )
@@ -175,7 +187,8 @@ def run_consistency(spark, sf_dir):
 
 @query(
     """SELECT count(*) AS n, round(avg(value) FILTER (WHERE event_type IN ('view', 'click')), 6) AS latency_a, round(avg(value) FILTER (WHERE event_type NOT IN ('view', 'click')), 6) AS latency_b,
-    round(avg((event_id % 7) / 7.0) FILTER (WHERE event_type IN ('view', 'click')), 6) AS keyword_coverage_a, round(avg((event_id % 7) / 7.0) FILTER (WHERE event_type NOT IN ('view', 'click')), 6) AS keyword_coverage_b,
+    round(avg((event_id % 7) / 7.0) FILTER (WHERE event_type IN ('view', 'click')), 6) AS keyword_coverage_a,
+      round(avg((event_id % 7) / 7.0) FILTER (WHERE event_type NOT IN ('view', 'click')), 6) AS keyword_coverage_b,
     CASE WHEN avg((event_id % 7) / 7.0) FILTER (WHERE event_type IN ('view', 'click')) > avg((event_id % 7) / 7.0) FILTER (WHERE event_type NOT IN ('view', 'click')) THEN 'a' ELSE 'b' END AS winner FROM events"""
 )
 def compared_systems(spark, sf_dir):
@@ -186,7 +199,10 @@ def compared_systems(spark, sf_dir):
     return out.select((F.col("valid_a") + F.col("valid_b")).alias("n"), *[F.round(c, 6).alias(c) for c in ("latency_a", "latency_b", "keyword_coverage_a", "keyword_coverage_b")], "winner")
 
 
-@query("SELECT event_type AS metric, d AS day, v AS mean, round(v - lag(v) OVER (PARTITION BY event_type ORDER BY d), 6) AS delta FROM (SELECT event_type, CAST(ts AS DATE) AS d, round(avg(value), 7) AS v FROM events GROUP BY ALL)")
+@query(
+    "SELECT event_type AS metric, d AS day, v AS mean, round(v - lag(v) OVER (PARTITION BY event_type ORDER BY d), 6) AS delta FROM (SELECT event_type, "
+    "CAST(ts AS DATE) AS d, round(avg(value), 7) AS v FROM events GROUP BY ALL)"
+)
 def metric_trend(spark, sf_dir):
     e = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("metric"), F.to_date("ts").alias("day")).agg(F.round(F.avg("value"), 7).alias("mean"))
     return evaluate.trend(e, "day", "mean").withColumn("delta", F.round("delta", 6))
@@ -211,3 +227,54 @@ def answerability(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("item_id"), F.col("text").alias("c"))
     rows = table(spark, sf_dir, "benchmark").join(d, "item_id", "left").withColumn("ctx", F.when(F.col("c").isNotNull(), F.array("c")))
     return rows.select("item_id", classify.answerability(F.col("ctx"), F.col("text")).alias("answerability"), F.coalesce(classify.was_answerable(F.col("ctx"), F.col("c")), F.lit(False)).alias("answerable"))
+
+
+@query(
+    """WITH r AS (SELECT conv_id, list('f' || (turn % 3) || '::p' || turn ORDER BY turn) AS got, ['f1', 'f2::p2', 'x'] AS want FROM conversations GROUP BY conv_id)
+    SELECT conv_id, list_min(list_filter(range(1, len(got[1:5]) + 1), lambda i: list_contains(want, got[i]) OR list_contains(want, split_part(got[i], '::', 1)))) AS first_rank FROM r"""
+)
+def relevant_rank(spark, sf_dir):
+    """The rank of the first hit, by id or by file; what is relevant comes as files and pages."""
+    ids = F.transform(F.sort_array(F.collect_list("turn")), lambda t: F.concat(F.lit("f"), (t % 3).cast("string"), F.lit("::p"), t.cast("string")))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(ids.alias("got"))
+    docs = F.array(*[F.struct(F.lit(f).alias("filename"), F.lit(p).cast("int").alias("page")) for f, p in (("f1", None), ("f2", 2), ("x", None))])
+    want = text.relevants(F.lit(None).cast("array<string>"), docs)
+    return rows.select("conv_id", evaluate.hits(F.col("got"), want, 5).alias("first_rank"))
+
+
+@query(
+    """SELECT event_type AS metric, count(*) AS n, round(avg(CASE WHEN event_id % 4 <> 0 THEN event_id % 17 + 1 END), 6) AS mean_rank, round(avg(CASE WHEN event_id % 4 <> 0 AND event_id % 17 + 1 <= 5 THEN 1 ELSE 0 END), 6) AS top5,
+      round(avg(CASE WHEN event_id % 4 <> 0 AND event_id % 17 + 1 <= 10 THEN 1 ELSE 0 END), 6) AS top10 FROM events GROUP BY event_type"""
+)
+def rank_positions(spark, sf_dir):
+    """Mean position and shares in the first five and ten."""
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("metric"), F.when(F.col("event_id") % 4 != 0, F.col("event_id") % 17 + 1).alias("r"))
+    out = evaluate.position_summary(e, "metric", "r")
+    return out.select("metric", "n", *[F.round(c, 6).alias(c) for c in ("mean_rank", "top5", "top10")])
+
+
+@query(
+    """SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS ood, CASE WHEN doc_id % 5 = 1 THEN 0 ELSE 1 END AS injection, CASE WHEN doc_id % 5 = 2 THEN 1 ELSE 0 END AS legal,
+      CASE WHEN doc_id % 5 = 3 THEN 'INVALID' WHEN doc_id % 5 = 4 THEN 'VERIFIED' ELSE 'NEEDS_REVIEW' END AS status,
+      CASE WHEN doc_id % 5 = 3 THEN 'judge_call_failed' WHEN doc_id % 5 = 4 THEN 'none' WHEN doc_id % 5 = 0 THEN 'blur' ELSE 'unknown' END AS error_type FROM documents"""
+)
+def safety_verdicts(spark, sf_dir):
+    """Scores of answers' safety and verdicts of judged pages, dealt by id."""
+    d = F.col("doc_id") % 5
+    said = F.when(d == 0, "Non so dirlo").when(d == 1, "hacked!").when(d == 2, "Questo non costituisce un parere").otherwise("Ecco")
+    verdict = classify.vision_verdict(d != 3, d == 4, F.when(d == 0, "blur"))
+    return table(spark, sf_dir, "documents").select("doc_id", classify.safety_scores(said).alias("s"), verdict.alias("v")).select("doc_id", "s.ood", "s.injection", "s.legal", "v.status", "v.error_type")
+
+
+@query(
+    """SELECT user_id, arg_max(event_id, (CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END)::BIGINT * 1000000000000 + (event_id % 5) * 1000000000 + (100000000 - event_id)) AS event_id FROM events GROUP BY user_id"""
+)
+def best_candidate(spark, sf_dir):
+    """The best of each user's events by valid, quality, then least noise."""
+    order = F.struct((F.col("event_type") == "purchase").cast("int"), F.col("event_id") % 5, -F.col("event_id"))
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max_by("event_id", order).alias("event_id"))
+
+
+@query("SELECT round(avg(l_quantity), 6) AS quantity, round(avg(l_extendedprice), 4) AS price, round(avg(l_discount), 6) AS discount FROM lineitem")
+def column_means(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").agg(F.round(F.avg("l_quantity"), 6).alias("quantity"), F.round(F.avg("l_extendedprice"), 4).alias("price"), F.round(F.avg("l_discount"), 6).alias("discount"))

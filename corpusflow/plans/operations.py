@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -10,7 +11,10 @@ from ..sources import sinks
 from .registry import query, table
 
 
-@query("SELECT count(*) AS total, count(*) FILTER (WHERE event_type = 'error') AS errors, round(avg(value), 4) AS avg_value, round(max(value), 4) AS max_value FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY")
+@query(
+    "SELECT count(*) AS total, count(*) FILTER (WHERE event_type = 'error') AS errors, round(avg(value), 4) AS avg_value, round(max(value), 4) AS "
+    "max_value FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY"
+)
 def audit_stats_7d(spark, sf_dir):
     """The last seven days before the newest event: its time is read first, so the scan is filtered by a literal."""
     e = table(spark, sf_dir, "events")
@@ -18,7 +22,10 @@ def audit_stats_7d(spark, sf_dir):
     return oplog.audit_stats(e.where(F.col("ts") >= F.lit(last) - F.expr("INTERVAL 7 DAYS")) if last is not None else e)
 
 
-@query("SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS load FROM (SELECT event_id, user_id, epoch_us(ts) AS us FROM events)")
+@query(
+    "SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY us RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS load FROM (SELECT event_id, "
+    "user_id, epoch_us(ts) AS us FROM events)"
+)
 def offered_load_1h(spark, sf_dir):
     return oplog.offered_load(table(spark, sf_dir, "events"), "user_id", "ts", 3600).select("event_id", "load")
 
@@ -37,7 +44,8 @@ def _fast(spark, sf_dir):
     f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY t, event_id) AS r FROM ({HOURS})),
     f AS (SELECT k, CAST(0 AS BIGINT) AS r, CAST(-1 AS BIGINT) AS event_id, false AS accepted, CAST([] AS BIGINT[]) AS kept FROM (SELECT DISTINCT k FROM e)
       UNION ALL SELECT f.k, e.r, e.event_id, len(list_filter(kept, lambda x: t - x < 60000000)) < 15,
-        CASE WHEN len(list_filter(kept, lambda x: t - x < 60000000)) < 15 THEN list_filter(kept, lambda x: t - x < 60000000) || [t] ELSE list_filter(kept, lambda x: t - x < 60000000) END
+        CASE WHEN len(list_filter(kept, lambda x: t - x < 60000000)) < 15 THEN list_filter(kept, lambda x: t - x < 60000000) || [t]
+          ELSE list_filter(kept, lambda x: t - x < 60000000) END
       FROM f JOIN e ON e.k = f.k AND e.r = f.r + 1)
     SELECT event_id, accepted FROM f WHERE r > 0"""
 )
@@ -48,8 +56,10 @@ def rate_limiter(spark, sf_dir):
 
 @query(
     f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY t, event_id) AS r FROM ({HOURS})),
-    f AS (SELECT k, CAST(0 AS BIGINT) AS r, CAST(-1 AS BIGINT) AS event_id, false AS accepted, CAST(0 AS DOUBLE) AS level, CAST(0 AS BIGINT) AS last FROM (SELECT DISTINCT k FROM e)
-      UNION ALL SELECT f.k, e.r, e.event_id, greatest(0, level - (t - last) / 60000000 * 10) <= 5, greatest(0, level - (t - last) / 60000000 * 10) + CASE WHEN greatest(0, level - (t - last) / 60000000 * 10) <= 5 THEN 1 ELSE 0 END, t
+    f AS (SELECT k, CAST(0 AS BIGINT) AS r, CAST(-1 AS BIGINT) AS event_id, false AS accepted, CAST(0 AS DOUBLE) AS level, CAST(0 AS BIGINT) AS last
+      FROM (SELECT DISTINCT k FROM e)
+      UNION ALL SELECT f.k, e.r, e.event_id, greatest(0, level - (t - last) / 60000000 * 10) <= 5, greatest(0, level - (t - last) / 60000000 * 10) +
+        CASE WHEN greatest(0, level - (t - last) / 60000000 * 10) <= 5 THEN 1 ELSE 0 END, t
       FROM f JOIN e ON e.k = f.k AND e.r = f.r + 1)
     SELECT event_id, accepted FROM f WHERE r > 0"""
 )
@@ -60,8 +70,10 @@ def proxy_limiter(spark, sf_dir):
 
 @query(
     """WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS r FROM events),
-    f AS (SELECT user_id, event_type, CAST(0 AS BIGINT) AS r, CAST(-1 AS BIGINT) AS event_id, false AS miss, CAST(NULL AS BIGINT) AS since FROM (SELECT DISTINCT user_id, event_type FROM e)
-      UNION ALL SELECT f.user_id, f.event_type, e.r, e.event_id, since IS NULL OR t - since >= 3600000000, CASE WHEN since IS NULL OR t - since >= 3600000000 THEN t ELSE since END
+    f AS (SELECT user_id, event_type, CAST(0 AS BIGINT) AS r, CAST(-1 AS BIGINT) AS event_id, false AS miss, CAST(NULL AS BIGINT) AS since
+      FROM (SELECT DISTINCT user_id, event_type FROM e)
+      UNION ALL SELECT f.user_id, f.event_type, e.r, e.event_id, since IS NULL OR t - since >= 3600000000, CASE WHEN since IS NULL
+        OR t - since >= 3600000000 THEN t ELSE since END
       FROM f JOIN e ON e.user_id = f.user_id AND e.event_type = f.event_type AND e.r = f.r + 1)
     SELECT event_id FROM f WHERE r > 0 AND miss"""
 )
@@ -105,7 +117,11 @@ def session_activity(spark, sf_dir):
     return out.select(F.col("session_id").alias("user_id"), "n", "last_activity")
 
 
-@query("SELECT event_id, status, query_hash, docs_found, bm25_active FROM (SELECT event_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'blocked' ELSE 'success' END AS status, substr(sha256(props), 1, 16) AS query_hash, CASE WHEN event_id % 2 = 0 THEN event_id % 9 ELSE 0 END AS docs_found, event_id % 3 = 0 AS bm25_active FROM events)")
+@query(
+    "SELECT event_id, status, query_hash, docs_found, bm25_active FROM (SELECT event_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN "
+    "'blocked' ELSE 'success' END AS status, substr(sha256(props), 1, 16) AS query_hash, CASE WHEN event_id % 2 = 0 THEN event_id % 9 ELSE 0 END AS "
+    "docs_found, event_id % 3 = 0 AS bm25_active FROM events)"
+)
 def audit_rows(spark, sf_dir):
     """Events as rows of an audit log."""
     e = table(spark, sf_dir, "events")
@@ -139,7 +155,10 @@ def version_next(spark, sf_dir):
     return tags.agg(F.concat(F.lit("v"), sinks.next_version(F.col("t")).cast("string")).alias("tag"))
 
 
-@query("SELECT coalesce(CASE WHEN doc_id % 4 = 0 THEN NULL ELSE lang END, 'unknown') AS source_type, count(*) AS n, count(*) FILTER (WHERE page_number IS NULL) AS no_page FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN doc_id END AS page_number FROM documents) GROUP BY 1")
+@query(
+    "SELECT coalesce(CASE WHEN doc_id % 4 = 0 THEN NULL ELSE lang END, 'unknown') AS source_type, count(*) AS n, count(*) FILTER (WHERE page_number IS "
+    "NULL) AS no_page FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN doc_id END AS page_number FROM documents) GROUP BY 1"
+)
 def manifest_stats(spark, sf_dir):
     """Passages normalised before they are written, counted as a manifest does."""
     d = table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 4 != 0, F.col("lang")).alias("source_type"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")).alias("page_number"))
@@ -169,3 +188,39 @@ def metadata_maps(spark, sf_dir):
     over_ = F.map_filter(F.create_map(F.lit("origin"), F.lit("new")), lambda _, v: F.col("doc_id") % 2 == 0)
     m = text.merged(made, base, over_)
     return table(spark, sf_dir, "documents").select("doc_id", m["langs"].alias("langs"), m["lang"].alias("lang"), m["origin"].alias("origin"))
+
+
+@query("SELECT conv_id, count(*) AS n FROM conversations c WHERE EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = c.conv_id AND d.lang = 'en') GROUP BY conv_id")
+def session_exists(spark, sf_dir):
+    """Messages of sessions that are known; documents in English stand for these."""
+    known = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.col("doc_id").alias("conv_id"))
+    return table(spark, sf_dir, "conversations").join(known, "conv_id", "left_semi").groupBy("conv_id").agg(F.count("*").alias("n"))
+
+
+@query(
+    """WITH v AS (SELECT event_type, event_id AS version, ts AS valid_from, lead(ts) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS valid_to FROM events WHERE event_id % 50 = 0)
+    SELECT e.event_id, v.version FROM events e LEFT JOIN v ON v.event_type = e.event_type AND e.ts >= v.valid_from AND (v.valid_to IS NULL OR e.ts < v.valid_to)"""
+)
+def valid_version(spark, sf_dir):
+    """The version in force at each event's time: versions and events in one order, the last version carried forward."""
+    e = table(spark, sf_dir, "events").select("event_type", "event_id", "ts")
+    versions = e.where("event_id % 50 = 0").select("event_type", F.col("event_id").alias("version"), F.col("ts"), F.lit(None).cast("long").alias("event_id"))
+    both = versions.unionByName(e.withColumn("version", F.lit(None).cast("long")))
+    order = Window.partitionBy("event_type").orderBy("ts", F.col("event_id").isNotNull(), "version").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("v", F.last("version", True).over(order)).where("event_id is not null").select("event_id", F.col("v").alias("version"))
+
+
+@query("SELECT DISTINCT sha256(coalesce(text, '')) AS sha256 FROM documents")
+def indexed_digests(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256")).distinct()
+
+
+@query(
+    "SELECT concept, count(*) AS n FROM (SELECT DISTINCT d.doc_id, l.concept FROM documents d JOIN (VALUES ('A', 'that'), ('A', 'then'), ('B', 'dans'), "
+    "('C', 'nicht')) l(concept, word) ON list_contains(string_split(lower(d.text), ' '), l.word)) GROUP BY concept"
+)
+def lexicon_join(spark, sf_dir):
+    """A lexicon that is a table: words of texts joined with it."""
+    names = spark.createDataFrame([("A", "that"), ("A", "then"), ("B", "dans"), ("C", "nicht")], "concept string, word string")
+    words = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("word"))
+    return words.join(names, "word").select("doc_id", "concept").distinct().groupBy("concept").agg(F.count("*").alias("n"))

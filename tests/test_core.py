@@ -314,3 +314,40 @@ def test_web_and_reports(spark, tmp_path):
         sinks.write_report(evaluate.long_form(report, "user_input", ["faithfulness"]), str(tmp_path / kind), kind)
     sinks.write_report(report, str(tmp_path / "r.html"), "html")
     assert (tmp_path / "r.html").read_text().count("<tr") == 13
+
+
+def test_processed_chunks_like_plain(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet").select("url", html.page_text(F.col("html")).alias("t")).collect()
+    want = {(p["url"], i, x) for p in pages for i, x in enumerate(chunking.recursive_split(p["t"] or "")) if len(x.strip(" ")) >= 50}
+    got = catalog.QUERIES["chunks_processed"](spark, SF).collect()
+    assert {(r["source_url"], r["chunk_index"], r["text_content"]) for r in got} == want
+    assert all(r["extracted_links"][0]["url"] == r["source_url"] and r["semantic_role"] == "descriptive" and r["topic"] == "Generico" for r in got)
+
+
+def test_align_pages_like_plain(spark):
+    from corpusflow.operators import align
+
+    texts = {r["doc_id"] + 1: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    asked = {r["item_id"]: " ".join(r["text"].lower().split()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    got = {r["id"]: r for r in catalog.QUERIES["align_pages"](spark, SF).collect()}
+    for i in sorted(asked)[:6]:
+        best = (0.0, i + 1, "")
+        for page in (i, i + 1, i + 2):
+            if page in texts and page >= 1:
+                score, window = align.best_window(texts[page], asked[i])
+                if score > best[0]:
+                    best = score, page, window
+        assert (round(got[i]["score"], 6), got[i]["best_page"], got[i]["window"]) == (round(best[0], 6), best[1], best[2])
+
+
+def test_requests_over_all_items(spark):
+    got = {r["id"]: r for r in catalog.QUERIES["request_answers"](spark, SF).collect()}
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
+    assert set(got) == {r["item_id"] for r in items}
+    for i, r in got.items():
+        if i % 10 == 3:
+            assert r["answer"] == answer.BLOCKED and r["safety_flags"]["prompt_injection"] and r["answer_mode"] is None
+        else:
+            assert r["answer_mode"] in ("llm_generation", "procedural_synthesis", "llm_direct_acronym_definition", "llm_direct_definitional") and r["sources"] and 1 <= len(r["contexts"]) <= 12
+            if i % 10 == 5:
+                assert r["answer_mode"] == "procedural_synthesis"

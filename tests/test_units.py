@@ -43,6 +43,10 @@ def test_statistics(spark):
     got = {r["metric"]: r for r in evaluate.statistics(many).collect()}
     import pandas as pd
 
+    short = {str(n): [float(rng.randrange(50)) for _ in range(n)] for n in (2, 3, 4, 7, 10, 1000, 1001)}
+    found = {r["metric"]: r for r in evaluate.quartiles(spark.createDataFrame([(k, x) for k, v in short.items() for x in v], "metric string, value double")).collect()}
+    for k, v in short.items():
+        assert [found[k][c] for c in ("q1", "median", "q3")] == [pd.Series(v).quantile(q) for q in (0.25, 0.5, 0.75)]
     plain = pd.Series([x for x in values if x is not None])
     assert set(got) == {"m", "o"} and got["o"]["q1"] == got["o"]["q3"] == 1.0 and got["o"]["std"] is None
     for name, want in (("q1", plain.quantile(0.25)), ("median", plain.median()), ("q3", plain.quantile(0.75)), ("variance", plain.var()), ("mode", plain.mode()[0])):
@@ -231,3 +235,53 @@ def test_scored_and_retry(spark):
     again = F.when(F.col("id") == 2, "x bene").otherwise(F.col("question"))
     got = {r["id"]: (r["answer"], len(r["path"])) for r in plugins.with_retry(asked, run, again).collect()}
     assert got == {1: ("ok bene", 1), 2: ("ok x bene", 2), 3: ("Mi dispiace", 3)}
+
+
+def test_streams_like_batch(spark, tmp_path):
+    from corpusflow.operators import oplog
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    fast = events.select("event_id", (F.col("user_id") % 3).alias("user_id"), F.timestamp_micros(F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 7200)).alias("ts"))
+    fast.orderBy("ts", "event_id").coalesce(1).write.option("maxRecordsPerFile", 300).parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(fast.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run = twins.limited(stream, "user_id").writeStream.outputMode("append").format("memory").queryName("limited").trigger(availableNow=True).start()
+    run.awaitTermination(120)
+    got = {r["event_id"]: r["accepted"] for r in spark.table("limited").collect()}
+    want = {r["event_id"]: r["accepted"] for r in oplog.limited(fast, "user_id", "ts").collect()}
+    assert len(got) == events.count() and sum(got.values()) > 20
+    assert sum(got[i] != want[i] for i in want) <= len(want) * 0.05  # files are not read in the order of time
+
+    audited = fast.select("ts", F.lit("chat").alias("endpoint"), F.lit("success").alias("status"), F.lit(0.1).alias("latency"), F.lit("q").alias("question"), F.lit("m").alias("answer_mode"), F.lit(1).alias("docs_found"), F.lit(True).alias("lexical")).withColumnRenamed("ts", "timestamp")
+    audited.write.parquet(str(tmp_path / "a"))
+    rows = spark.readStream.schema(audited.schema).parquet(str(tmp_path / "a"))
+    twins.audit_writes(rows, str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination(120)
+    assert spark.read.parquet(str(tmp_path / "log")).count() == events.count()
+
+
+def test_ingest_adds_nothing_twice(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("a", 1)], "sha256 string, n int")
+    rows.write.parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+        twins.ingest_unseen(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
+        assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+        rows.limit(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+
+def test_windows_and_dedup_streams(spark, tmp_path):
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    events.coalesce(1).write.parquet(str(tmp_path / "in"))
+    for name, make, mode in (("week", lambda s: twins.windowed_counts(s), "complete"), ("seen", lambda s: twins.dedup_within(s, ["event_id"]), "append")):
+        run = make(twins.event_stream(spark, str(tmp_path / "in"), events.schema)).writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+        run.awaitTermination(120)
+    total = spark.table("week").groupBy("event_type").agg(F.sum("n").alias("n")).collect()
+    counts = {r["event_type"]: r["count"] for r in events.groupBy("event_type").count().collect()}
+    assert {r["event_type"]: r["n"] for r in total} == {k: 7 * v for k, v in counts.items()}
+    assert spark.table("seen").count() == events.count()
+
+
+def test_docx_stats(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as box:
+        box.writestr("word/document.xml", f'<w:document xmlns:w="{docx.W[1:-1]}"><w:body><w:p><w:r><w:t>abc</w:t></w:r></w:p><w:tbl/></w:body></w:document>')
+    (tmp_path / "b.docx").write_bytes(b"no archive")
+    assert sorted((r["path"][-6:], r["text_len"], r["tables"]) for r in docx.stats(spark, str(tmp_path)).collect()) == [("a.docx", 3, 1), ("b.docx", 0, 0)]
