@@ -14,8 +14,12 @@ import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 #: Runs without white space whose tokens a task remembers before it starts anew (no effect on results).
 REMEMBERED = 300_000
+#: Letters of new words that are learned at once, and one word more.
+LEARNED = 1 << 19
 
 
 def byte_letters() -> list[str]:
@@ -181,12 +185,6 @@ class Tokenizer:
             sym[at : at + 2] = [int(self.made[ranks[at]])]
         return np.array(sym, "<u4").tobytes()
 
-    def segments(self, text: str) -> tuple[list[str], list[str]]:
-        """The text between special tokens, and these."""
-        if self.cut and any(x in text for x in self.special):
-            return self.cut(text), self.cuts(text)
-        return [text], []
-
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers. The words of all
         texts that are new are learned together."""
@@ -204,8 +202,12 @@ class Tokenizer:
         todo = {x: self.odd.get(x) or self.words(x) for x in fresh if x not in self.known}
         words = list({w: None for some in todo.values() for w in some})
         learned: dict[str, bytes] = {}
-        for i in range(0, len(words), 200_000):
-            learned |= self.learn(words[i : i + 200_000])
+        begin = size = 0
+        for stop, w in enumerate(words, 1):
+            size += len(w)
+            if size > LEARNED or stop == len(words):
+                learned |= self.learn(words[begin:stop])
+                begin, size = stop, 0
         for x, some in todo.items():
             self.known[x] = learned[some[0]] if len(some) == 1 else b"".join(map(learned.__getitem__, some))
         out = []
@@ -229,7 +231,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     Null and empty texts have no tokens and decode to the empty text. Rows are independent:
     repeated rows and null ids are kept as they are, and no rows move. Other columns are not
-    read. A task holds one Arrow batch, the runs of 6 MB of it, and 500 rows of the output.
+    read. A task holds one Arrow batch, the runs of 3 MB of it, and 500 rows of the output.
     """
     with open(path, "rb") as f:
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
@@ -243,7 +245,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             begin = 0
             while begin < len(texts):
                 stop, held = begin, 0
-                while stop < len(texts) and (stop == begin or held + sizes[stop] < 6 << 20):
+                while stop < len(texts) and (stop == begin or held + sizes[stop] < 3 << 20):
                     held += sizes[stop]
                     stop += 1
                 some = [x or "" for x in texts.slice(begin, stop - begin).to_pylist()]
@@ -258,4 +260,4 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(work, f"id {kind}, n_tokens long, ids binary" + ", decoded string" * decode).withColumnRenamed("id", id_col)
+    return rows.mapInArrow(trimmed(work), f"id {kind}, n_tokens long, ids binary" + ", decoded string" * decode).withColumnRenamed("id", id_col)

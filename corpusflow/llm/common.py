@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,9 +60,9 @@ class Scratch:
         self._n += 1
         return f"{self.root}/{self._n}"
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, compression: str = "snappy") -> DataFrame:
         at = self.path()
-        df.write.parquet(at)
+        df.write.option("compression", compression).parquet(at)
         out = self.spark.read.schema(df.schema).parquet(at)
         self._paths[id(out)] = at
         return out
@@ -100,6 +101,20 @@ def ranked(scratch: Scratch, df: DataFrame, order: list, name: str) -> DataFrame
     return parts.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + at - 1).drop("_part", "_before")
 
 
+def trimmed(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work, after which the worker gives unused memory back: workers are kept, beside what the next stage needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library
+            pass
+
+    return run
+
+
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links that connect the same nodes, at most one for each: every one to its group's least."""
     nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)

@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import trimmed
+
 #: Bytes a filter sees, of a letter's embedding, filters, bytes between two windows.
 WIDTH, DIM, FILTERS, STEP = 8, 8, 24, 2
 #: A chunk is two blocks; chunks begin at each block, so they overlap by half.
@@ -194,7 +196,7 @@ def accepted(docs: DataFrame, net: Network, text_col: str = "text", cut: float =
             if batch.num_rows:
                 yield batch.filter(pa.array(probabilities(net, pc.fill_null(batch.column(text_col), "")) >= cut))
 
-    return docs.mapInArrow(work, docs.schema)
+    return docs.mapInArrow(trimmed(work), docs.schema)
 
 
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.7) -> DataFrame:
@@ -212,5 +214,5 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    out = rows.mapInArrow(work, f"id {kind}, score double")
+    out = rows.mapInArrow(trimmed(work), f"id {kind}, score double")
     return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, components, forest
+from .common import Scratch, components, forest, key_filter, trimmed, with_maybe
 
 #: Fingerprints that a shard should hold, beyond which it is cut again, and that a node of a tree in memory is compared
 #: with directly.
@@ -25,9 +25,11 @@ ALL = np.uint64(2**64 - 1)
 #: still too large gets a tree of its own.
 SAMPLE, LEVELS = 8192, 10
 #: Classes of shingles that have fingerprints of their own, and the fewest shingles a class should hold.
-CLASSES, HELD = 16, 3
+CLASSES, HELD = 12, 3
 #: Bits within which whole fingerprints are candidates, and members of a group compared with one another at once.
-FAR, PIECE = 18, 4096
+FAR, PIECE = 16, 4096
+#: Members of a group all pairs of which are compared, at most; nearest members of a piece of a larger one that what is left is compared with.
+FEW, NEAREST = 64, 16
 
 
 def shingles(text: bytes, words: int = 4, seed: int = 42) -> np.ndarray:
@@ -70,7 +72,7 @@ def sketch(distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     Shingles are dealt to 2^k classes by other bits of a mix of their hash, so many that a class holds HELD to twice HELD
     of them, and the first CLASSES classes get a majority of their own. A set close below the border to the next k
     gets those classes too, so sets of a similarity of 0.8 or more share a k. If 11 % of the shingles on
-    either side differ, a class is the same on both sides with a chance of 0.26 to 0.51, and so one of 16 is with 0.99.
+    either side differ, a class is the same on both sides with a chance of 0.26 to 0.51, and so one of 12 is with 0.97 to 0.9998.
     """
     n = len(distinct)
     prints, names = [], []
@@ -89,7 +91,7 @@ def sketch(distinct: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         held = np.diff(np.concatenate((first, [len(own)])))
         ones = np.add.reduceat(bits_of(distinct[chosen]).astype(np.int32), first)
         found = np.packbits(ones * 2 > held[:, None], axis=1, bitorder="little").view("<u8").ravel()
-        large = held >= min(2, n)
+        large = held >= min(HELD, n)
         prints.append(found[large])
         names.append((own[first][large] + np.uint64(level * CLASSES)).astype(np.int32))
     return (np.concatenate(prints), np.concatenate(names)) if prints else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
@@ -330,7 +332,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     row = F.col(row_col) if row_col else F.monotonically_increasing_id()
     rows = docs.select(F.col(id_col).alias("id"), row.alias("row"), F.encode(F.col(text_col).cast("string"), "UTF-8").alias("text"))
-    rows = scratch.save(rows.mapInArrow(prints, f"id {kind}, row long, fp long"))
+    rows = scratch.save(rows.mapInArrow(trimmed(prints), f"id {kind}, row long, fp long"))
     fps = scratch.save(rows.groupBy("fp").agg(F.min("id").alias("least")))
     label = linked(scratch, fps, bits)
     named = fps.join(label, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
@@ -343,41 +345,49 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("first").isNotNull().alias("kept"), *([F.col("row").alias(row_col)] if row_col else []))
 
 
-def pieced(members: DataFrame) -> DataFrame:
-    """(row, first): pairs of members (grp, row, fp) of one group within FAR bits; groups are compared in pairs of pieces."""
+def pieced(members: DataFrame, similarity: float, most: int | None = None) -> DataFrame:
+    """(row, first): pairs of members (grp, row, fp, size, left) of one group within FAR bits and like in size, groups compared in pairs of pieces: all
+    of them, or for each member that is `left` the `most` nearest of each piece."""
     parts = members.groupBy("grp").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("parts"))
     placed = members.join(parts, "grp").withColumn("mine", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
     sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     key = F.xxhash64("grp", F.least("mine", "other"), F.greatest("mine", "other"))
-    sent = sent.select(key.alias("key"), "row", "fp", (F.col("mine") <= F.col("other")).alias("low"), (F.col("mine") >= F.col("other")).alias("up"))
+    sent = sent.select(key.alias("key"), "row", "fp", "size", "left", (F.col("mine") <= F.col("other")).alias("low"), (F.col("mine") >= F.col("other")).alias("up"))
+
+    def near(own: np.ndarray, fps: np.ndarray, rows: np.ndarray, sizes: np.ndarray, other: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        step = max(1, PAIRS // max(1, len(other)))
+        for i in range(0, len(own), step):
+            some = own[i : i + step]
+            bits = np.bitwise_count(fps[some][:, None] ^ fps[other][None, :]).astype(np.int16)
+            a, b = sizes[some][:, None], sizes[other][None, :]
+            bits[(rows[some][:, None] == rows[other][None, :]) | (np.minimum(a, b) < similarity * np.maximum(a, b))] = 99
+            if most is not None and len(other) > most:
+                bits[bits > np.partition(bits, most - 1, axis=1)[:, most - 1 : most]] = 99
+            a, b = np.nonzero(bits <= FAR)
+            yield rows[some[a]], rows[other[b]]
 
     def compare(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(list(batches)).combine_chunks()
-        rows, fps = np.asarray(table["row"]), np.asarray(table["fp"]).view(np.uint64)
+        rows, fps, sizes, left = np.asarray(table["row"]), np.asarray(table["fp"]).view(np.uint64), np.asarray(table["size"]), np.asarray(table["left"])
         low, up = np.flatnonzero(np.asarray(table["low"])), np.flatnonzero(np.asarray(table["up"]))
-        step = max(1, PAIRS // max(1, len(up)))
-        for i in range(0, len(low), step):
-            some = low[i : i + step]
-            a, b = np.nonzero(np.bitwise_count(fps[some][:, None] ^ fps[up][None, :]) <= FAR)
-            a, b = rows[some[a]], rows[up[b]]
-            lower, upper = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
-            if len(lower):
-                yield pa.RecordBatch.from_arrays([pa.array(upper), pa.array(lower)], names=["row", "first"])
+        for own, other in ((low, up), (up, low)):
+            for a, b in near(own[left[own]], fps, rows, sizes, other):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["row", "first"])
 
-    return sent.groupBy("key").applyInArrow(compare, "row long, first long")
+    return sent.groupBy("key").applyInArrow(compare, "row long, first long").distinct()
 
 
-def near_dedup(docs: DataFrame, row_col: str, text_col: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 2, order: list | None = None) -> DataFrame:
+def near_dedup(docs: DataFrame, row_col: str, text_col: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 8, order: list | None = None) -> DataFrame:
     """(row_col, component, kept): documents linked at `similarity` or more, by the sets of their shingles of `words` words.
 
-    At that similarity whole fingerprints differ in 10 bits on average, within which trees prune little. So each document gets
-    several fingerprints, of samples of its shingles (see sketch), next to the whole one. Trees find those within
-    `bits` of one another (4 for whole ones); they make groups of documents. In each group the
-    members are compared with the first, shingle by shingle; those that don't link are a group again, as long as
-    such rounds link much. So a dense group gives a pair for each member and round. What is left of the groups
-    is compared within them by whole fingerprints, in pairs of pieces, and those within FAR bits (two in ten thousand at
-    0.8 differ in more) by shingles. Two documents that are both linked to one first need no link of their own; a
-    link between one that is and one that isn't is only found through another of the (up to 33) groups they share.
+    At that similarity whole fingerprints differ in 10 bits on average, within which trees prune little. So trees find those within
+    `bits` of one another, and each document gets several more fingerprints, of samples of its shingles (see sketch), that
+    are equal in near copies often enough. Either way they make groups of documents. In each group the
+    members are candidates. Groups of up to FEW members are compared pair by pair: by whole fingerprints, then those within FAR
+    bits (two in a thousand at 0.8 differ in more) and like in size, by shingles. In larger ones the members are compared with the first, shingle by
+    shingle; those that don't link are a group again, as long as such rounds link much, so a dense group gives a pair for
+    each member and round. What is left then is compared with the NEAREST members of each piece of its group.
 
     kept: of each component the first row in `order` (columns of docs; row_col is the last). Empty texts have no shingles and
     link with nothing; null texts count as empty. row_col is a unique, stable number of the row. An
@@ -386,46 +396,62 @@ def near_dedup(docs: DataFrame, row_col: str, text_col: str = "text", words: int
     scratch = Scratch(docs.sparkSession, "near")
     by = [F.col(c) for c in (order or [])]
 
+    def listed(ids: list, columns: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
+        lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in c]))), pa.int32()), pa.array(np.concatenate(c))) for c in columns]
+        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *lists], names=["row", *names])
+
     def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, fps, places, sets = [], [], [], []
+            ids, fps, places, counts = [], [], [], []
             for i, x in zip(batch.column("row").to_pylist(), batch.column("text"), strict=True):
-                found = shingles(x.as_buffer().to_pybytes() if x.is_valid else b"", words)
+                found = shingles(x.as_buffer().to_pybytes(), words)
                 distinct = np.unique(found)
                 own, names = sketch(distinct)
+                counts.append(np.array([len(distinct)], np.int32))
                 if len(found):
-                    own, names = np.append(own, np.uint64(majority(found))), np.append(names, -1)
+                    own, names = np.append(own, np.uint64(majority(found))), np.append(names, np.int32(-1))
                 ids.append(i)
                 fps.append(own.view(np.int64))
                 places.append(names)
-                sets.append(distinct.view(np.int64))
-                if sum(map(len, sets)) > 500_000 or len(ids) > 2000:
-                    yield block(ids, fps, places, sets)
-                    ids, fps, places, sets = [], [], [], []
             if ids:
-                yield block(ids, fps, places, sets)
+                yield listed(ids, [fps, places, counts], ["fps", "places", "n"])
 
-    def block(ids: list, fps: list, places: list, sets: list) -> pa.RecordBatch:
-        lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(x) for x in c]))), pa.int32()), pa.array(np.concatenate(c), t)) for c, t in ((fps, pa.int64()), (places, pa.int32()), (sets, pa.int64()))]
-        return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *lists], names=["row", "fps", "places", "shingles"])
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, held = [], []
+            for i, x in zip(batch.column("row").to_pylist(), batch.column("text"), strict=True):
+                ids.append(i)
+                held.append(np.unique(shingles(x.as_buffer().to_pybytes(), words)).view(np.int64))
+                if sum(map(len, held)) > 500_000:
+                    yield listed(ids, [held], ["shingles"])
+                    ids, held = [], []
+            if ids:
+                yield listed(ids, [held], ["shingles"])
 
-    text = F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8")
-    read = docs.select(F.col(row_col).alias("row"), text.alias("text")).mapInArrow(prints, "row long, fps array<long>, places array<int>, shingles array<long>")
-    read = scratch.save(read)
+    texts = docs.select(F.col(row_col).alias("row"), F.encode(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "UTF-8").alias("text"))
+    read = texts.mapInArrow(trimmed(prints), "row long, fps array<long>, places array<int>, n array<int>")
     ranks = docs.select(F.col(row_col).alias("row"), F.struct(*by, F.col(row_col)).alias("order"))
-    own = scratch.save(read.select("row", F.explode(F.arrays_zip("fps", "places")).alias("x")).select("row", F.col("x.fps").alias("fp"), (F.col("x.places") < 0).alias("whole")))
-
-    # groups of documents: the components of their fingerprints; a fingerprint of one document alone is found by no equal one
-    groups = []
-    for whole, reach in ((False, bits), (True, 4)):
-        some = own.where("whole" if whole else "not whole")
-        label = linked(scratch, scratch.save(some.select("fp").distinct()), reach)
-        named = some.join(label, "fp", "left").select("row", F.xxhash64(F.coalesce("component", "fp"), F.lit(whole)).alias("grp"))
-        groups.append(named)
-    members = reduce(DataFrame.unionByName, groups).distinct()
-    crowded = members.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp")
-    members = scratch.save(members.join(crowded, "grp").join(ranks, "row").select("grp", "row", "order"))
-    sizes = scratch.save(read.join(members.select("row").distinct(), "row").select("row", "shingles", F.size("shingles").alias("n")))
+    own = scratch.save(read.select("row", F.get("n", F.lit(0)).alias("size"), F.explode(F.arrays_zip("fps", "places")).alias("x")).select("row", F.col("x.fps").alias("fp"), (F.col("x.places") < 0).alias("whole"), F.when(F.col("x.places") < 0, F.col("size")).alias("size")))
+
+    # groups of documents: components of whole fingerprints, equal ones of samples
+    whole = own.where("whole")
+    label = linked(scratch, scratch.save(whole.select("fp").distinct()), bits)
+    groups = [whole.join(label, "fp", "left").select("row", F.xxhash64(F.coalesce("component", "fp"), F.lit(True)).alias("grp"))]
+    groups.append(own.where("not whole").select("row", F.xxhash64("fp", F.lit(False)).alias("grp")))
+    members = reduce(DataFrame.unionByName, groups)
+    # most groups are of one document: only those that may be larger move twice
+    counted = scratch.save(members.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1"))
+    members = with_maybe(members, F.col("grp"), scratch.save(key_filter(counted.select(F.col("grp").alias("h")))), "maybe").where("maybe").drop("maybe")
+    members = members.join(counted, "grp").join(whole.select("row", "fp", "size"), "row").join(ranks, "row")
+    members = scratch.save(members.select("grp", "row", "order", "fp", "size", "n"))
+    close = scratch.save(pieced(members.where(F.col("n") <= FEW).select("grp", "row", "fp", "size", F.lit(True).alias("left")), similarity))
+    every = members.where(F.col("n") > FEW).drop("n")
+
+    # shingles of candidates only: a filter of bounded size takes them (and a few others) out of the scan
+    wanted = reduce(DataFrame.unionByName, [close.select("row"), close.select(F.col("first").alias("row")), every.select("row")])
+    held = scratch.save(key_filter(wanted.select(F.xxhash64("row").alias("h"))))
+    some = with_maybe(texts, F.xxhash64("row"), held, "maybe").where("maybe").select("row", "text")
+    sizes = scratch.save(some.mapInArrow(trimmed(sets), "row long, shingles array<long>").withColumn("n", F.size("shingles")))
 
     def alike(pairs: DataFrame) -> DataFrame:
         """Of pairs (row, first) those that link, as (a, b)."""
@@ -435,24 +461,25 @@ def near_dedup(docs: DataFrame, row_col: str, text_col: str = "text", words: int
         both = F.size(F.array_intersect("shingles", "b"))
         return asked.where(both >= similarity * (F.col("n") + F.col("m") - both)).select(F.col("first").alias("a"), F.col("row").alias("b"))
 
-    links, turn = None, 0
+    links = scratch.save(alike(close))
+    members, turn = every, 0
     while not members.isEmpty():
         turn += 1
-        first = members.groupBy("grp").agg(F.min(F.struct("order", "row")).alias("f")).select("grp", F.col("f.row").alias("first"))
-        pairs = scratch.save(members.join(first, "grp").where("row <> first").select("grp", "row", "first", "order"))
-        found = scratch.save(alike(pairs.select("row", "first").distinct()))
-        links = found if links is None else links.unionByName(found)
-        done = pairs.join(found, (F.col("row") == F.col("b")) & (F.col("first") == F.col("a")), "left_anti").select("grp", "row", "order")
-        more = done.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1").select("grp")
-        members = scratch.save(done.join(more, "grp", "left_semi"))
+        first = members.groupBy("grp").agg(F.min(F.struct("order", "row", "fp", "size")).alias("f")).select("grp", F.col("f.row").alias("first"), F.col("f.fp").alias("of"), F.col("f.size").alias("m"))
+        pairs = scratch.save(members.join(first, "grp").where("row <> first"))
+        near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("of"))) <= FAR) & (F.least("size", "m") >= similarity * F.greatest("size", "m"))
+        found = scratch.save(alike(pairs.where(near).select("row", "first").distinct()))
+        links = links.unionByName(found)
+        done = pairs.join(found, (F.col("row") == F.col("b")) & (F.col("first") == F.col("a")), "left_anti")
+        members = scratch.save(done.select("grp", "row", "order", "fp", "size"))
         if turn >= 4 and 20 * found.count() < pairs.count():
             break
-    if not members.isEmpty():
-        whole = own.where("whole").select("row", "fp")
-        near = scratch.save(pieced(members.join(whole, "row").select("grp", "row", "fp")).distinct())
-        links = links.unionByName(scratch.save(alike(near)))
+    if turn:
+        left = members.select("grp", "row", F.lit(True).alias("left"))
+        rest = every.select("grp", "row", "fp", "size").join(members.select("grp").distinct(), "grp", "left_semi").join(left, ["grp", "row"], "left")
+        links = links.unionByName(scratch.save(alike(pieced(rest.withColumn("left", F.coalesce("left", F.lit(False))), similarity, NEAREST))))
 
-    if links is None:
+    if links.isEmpty():
         return ranks.select(F.col("row").alias(row_col), F.col("row").alias("component"), F.lit(True).alias("kept"))
     label = components(scratch, links).withColumnRenamed("node", "row")
     named = scratch.save(ranks.join(label, "row"))

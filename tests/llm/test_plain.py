@@ -428,3 +428,32 @@ def test_pipeline_on_an_empty_table(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{SF}/labels.parquet").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+# --- odd tables by value
+def test_bpe_and_mix_of_odd_rows(spark):
+    rows = [(1, None, "b"), (2, "", None), (None, "zwei Wörter", "a"), (4, "eins", "a"), (4, "eins", "a"), (5, "x" * 300_000, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("id", F.lit(1)).withColumn("size", F.lit(1)).withColumn("at", F.lit(1)).withColumn("bucket", F.lit(1))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    from corpusflow.llm import bpe
+
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["decoded"]) for r in bpe.encode_documents(table, path).collect())
+    want = []
+    for i, t, _ in rows:
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        want.append((str(i), len(ids), library.decode(ids, skip_special_tokens=False)))
+    assert got == sorted(want)
+    sizes, target = plain_mix(rows)
+    mixed = mixing.mix(table).collect()
+    assert sorted((str(r["doc_id"]), r["size"], r["source_size"]) for r in mixed) == sorted((str(i), len((t or "").encode().split()), sizes[s]) for i, t, s in rows)
+    assert sum(r["taken"] for r in mixed) == sum(math.floor(t + 0.5) for t in target.values()) and all(r["taken"] <= 2 * r["size"] for r in mixed)
+    assert mixing.mix(table.limit(0)).count() == 0 and bpe.encode_documents(table.limit(0), path).count() == 0
+
+
+def test_exact_dedup_where_digests_clash(spark, monkeypatch):
+    """If two contents shared a digest, the contents themselves would be compared."""
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: F.lit("ab" * 32))
+    table = spark.createDataFrame([(1, "eins"), (2, "zwei"), (3, "eins")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["keep_id"], r["group_size"]) for r in exact_dedup.exact_dedup(table).collect())
+    assert got == [(1, 3, 2), (2, 2, 1), (3, 3, 2)]
