@@ -8,7 +8,7 @@ from ..functions import classify, text
 from ..operators import answer, ensemble, plugins, retrieval
 from . import expected as E
 from .catalog import RANKED, _bm25, _questions, sql_top, sql_vector
-from .registry import query, table
+from .registry import query, spread, table
 
 
 @query(
@@ -36,7 +36,7 @@ def ensemble_boost(spark, sf_dir):
 
 
 def _near(spark, sf_dir, k):
-    docs = table(spark, sf_dir, "documents").select("doc_id", retrieval.embedding(F.col("text")).alias("vec"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", retrieval.embedding(F.col("text")).alias("vec"))
     return retrieval.nearest(docs, _questions(spark, sf_dir).select("query", retrieval.embedding(F.col("text")).alias("vec")), k, "doc_id", "vec")
 
 

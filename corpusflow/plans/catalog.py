@@ -9,7 +9,7 @@ from ..functions import classify, text
 from ..operators import align, chunking, evaluate, expansion, oplog, retrieval
 from ..sources import docx
 from . import expected as E
-from .registry import ORACLE, QUERIES, over_documents, query, table
+from .registry import ORACLE, QUERIES, over_documents, query, spread, table
 
 WORDS, NORM, TOKENS = E.WORDS, E.NORM, E.TOKENS
 
@@ -146,7 +146,7 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    return retrieval.bm25_top(table(spark, sf_dir, "documents"), _questions(spark, sf_dir), k)
+    return retrieval.bm25_top(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), _questions(spark, sf_dir), k)
 
 
 RANKED = "row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, id) AS rank"
@@ -176,7 +176,7 @@ FOLDED = r"list_filter(regexp_split_to_array(strip_accents(lower(coalesce(text,
 )
 def fts_topk(spark, sf_dir):
     """Full-text search: documents with all of a question's terms."""
-    found = retrieval.full_text(table(spark, sf_dir, "documents"), _questions(spark, sf_dir))
+    found = retrieval.full_text(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), _questions(spark, sf_dir))
     return found.select("query", "id", F.col("rank").cast("long").alias("rank"), F.round("fts_rank", 4).alias("fts_rank"))
 
 
@@ -280,7 +280,7 @@ SQL_CONCEPTS = "list_filter([" + ", ".join(f"CASE WHEN {E.any_of('lower(coalesce
 )
 def hybrid_fuse(spark, sf_dir):
     """Forty candidates each by vector and by words, summed, reranked by role, concepts and length; 8 or 12 by the question."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     asked = _questions(spark, sf_dir)
     body = F.col("text")
     near = retrieval.nearest(docs.select("doc_id", retrieval.embedding(body).alias("vec")), asked.select("query", retrieval.embedding(body).alias("vec")), 40, "doc_id", "vec")

@@ -25,6 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """A scan dealt out to all cores where its files have fewer splits than there are: the table is small then, by the size of a split."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def over(source: str, key: str, column: str, name: str, sql: str, **columns: Callable) -> None:
     """A projection of a table by its key."""
 
