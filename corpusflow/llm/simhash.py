@@ -389,8 +389,8 @@ def near_dedup(docs: DataFrame, row_col: str, text_col: str = "text", words: int
     shingle; those that don't link are a group again, as long as such rounds link much, so a dense group gives a pair for
     each member and round. What is left then is compared with the NEAREST members of each piece of its group.
 
-    Short texts have few shingles to sample: of sets of under some ten, those that differ in one may share no fingerprint, and
-    such a link is found less often.
+    Short texts have few classes of shingles, so links just at `similarity` are found less often there: of sets of 45 shingles by
+    calculation some 93 %, and of sets of under ten that differ in one shingle few.
 
     kept: of each component the first row in `order` (columns of docs; row_col is the last). Empty texts have no shingles and
     link with nothing; null texts count as empty. row_col is a unique, stable number of the row. An

@@ -420,7 +420,7 @@ def test_pipeline_like_plain_version(spark, tmp_path):
                 ids = library.encode(t, add_special_tokens=False).ids
                 decoded = library.decode(ids, skip_special_tokens=False)
                 want.append((str(r[0]), len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
-    # the last document of a source's sample is cut to its first words, by a target that may end in a half
+    # a near copy of a short text may be missed (see near_dedup), which shifts the targets, by which a source's last document is cut
     assert [r[0] for r in got] == sorted(r[0] for r in want)
     more, less = sorted((Counter(got) - Counter(want)).elements()), sorted((Counter(want) - Counter(got)).elements())
     assert len(more) == len(less) <= len(sizes) and all(a[0] == b[0] and abs(a[1] - b[1]) <= 8 for a, b in zip(more, less, strict=True)), (more, less, {s: (sizes[s], target[s]) for s in sizes})
