@@ -1,11 +1,11 @@
-"""The queries of this subpackage, op1 to op10, and the DuckDB SQL of those that SQL can express."""
+"""The queries of this subpackage, op1 to op13, and the DuckDB SQL of those that SQL can express."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embed_dedup, exact_dedup, mixing, quality, sharding, simhash, suffix_dedup, warc
+from . import align_tokens, bpe, changes, chat, embed_dedup, exact_dedup, mixing, quality, sharding, simhash, suffix_dedup, warc
 from .common import Scratch
 
 
@@ -80,7 +80,17 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_nn_descent, op2_bpe, op3_simhash, op4_mixing, op5_suffix_dedup, op6_chat_format, op7_sharding, op8_exact_dedup, op9_warc, op10_quality)}
+def op11_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align_tokens.align_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_apply_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return changes.apply_changes(table(spark, sf_dir, "client_changes"))
+
+
+QUERIES = {f.__name__: f for f in (op1_nn_descent, op2_bpe, op3_simhash, op4_mixing, op5_suffix_dedup, op6_chat_format, op7_sharding, op8_exact_dedup, op9_warc, op10_quality, op11_align_tokens, op12_apply_changes)}
 
 ORACLE = {}
 
@@ -167,3 +177,5 @@ CASE WHEN page_id > first THEN 'revisit' ELSE 'response' END AS record_type, CAS
 FROM x
 """
 )
+
+ORACLE["op12_apply_changes"] = changes.ORACLE_SQL

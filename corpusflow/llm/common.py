@@ -36,6 +36,12 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def large_types_off(spark: SparkSession) -> None:
+    """Arrow buffers are read with 32-bit offsets; with 64-bit ones they would give wrong results."""
+    if spark.conf.get("spark.sql.execution.arrow.useLargeVarTypes", "false") == "true":
+        raise ValueError("set spark.sql.execution.arrow.useLargeVarTypes to false")
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     jvm = spark._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
