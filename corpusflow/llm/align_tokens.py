@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -18,15 +19,17 @@ from .bpe import byte_letters
 from .common import Scratch, large_types_off, trimmed
 
 #: Bytes of texts aligned at once (and one text more); documents of them at most, as 16 bits number them.
-PIECE, DOCS = 4 << 20, 1 << 16
+PIECE, DOCS = 2 << 20, 1 << 16
 #: Stretches between spaces, and pairs of them, that a task remembers before it starts anew (no effect on results).
-REMEMBERED, PAIRS = 300_000, 1 << 22
+REMEMBERED, PAIRS = 250_000, 1 << 22
 #: Bytes of postings of one side id that one task reads, about; further tasks take the rest.
 LOAD = 4 << 20
 #: Counts that a task sums before it passes them on, and documents whose sums it holds.
 HELD = 1 << 21
 
 CUT = regex.compile(r"(?<=\S) (?=\S)")
+#: Added to an id where a mark other than a comma follows it.
+BAR, GROUP, STRETCH = 1 << 16, 2 << 16, 3 << 16
 
 
 class Sides:
@@ -46,7 +49,7 @@ class Sides:
         letter = {c: i for i, c in enumerate(byte_letters())}
         spec = json.loads(a)
         entries = {i: t for t, i in spec["model"]["vocab"].items()}
-        self.a_bytes = [bytes(letter[c] for c in entries[i]) if i in entries else None for i in range(max(entries) + 1)]
+        self.a_bytes = [bytes(letter[c] for c in entries.get(i, "")) for i in range(max(entries) + 1)]
         self.b_bytes = []
         self.cut = True
         for i in range(self.b.get_piece_size()):
@@ -56,61 +59,66 @@ class Sides:
                 continue
             self.cut &= "▁" not in piece.lstrip("▁")
             self.b_bytes.append(piece.replace("▁", " ").encode())
-        self.a_sizes = np.array([len(x or b"") for x in self.a_bytes], np.int64)
+        self.a_sizes = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_sizes = np.array([len(x) for x in self.b_bytes], np.int64)
         if max(len(self.a_bytes), len(self.b_bytes)) > 1 << 16:
             raise ValueError("vocabularies of at most 65,536 entries")
+        ids = range(1 << 16)
+        self.marked = [f"{i}{mark}" for mark in ",|;\n" for i in ids]
         self.forget()
 
     def forget(self) -> None:
         """known: the number of each stretch; of each number its counts (tokens of A and B, groups, links), groups as text, pairs."""
         self.known: dict[str, int] = {}
-        self.text: list[str | None] = []
+        self.text: list[str] = []
         self.counts = np.zeros((1024, 4), np.int64)
+        self.bad = np.zeros(1024, bool)
         self.begin = np.zeros(1025, np.int64)
         self.pairs = np.zeros(1 << 16, np.uint32)
 
     def learn(self, new: list[str]) -> None:
-        """Aligns stretches, each with a space before it. One whose tokens don't give back its bytes has no text."""
-        first = len(self.text)
+        """Aligns stretches, each with a space before it. One whose tokens don't give back its bytes is bad."""
+        first, total = len(self.text), len(self.text) + len(new)
         side_a = [e.ids for e in self.a.encode_batch([" " + x for x in new], add_special_tokens=False)]
         side_b = self.b.encode(new, num_threads=1)
-        good = []
-        for x, a, b in zip(new, side_a, side_b, strict=True):
-            want = b" " + x.encode()
-            ok = b"".join([self.a_bytes[i] or b"" for i in a]) == want and b"".join([self.b_bytes[i] for i in b]) == want
-            good.append(ok)
-        side_a = [x if ok else [] for x, ok in zip(side_a, good, strict=True)]
-        side_b = [x if ok else [] for x, ok in zip(side_b, good, strict=True)]
+        bad = np.zeros(len(new), bool)
+        want = "".join([" " + x for x in new]).encode()
+        if self.joined(side_a, self.a_bytes) != want or self.joined(side_b, self.b_bytes) != want:
+            for i, x in enumerate(new):
+                one = (" " + x).encode()
+                bad[i] = self.joined(side_a[i : i + 1], self.a_bytes) != one or self.joined(side_b[i : i + 1], self.b_bytes) != one
+                if bad[i]:
+                    side_a[i] = side_b[i] = []
         n_a, n_b = (np.fromiter(map(len, x), np.int64, len(new)) for x in (side_a, side_b))
-        a, b = (np.fromiter((i for x in side for i in x), np.int64, int(n.sum())) for side, n in ((side_a, n_a), (side_b, n_b)))
+        a, b = (np.fromiter(chain.from_iterable(side), np.int64, int(n.sum())) for side, n in ((side_a, n_a), (side_b, n_b)))
         end_a, end_b = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
-        common = np.intersect1d(end_a, end_b, assume_unique=True)
-        every = np.union1d(end_a, end_b)  # each stretch of bytes between neighbouring ends is one link
+        # each stretch of bytes between neighbouring ends of either side is one link
+        every = np.sort(np.concatenate((end_a, end_b)), kind="stable")
+        same = np.concatenate((every[1:] == every[:-1], [False])) if len(every) else np.zeros(0, bool)
+        common = every[same]
+        every = every[~same]
         pairs = (a[np.searchsorted(end_a, every)] << 16 | b[np.searchsorted(end_b, every)]).astype(np.uint32)
         last = np.concatenate(([0], end_a))[np.cumsum(n_a)]  # where each stretch ends
         stops = np.searchsorted(every, last, "right")
         groups = np.diff(np.searchsorted(common, last, "right"), prepend=0)
         links = np.diff(stops, prepend=0)
+        # the groups as text: A's ids of a group, then B's; each id with the mark after it
         in_a, in_b = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
-        sep_a = np.concatenate((in_a[1:] != in_a[:-1], [True])) if len(a) else np.zeros(0, bool)
-        sep_b = np.concatenate((in_b[1:] != in_b[:-1], [True])) if len(b) else np.zeros(0, bool)
-        # the groups of all stretches: A's ids up to a border, then B's
-        cut_a, cut_b = np.flatnonzero(sep_a) + 1, np.flatnonzero(sep_b) + 1
-        text_a, text_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
-        made, i, j = [], 0, 0
-        for p, q in zip(cut_a.tolist(), cut_b.tolist(), strict=True):
-            made.append(f"{text_a[i] if p == i + 1 else ','.join(text_a[i:p])}|{text_b[j] if q == j + 1 else ','.join(text_b[j:q])}")
-            i, j = p, q
-        at = 0
-        for n, ok in zip(groups.tolist(), good, strict=True):
-            self.text.append(";".join(made[at : at + n]) if ok else None)
-            at += n
-        total = first + len(new)
+        marked_a = a + (np.diff(in_a, append=-1) != 0) * BAR
+        marked_b = b + (np.diff(in_b, append=-1) != 0) * GROUP
+        ended = np.cumsum(n_b)[n_b > 0] - 1
+        marked_b[ended] = b[ended] + STRETCH
+        made = np.zeros(len(a) + len(b), np.int64)
+        made[np.arange(len(a)) + np.searchsorted(in_b, in_a, "left")] = marked_a
+        made[np.arange(len(b)) + np.searchsorted(in_a, in_b, "right")] = marked_b
+        said = iter("".join(map(self.marked.__getitem__, made.tolist())).split("\n"))
+        self.text += [next(said) + ";" if n else "" for n in n_b.tolist()]
         while len(self.counts) < total:
             self.counts = np.concatenate((self.counts, np.zeros_like(self.counts)))
+            self.bad = np.concatenate((self.bad, np.zeros_like(self.bad)))
             self.begin = np.concatenate((self.begin, np.zeros(len(self.begin) - 1, np.int64)))
         self.counts[first:total] = np.stack((n_a, n_b, groups, links), 1)
+        self.bad[first:total] = bad
         used = int(self.begin[first])
         while len(self.pairs) < used + len(pairs):
             self.pairs = np.concatenate((self.pairs, np.zeros_like(self.pairs)))
@@ -118,38 +126,47 @@ class Sides:
         self.begin[first + 1 : total + 1] = used + stops
         self.known.update(zip(new, range(first, total), strict=True))
 
+    @staticmethod
+    def joined(ids: list[list[int]], table: list[bytes]) -> bytes:
+        return b"".join(map(table.__getitem__, chain.from_iterable(ids)))
+
+    def stretches(self, text: str) -> list[str]:
+        if not text or not self.cut:
+            return [text] if text else []
+        parts = text.split(" ")
+        # spaces beside other white space, or at an end, are no cuts
+        return CUT.split(text) if "" in parts or list(map(str.strip, parts)) != parts else parts
+
     def align(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Of each text: its groups' digest ('' without tokens) and counts; and of all links the document and the pair (A's id, B's id)."""
         if len(self.text) > REMEMBERED or self.begin[len(self.text)] > PAIRS:
             self.forget()
-        parts = [(CUT.split(x) if self.cut else [x]) if x else [] for x in texts]
-        known = self.known
-        new = list({w: None for some in parts for w in some if w not in known})
+        parts = list(map(self.stretches, texts))
+        new = list(set(chain.from_iterable(parts)).difference(self.known))
         size = begin = 0
         for stop, w in enumerate(new, 1):
             size += len(w)
             if size > 1 << 18 or stop == len(new):
                 self.learn(new[begin:stop])
                 begin, size = stop, 0
-        digests, numbers, counts = [], [], np.zeros((len(texts), 4), np.int64)
-        sizes = np.zeros(len(texts), np.int64)
-        for i, some in enumerate(parts):
-            at = [known[w] for w in some]
-            said = [self.text[k] for k in at]
-            if not at or None in said:
+        lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+        every = np.fromiter(map(self.known.__getitem__, chain.from_iterable(parts)), np.int64, int(lengths.sum()))
+        ends = np.cumsum(lengths)
+        digests, counts, keep = [], np.zeros((len(texts), 4), np.int64), np.ones(len(every), bool)
+        for i, (x, y) in enumerate(zip((ends - lengths).tolist(), ends.tolist(), strict=True)):
+            place = every[x:y]
+            if x == y or self.bad[place].any():
                 digests.append("")
+                keep[x:y] = False
                 continue
-            digests.append(hashlib.sha256(";".join(said).encode()).hexdigest())
-            place = np.array(at, np.int64)
+            digests.append(hashlib.sha256("".join(map(self.text.__getitem__, place.tolist()))[:-1].encode()).hexdigest())
             counts[i] = self.counts[place].sum(0)
-            sizes[i] = len(place)
-            numbers.append(place)
-        flat = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
+        doc = np.repeat(np.arange(len(texts)), lengths)[keep]
+        flat = every[keep]
         starts, n = self.begin[flat], self.begin[flat + 1] - self.begin[flat]
         total = int(n.sum())
-        where = np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(starts, n)
-        doc = np.repeat(np.repeat(np.arange(len(texts)), sizes), n)
-        return digests, counts, doc, self.pairs[where]
+        where = np.arange(total) + np.repeat(starts - (np.cumsum(n) - n), n)
+        return digests, counts, np.repeat(doc, n), self.pairs[where]
 
 
 def squeezed(*columns: np.ndarray) -> bytes:
@@ -348,7 +365,7 @@ def align_documents(docs: DataFrame, a_path: str, b_path: str, id_col: str = "do
 
     Null and empty texts, and texts that either side doesn't give back byte by byte, have no tokens: zeros and ''.
     Repeated rows and null ids are kept and counted as they are; other columns are not read. A vocabulary's ids are bounded, so what is broadcast is; the
-    driver gets nothing. A task holds the links of 4 MB of texts, or of one longer text.
+    driver gets nothing. A task holds the links of 2 MB of texts, or of one longer text.
     """
     large_types_off(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "align")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align_tokens, bpe, changes, chat, embed_dedup, exact_dedup, mixing, quality, sharding, simhash, suffix_dedup, warc
+from . import align_tokens, bpe, changes, chat, embed_dedup, exact_dedup, mixing, pii, quality, sharding, simhash, suffix_dedup, warc
 from .common import Scratch
 
 
@@ -90,7 +90,11 @@ def op12_apply_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.apply_changes(table(spark, sf_dir, "client_changes"))
 
 
-QUERIES = {f.__name__: f for f in (op1_nn_descent, op2_bpe, op3_simhash, op4_mixing, op5_suffix_dedup, op6_chat_format, op7_sharding, op8_exact_dedup, op9_warc, op10_quality, op11_align_tokens, op12_apply_changes)}
+def op13_find_personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_personal(table(spark, sf_dir, "documents"), pii.fit(pii.labelled(spark)))
+
+
+QUERIES = {f.__name__: f for f in (op1_nn_descent, op2_bpe, op3_simhash, op4_mixing, op5_suffix_dedup, op6_chat_format, op7_sharding, op8_exact_dedup, op9_warc, op10_quality, op11_align_tokens, op12_apply_changes, op13_find_personal)}
 
 ORACLE = {}
 
