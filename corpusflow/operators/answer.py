@@ -152,9 +152,10 @@ def requests(
     Ids are unique. Null questions count as empty. safety_flags is null for none.
     """
     at = F.current_timestamp() if as_of is None else as_of
-    checked = asked.select(F.col("id").alias("query"), F.coalesce("question", F.lit("")).alias("raw"), "messages").withColumn("s", classify.sanitized(F.col("raw")))
+    # questions are numbered: ids may be of any kind
+    checked = asked.select(F.monotonically_increasing_id().alias("query"), F.col("id").alias("own"), F.coalesce("question", F.lit("")).alias("raw"), "messages").withColumn("s", classify.sanitized(F.col("raw")))
     blocked = F.col("s.flags.prompt_injection") | F.col("s.flags.toxic_content")
-    checked = checked.select("query", "messages", F.col("s.text").alias("question"), F.col("s.flags").alias("flags"), F.col("s.error").alias("error"), blocked.alias("blocked"))
+    checked = checked.select("query", "own", "messages", F.col("s.text").alias("question"), F.col("s.flags").alias("flags"), F.col("s.error").alias("error"), blocked.alias("blocked"))
     checked = saved(checked)
     open_ = checked.where("not blocked").withColumn("asked", text.concepts(F.col("question"), names)).withColumn("intent", classify.intent(F.col("question")))
     searched = text.tagged(F.col("question"), F.col("asked"))
@@ -163,14 +164,14 @@ def requests(
     open_ = saved(open_)
 
     # one search for each variant
-    each = open_.select("query", "intent", F.posexplode("variants").alias("v", "question")).withColumn("qv", F.col("query") * 8 + F.col("v"))
+    each = open_.select("query", "intent", F.posexplode("variants").alias("v", "question")).withColumn("qv", F.shiftleft("query", 3) + F.col("v"))
     vec_w, lex_w = weights(F.col("intent"))
     terms = each.select(F.col("qv").alias("query"), F.col("question").alias("text"))
     lexical = retrieval.bm25_top(passages, terms, 8, "id", "content")
     near = retrieval.nearest(passages, each.select(F.col("qv").alias("query"), retrieval.embedding(F.col("question")).alias("vec")), 8, "id", "vec")
     scored = ensemble_scores([(near, vec_w), (lexical, lex_w)], passages.select("id", "content", "filename", "category"), each.select(F.col("qv").alias("query"), "question", "intent"), depth_each)
     body = passages.drop("vec")
-    found = scored.join(body, "id").withColumn("v", F.col("query") % 8).withColumn("query", (F.col("query") - F.col("v")) / 8).withColumn("query", F.col("query").cast("long"))
+    found = scored.join(body, "id").withColumn("v", F.col("query").bitwiseAND(7)).withColumn("query", F.shiftright("query", 3))
     found = retrieval.united([found.withColumn("rank", F.col("v") * 1000 + F.col("rank")).drop("v", "score")])
     found = found.where(~classify.excluded_doc(F.col("doc_type"), F.col("content")))
 
@@ -211,14 +212,14 @@ def requests(
     none = F.array().cast("array<string>")
     no_sources = F.array().cast(kept_sources := "array<struct<filename: string, page_number: int, source_url: string>>")
     done = rows.select(
-        F.col("query").alias("id"),
+        F.col("own").alias("id"),
         F.when(~ok, NOTHING).otherwise(F.coalesce(masked, F.lit(FAILED))).alias("answer"),
         F.when(ok & answer.isNotNull(), F.coalesce(F.col("sources").cast(kept_sources), no_sources)).otherwise(no_sources).alias("sources"),
         F.coalesce("contexts", none).alias("contexts"),
         F.col("flags").alias("safety_flags"),
         F.when(ok & answer.isNotNull(), mode).alias("answer_mode"),
     )
-    refused = checked.where("blocked").select(F.col("query").alias("id"), F.lit(BLOCKED).alias("answer"), no_sources.alias("sources"), none.alias("contexts"), F.col("flags").alias("safety_flags"), F.lit(None).cast("string").alias("answer_mode"))
+    refused = checked.where("blocked").select(F.col("own").alias("id"), F.lit(BLOCKED).alias("answer"), no_sources.alias("sources"), none.alias("contexts"), F.col("flags").alias("safety_flags"), F.lit(None).cast("string").alias("answer_mode"))
     return done.unionByName(refused)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections import deque
+from collections import OrderedDict, deque
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -36,33 +36,47 @@ def linked_entry(fields: dict[str, Column], previous: Column) -> Column:
     return canonical_json(fields | {"previous_audit_hash": previous})
 
 
-def hash_chain(rows: DataFrame, key: str, order: str, fields: dict[str, Column]) -> DataFrame:
-    """(key, order, previous_audit_hash, audit_hash) of rows, each key's entries chained in order from 64 zeros.
+def entry_parts(fields: dict[str, Column]) -> tuple[Column, Column]:
+    """What stands before and after the hash of the entry before in an entry's JSON, whose keys are in order."""
+    before = {k: c for k, c in fields.items() if k < "previous_audit_hash"}
+    after = {k: c for k, c in fields.items() if k > "previous_audit_hash"}
+    head = F.concat(F.regexp_replace(canonical_json(before), r"\}$", ", " if before else ""), F.lit('"previous_audit_hash": "'))
+    return head, F.concat(F.lit('", ' if after else '"'), F.substr(canonical_json(after), F.lit(2)))
+
+
+def hash_chain(rows: DataFrame, key: str, order: str, fields: dict[str, Column], heads: DataFrame | None = None) -> DataFrame:
+    """(key, order, previous_audit_hash, audit_hash) of rows, each key's entries chained in order from 64 zeros; with heads (k, last_hash, length) from
+    its key's head, and with n, the entry's place in the chain.
 
     The JSON of an entry has the hash before at a fixed place, so its parts around are made by Spark and the fold only
     hashes, a batch at a time. A chain is sequential by nature; keys are parallel. Entries without a key are left out.
     """
-    before = {k: c for k, c in fields.items() if k < "previous_audit_hash"}
-    after = {k: c for k, c in fields.items() if k > "previous_audit_hash"}
-    head = F.concat(F.regexp_replace(canonical_json(before), r"\}$", ", " if before else ""), F.lit('"previous_audit_hash": "'))
-    tail = F.concat(F.lit('", ' if after else '"'), F.substr(canonical_json(after), F.lit(2)))
+    head, tail = entry_parts(fields)
     kinds = {c: rows.schema[c].dataType.simpleString() for c in (key, order)}
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, last = object(), GENESIS
+        now, last, n = object(), GENESIS, 0
         for frame in batches:
-            previous, own = [], []
-            for k, start, stop in zip(frame["k"], frame["head"], frame["tail"], strict=True):
+            previous, own, place = [], [], []
+            for k, start, stop, first, length in zip(frame["k"], frame["head"], frame["tail"], frame["last_hash"], frame["length"], strict=True):
                 if k != now:
-                    now, last = k, GENESIS
+                    now, last, n = k, first, length
                 previous.append(last)
                 last = hashlib.sha256((start + last + stop).encode()).hexdigest()
+                n += 1
                 own.append(last)
-            yield pd.DataFrame({"k": frame["k"], "o": frame["o"], "previous_audit_hash": previous, "audit_hash": own})
+                place.append(n)
+            yield pd.DataFrame({"k": frame["k"], "o": frame["o"], "n": place, "previous_audit_hash": previous, "audit_hash": own})
 
     parts = rows.select(F.col(key).alias("k"), F.col(order).alias("o"), head.alias("head"), tail.alias("tail")).where("k is not null")
-    made = parts.repartition("k").sortWithinPartitions("k", "o").mapInPandas(work, f"k {kinds[key]}, o {kinds[order]}, previous_audit_hash string, audit_hash string")
-    return made.withColumnRenamed("k", key).withColumnRenamed("o", order)
+    first = (F.lit(GENESIS), F.lit(0).cast("long"))
+    if heads is not None:
+        parts = parts.join(heads.select("k", "last_hash", "length"), "k", "left")
+        first = (F.coalesce("last_hash", first[0]), F.coalesce("length", first[1]))
+    parts = parts.withColumn("last_hash", first[0]).withColumn("length", first[1])
+    made = parts.repartition("k").sortWithinPartitions("k", "o").mapInPandas(work, f"k {kinds[key]}, o {kinds[order]}, n long, previous_audit_hash string, audit_hash string")
+    made = made.withColumnRenamed("k", key).withColumnRenamed("o", order)
+    return made
 
 
 def verify_chain(entries: DataFrame, key: str, order: str, fields: dict[str, Column]) -> DataFrame:
@@ -140,6 +154,40 @@ class Cache:
         return True
 
 
+def cached(events: DataFrame, cache: str, key: str, ts: str, most: int = 200, seconds: int = 3600) -> DataFrame:
+    """(event_id, hit): whether a cache answers each event. There is one for each value of `cache` (a server, say), all in parallel.
+
+    An entry is put in by the event that misses it and lives for `seconds`, whatever is asked meanwhile; of more than `most` living entries the least
+    recently used one goes. Events are taken in order of time and id; a cache's state is its entries, so no task holds
+    more. Events without a cache or a key are left out.
+    """
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, held = object(), OrderedDict()
+        for frame in batches:
+            out = []
+            for c, k, t in zip(frame["c"], frame["k"], frame["t"], strict=True):
+                if c != now:
+                    now, held = c, OrderedDict()
+                since = held.get(k)
+                hit = since is not None and t - since < seconds * 1_000_000
+                if hit:
+                    held.move_to_end(k)
+                else:
+                    held.pop(k, None)
+                    if len(held) >= most:  # entries whose time is over make room first
+                        for old in [x for x, s in held.items() if t - s >= seconds * 1_000_000]:
+                            del held[old]
+                    if len(held) >= most:
+                        held.popitem(last=False)
+                    held[k] = t
+                out.append(hit)
+            yield pd.DataFrame({"event_id": frame["event_id"], "hit": out})
+
+    rows = events.select(F.col(cache).alias("c"), F.col(key).alias("k"), "event_id", F.unix_micros(F.col(ts).cast("timestamp")).alias("t")).where("c is not null and k is not null")
+    return rows.repartition("c").sortWithinPartitions("c", "t", "event_id").mapInPandas(work, "event_id long, hit boolean")
+
+
 def limited(events: DataFrame, key: str, ts: str, most: int = 15, seconds: int = 60) -> DataFrame:
     """Each event with `accepted`: at most `most` accepted ones of a key in the trailing seconds."""
     return folded(events, key, ts, lambda: Log(most, seconds))

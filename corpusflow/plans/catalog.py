@@ -448,4 +448,4 @@ def align_pages(spark, sf_dir):
     return align.align(chunks, pages)
 
 
-from . import answers, corpus, evaluation, operations  # noqa: E402, F401 (they register their queries)
+from . import answers, corpus, evaluation, operations, stored  # noqa: E402, F401 (they register their queries)

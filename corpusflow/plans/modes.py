@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, lexicon, text
 from ..operators import answer, chunking, evaluate, graph, oplog, plugins, retrieval
-from ..sources import docx, faq, html, pdf, readers, sinks
+from ..sources import chain, docx, faq, html, pdf, readers, sinks
 from ..sources.scratch import exists, saved
 
 PAGES = "array<struct<page_number: int, text: string>>"
@@ -204,7 +204,8 @@ def zero_knowledge(asked: DataFrame, passages: DataFrame, judge: Callable, runs:
 
     judge(kind, question, answer, context) is a Column of a judge's words, of one kind of `claims`, `claim`, `self_contained`, `chunk` and
     `citations`."""
-    many = asked.crossJoin(asked.sparkSession.range(runs).withColumnRenamed("id", "run")).select((F.col("id") * runs + F.col("run")).alias("id"), F.col("id").alias("q"), "run", "question", F.lit(None).cast("array<struct<role: string, content: string>>").alias("messages"))
+    many = asked.crossJoin(asked.sparkSession.range(runs).withColumnRenamed("id", "run")).select(F.monotonically_increasing_id().alias("id"), F.col("id").alias("q"), "run", "question", F.lit(None).cast("array<struct<role: string, content: string>>").alias("messages"))
+    many = saved(many)
     answers = saved(answer.requests(many.select("id", "question", "messages"), passages, **options).join(many.select("id", "q", "run", "question"), "id"))
     vec = answers.select("q", "run", retrieval.embedding(F.col("answer")).alias("vec"))
     same = evaluate.run_consistency(vec, "q", "run", "vec").select("q", F.col("mean").alias("consistency"))
@@ -275,9 +276,9 @@ def trace(asked: DataFrame, passages: DataFrame, k: int = 8) -> DataFrame:
     return seen.join(listed.withColumnRenamed("query", "id"), "id", "left").withColumn("retrieved", F.coalesce(F.size("found"), F.lit(0)))
 
 
-def kpi(events: DataFrame, key: str, order: str, path: str) -> None:
-    """Events as masked, chained entries, appended as JSON lines."""
-    sinks.tracked(events, key, order).write.mode("append").option("ignoreNullFields", False).json(path)
+def kpi(events: DataFrame, key: str, order: str, path: str, batch: int | None = None) -> bool:
+    """Events as masked, chained entries, appended to the log at path: each key's chain goes on. A batch (its number, if given) counts once."""
+    return chain.append(events, key, order, sinks.event_fields(events), path, batch)
 
 
 def health(spark: SparkSession, root: str) -> str:

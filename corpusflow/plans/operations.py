@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import oplog
-from ..sources import sinks
-from .registry import query, table
+from ..operators import carry, oplog
+from ..sources import chain, sinks
+from ..sources.scratch import shared_dir
+from .registry import ORACLE, query, table
 
 
 @query(
@@ -97,7 +100,19 @@ def _fields():
 )
 def hash_chain_build(spark, sf_dir):
     """Each user's entries as JSON with sorted keys, chained."""
-    return oplog.hash_chain(table(spark, sf_dir, "events"), "user_id", "event_id", _fields())
+    return oplog.hash_chain(table(spark, sf_dir, "events"), "user_id", "event_id", _fields()).drop("n")
+
+
+@query(ORACLE["hash_chain_build"].replace("SELECT user_id, event_id, previous_audit_hash", "SELECT user_id, event_id, r AS n, previous_audit_hash"))
+def hash_chain_appended(spark, sf_dir):
+    """The events' log written in three appends, of which the second is tried twice: chains go on from their heads."""
+    e = table(spark, sf_dir, "events")
+    low, high = e.approxQuantile("event_id", [1 / 3, 2 / 3], 0.01)
+    root = f"{shared_dir(spark)}/corpusflow-chain-{uuid.uuid4().hex[:12]}"
+    parts = (F.col("event_id") <= low, (F.col("event_id") > low) & (F.col("event_id") <= high), F.col("event_id") > high)
+    for batch in (0, 1, 1, 2):
+        chain.append(e.where(parts[batch]), "user_id", "event_id", _fields(), root, batch)
+    return chain.entries(spark, root).select("user_id", "event_id", "n", "previous_audit_hash", "audit_hash")
 
 
 @query("SELECT user_id, count(*) AS n, count(*) AS n_ok FROM events GROUP BY user_id")
@@ -202,12 +217,10 @@ def session_exists(spark, sf_dir):
     SELECT e.event_id, v.version FROM events e LEFT JOIN v ON v.event_type = e.event_type AND e.ts >= v.valid_from AND (v.valid_to IS NULL OR e.ts < v.valid_to)"""
 )
 def valid_version(spark, sf_dir):
-    """The version in force at each event's time: versions and events in one order, the last version carried forward."""
+    """The version in force at each event's time, carried along ranges of time."""
     e = table(spark, sf_dir, "events").select("event_type", "event_id", "ts")
-    versions = e.where("event_id % 50 = 0").select("event_type", F.col("event_id").alias("version"), F.col("ts"), F.lit(None).cast("long").alias("event_id"))
-    both = versions.unionByName(e.withColumn("version", F.lit(None).cast("long")))
-    order = Window.partitionBy("event_type").orderBy("ts", F.col("event_id").isNotNull(), "version").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("v", F.last("version", True).over(order)).where("event_id is not null").select("event_id", F.col("v").alias("version"))
+    versions = e.where("event_id % 50 = 0").select("event_type", "ts", F.col("event_id").alias("version"))
+    return carry.valid_version(e, versions, "event_type", "ts", "version").select("event_id", "version")
 
 
 @query("SELECT DISTINCT sha256(coalesce(text, '')) AS sha256 FROM documents")

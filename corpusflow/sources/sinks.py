@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import oplog, retrieval
+from ..operators import inverted, retrieval
 from .readers import versions
 from .scratch import exists, remove
 
@@ -37,9 +37,10 @@ def fingerprint(rows: DataFrame) -> Column:
 def manifest(chunks: DataFrame, lines: DataFrame, version: str, created_at: str, note: str) -> dict:
     """What is known of a snapshot: its counts by source type and its fingerprint."""
     total, visual, texts = chunks.agg(F.count("*"), F.count_if(F.col("source_type") == "visual_guide"), F.count_if(F.col("source_type") == "text_document")).first()
-    by_source = {r["source_type"]: r["count"] for r in chunks.groupBy("source_type").count().limit(1000).collect()}
+    kinds = chunks.groupBy("source_type").count().orderBy(F.desc("count"), "source_type").limit(1001).collect()
+    by_source = {r["source_type"]: r["count"] for r in kinds[:1000]}  # the most frequent; of more the rest is told as one number
     digest = lines.agg(fingerprint(lines)).first()[0]
-    return {"version": version, "created_at": created_at, "note": note, "total_chunks": total, "chunks_file_sha256": digest, "schema_version": "1.1", "stats": {"visual_guides": visual, "text_docs": texts}, "sources": by_source}
+    return {"version": version, "created_at": created_at, "note": note, "total_chunks": total, "chunks_file_sha256": digest, "schema_version": "1.1", "stats": {"visual_guides": visual, "text_docs": texts}, "sources": by_source} | ({"other_sources": total - sum(by_source.values())} if len(kinds) > 1000 else {})
 
 
 def write_text(spark: SparkSession, path: str, content: str) -> None:
@@ -57,15 +58,25 @@ def read_text(spark: SparkSession, path: str) -> str:
     return spark.read.text(path, wholetext=True).first()[0]
 
 
+def _taken(spark: SparkSession, path: str) -> bool:
+    """Whether this call made the file: it fails where there is one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).createNewFile(at))
+
+
 def write_version(chunks: DataFrame, root: str, created_at: str, note: str = "") -> str | None:
     """Writes chunks as the next snapshot: JSON lines, a manifest, and `latest`, which names it; returns its folder, None for no chunks.
 
-    The folder is new, so a snapshot is never changed; `latest` is written last."""
+    The folder is new, so a snapshot is never changed; `latest` is written last. A number is taken by making an empty file of its name, which
+    only one of two writers can; the other takes the next."""
     spark = chunks.sparkSession
     if chunks.isEmpty():
         return None
     found = versions(spark, root)
-    tag = f"v{(found[-1][0] if found else 0) + 1}"
+    number = (found[-1][0] if found else 0) + 1
+    while not _taken(spark, f"{root}/taken/v{number}"):
+        number += 1
+    tag = f"v{number}"
     folder = f"{root}/{tag}_{created_at}"
     rows = normalized(chunks)
     rows.write.mode("errorifexists").option("ignoreNullFields", False).json(f"{folder}/chunks.jsonl")
@@ -165,27 +176,15 @@ def touched(sessions: DataFrame, messages: DataFrame) -> DataFrame:
     return sessions.join(last, "session_id", "left").withColumn("last_activity", F.greatest("last_activity", "_t")).drop("_t")
 
 
-def tracked(events: DataFrame, key: str, order: str) -> DataFrame:
-    """Entries of the event log out of events (key, order, timestamp, endpoint, status, latency, user_role, question, docs_found): the question
-    masked, each key's entries in a hash chain."""
-    fields = event_fields(events)
-    chain = oplog.hash_chain(events, key, order, fields)
-    return events.select(key, order, *[c.alias(n) for n, c in fields.items()]).join(chain, [key, order])
-
-
 def event_fields(events: DataFrame) -> dict[str, Column]:
     meta = F.struct(F.col("docs_found"), text.redact_log(F.col("question")).alias("user_query_masked"))
     return {"endpoint": F.col("endpoint"), "latency_sec": F.col("latency"), "meta": meta, "status": F.col("status"), "timestamp": F.col("timestamp").cast("string"), "user_role": F.col("user_role")}
 
 
 def write_lexical_index(docs: DataFrame, path: str, id_col: str, text_col: str, fingerprint: str = "", default_k: int = 15) -> None:
-    """Postings, documents' lengths and terms' frequencies as tables below path, with a manifest."""
-    index = retrieval.postings(docs, id_col, text_col)
-    index.repartition("term").sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
-    stored = docs.sparkSession.read.parquet(f"{path}/postings")
-    stored.groupBy("id").agg(F.max("dl").alias("dl")).write.mode("overwrite").parquet(f"{path}/documents")
-    retrieval.term_stats(stored).write.mode("overwrite").parquet(f"{path}/terms")
-    write_text(docs.sparkSession, f"{path}/index.json", json.dumps({"format_version": "4.0", "dataset_fingerprint": fingerprint, "default_k": default_k}))
+    """An index that inverted.Search opens, with a manifest."""
+    stats = inverted.build(docs, path, id_col, text_col)
+    write_text(docs.sparkSession, f"{path}/index.json", json.dumps(stats | {"dataset_fingerprint": fingerprint, "default_k": default_k}))
 
 
 def write_vectors(docs: DataFrame, path: str, id_col: str, text_col: str, embed=retrieval.embedding, mode: str = "overwrite") -> None:
@@ -195,14 +194,16 @@ def write_vectors(docs: DataFrame, path: str, id_col: str, text_col: str, embed=
 
 
 def write_report(rows: DataFrame, path: str, kind: str) -> None:
-    """Rows as csv (with a header, lists joined), json or jsonl, or as an HTML table of at most 1000 rows."""
+    """Rows as csv (with a header, lists joined), json or jsonl, or as an HTML table of at most 1000 rows, which says how many more there are."""
     if kind in ("json", "jsonl"):
         rows.write.mode("overwrite").json(path)
     elif kind == "csv":
         flat = [F.array_join(F.col(f.name).cast("array<string>"), ", ").alias(f.name) if f.dataType.typeName() == "array" else F.col(f.name) for f in rows.schema.fields]
         rows.select(*flat).write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
     else:
-        write_text(rows.sparkSession, path, rows.limit(1000).toPandas().to_html(index=False))
+        shown, total = rows.limit(1000).toPandas(), rows.count()
+        more = f"<p>{total - len(shown)} more rows</p>" if total > len(shown) else ""
+        write_text(rows.sparkSession, path, shown.to_html(index=False) + more)
 
 
 def link_text(links: DataFrame, sources: int = 3) -> DataFrame:

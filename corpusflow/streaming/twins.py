@@ -11,6 +11,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.oplog import Log
 from ..sources import sinks
+from ..sources.scratch import exists
 
 
 def event_stream(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -35,11 +36,8 @@ def ingest_unseen(stream: DataFrame, target: str, checkpoint: str, key: str = "s
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         rows = batch.dropDuplicates([key])
-        try:
+        if exists(spark, target):
             rows = rows.join(spark.read.parquet(target).select(key).distinct(), key, "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
         rows.write.mode("append").parquet(target)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpusflow.functions import classify, lexicon, text
 from corpusflow.operators import answer, chunking, evaluate, oplog, retrieval
 from corpusflow.plans import catalog, modes
-from corpusflow.sources import docx, html, pdf, readers, sinks
+from corpusflow.sources import chain, docx, html, pdf, readers, sinks
 
 SF = "/root/testdata/sf0.001"
 
@@ -216,8 +216,9 @@ def test_upserts_and_records(spark, tmp_path):
 
 def test_log_entries(spark, tmp_path):
     rows = spark.createDataFrame([(1, 1, "2024-01-01", "chat", "success", 0.5, "operatore", "chiama (555) 555-1234", 3), (1, 2, "2024-01-02", "chat", "error", 0.1, None, None, 0)], "k long, o long, timestamp string, endpoint string, status string, latency double, user_role string, question string, docs_found long")
-    modes.kpi(rows, "k", "o", str(tmp_path / "kpi"))
-    got = [json.loads(x["value"]) for x in spark.read.text(str(tmp_path / "kpi")).collect()]
+    log = str(tmp_path / "kpi")
+    assert modes.kpi(rows, "k", "o", log, 0) and not modes.kpi(rows, "k", "o", log, 0)
+    got = [x.asDict(True) for x in chain.entries(spark, log).collect()]
     got.sort(key=lambda e: e["o"])
     assert got[0]["meta"]["user_query_masked"] == "chiama [PHONE_MASKED]" and got[1]["previous_audit_hash"] == got[0]["audit_hash"]
     sinks.append(sinks.audit_rows(rows.withColumn("answer_mode", F.lit("x")).withColumn("lexical", F.lit(True)).withColumn("timestamp", F.col("timestamp").cast("timestamp"))), str(tmp_path / "audit"))
