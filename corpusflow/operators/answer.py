@@ -139,6 +139,7 @@ def requests(
     depth_each: int = 10,
     context_chars: int = 6000,
     as_of: Column | None = None,
+    moderator: Callable | None = None,
 ) -> DataFrame:
     """Answers to asked (id, question, messages: array of role and content or null) over passages (id, content, filename,
     page_number, source_url, category, concepts, doc_type, links, vec).
@@ -149,11 +150,14 @@ def requests(
     generator is told by intent, told again where it refuses on a usable context, and its answer masked. All questions go through
     each step at once; what a step gives is saved, so plans stay small.
 
-    Ids are unique. Null questions count as empty. safety_flags is null for none.
+    moderator: maps a Series of questions to verdicts; where it fails a question passes, flagged. Ids are unique. Null questions count as empty. safety_flags is null for none.
     """
     at = F.current_timestamp() if as_of is None else as_of
     # questions are numbered: ids may be of any kind
-    checked = asked.select(F.monotonically_increasing_id().alias("query"), F.col("id").alias("own"), F.coalesce("question", F.lit("")).alias("raw"), "messages").withColumn("s", classify.sanitized(F.col("raw")))
+    checked = asked.select(F.monotonically_increasing_id().alias("query"), F.col("id").alias("own"), F.coalesce("question", F.lit("")).alias("raw"), "messages")
+    verdict = plugins.moderated(F.col("raw"), moderator) if moderator else None
+    checked = saved(checked.withColumn("m", verdict)) if moderator else checked
+    checked = checked.withColumn("s", classify.sanitized(F.col("raw"), *([F.col("m.toxic"), F.col("m.failed")] if moderator else [])))
     blocked = F.col("s.flags.prompt_injection") | F.col("s.flags.toxic_content")
     checked = checked.select("query", "own", "messages", F.col("s.text").alias("question"), F.col("s.flags").alias("flags"), F.col("s.error").alias("error"), blocked.alias("blocked"))
     checked = saved(checked)

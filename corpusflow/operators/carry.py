@@ -31,6 +31,16 @@ def carried(rows: DataFrame, key: str, order: list[Column], value: str, name: st
     return found.withColumn(name, F.coalesce("_own", "_before")).drop("_part", "_own", "_p", "_k", "_before")
 
 
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """rows with a gapless number from 1 in the given order: dealt by ranges, numbered within, the counts of earlier ranges (a row for each)
+    added."""
+    placed = saved(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    at = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
+    return placed.join(F.broadcast(counts), "_part").withColumn(name, F.col("_before") + at).drop("_part", "_before")
+
+
 def valid_version(events: DataFrame, versions: DataFrame, key: str, ts: str, version: str) -> DataFrame:
     """events with the version (key, ts, version) in force at their time: the last one of the key that is not later; of versions at one time the
     largest."""

@@ -29,7 +29,7 @@ def lloyd(v: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
-    return np.asarray(column.flatten()).astype(np.float64).reshape(len(column), -1)
+    return np.asarray(column.flatten()).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
 def _packed(rows: DataFrame, name: str, most: int, radius: bool) -> DataFrame:
@@ -181,7 +181,7 @@ class Search:
         hold a vector as near. A row for each cell, of at most CELLS for each index merged, goes to every task."""
         k, rows = self.k, self.cells.orderBy("cell").collect()
         cells, n = np.array([r["cell"] for r in rows], np.int64), np.array([r["n"] for r in rows], np.int64)
-        centres = np.array([np.frombuffer(r["centre"]) for r in rows]).reshape(len(rows), -1)
+        centres = np.array([np.frombuffer(r["centre"]) for r in rows]).reshape(len(rows), self.stats["dims"])
         radii = np.array([r["radius"] for r in rows])
         nearest = floor is None
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import saved
+
 
 def recall_at_k(retrieved: Column, expected: Column, k: int) -> Column:
     hit = F.size(F.array_intersect(F.slice(retrieved, 1, k), expected))
@@ -59,7 +61,7 @@ def quartiles(long: DataFrame, name: str = "metric", value: str = "value", accur
     few = F.col("_n") <= accuracy  # then all values are within the bracket
     ends = lambda i: (F.when(few, F.col("_low")).otherwise(F.col("_b")[2 * i]).alias("low"), F.when(few, F.col("_high")).otherwise(F.col("_b")[2 * i + 1]).alias("high"))
     spans = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(s).alias("share"), *ends(i)) for i, s in enumerate(shares)])
-    wide = sketch.select("_m", "_n", spans.alias("_s"))
+    wide = saved(sketch.select("_m", "_n", spans.alias("_s")))  # a row for each metric
     seen = rows.join(F.broadcast(wide) if metrics_are_few(wide) else wide, "_m")
     # of each quartile: how many are below its bracket, and the values in it
     parts = seen.select("_m", "_n", "_v", F.explode("_s").alias("s")).where(F.col("_v") <= F.col("s.high"))
@@ -84,7 +86,7 @@ def statistics(long: DataFrame, name: str = "metric", value: str = "value") -> D
     rows = long.where(v.isNotNull())
     base = rows.groupBy(name).agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.var_samp(v).alias("variance"), F.min(v).alias("min"), F.max(v).alias("max"))
     often = rows.groupBy(name, v.alias("_v")).agg(F.count("*").alias("_c")).groupBy(name).agg(F.min_by("_v", F.struct(-F.col("_c"), "_v")).alias("mode"))
-    base = base.join(often, name).join(quartiles(long, name, value), name)
+    base = saved(base.join(often, name).join(quartiles(long, name, value), name))  # a row for each metric: what follows doesn't scan again
     base = base.withColumn("range", F.col("max") - F.col("min")).withColumn("iqr", F.col("q3") - F.col("q1"))
     fence = base.select(F.col(name).alias("_m"), (F.col("q1") - 1.5 * F.col("iqr")).alias("_lo"), (F.col("q3") + 1.5 * F.col("iqr")).alias("_hi"))
     out = rows.join(F.broadcast(fence) if metrics_are_few(fence) else fence, F.col(name) == F.col("_m")).groupBy(name).agg(F.count_if(v < F.col("_lo")).alias("low_outliers"), F.count_if(v > F.col("_hi")).alias("high_outliers"))

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import json_object
+
 log = logging.getLogger(__name__)
 #: What a refused answer says.
 REFUSALS = ["non è presente", "non emerge", "non ho trovato informazioni", "non è specificato", "mi dispiace"]
@@ -42,6 +44,49 @@ def generate(prompt: Column, generator: Callable[[pd.Series], pd.Series]) -> Col
     return call(prompt)
 
 
+def moderated(text: Column, moderator: Callable[[pd.Series], pd.Series]) -> Column:
+    """A struct of toxic and failed: the moderator's verdict on each text (true or false), and whether it gave none. A text that it fails on
+    passes: toxic is false there. Null texts are not asked about."""
+
+    @F.pandas_udf("toxic boolean, failed boolean")
+    def call(texts: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame({"toxic": False, "failed": False}, index=texts.index)
+        asked = texts[texts.notna()]
+        if len(asked):
+            try:
+                said = list(moderator(asked))
+                if len(said) != len(asked):
+                    raise ValueError(f"{len(said)} verdicts on {len(asked)} texts")
+                out.loc[asked.index, "failed"] = [x is None or x != x for x in said]
+                out.loc[asked.index, "toxic"] = [x == x and bool(x) for x in said]
+            except Exception:  # a moderation that is down lets texts pass, flagged
+                log.warning("a moderator failed on %d texts", len(asked), exc_info=True)
+                out.loc[asked.index, "failed"] = True
+        return out
+
+    return call(text)
+
+
+#: What a generator is told to describe a passage, and to put a question in other words.
+DESCRIBE = 'Descrivi il testo. Rispondi solo con un oggetto JSON: {"summary": "una frase", "keywords": ["al massimo cinque"], "topic": "tema principale"}\n\nTESTO:\n'
+REPHRASE = "Riscrivi la domanda per la ricerca nei documenti: una sola riga, senza commenti.\n\nDOMANDA: "
+
+
+def described(chunk: Column, generator: Callable[[pd.Series], pd.Series]) -> Column:
+    """A struct of summary, keywords and topic of a passage, out of the JSON in the generator's text; N/A and no keywords where it gives none."""
+    answer = generate(F.when(F.trim(F.coalesce(chunk, F.lit(""))) != "", F.concat(F.lit(DESCRIBE), chunk)), generator)
+    said = json_object(answer, "summary string, keywords array<string>, topic string")
+    word = lambda c: F.coalesce(F.nullif(F.trim(said[c]), F.lit("")), F.lit("N/A")).alias(c)
+    words = F.filter(F.transform(said["keywords"], lambda w: F.trim(w)), lambda w: w.isNotNull() & (w != ""))
+    return F.struct(word("summary"), F.coalesce(words, F.array().cast("array<string>")).alias("keywords"), word("topic"))
+
+
+def rephrased(question: Column, generator: Callable[[pd.Series], pd.Series]) -> Column:
+    """The question as the generator puts it, its first line that isn't empty; as it is where the generator gives none."""
+    lines = F.filter(F.transform(F.split(generate(F.concat(F.lit(REPHRASE), question), generator), r"\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.coalesce(F.try_element_at(lines, F.lit(1)), question)
+
+
 def variants(response: Column) -> Column:
     """Reformulations in a response, split on three pipes, trimmed, empty ones left out; null gives none."""
     parts = F.transform(F.split(response, r"\|\|\|"), lambda x: F.trim(x))

@@ -174,6 +174,11 @@ def top_k(scored: DataFrame, k: int, by: str = "query", score: str = "score", ti
 
 def embedding(text: Column, dims: int = 64) -> Column:
     """A stand-in for a model's vector: the counts of a text's words by a digest, of length 1; zeros without words."""
+    return embedded(tokens(text), dims)
+
+
+def embedded(words: Column, dims: int = 64) -> Column:
+    """The vector of a text that is given as its tokens."""
 
     @F.pandas_udf("array<double>")
     def count(lists: pd.Series) -> pd.Series:
@@ -189,7 +194,7 @@ def embedding(text: Column, dims: int = 64) -> Column:
             out.append(v / size if size else v)
         return pd.Series(out)
 
-    return count(tokens(text))
+    return count(words)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str) -> DataFrame:

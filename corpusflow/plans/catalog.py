@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import classify, text
 from ..operators import align, chunking, evaluate, expansion, oplog, retrieval
 from ..sources import docx
+from ..sources.scratch import saved
 from . import expected as E
 from .registry import ORACLE, QUERIES, over_documents, query, spread, table
 
@@ -279,14 +280,21 @@ SQL_CONCEPTS = "list_filter([" + ", ".join(f"CASE WHEN {E.any_of('lower(coalesce
     SELECT query, id, round(score, 5) AS score, {RANKED} FROM r QUALIFY rank <= k"""
 )
 def hybrid_fuse(spark, sf_dir):
-    """Forty candidates each by vector and by words, summed, reranked by role, concepts and length; 8 or 12 by the question."""
+    """Forty candidates each by vector and by words, summed, reranked by role, concepts and length; 8 or 12 by the question. Texts are split
+    once; roles and concepts are told of the candidates alone."""
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     asked = _questions(spark, sf_dir)
+    split = lambda t, c: t.select(c, text.tokens(F.col("text")).alias("text"))
+    words, terms = spread(saved(split(docs, "doc_id"))), split(asked, "query")
     body = F.col("text")
-    near = retrieval.nearest(docs.select("doc_id", retrieval.embedding(body).alias("vec")), asked.select("query", retrieval.embedding(body).alias("vec")), 40, "doc_id", "vec")
-    passages = docs.select(F.col("doc_id").alias("id"), classify.role(body).alias("role"), text.word_count(body).alias("words"), text.concepts(body, LOCAL_CONCEPTS, False).alias("concepts"))
+    vectors = lambda t, c: t.select(c, retrieval.embedded(body).alias("vec"))
+    near = saved(retrieval.nearest(vectors(words, "doc_id"), vectors(terms, "query"), 40, "doc_id", "vec"))
+    lexical = saved(retrieval.bm25_top(words, terms, 40, split=lambda c: c))
+    ids = near.select("id").unionByName(lexical.select("id")).distinct()  # at most 80 for each question
+    found = docs.withColumnRenamed("doc_id", "id").join(ids, "id", "left_semi")
+    passages = found.select("id", classify.role(body).alias("role"), text.word_count(body).alias("words"), text.concepts(body, LOCAL_CONCEPTS, False).alias("concepts"))
     questions = asked.withColumnRenamed("text", "question")
-    out = retrieval.hybrid(near, _bm25(spark, sf_dir, 40), passages, questions, classify.depth(F.col("question")))
+    out = retrieval.hybrid(near, lexical, passages, questions, classify.depth(F.col("question")))
     return out.select("query", "id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 

@@ -6,7 +6,7 @@ import json
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, lexicon, text
@@ -14,6 +14,7 @@ from ..operators import answer, chunking, evaluate, graph, oplog, plugins, retri
 from ..sources import chain, docx, faq, html, pdf, readers, sinks
 from ..sources.scratch import exists, saved
 
+MESSAGES = "session_id string, place long, role string, content string, batch long"
 PAGES = "array<struct<page_number: int, text: string>>"
 #: Passages as snapshots of these runs hold them.
 CHUNKS = (
@@ -72,9 +73,16 @@ def incremental(spark: SparkSession, folder: str, root: str, created_at: str, on
     if only is not None:
         docs = docs.where(F.col("filename") == only)
         old = None if old is None else old.where(F.col("filename") != only)
-    elif old is not None:
-        docs = docs.join(old.select(F.col("parent_doc_id").alias("sha256")).distinct(), "sha256", "left_anti")
+    else:
+        known = [] if old is None else [old.select(F.col("parent_doc_id").alias("sha256"))]
+        if exists(spark, f"{root}/seen"):  # documents that gave no passage are known too
+            known.append(spark.read.parquet(f"{root}/seen"))
+        for rows in known:
+            docs = docs.join(rows.distinct(), "sha256", "left_anti")
+        docs = saved(docs)
     new = build_chunks(docs)
+    if only is None:
+        docs.select("sha256").write.mode("append").parquet(f"{root}/seen")
     if old is None:
         return sinks.write_version(saved(new), root, created_at, "incremental")
     if new.isEmpty() and only is None:
@@ -183,14 +191,55 @@ def chat(asked: DataFrame, passages: DataFrame, log: str | None = None, at: Colu
     kept = first.join(better.select("id"), "id", "left_anti").withColumn("path", F.when(lost, F.array(*map(F.lit, ("initial", "retry_same_query", "not_found")))).otherwise(F.array(F.lit("initial"))))
     out = kept.unionByName(better)
     if log is not None:
-        flags = F.col("safety_flags")
-        status = F.when(flags["prompt_injection"] | flags["toxic_content"], "blocked").when(F.col("answer_mode").isNull(), "error").otherwise("success")
-        when = F.current_timestamp() if at is None else at
-        events = out.join(asked.select("id", "question"), "id").select(when.alias("timestamp"), F.lit("chat").alias("endpoint"), status.alias("status"), F.lit(0.0).alias("latency"), "question", "answer_mode", F.size("sources").alias("docs_found"), F.lit(True).alias("lexical"))
-        sinks.append(sinks.audit_rows(events), log)
+        sinks.append(audited(out, asked, at), log)
     return out
 
 
+def audited(answers: DataFrame, asked: DataFrame, at: Column | None = None) -> DataFrame:
+    """Rows of the audit log for answers to asked (id, question)."""
+    flags = F.col("safety_flags")
+    status = F.when(flags["prompt_injection"] | flags["toxic_content"], "blocked").when(F.col("answer_mode").isNull(), "error").otherwise("success")
+    when = F.current_timestamp() if at is None else at
+    return sinks.audit_rows(answers.join(asked.select("id", "question"), "id").select(when.alias("timestamp"), F.lit("chat").alias("endpoint"), status.alias("status"), F.lit(0.0).alias("latency"), "question", "answer_mode", F.size("sources").alias("docs_found"), F.lit(True).alias("lexical")))
+
+
+def recent_messages(said: DataFrame, sessions: DataFrame, most: int = 5) -> DataFrame:
+    """(session_id, messages): the last messages, oldest first, of sessions (session_id) out of said (session_id, batch, place, role, content)."""
+    last = Window.partitionBy("session_id").orderBy(F.desc("batch"), F.desc("place"))
+    rows = said.join(sessions.select("session_id").distinct(), "session_id", "left_semi").withColumn("_n", F.row_number().over(last)).where(F.col("_n") <= most)
+    listed = F.sort_array(F.collect_list(F.struct(-F.col("_n"), "role", "content")))
+    return rows.groupBy("session_id").agg(F.transform(listed, lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
+
+
+def chat_stream(questions: DataFrame, passages: DataFrame, root: str, checkpoint: str, at: Column | None = None, **options):
+    """A stream of questions (id, session_id, question) answered batch by batch, each with the last five messages of its session.
+
+    Below root each batch has its folder, by its number, of answers, messages (the question and the answer) and audit rows; a batch that is tried again
+    puts them in the same place, so everything is there once. Questions of one batch see the messages of earlier batches. The answers are those of
+    chat() on the same questions and messages.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        asked = saved(batch.select("id", F.col("session_id").cast("string").alias("session_id"), "question"))
+        if asked.isEmpty():
+            return
+        none = F.lit(None).cast("array<struct<role: string, content: string>>")
+        rows = asked.withColumn("messages", none)
+        if exists(spark, f"{root}/messages"):
+            before = spark.read.schema(MESSAGES).parquet(f"{root}/messages").where(F.col("batch") < number)
+            rows = asked.join(recent_messages(before, asked), "session_id", "left")
+        out = saved(chat(rows.select("id", "question", "messages"), passages, at=at, **options).join(asked.select("id", "session_id", "question"), "id"))
+        out.drop("question").write.mode("overwrite").parquet(f"{root}/answers/batch={number}")
+        order = F.row_number().over(Window.partitionBy("session_id").orderBy("id"))
+        turns = F.inline(F.array(F.struct(F.lit(0).alias("t"), F.lit("user").alias("role"), F.col("question").alias("content")), F.struct(F.lit(1).alias("t"), F.lit("assistant").alias("role"), F.col("answer").alias("content"))))
+        said = out.withColumn("_o", order).select("session_id", "_o", turns).select("session_id", (F.col("_o") * 2 + F.col("t")).cast("long").alias("place"), "role", "content")
+        said.write.mode("overwrite").parquet(f"{root}/messages/batch={number}")
+        audited(out.drop("question"), asked, at).write.mode("overwrite").parquet(f"{root}/audit/batch={number}")
+
+    return questions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def stats(log: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
     """One row over the last days of an audit log."""
     rows = log.where(F.col("timestamp") >= as_of - F.make_dt_interval(F.lit(days)))
@@ -263,7 +312,7 @@ def link_report(texts: DataFrame, id_col: str, text_col: str, path: str, site: s
     """The link map of texts, written as JSON lines and as a text by frequency."""
     found = saved(graph.link_map(graph.line_links(texts, id_col, text_col), site))
     found.write.mode("overwrite").json(f"{path}/links.json")
-    sinks.link_text(found).orderBy("n").select("value").coalesce(1).write.mode("overwrite").text(f"{path}/links.txt")
+    sinks.link_text(found).orderBy("n").select("value").write.mode("overwrite").text(f"{path}/links.txt")
     return found
 
 

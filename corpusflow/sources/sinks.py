@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import inverted, retrieval
+from ..operators import carry, inverted, retrieval
+from . import sheets
 from .readers import versions
 from .scratch import exists, remove
 
@@ -194,9 +195,11 @@ def write_vectors(docs: DataFrame, path: str, id_col: str, text_col: str, embed=
 
 
 def write_report(rows: DataFrame, path: str, kind: str) -> None:
-    """Rows as csv (with a header, lists joined), json or jsonl, or as an HTML table of at most 1000 rows, which says how many more there are."""
+    """Rows as csv (with a header, lists joined), json or jsonl, xlsx (spreadsheets), or as an HTML table of at most 1000 rows, which says how many more there are."""
     if kind in ("json", "jsonl"):
         rows.write.mode("overwrite").json(path)
+    elif kind == "xlsx":
+        sheets.write_sheets(rows, path)
     elif kind == "csv":
         flat = [F.array_join(F.col(f.name).cast("array<string>"), ", ").alias(f.name) if f.dataType.typeName() == "array" else F.col(f.name) for f in rows.schema.fields]
         rows.select(*flat).write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
@@ -208,9 +211,9 @@ def write_report(rows: DataFrame, path: str, kind: str) -> None:
 
 def link_text(links: DataFrame, sources: int = 3) -> DataFrame:
     """(value) lines of a link map by frequency: number, url, category, frequency and the first sources."""
-    place = F.row_number().over(Window.orderBy(F.desc("frequency"), "url"))
+    links = carry.numbered(links, [F.desc("frequency"), F.col("url")], "n")
     shown = F.array_join(F.slice(F.col("sources").cast("array<string>"), 1, sources), ", ")
-    return links.select(place.alias("n"), F.concat_ws(" | ", F.concat(F.lit("URL: "), "url"), F.concat(F.lit("Categoria: "), "category"), F.concat(F.lit("Frequenza: "), F.col("frequency").cast("string")), F.concat(F.lit("Fonti: "), shown)).alias("value"))
+    return links.select("n", F.concat_ws(" | ", F.concat(F.lit("URL: "), "url"), F.concat(F.lit("Categoria: "), "category"), F.concat(F.lit("Frequenza: "), F.col("frequency").cast("string")), F.concat(F.lit("Fonti: "), shown)).alias("value"))
 
 
 def merged_indices(parts: list[DataFrame]) -> DataFrame:

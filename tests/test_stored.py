@@ -7,8 +7,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusflow.operators import carry, cells, inverted, oplog, retrieval
-from corpusflow.sources import chain
+from corpusflow.operators import carry, cells, inverted, lexicons, oplog, plugins, retrieval
+from corpusflow.plans import answers, catalog, modes  # noqa: F401 (the catalog comes first)
+from corpusflow.sources import buckets, chain, sheets
+from corpusflow.sources.scratch import saved
+
+SF = "/root/testdata/sf0.001"
+
 
 def fields():
     return {n: F.col(n) for n in ("endpoint", "user")}
@@ -158,3 +163,130 @@ def test_carried_over_ranges(spark):
         last[k] = v if v is not None else last.get(k)
         want[i] = last[k]
     assert got == want
+
+
+# --- Tables in buckets, spreadsheets, lexicons
+def test_buckets_rewrite_what_changes(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "t")
+    make = lambda *rows: spark.createDataFrame(rows, "k string, v long")
+    first = make(*[(f"k{i}", i) for i in range(50)], (None, -1))
+    assert len(buckets.upsert(first, root, "k", 8, 0)) == 8
+    before = buckets.state(spark, root)["folders"]
+    touched = buckets.upsert(make(("k7", 700), ("k7", 70), ("neu", 1), (None, -2)), root, "k", batch=1)
+    assert 1 <= len(touched) <= 3 and buckets.upsert(make(("k7", 0)), root, "k", batch=1) == []
+    after = buckets.state(spark, root)["folders"]
+    assert {b for b in after if before.get(b) != after[b]} == {str(b) for b in touched}
+    want = {f"k{i}": i for i in range(50)} | {"k7": 700, "neu": 1, None: -2}
+    assert {r["k"]: r["v"] for r in buckets.read(spark, root).collect()} == want and buckets.read(spark, root).count() == len(want)
+    assert buckets.upsert(make(("k1", 0), ("k2", 0)), root, "k", append=True) == []
+    commit, met = chain._commit, []
+
+    def late(*a):
+        if not met:
+            met.append(1)
+            buckets.upsert(make(("k1", 111)), root, "k")
+        return commit(*a)
+
+    monkeypatch.setattr(chain, "_commit", late)
+    buckets.upsert(make(("k1", 112), ("fresh", 5)), root, "k", append=True)
+    got = {r["k"]: r["v"] for r in buckets.read(spark, root).collect()}
+    assert (got["k1"], got["fresh"]) == (111, 5)
+    assert buckets.read(spark, str(tmp_path / "none")) is None
+
+
+def test_sheets_come_back(spark, tmp_path, monkeypatch):
+    """Marks of XML, control characters, long texts, nulls, numbers; several files; files that aren't sheets."""
+    monkeypatch.setattr(sheets, "ROWS", 3)
+    rows = [(1, 'a<b>&"c"', 1.5, True), (2, None, None, None), (3, " ü\n\tx _x000A_ \r \x01 ", -2.0, False), (4, "y" * 40_000, 1e300, None), (5, "", 0.1, True)]
+    d = spark.createDataFrame(rows, "id long, text string, n double, flag boolean").withColumn("list", F.array("id"))
+    folder = str(tmp_path / "s")
+    for _ in range(2):
+        sheets.write_sheets(d.coalesce(1), folder)
+    (tmp_path / "s" / "broken.xlsx").write_bytes(b"no zip")
+    (tmp_path / "s" / "other.txt").write_text("x")
+    read = sheets.read_sheets(spark, folder)
+    assert read.where("reason is not null").count() == 1 and read.select("path").distinct().count() == 3
+    got = {int(r["id"]): (r["text"], r["n"], r["flag"], r["list"], r["none"]) for r in sheets.table_of(read, ["id", "text", "n", "flag", "list", "none"]).collect()}
+    want = {i: ((t or None) and t[:32_767], n, f) for i, t, n, f in rows}
+    assert {i: (t, None if n is None else float(n), {"true": True, "false": False, None: None}[f]) for i, (t, n, f, _, _) in got.items()} == want
+    assert got[1][3:] == ("[1]", None)
+    spark.dataSource.register(sheets.Sheets)
+    assert spark.read.format("sheets").load(folder).where("reason is null").count() == read.where("reason is null").count()
+    sheets.write_sheets(d.limit(0), str(tmp_path / "e"))
+    assert sheets.read_sheets(spark, str(tmp_path / "e")).collect()[0]["cells"] == ["id", "text", "n", "flag", "list"]
+
+
+def test_sheet_of_another_program():
+    """Shared texts, logical and formula cells, rows and cells without places."""
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    ns = sheets.MAIN[1:-1]
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", sheets.BOOK.format("Blatt"))
+        z.writestr("xl/_rels/workbook.xml.rels", sheets.PARTS.replace("worksheets/", "/xl/worksheets/"))
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{ns}"><si><t>eins</t></si><si><r><t>zw</t></r><r><t>ei</t></r></si></sst>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{ns}"><sheetData><row><c t="s"><v>0</v></c><c t="s"><v>1</v></c></row><row r="5"><c r="C5" t="b"><v>1</v></c><c r="AA5"><f>1+1</f><v>2</v></c></row></sheetData></worksheet>')
+    got = list(sheets.sheet_rows(out.getvalue()))
+    assert got == [("Blatt", 1, ["eins", "zwei"]), ("Blatt", 5, [None, None, "true", *[None] * 23, "2"])]
+    assert [sheets.column_of(sheets.place_of(i, 1)) for i in range(800)] == list(range(800))
+
+
+def test_lexicon_places_like_plain(spark, monkeypatch):
+    """All places of words in other words and over one another; the lexicon in one automaton and in several."""
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abü ") for _ in range(rng.randint(0, 60))) for _ in range(80)]
+    words = sorted({"".join(rng.choice("abü") for _ in range(rng.randint(1, 4))) for _ in range(40)} | {"a b", "zzz"})
+    d = spark.createDataFrame([*enumerate(texts), (99, None), (None, "a")], "id long, text string")
+    lexicon = spark.createDataFrame([(w,) for w in [*words, "", None, words[0]]], "w string")
+    want = {(i, w, p + 1) for i, t in enumerate(texts) for w in words for p in range(len(t)) if t.startswith(w, p)}
+    for most in (500_000, 8):
+        monkeypatch.setattr(lexicons, "WORDS", most)
+        rows = lexicons.places(d, lexicon, "id", F.col("text"), "w").collect()
+        assert {(r["id"], r["word"], r["place"]) for r in rows} == want and len(rows) == len(want)
+    assert lexicons.places(d, lexicon.limit(0), "id", F.col("text"), "w").count() == 0
+
+
+# --- Models as plug-ins
+def test_moderation_fails_open(spark):
+    """Verdicts count, a moderator that fails lets the question pass and is flagged, and null is not asked."""
+    d = spark.createDataFrame([(1, "bad words"), (2, "fine"), (3, None)], "id long, t string").coalesce(1)
+    got = {r["id"]: tuple(r["m"]) for r in d.select("id", plugins.moderated(F.col("t"), lambda s: s.str.contains("bad")).alias("m")).collect()}
+    assert got == {1: (True, False), 2: (False, False), 3: (False, False)}
+
+    def down(texts):
+        raise TimeoutError
+
+    for broken in (down, lambda s: [], lambda s: [None] * len(s)):
+        got = {r["id"]: tuple(r["m"]) for r in d.select("id", plugins.moderated(F.col("t"), broken).alias("m")).collect()}
+        assert got == {1: (False, True), 2: (False, True), 3: (False, False)}
+
+
+def test_descriptions_and_questions_in_other_words(spark):
+    d = spark.createDataFrame([(1, "uno"), (2, "due"), (3, "tre"), (4, None), (5, " ")], "id long, t string").coalesce(1)
+    said = {"uno": 'Ecco: ```json\n{"summary": " S ", "keywords": ["a", "", null, "b"], "topic": ""}\n```', "due": "no json"}
+    told = lambda prompts: prompts.map(lambda p: said.get(p.rsplit("\n", 1)[1].strip()))
+    got = {r["id"]: (r["m"]["summary"], r["m"]["keywords"], r["m"]["topic"]) for r in d.select("id", plugins.described(F.col("t"), told).alias("m")).collect()}
+    none = ("N/A", [], "N/A")
+    assert got == {1: ("S", ["a", "b"], "N/A"), 2: none, 3: none, 4: none, 5: none}
+    words = lambda prompts: prompts.map(lambda p: {"uno": "\n  altra domanda \n resto"}.get(p.rsplit(" ", 1)[1]))
+    assert [r["q"] for r in d.select("id", plugins.rephrased(F.col("t"), words).alias("q")).orderBy("id").collect()] == ["altra domanda", "due", "tre", None, " "]
+
+
+def test_chat_stream_is_that_of_batches(spark, tmp_path):
+    """Two starts on one checkpoint: the second batch's questions see their session's messages; answers are those of chat()."""
+    passages = saved(answers.local_passages(spark, SF))
+    items = [(r["item_id"], f"s{r['item_id'] % 2}", r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").limit(5).collect()]
+    schema, root, at = "id long, session_id string, question string", str(tmp_path / "chat"), F.lit("2024-01-08").cast("timestamp")
+    for part in (items[:3], items[3:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        modes.chat_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), passages, root, str(tmp_path / "c"), at=at).awaitTermination()
+    got = {r["id"]: r["answer"] for r in spark.read.parquet(f"{root}/answers").collect()}
+    assert set(got) == {i for i, _, _ in items} and spark.read.parquet(f"{root}/audit").count() == 5
+    talk = {s: [m for i, t, q in items[:3] if t == s for m in (("user", q), ("assistant", got[i]))] for s in ("s0", "s1")}
+    said = spark.read.schema(modes.MESSAGES).parquet(f"{root}/messages")
+    seen = {r["session_id"]: [tuple(m) for m in r["messages"]] for r in modes.recent_messages(said.where("batch = 0"), said.select("session_id")).collect()}
+    assert seen == {s: t[-5:] for s, t in talk.items()}
+    asked = spark.createDataFrame([(i, q, talk[s][-5:]) for i, s, q in items[3:]], "id long, question string, messages array<struct<role: string, content: string>>")
+    assert {r["id"]: r["answer"] for r in modes.chat(asked, passages, at=at).collect()} == {i: got[i] for i, _, _ in items[3:]}
