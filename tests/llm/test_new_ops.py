@@ -16,6 +16,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from corpusflow.llm import align_tokens, catalog, changes, pii
 
 SF = "/root/testdata/sf0.001"
@@ -320,3 +321,20 @@ def test_personal_data_odd_rows(spark, field):
     assert pii.find_personal(d.limit(0), field).count() == 0
     empty = pii.fit(pii.labelled(spark).limit(0))
     assert pii.find_personal(d, empty).count() == len(rows)
+
+
+# --- The pipeline's columns
+def test_stages_give_back_all_columns(spark):
+    """Extra columns with every name that stages use inside come back as they were."""
+    names = ("_row", "_maybe", "_place", "_word", "_bits", "_whole", "_extra", "_size", "_time", "_r", "_more", "row", "id", "at", "fp", "grp", "bucket", "target", "taken", "kept", "odd name")
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs = docs.select("text", *[F.concat(F.lit(f"{c}:"), "doc_id").alias(c) for c in names], "doc_id", "lang", "source", "n_chars")
+    labels = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c}:{r['doc_id']}" for r in rows for c in names)
+        if name != "mixing":
+            assert all(r["text"] == labels[r["doc_id"]] for r in rows)
+    assert "n_chars" not in corpus_pipeline.mix_stage(spark, docs.drop("n_chars"), SF).columns
