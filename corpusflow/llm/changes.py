@@ -178,6 +178,8 @@ class Applier(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         bucket = Bucket(self.heads, self.pages) if key[0] >= 0 else None
+        if bucket is not None:  # the batch's start comes before its rows
+            yield from self.started(bucket, timerValues)
         for frame in rows:
             out: list = []
             for change, name, n, day, op, city, cents, valued in zip(*(frame[c].tolist() for c in ("change", "client", "n", "day", "op", "city", "cents", "valued")), strict=True):
@@ -194,14 +196,20 @@ class Applier(StatefulProcessor):
             bucket.save()
             self.wake(bucket)
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def started(self, bucket: Bucket, timerValues) -> Iterator[pd.DataFrame]:
+        """What a batch's start lets go: the watermark is the largest day of earlier batches."""
         largest = timerValues.getCurrentWatermarkInMs() - ZERO
+        if largest > -ZERO:  # not before the first batch
+            for out in bucket.due(largest, batch_of(largest) + 1):
+                if out:
+                    yield self.frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         bucket = Bucket(self.heads, self.pages)
-        for out in bucket.due(largest, batch_of(largest) + 1):
-            if out:
-                yield self.frame(out)
-        bucket.save()
-        self.wake(bucket)
+        if any(day + WAIT + ZERO <= timerValues.getCurrentWatermarkInMs() for day in bucket.days.values()):  # else the batch's rows came first
+            yield from self.started(bucket, timerValues)
+            bucket.save()
+            self.wake(bucket)
 
     def close(self) -> None:
         pass
@@ -292,6 +300,8 @@ def apply_changes(changes: DataFrame) -> DataFrame:
         if not files.exists(path(f"{staged}/file={batch}")):
             continue  # an empty batch: the largest day is as before, so nothing more is due
         files.rename(path(f"{staged}/file={batch}"), path(f"{feed}/file={batch}"))
+        # a batch's start is told with its rows, or by a timer; only the last row is followed by a batch without any
+        session.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", str(batch > BATCHES).lower())
         rows = session.readStream.schema(schema).parquet(f"{feed}/file=*")
         rows = rows.withColumn("at", F.timestamp_millis(F.col("day") + ZERO)).withWatermark("at", "0 seconds")
         rows = rows.where(F.col("n").isNotNull() | F.col("at").isNull())  # not the last row; by `at` too, so that the watermark sees it first
