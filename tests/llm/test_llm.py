@@ -194,8 +194,8 @@ def test_pipeline_stages(spark):
     assert out.count() > 0 and hashlib.sha256(bytes(out.first()["ids"])).hexdigest() == out.first()["ids_sha256"]
 
 
-def test_catalog_has_all_ten():
-    assert [f"op{i}" for i in range(1, 11)] == sorted({n.split("_")[0] for n in catalog.QUERIES}, key=lambda x: int(x[2:]))
+def test_catalog_has_all():
+    assert [f"op{i}" for i in range(1, 14)] == sorted({n.split("_")[0] for n in catalog.QUERIES}, key=lambda x: int(x[2:]))
 
 
 def test_simhash_search_dense_and_block_equal():
