@@ -196,6 +196,10 @@ def has_injection(text: Column) -> Column:
     return F.lower(text).rlike("|".join(lexicon.INJECTION))
 
 
+#: A decimal number as text.
+NUMBER = r"^\s*[+-]?([0-9]+(_[0-9]+)*(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+
+
 def first_int(text: Column) -> Column:
     """The first whole number, with its sign; null without one."""
     return F.nullif(F.regexp_extract(text, "-?[0-9]{1,15}", 0), F.lit("")).cast("long")
@@ -206,8 +210,15 @@ def first_number(text: Column) -> Column:
 
 
 def clamp(value: Column, low: int, high: int, default: int) -> Column:
-    """A text or number as an integer within bounds; the default where it is none."""
-    number = value.try_cast("int")
+    """A text or number as an integer within bounds; the default where it is none.
+
+    A text may have white space around it, a sign, single underscores between digits, a fraction and an exponent; it is rounded, halves away
+    from zero. Hexadecimal and binary digits follow 0x and 0b.
+    """
+    t = value.cast("string")
+    plain = F.replace(F.when(t.rlike(NUMBER), strip(t)), F.lit("_"), F.lit(""))
+    based = F.coalesce(*[F.conv(F.nullif(F.regexp_extract(t, rf"(?i)^\s*0{x}([{digits}]{{1,15}})\s*$", 1), F.lit("")), base, 10) for x, digits, base in (("x", "0-9a-f", 16), ("b", "01", 2))])
+    number = F.coalesce(F.round(plain.try_cast("double")), based.cast("double")).try_cast("int")
     return F.when(number.isNull(), default).otherwise(F.greatest(F.lit(low), F.least(F.lit(high), number)))
 
 
