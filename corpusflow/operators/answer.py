@@ -98,7 +98,7 @@ def ensemble_scores(lists: list[tuple[DataFrame, Column]], passages: DataFrame,
     parts = []
     for rows, weight in lists:
         parts.append(rows.join(asked.select("query", weight.alias("_w")), "query").select("query", "id", (ensemble.rank_score(F.col("rank")) * F.col("_w")).alias("score")))
-    summed = reduce(DataFrame.unionByName, parts).groupBy("query", "id").agg(F.sum("score").alias("score"))
+    summed = saved(reduce(DataFrame.unionByName, parts).groupBy("query", "id").agg(F.sum("score").alias("score")))
     both = summed.join(passages, "id").join(asked.select("query", "question", "kws"), "query")
     q, kws, content = F.col("question"), F.col("kws"), F.col("content")
     boosts = ensemble.definition_boost(classify.asks_definition(q), kws, content) * ensemble.density_boost(kws, content) * ensemble.name_boost(kws, F.col("filename"))
@@ -171,10 +171,11 @@ def requests(
     each = open_.select("query", "intent", F.posexplode("variants").alias("v", "question")).withColumn("qv", F.shiftleft("query", 3) + F.col("v"))
     vec_w, lex_w = weights(F.col("intent"))
     terms = each.select(F.col("qv").alias("query"), F.col("question").alias("text"))
-    lexical = retrieval.bm25_top(passages, terms, 8, "id", "content")
-    near = retrieval.nearest(passages, each.select(F.col("qv").alias("query"), retrieval.embedding(F.col("question")).alias("vec")), 8, "id", "vec")
-    scored = ensemble_scores([(near, vec_w), (lexical, lex_w)], passages.select("id", "content", "filename", "category"), each.select(F.col("qv").alias("query"), "question", "intent"), depth_each)
-    body = passages.drop("vec")
+    lexical = saved(retrieval.bm25_top(passages, terms, 8, "id", "content"))
+    near = saved(retrieval.nearest(passages, each.select(F.col("qv").alias("query"), retrieval.embedding(F.col("question")).alias("vec")), 8, "id", "vec"))
+    scored = saved(ensemble_scores([(near, vec_w), (lexical, lex_w)], passages.select("id", "content", "filename", "category"), each.select(F.col("qv").alias("query"), "question", "intent"), depth_each))
+    # what else is known of passages is told of the candidates alone
+    body = saved(passages.drop("vec").join(scored.select("id").distinct(), "id", "left_semi"))
     found = scored.join(body, "id").withColumn("v", F.col("query").bitwiseAND(7)).withColumn("query", F.shiftright("query", 3))
     found = retrieval.united([found.withColumn("rank", F.col("v") * 1000 + F.col("rank")).drop("v", "score")])
     found = found.where(~classify.excluded_doc(F.col("doc_type"), F.col("content")))
@@ -229,7 +230,7 @@ def requests(
 
 def plain_answers(asked: DataFrame, passages: DataFrame, generator: Callable = quoting, k: int = 5) -> DataFrame:
     """(id, answer, sources): the baseline: the k nearest passages by vector alone, told a generator."""
-    near = retrieval.nearest(passages, asked.select(F.col("id").alias("query"), retrieval.embedding(F.col("question")).alias("vec")), k, "id", "vec")
+    near = saved(retrieval.nearest(passages, asked.select(F.col("id").alias("query"), retrieval.embedding(F.col("question")).alias("vec")), k, "id", "vec"))
     found = near.join(passages.drop("vec"), "id")
     rows = asked.select(F.col("id").alias("query"), "question").join(context(found), "query", "left").join(sources(found), "query", "left")
     prompt = filled(STEPS, question=F.col("question"), context=F.col("context"))

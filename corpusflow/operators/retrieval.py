@@ -8,8 +8,8 @@ from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +18,8 @@ from ..functions.text import normalize, tokens
 
 #: Pairs of question and term, and questions of a search by vectors, that go to every task; more are joined.
 ASKED, QUERIES = 500_000, 8192
-#: Scores held at once, vectors compared at once, queries of a block.
-CELLS, BLOCK, QUERY_BLOCK = 1 << 22, 4096, 1024
+#: Scores held at once, tokens looked at once, vectors compared at once, queries of a block.
+CELLS, WORDS, BLOCK, QUERY_BLOCK = 1 << 20, 1 << 19, 4096, 1024
 #: Latin letters with marks, and what they are without.
 ACCENTED = "".join(chr(c) for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1 and unicodedata.normalize("NFD", chr(c))[0].isascii())
 PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in ACCENTED)
@@ -113,34 +113,42 @@ def bm25_top(
     step = max(1, CELLS // max(1, len(ids)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the k-th best score of each question so far in this task: what is below it can't be among the k best
+        floor = np.full(len(ids), -np.inf)
         for batch in batches:
             if not batch.num_rows or not len(ids):
                 continue
-            lists = batch.column("w")
-            sizes = np.asarray(lists.value_lengths())
-            coded = lists.flatten().dictionary_encode()
-            code = np.array([at.get(t, -1) for t in coded.dictionary.to_pylist()], np.int64)
-            term = code[np.asarray(coded.indices)] if len(code) else np.zeros(0, np.int64)
-            doc = np.repeat(np.arange(batch.num_rows), sizes)
-            cell, tf = np.unique(doc[term >= 0] * len(terms) + term[term >= 0], return_counts=True)
-            doc, term = cell // len(terms), cell % len(terms)
-            gain = weight[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[doc] / avgdl))
-            names_here = np.asarray(batch.column("id"))
-            for begin in range(0, batch.num_rows, step):
-                stop = min(begin + step, batch.num_rows)
-                i, j = np.searchsorted(doc, (begin, stop))
-                spread = starts[term[i:j] + 1] - starts[term[i:j]]
-                place = np.repeat(starts[term[i:j]] - (np.cumsum(spread) - spread), spread) + np.arange(spread.sum())
-                cells = np.repeat(doc[i:j] - begin, spread) * len(ids) + ask[0][place]
-                size = (stop - begin) * len(ids)
-                found = np.bincount(cells, np.repeat(gain[i:j], spread) * ask[1][place], size).reshape(-1, len(ids))
-                held = np.bincount(cells, minlength=size).reshape(-1, len(ids))
-                ok = held == needed if every else held > 0
-                ranked = np.where(ok, np.round(found, 6), -np.inf)
-                if len(ranked) > k:
-                    ok &= ranked >= -np.partition(-ranked, k - 1, axis=0)[k - 1]
-                d, q = np.nonzero(ok)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(names_here[begin + d]), pa.array(found[d, q])], names=["query", "id", "score"])
+            for at_row, lists in sliced(batch.column("w"), WORDS):
+                sizes = np.asarray(lists.value_lengths())
+                coded = lists.flatten().dictionary_encode()
+                code = np.array([at.get(t, -1) for t in coded.dictionary.to_pylist()], np.int64)
+                term = code[np.asarray(coded.indices)] if len(code) else np.zeros(0, np.int64)
+                doc = np.repeat(np.arange(len(lists)), sizes)
+                cell, tf = np.unique(doc[term >= 0] * len(terms) + term[term >= 0], return_counts=True)
+                doc, term = cell // len(terms), cell % len(terms)
+                gain = weight[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * sizes[doc] / avgdl))
+                names_here = np.asarray(batch.column("id").slice(at_row, len(lists)))
+                spread = starts[term + 1] - starts[term]
+                most = np.cumsum(np.bincount(doc, spread, len(lists)))
+                begin = 0
+                while begin < len(lists):
+                    # so many rows as give CELLS scores, out of CELLS summands, one at least
+                    stop = min(begin + step, max(begin + 1, int(np.searchsorted(most, (most[begin - 1] if begin else 0) + CELLS, side="right"))), len(lists))
+                    i, j = np.searchsorted(doc, (begin, stop))
+                    own = spread[i:j]
+                    place = np.repeat(starts[term[i:j]] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+                    cells = np.repeat(doc[i:j] - begin, own) * len(ids) + ask[0][place]
+                    size = (stop - begin) * len(ids)
+                    found = np.bincount(cells, np.repeat(gain[i:j], own) * ask[1][place], size).reshape(-1, len(ids))
+                    held = np.bincount(cells, minlength=size).reshape(-1, len(ids))
+                    ok = held == needed if every else held > 0
+                    ranked = np.where(ok, np.round(found, 6), -np.inf)
+                    if len(ranked) > k:
+                        floor = np.maximum(floor, np.partition(ranked, len(ranked) - k, axis=0)[len(ranked) - k])
+                    d, q = np.nonzero(ok & (ranked >= floor))
+                    if len(d):
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(names_here[begin + d]), pa.array(found[d, q])], names=["query", "id", "score"])
+                    begin = stop
 
     kind = docs.schema[id_col].dataType.simpleString(), queries.schema["query"].dataType.simpleString()
     scored = words.where("id is not null").mapInArrow(score, f"query {kind[1]}, id {kind[0]}, score double")
@@ -178,25 +186,35 @@ def embedding(text: Column, dims: int = 64) -> Column:
 
 
 def embedded(words: Column, dims: int = 64) -> Column:
-    """The vector of a text that is given as its tokens."""
+    """The vector of a text that is given as its tokens. A word is a Python object once for each slice of WORDS tokens."""
 
-    @F.pandas_udf("array<double>")
-    def count(lists: pd.Series) -> pd.Series:
-        known: dict[str, int] = {}
+    @F.arrow_udf("array<double>")
+    def count(lists: pa.Array) -> pa.Array:
         out = []
-        for words in lists:
-            v = np.zeros(dims)
-            for w in words if words is not None else ():
-                if w not in known:
-                    known[w] = int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % dims
-                v[known[w]] += 1
-            size = np.sqrt((v * v).sum())
-            out.append(v / size if size else v)
-        return pd.Series(out)
+        for _, part in sliced(lists, WORDS):
+            coded = part.flatten().dictionary_encode()
+            place = np.array([int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % dims for w in coded.dictionary.to_pylist()], np.int64)
+            row = np.repeat(np.arange(len(part)), np.asarray(pc.fill_null(part.value_lengths(), 0)))
+            v = np.bincount(row * dims + place[np.asarray(coded.indices)], minlength=len(part) * dims).reshape(-1, dims).astype(np.float64)
+            size = np.sqrt((v * v).sum(1, keepdims=True))
+            out.append((v / np.where(size > 0, size, 1)).ravel())
+        flat = np.concatenate(out) if out else np.zeros(0)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1) * dims, pa.int32()), pa.array(flat))
 
     return count(words)
 
 
+def sliced(lists: pa.Array, most: int) -> Iterator[tuple[int, pa.Array]]:
+    """Slices of an array of lists that hold about `most` values, one list at least, each with where it begins."""
+    ends = np.cumsum(np.asarray(pc.fill_null(lists.value_lengths(), 0)), dtype=np.int64)
+    begin = 0
+    while begin < len(lists):
+        before = ends[begin - 1] if begin else 0
+        stop = max(begin + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield begin, lists.slice(begin, stop - begin)
+        begin = stop
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col: str) -> DataFrame:
     """(query, id, distance, rank): exact squared L2 neighbours of queries (query, vec), ties by id.
 
@@ -205,7 +223,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col
     vectors. Null vectors, and those of another length than a query, are no neighbours of it.
     """
     some = queries.where(F.col("vec").isNotNull()).select(F.col("query").cast("long").alias("query"), F.col("vec").cast("array<double>").alias("vec"))
-    rows = vectors.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
+    # nulls are left out in the tasks: a condition on vectors that a function of Python makes would have it run twice
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
 
     def best(names: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray) -> pa.RecordBatch | None:
         if not len(ids) or not len(names) or q.shape[1] != v.shape[1]:
@@ -222,7 +241,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col
         return pa.RecordBatch.from_arrays([pa.array(names[a[keep]]), pa.array(ids[b[keep]]), pa.array(exact[keep])], names=["query", "id", "distance"])
 
     def matrices(ids: pa.Array, lists: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Ids and vectors, those of one length together."""
+        """Ids and vectors, those of one length together, without nulls."""
+        known = pc.and_(ids.is_valid(), lists.is_valid())
+        ids, lists = ids.filter(known), lists.filter(known)
         sizes = np.asarray(lists.value_lengths())
         names = np.asarray(ids)
         for size in np.unique(sizes):
@@ -243,7 +264,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, id_col: str, vec_col
                         for names, q in held:
                             for j in range(0, len(names), QUERY_BLOCK):
                                 out = best(names[j : j + QUERY_BLOCK], q[j : j + QUERY_BLOCK], ids, v)
-                                if out is not None:
+                                if out is not None and out.num_rows:
                                     yield out
 
         found = rows.mapInArrow(scan, kind)

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, text
 from ..operators import answer, ensemble, plugins, retrieval
+from ..sources.scratch import saved
 from . import expected as E
-from .catalog import RANKED, _bm25, _questions, sql_top, sql_vector
+from .catalog import RANKED, _bm25, _candidates, _questions, sql_top, sql_vector
 from .registry import query, spread, table
 
 
@@ -26,7 +27,7 @@ from .registry import query, spread, table
 )
 def ensemble_boost(spark, sf_dir):
     """The 20 best by words, by rank, with the boosts for definitions, density and names and the penalty for length."""
-    top = _bm25(spark, sf_dir, 20).select("query", "id", "rank")
+    top = _candidates(spark, sf_dir, 20).select("query", "id", "rank")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), "source")
     asked = _questions(spark, sf_dir).select("query", F.col("text").alias("q"), text.keywords(F.col("text")).alias("kws"))
     q, kws, content = F.col("q"), F.col("kws"), F.col("content")
@@ -37,7 +38,7 @@ def ensemble_boost(spark, sf_dir):
 
 def _near(spark, sf_dir, k):
     docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", retrieval.embedding(F.col("text")).alias("vec"))
-    return retrieval.nearest(docs, _questions(spark, sf_dir).select("query", retrieval.embedding(F.col("text")).alias("vec")), k, "doc_id", "vec")
+    return saved(retrieval.nearest(docs, _questions(spark, sf_dir).select("query", retrieval.embedding(F.col("text")).alias("vec")), k, "doc_id", "vec"))
 
 
 NEAR = f"""dv AS (SELECT doc_id AS id, vec FROM {sql_vector(f"(SELECT doc_id, {E.TOKENS} AS w FROM documents)")}), qv AS (SELECT item_id AS query, vec FROM {sql_vector(f"(SELECT item_id, {E.TOKENS} AS w FROM benchmark)")}),
@@ -72,7 +73,7 @@ def ensemble_weighted(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"), F.lit("").alias("filename"), _kind("doc_id").alias("category"))
     asked = _questions(spark, sf_dir).withColumnRenamed("text", "question").withColumn("intent", classify.intent(F.col("question")))
     vector, lexical = answer.weights(F.col("intent"))
-    out = answer.ensemble_scores([(_near(spark, sf_dir, 8), vector), (_bm25(spark, sf_dir, 8), lexical)], docs, asked)
+    out = answer.ensemble_scores([(_near(spark, sf_dir, 8), vector), (_candidates(spark, sf_dir, 8), lexical)], docs, asked)
     return out.select("query", "id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -89,7 +90,7 @@ def rerank_scored(spark, sf_dir):
 
 
 def _scored(spark, sf_dir, k, least=None):
-    top = _bm25(spark, sf_dir, 20).select("query", "id", "rank")
+    top = _candidates(spark, sf_dir, 20).select("query", "id", "rank")
     asked = _questions(spark, sf_dir).withColumnRenamed("text", "question")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
     return plugins.scored(top.join(docs, "id").join(asked, "query"), answer.overlap, k, least)
@@ -129,7 +130,7 @@ def faq_gate(spark, sf_dir):
 def candidate_union(spark, sf_dir):
     """The candidates of both searches, each beginning once."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    lists = [x.select("query", "id", "rank").join(docs, "id") for x in (_near(spark, sf_dir, 8), _bm25(spark, sf_dir, 8))]
+    lists = [x.select("query", "id", "rank").join(docs, "id") for x in (_near(spark, sf_dir, 8), _candidates(spark, sf_dir, 8))]
     return retrieval.united(lists).select("query", "id", F.col("rank").cast("long").alias("rank"))
 
 
@@ -141,7 +142,7 @@ def _passages(spark, sf_dir):
     url = F.when(d % 3 == 0, F.concat(F.lit("http://x/"), F.col("source"))).otherwise("")
     links = F.array(F.struct(F.concat(F.lit(" http://x/"), F.col("source")).alias("url"), F.lit("url").alias("type"), F.lit("").alias("description")), F.struct(F.concat((d % 3).cast("string"), F.lit("@x.it")).alias("url"), F.lit("email").alias("type"), F.lit("posta").alias("description")))
     docs = table(spark, sf_dir, "documents").select(d.alias("id"), F.col("text").alias("content"), F.col("source").alias("filename"), F.when(d % 2 == 0, d % 9).cast("int").alias("page_number"), url.alias("source_url"), links.alias("links"))
-    return _bm25(spark, sf_dir, 8).select("query", "id", "rank").join(docs, "id")
+    return _candidates(spark, sf_dir, 8).select("query", "id", "rank").join(docs, "id")
 
 
 @query(
@@ -227,7 +228,7 @@ def plain_answers(spark, sf_dir):
 def merge_rerank(spark, sf_dir):
     """Both searches' candidates, each once, by the pair scorer."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    lists = [x.select("query", "id", "rank").join(docs, "id") for x in (_near(spark, sf_dir, 8), _bm25(spark, sf_dir, 8))]
+    lists = [x.select("query", "id", "rank").join(docs, "id") for x in (_near(spark, sf_dir, 8), _candidates(spark, sf_dir, 8))]
     asked = _questions(spark, sf_dir).withColumnRenamed("text", "question")
     best = plugins.scored(retrieval.united(lists).join(asked, "query"), answer.overlap, 5)
     return best.select("query", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 6).alias("score"))

@@ -150,6 +150,11 @@ def _bm25(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     return retrieval.bm25_top(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), _questions(spark, sf_dir), k)
 
 
+def _candidates(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """The k best of each question by words, written: few rows, whose size Spark then knows when it joins them with texts, so the texts stay where they are."""
+    return saved(_bm25(spark, sf_dir, k))
+
+
 RANKED = "row_number() OVER (PARTITION BY query ORDER BY round(score, 6) DESC, id) AS rank"
 
 
@@ -197,7 +202,7 @@ def _held(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text").withColumn("w", words(F.col("text"))).where(F.size("w") >= 8)
     grams = F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.xxhash64(F.array_join(F.slice("w", i, 8), " ")))
     # ids and shingles alone are joined; texts only for what meets
-    met = d.select("id", F.explode(grams).alias("key")).join(items.select("key", "query"), "key").select("id", "query").distinct()
+    met = saved(d.select("id", F.explode(grams).alias("key")).join(items.select("key", "query"), "key").select("id", "query").distinct())
     long = met.join(d.select("id", "text"), "id").join(items.select("query", "passage"), "query").where(F.contains("text", F.col("passage"))).select("query", "id")
     short = _questions(spark, sf_dir).where(F.size(words(F.col("text"))) < 10)
     few = short.limit(10_001).count()  # passages without eight whole words inside are compared with every text
@@ -307,7 +312,7 @@ def hybrid_fuse(spark, sf_dir):
 def rerank_boost(spark, sf_dir):
     """The forty best by words, reranked by role and length."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), classify.role(F.col("text")).alias("role"), text.word_count(F.col("text")).alias("words"))
-    scored = _bm25(spark, sf_dir, 40).drop("rank").join(d, "id").withColumn("score", retrieval.rerank(F.col("score"), F.col("role"), F.col("words")))
+    scored = _candidates(spark, sf_dir, 40).drop("rank").join(d, "id").withColumn("score", retrieval.rerank(F.col("score"), F.col("role"), F.col("words")))
     return retrieval.top_k(scored, 8).select("query", "id", F.col("rank").cast("long").alias("rank"), F.round("score", 4).alias("score"))
 
 
