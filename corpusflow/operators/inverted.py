@@ -6,6 +6,8 @@ import json
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +52,9 @@ def build(docs: DataFrame, path: str, id_col: str, text_col: str, split: Callabl
     held = F.sort_array(F.collect_list(F.struct("id", "tf", "dl")))
     blocks = rows.where("id is not null").groupBy("term", at.alias("range")).agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), held.alias("p"))
     blocks = blocks.select(folder.alias("folder"), "term", "range", "n", "max_tf", "min_dl", F.col("p.id").alias("ids"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"))
-    blocks.repartition("folder").sortWithinPartitions("folder", "term", "range").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/blocks")
+    # blocks that hold a quarter of a range or more, of the commonest terms, are dealt out by range too, or their folders would grow with the documents
+    part = F.when(F.col("n") * 4 >= RANGE, F.pmod(F.xxhash64("range"), F.lit(max(1, n // (64 * RANGE))))).otherwise(0)
+    blocks.repartition("folder", part).sortWithinPartitions("folder", "term", "range").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/blocks")
     stats = {"format_version": "5.0", "documents": n, "mean_length": total / n if n and total else 1.0, "mean_weight": mean or 0.0, "terms": known, "folders": folders, "id": docs.schema[id_col].dataType.simpleString()}
     spark.createDataFrame([(json.dumps(stats),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/statistics")
     return stats
@@ -94,7 +98,56 @@ class Search:
             self.bounds = self.bounds.join(self.needed, "query").where("held = needed").withColumn("least", F.lit(0).cast("long"))
 
     def scored(self, ranges: DataFrame) -> DataFrame:
-        """(query, id, score) of all documents in the ranges (query, range) that hold one of the question's terms (all, if asked)."""
+        """(query, id, score) of documents in the ranges (query, range) that hold one of the question's terms (all, if asked): of each range at
+        least the k best of each question.
+
+        A block moves once, to the task of its range, however many questions ask for its term; there scores are complete.
+        """
+        if not self.small:
+            return self.joined(ranges)
+        asked = self.weights.toPandas()  # at most ASKED rows
+        needed = {} if self.needed is None else dict(map(tuple, self.needed.collect()))
+        by_term = {t: (g["query"].to_numpy(), g["weight"].to_numpy(float)) for t, g in asked.groupby("term")}
+        k, k1, b, mean, every = self.k, self.k1, self.b, self.stats["mean_length"], self.needed is not None
+
+        def score(key: tuple, blocks: pa.Table, wanted: pa.Table) -> pa.Table:
+            lists = [blocks[c].combine_chunks() for c in ("ids", "tfs", "dls")]
+            ids, (tf, dl) = lists[0].flatten(), (np.asarray(x.flatten()).astype(np.float64) for x in lists[1:])
+            coded = ids.dictionary_encode()
+            doc, size = np.asarray(coded.indices), len(coded.dictionary)
+            gains = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / mean))
+            ends = np.cumsum(np.asarray(lists[0].value_lengths()))
+            terms = blocks["term"].to_pylist()
+            order = sorted(range(len(terms)), key=terms.__getitem__)
+            whole, out = np.unique(np.asarray(wanted["query"])), []
+            for begin in range(0, len(whole), retrieval.QUERY_BLOCK):
+                names = whole[begin : begin + retrieval.QUERY_BLOCK]
+                found, held = np.zeros((len(names), size)), np.zeros((len(names), size), np.int32)
+                for i in order:
+                    own, weight = by_term[terms[i]]
+                    at = np.searchsorted(names, own)
+                    ok = (at < len(names)) & (names[np.minimum(at, len(names) - 1)] == own)
+                    here = slice(ends[i - 1] if i else 0, ends[i])
+                    for row, w in zip(at[ok].tolist(), weight[ok].tolist(), strict=True):  # a document is in a block once
+                        found[row, doc[here]] += w * gains[here]
+                        held[row, doc[here]] += 1
+                ok = held > 0
+                if every:
+                    ok &= held == np.array([needed.get(x, -1) for x in names.tolist()])[:, None]
+                ranked = np.where(ok, np.round(found, 6), -np.inf)
+                if size > k:
+                    ok &= ranked >= np.partition(ranked, size - k, axis=1)[:, size - k, None]
+                q, d = np.nonzero(ok)
+                out.append(pa.table({"query": pa.array(names[q]), "id": coded.dictionary.take(pa.array(d)), "score": pa.array(found[q, d])}))
+            return pa.concat_tables(out)
+
+        met = self.blocks.join(F.broadcast(self.weights.select("term").distinct()), "term", "left_semi").join(F.broadcast(ranges.select("range").distinct()), "range", "left_semi")
+        query = self.weights.schema["query"].dataType.simpleString()
+        some = met.select("range", "term", "ids", "tfs", "dls").groupBy("range").cogroup(ranges.select("range", "query").groupBy("range"))
+        return some.applyInArrow(score, f"query {query}, id {self.stats['id']}, score double")
+
+    def joined(self, ranges: DataFrame) -> DataFrame:
+        """The same for more questions than a task holds: all documents in the ranges, blocks joined with each question."""
         met = self.blocks.join(self.weights, "term").join(ranges.select("query", "range"), ["query", "range"], "left_semi")
         hits = met.select("query", "weight", F.inline(F.arrays_zip(F.col("ids").alias("id"), F.col("tfs").alias("tf"), F.col("dls").alias("dl"))))
         out = hits.groupBy("query", "id").agg(F.sum(F.col("weight") * gain(F.col("tf"), F.col("dl"), self.stats, self.k1, self.b)).alias("score"), F.count("*").alias("terms"))
@@ -109,11 +162,11 @@ class Search:
         bounds = saved(self.bounds)
         above = F.coalesce(F.sum("least").over(Window.partitionBy("query").orderBy(F.desc("bound"), "range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("bound"), "range"))
-        first = bounds.withColumn("above", above).withColumn("place", place).where((F.col("above") < self.k) & (F.col("place") <= self.k))
+        first = saved(bounds.withColumn("above", above).withColumn("place", place).where((F.col("above") < self.k) & (F.col("place") <= self.k)))
         floor = retrieval.top_k(self.scored(first), self.k).groupBy("query").agg(F.count("*").alias("found"), F.min("score").alias("floor")).where(F.col("found") >= self.k)
         # scores are compared to six digits, so a range a little below counts too
         rest = bounds.join(floor, "query", "left").where(F.col("floor").isNull() | (F.col("bound") >= F.col("floor") - 1e-5))
-        return first.select("query", "range", "bound"), rest.select("query", "range", "bound")
+        return first.select("query", "range", "bound"), saved(rest.select("query", "range", "bound"))
 
     def top(self) -> DataFrame:
         """(query, id, score, rank), ties by id."""
