@@ -26,10 +26,10 @@ ALL = np.uint64(2**64 - 1)
 SAMPLE, LEVELS = 8192, 10
 #: Classes of shingles that have fingerprints of their own, and the fewest shingles a class should hold.
 CLASSES, HELD = 12, 3
-#: Bits within which whole fingerprints are candidates, and members of a group compared with one another at once.
-FAR, PIECE = 16, 4096
-#: Members of a group all pairs of which are compared, at most; nearest members of a piece of a larger one that what is left is compared with.
-FEW, NEAREST = 64, 16
+#: Members of a group all pairs of which are compared at once, at most; larger ones go by rounds and by rare shingles.
+FEW = 64
+#: Counters of shingles by which rare ones go first; pairs that one key of a join makes, about; pairs compared in one round, beside two for each document.
+COUNTERS, MET, ROUND = 1 << 20, 1 << 20, 1 << 20
 
 
 def shingles(text: bytes, words: int = 4, seed: int = 42) -> np.ndarray:
@@ -345,37 +345,68 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("first").isNotNull().alias("kept"), *([F.col("row").alias(row_col)] if row_col else []))
 
 
-def pieced(members: DataFrame, similarity: float, most: int | None = None) -> DataFrame:
-    """(row, first): pairs of members (grp, row, fp, size, left) of one group within FAR bits and like in size, groups compared in pairs of pieces: all
-    of them, or for each member that is `left` the `most` nearest of each piece."""
-    parts = members.groupBy("grp").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("parts"))
-    placed = members.join(parts, "grp").withColumn("mine", F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
-    sent = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    key = F.xxhash64("grp", F.least("mine", "other"), F.greatest("mine", "other"))
-    sent = sent.select(key.alias("key"), "row", "fp", "size", "left", (F.col("mine") <= F.col("other")).alias("low"), (F.col("mine") >= F.col("other")).alias("up"))
-
-    def near(own: np.ndarray, fps: np.ndarray, rows: np.ndarray, sizes: np.ndarray, other: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        step = max(1, PAIRS // max(1, len(other)))
-        for i in range(0, len(own), step):
-            some = own[i : i + step]
-            bits = np.bitwise_count(fps[some][:, None] ^ fps[other][None, :]).astype(np.int16)
-            a, b = sizes[some][:, None], sizes[other][None, :]
-            bits[(rows[some][:, None] == rows[other][None, :]) | (np.minimum(a, b) < similarity * np.maximum(a, b))] = 99
-            if most is not None and len(other) > most:
-                bits[bits > np.partition(bits, most - 1, axis=1)[:, most - 1 : most]] = 99
-            a, b = np.nonzero(bits <= FAR)
-            yield rows[some[a]], rows[other[b]]
-
-    def compare(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)).combine_chunks()
-        rows, fps, sizes, left = np.asarray(table["row"]), np.asarray(table["fp"]).view(np.uint64), np.asarray(table["size"]), np.asarray(table["left"])
-        low, up = np.flatnonzero(np.asarray(table["low"])), np.flatnonzero(np.asarray(table["up"]))
-        for own, other in ((low, up), (up, low)):
-            for a, b in near(own[left[own]], fps, rows, sizes, other):
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["row", "first"])
-
-    return sent.groupBy("key").applyInArrow(compare, "row long, first long").distinct()
+def paired(members: DataFrame, similarity: float) -> DataFrame:
+    """(row, first): all pairs of members (grp, row, size) of one group that are like in size: of sets that are not, none is that similar."""
+    other = members.select("grp", F.col("row").alias("first"), F.col("size").alias("m"))
+    met = members.join(other, "grp").where((F.col("row") > F.col("first")) & (F.least("size", "m") >= similarity * F.greatest("size", "m")))
+    return met.select("row", "first").distinct()
+
+
+def rare_first(sets: DataFrame, similarity: float) -> DataFrame:
+    """(row, comp, n, w, at): of each set (row, comp, shingles) of n shingles the first ones, w at place `at`, in an order that all sets share, rare ones
+    first: so many that two sets of that similarity have the first shingle that they share among those of both.
+
+    Which ones are rare is told by COUNTERS counters, a shingle's by its hash: the order matters to speed alone."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            held += np.bincount(np.asarray(batch.column("shingles").flatten()).view(np.uint64) % COUNTERS, minlength=COUNTERS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(held)), pa.array(held[held > 0])], names=["at", "n"])
+
+    counted = sets.select("shingles").mapInArrow(trimmed(count), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    level = np.zeros(COUNTERS, np.uint8)  # a byte each: eighths of the logarithm
+    level[np.asarray(counted["at"])] = np.minimum(255, 8 * np.log2(np.asarray(counted["n"])))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                rows, found, places, sizes = [], [], [], []
+                for k, x in enumerate(part.column("shingles")):
+                    own = np.asarray(x.values).view(np.uint64)
+                    # a set as similar holds at least this share of the shingles; what is cut off for rounding makes the list longer at most
+                    most = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1
+                    found.append(own[np.lexsort((own, level[own % COUNTERS]))[:most]])
+                    places.append(np.arange(len(found[-1])))
+                    rows.append(np.full(len(found[-1]), k))
+                    sizes.append(np.full(len(found[-1]), len(own)))
+                if rows:
+                    at = pa.array(np.concatenate(rows))
+                    numbers = (np.concatenate(sizes).astype(np.int32), np.concatenate(found).view(np.int64), np.concatenate(places).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays([part.column("row").take(at), part.column("comp").take(at), *map(pa.array, numbers)], names=["row", "comp", "n", "w", "at"])
+
+    return sets.select("row", "comp", "shingles").mapInArrow(trimmed(first), "row long, comp long, n int, w long, at int")
+
+
+def sharing(scratch: Scratch, sets: DataFrame, similarity: float) -> list[DataFrame]:
+    """(row, first): pairs of sets (row, comp, shingles) of two components, in lists of bounded size: all that can be as similar, and others.
+
+    Sets as similar share one of their first shingles (see rare_first), and from that place on each holds enough for what they must share.
+    Of the sets with a shingle, those outside the largest component meet all others; many are dealt out in pairs of parts.
+    How many lists there are is told by the number of pairs."""
+    found = scratch.save(rare_first(sets, similarity))
+    counts = found.groupBy("w", "comp").agg(F.count("*").alias("c")).groupBy("w").agg(F.count("*").alias("comps"), F.sum("c").alias("c"), F.max(F.struct("c", "comp")).alias("big"))
+    counts = counts.where("comps > 1").select("w", F.col("big.comp").alias("big"), F.ceil(F.sqrt(F.col("c") * (F.col("c") - F.col("big.c")) / MET)).cast("int").alias("parts"))
+    shared = scratch.save(found.join(counts, "w").withColumn("small", F.col("comp") != F.col("big")).drop("big"))
+    mine, every = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    asked = shared.where("small").withColumn("a", mine).withColumn("b", every).drop("small", "parts")
+    other = shared.withColumn("b", mine).withColumn("a", every).select("w", "a", "b", F.col("row").alias("first"), F.col("comp").alias("of"), "small", F.col("n").alias("m"), F.col("at").alias("j"))
+    alike = (F.least("n", "m") >= similarity * F.greatest("n", "m")) & (F.least(F.col("n") - F.col("at"), F.col("m") - F.col("j")) >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-6)
+    met = asked.join(other, ["w", "a", "b"]).where(alike & (F.col("comp") != F.col("of")) & (~F.col("small") | (F.col("row") > F.col("first"))))
+    pairs = met.select(F.greatest("row", "first").alias("row"), F.least("row", "first").alias("first"))
+    rounds = int(-(-met.count() // (ROUND + 2 * sets.count())))
+    return [pairs.where(F.pmod(F.xxhash64("row", "first"), F.lit(rounds)) == i).distinct() for i in range(rounds)]
 
 
 def near_dedup(docs: DataFrame, row_col: str, text_col: str = "text", words: int = 5, similarity: float = 0.8, bits: int = 8, order: list | None = None) -> DataFrame:
@@ -384,10 +415,12 @@ def near_dedup(docs: DataFrame, row_col: str, text_col: str = "text", words: int
     At that similarity whole fingerprints differ in 10 bits on average, within which trees prune little. So trees find those within
     `bits` of one another, and each document gets several more fingerprints, of samples of its shingles (see sketch), that
     are equal in near copies often enough. Either way they make groups of documents. In each group the
-    members are candidates. Groups of up to FEW members are compared pair by pair: by whole fingerprints, then those within FAR
-    bits (two in a thousand at 0.8 differ in more) and like in size, by shingles. In larger ones the members are compared with the first, shingle by
-    shingle; those that don't link are a group again, as long as such rounds link much, so a dense group gives a pair for
-    each member and round. What is left then is compared with the NEAREST members of each piece of its group.
+    members are candidates. Groups of up to FEW members are compared pair by pair, shingle by shingle, where they are like in size.
+    In larger ones the members are compared with the first;
+    those that don't link are a group again, as long as such rounds link much, so a dense group gives a pair for
+    each member and round. Where a group is not one component then, members of different components are compared if they share a shingle that
+    two so similar must share (see sharing), equal sets as one. So each link within a group is found or implied by others. Where very many of
+    a group are nearly that similar this grows with the square of the group, in rounds of bounded size.
 
     Short texts have few classes of shingles, so links just at `similarity` are found less often there: of sets of 45 shingles by
     calculation some 93 %, and of sets of under ten that differ in one shingle few.
@@ -445,9 +478,9 @@ def near_dedup(docs: DataFrame, row_col: str, text_col: str = "text", words: int
     # most groups are of one document: only those that may be larger move twice
     counted = scratch.save(members.groupBy("grp").agg(F.count("*").alias("n")).where("n > 1"))
     members = with_maybe(members, F.col("grp"), scratch.save(key_filter(counted.select(F.col("grp").alias("h")))), "maybe").where("maybe").drop("maybe")
-    members = members.join(counted, "grp").join(whole.select("row", "fp", "size"), "row").join(ranks, "row")
-    members = scratch.save(members.select("grp", "row", "order", "fp", "size", "n"))
-    close = scratch.save(pieced(members.where(F.col("n") <= FEW).select("grp", "row", "fp", "size", F.lit(True).alias("left")), similarity))
+    members = members.join(counted, "grp").join(whole.select("row", "size"), "row").join(ranks, "row")
+    members = scratch.save(members.select("grp", "row", "order", "size", "n"))
+    close = scratch.save(paired(members.where(F.col("n") <= FEW).select("grp", "row", "size"), similarity))
     every = members.where(F.col("n") > FEW).drop("n")
 
     # shingles of candidates only: a filter of bounded size takes them (and a few others) out of the scan
@@ -468,19 +501,28 @@ def near_dedup(docs: DataFrame, row_col: str, text_col: str = "text", words: int
     members, turn = every, 0
     while not members.isEmpty():
         turn += 1
-        first = members.groupBy("grp").agg(F.min(F.struct("order", "row", "fp", "size")).alias("f")).select("grp", F.col("f.row").alias("first"), F.col("f.fp").alias("of"), F.col("f.size").alias("m"))
+        first = members.groupBy("grp").agg(F.min(F.struct("order", "row", "size")).alias("f")).select("grp", F.col("f.row").alias("first"), F.col("f.size").alias("m"))
         pairs = scratch.save(members.join(first, "grp").where("row <> first"))
-        near = (F.bit_count(F.col("fp").bitwiseXOR(F.col("of"))) <= FAR) & (F.least("size", "m") >= similarity * F.greatest("size", "m"))
-        found = scratch.save(alike(pairs.where(near).select("row", "first").distinct()))
+        like = F.least("size", "m") >= similarity * F.greatest("size", "m")
+        found = scratch.save(alike(pairs.where(like).select("row", "first").distinct()))
         links = links.unionByName(found)
         done = pairs.join(found, (F.col("row") == F.col("b")) & (F.col("first") == F.col("a")), "left_anti")
-        members = scratch.save(done.select("grp", "row", "order", "fp", "size"))
+        members = scratch.save(done.select("grp", "row", "order", "size"))
         if turn >= 4 and 20 * found.count() < pairs.count():
             break
     if turn:
-        left = members.select("grp", "row", F.lit(True).alias("left"))
-        rest = every.select("grp", "row", "fp", "size").join(members.select("grp").distinct(), "grp", "left_semi").join(left, ["grp", "row"], "left")
-        links = links.unionByName(scratch.save(alike(pieced(rest.withColumn("left", F.coalesce("left", F.lit(False))), similarity, NEAREST))))
+        # groups that are not one component yet
+        label = components(scratch, links).withColumnRenamed("node", "row")
+        named = scratch.save(every.select("grp", "row").join(label, "row", "left").withColumn("comp", F.coalesce("component", "row")))
+        several = named.groupBy("grp").agg((F.min("comp") != F.max("comp")).alias("several")).where("several")
+        rest = named.join(several, "grp", "left_semi").select("row", "comp").distinct()
+        rest = scratch.save(rest.join(sizes.where("n > 0"), "row").select("row", "comp", "shingles", F.xxhash64("shingles").alias("h")))
+        # of equal sets one goes on, for all of them
+        one = rest.groupBy("h").agg(F.min("row").alias("first")).join(rest.select(F.col("row").alias("first"), F.col("shingles").alias("b")), "first")
+        seen = scratch.save(rest.join(one, "h").select("row", "first", "comp", "shingles", (F.col("shingles") == F.col("b")).alias("same")))
+        links = links.unionByName(seen.where("same and row <> first").select(F.col("first").alias("a"), F.col("row").alias("b")))
+        for pairs in sharing(scratch, seen.where("not same or row = first"), similarity):
+            links = links.unionByName(scratch.save(alike(pairs)))
 
     if links.isEmpty():
         return ranks.select(F.col("row").alias(row_col), F.col("row").alias("component"), F.lit(True).alias("kept"))

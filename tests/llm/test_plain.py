@@ -154,6 +154,30 @@ def test_near_dedup_like_brute_force(spark):
     assert simhash.near_dedup(rows.limit(0), "row").count() == 0
 
 
+def test_near_dedup_compares_all_of_a_group(spark):
+    """Pairs in a large group whose members are all nearly as similar, and pairs whose whole fingerprints differ in many bits."""
+    rng = np.random.default_rng(11)
+    common, texts = [f"c{i}" for i in range(57)], []
+    for i in range(200):
+        tail = [f"t{i}a{j}" for j in range(7)]
+        texts.append(" ".join(common + tail))
+        if i % 4 == 0:  # one shingle more in common, which links just these two
+            texts.append(" ".join(common + tail[:1] + [f"u{i}a{j}" for j in range(6)]))
+    far = 0
+    while far < 40:
+        words = [f"x{rng.integers(1e9)}" for _ in range(14)]
+        a, b = " ".join(words), " ".join([*words[:-1], f"x{rng.integers(1e9)}"])
+        prints = [simhash.shingles(x.encode(), 5) for x in (a, b)]
+        shared = set(zip(*(x.tolist() for x in simhash.sketch(np.unique(prints[0]))))) & set(zip(*(x.tolist() for x in simhash.sketch(np.unique(prints[1])))))
+        if (simhash.majority(prints[0]) ^ simhash.majority(prints[1])).bit_count() > 16 and shared:
+            texts += [a, b]
+            far += 1
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    got = {r["row"]: r["kept"] for r in simhash.near_dedup(rows, "row").collect()}
+    label, links = near_groups(texts)
+    assert links == 90 and [i for i in range(len(texts)) if got[i] != (label[i] == i)] == []
+
+
 def test_near_dedup_on_documents(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet").groupBy("text").agg(F.max("doc_id").alias("doc_id"))
     rows = d.orderBy("doc_id").collect()
