@@ -91,7 +91,11 @@ def depth(question: Column, usual: int = 8, procedural: int = 12) -> Column:
 
 def is_junk(text: Column) -> Column:
     t = strip(F.lower(text))
-    words = word_count(t)
+    return junk(t, word_count(t))
+
+
+def junk(t: Column, words: Column) -> Column:
+    """is_junk of a text that is lower-cased and stripped, of so many words."""
     linked = any_of(t, ["http://", "https://", ".pdf"])
     letters = F.length(F.regexp_replace(t, r"[^\p{L}]", "")) / F.greatest(F.length(t), F.lit(1))
     return (F.length(t) < 20) | (t.rlike("(?i)" + "|".join(lexicon.JUNK)) & (words < 15)) | (linked & (words < 20)) | (letters < 0.4)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -19,8 +20,17 @@ def normalize(text: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    norm = normalize(text)
-    return F.when(norm == "", F.lit(0)).otherwise(F.size(F.split(norm, " "))).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(r"\S+")).cast("long")
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), which is worked out once however often it is used: each of many alternatives would work it out anew."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def once(value: Column) -> Column:
+    """value for each row, as a generator's column: a condition on it, or several uses, would have it worked out again each time."""
+    return F.explode(F.array(value))
 
 
 def lexical(text: Column) -> Column:
@@ -250,12 +260,12 @@ def concept_list(text: Column) -> Column:
 def concepts(text: Column, names: list[tuple[str, list[str]]] = lexicon.CONCEPTS, fold: bool = True) -> Column:
     """The concepts of which a synonym occurs, in the lexicon's order."""
     t = casefolded(text) if fold else F.lower(F.coalesce(text, F.lit("")))
-    return F.array_compact(F.array(*[F.when(any_of(t, [" ".join(w.casefold().split()) if fold else w for w in words]), name) for name, words in names]))
+    return bound(t, lambda t: F.array_compact(F.array(*[F.when(any_of(t, [" ".join(w.casefold().split()) if fold else w for w in words]), name) for name, words in names])))
 
 
 def domain_words(text: Column, words: list[str] = lexicon.DOMAIN_WORDS, most: int = 10) -> Column:
     t = F.lower(F.coalesce(text, F.lit("")))
-    return F.slice(F.array_compact(F.array(*[F.when(F.contains(t, F.lit(w)), w) for w in words])), 1, most)
+    return bound(t, lambda t: F.slice(F.array_compact(F.array(*[F.when(F.contains(t, F.lit(w)), w) for w in words])), 1, most))
 
 
 def first_present(*values: Column) -> Column:

@@ -107,10 +107,11 @@ def built(pages: DataFrame, size: int = 2000, overlap: int = 300, words: int = 3
     Texts are cleaned and, if of so many words, split; passages are cut at their last sentence, and short ones and junk
     left out. chunk_index counts before that. The id is a digest of the file, page and index.
     """
-    rows = pages.select("filename", "page_number", "source_type", text.clean(F.col("text")).alias("text")).where(text.word_count(F.col("text")) >= words)
-    made = split_rows(rows, "text", size, overlap).withColumn("text_content", text.trim_to_sentence(F.col("passage")))
+    rows = pages.select("filename", "page_number", "source_type", text.once(text.clean(F.col("text"))).alias("text")).where(text.word_count(F.col("text")) >= words)
+    made = split_rows(rows, "text", size, overlap).select("filename", "page_number", "source_type", "idx", text.once(text.trim_to_sentence(F.col("passage"))).alias("text_content"))
     body = F.col("text_content")
-    made = made.where((text.word_count(body) >= words) & ~classify.is_junk(body))
+    made = made.select("*", text.once(F.struct(text.word_count(body).alias("words"), text.strip(F.lower(body)).alias("low"))).alias("_t"))
+    made = made.where((F.col("_t.words") >= words) & ~classify.junk(F.col("_t.low"), F.col("_t.words")))
     return made.select(
         text.stable_id(F.col("filename"), F.col("page_number"), F.col("idx"), body).alias("chunk_id"),
         text.hash16(F.col("filename")).alias("parent_doc_id"),
@@ -121,7 +122,7 @@ def built(pages: DataFrame, size: int = 2000, overlap: int = 300, words: int = 3
         "source_type",
         classify.role(body).alias("semantic_role"),
         classify.built_category(body, F.col("source_type"), F.col("filename")).alias("chunk_category"),
-        text.word_count(body).alias("word_count"),
+        F.col("_t.words").alias("word_count"),
         F.col("idx").alias("chunk_index"),
         F.replace(F.substring(body, 1, 150), F.lit("\n"), F.lit(" ")).alias("summary"),
         text.domain_words(body).alias("keywords"),
