@@ -10,7 +10,7 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, forest, key_filter, trimmed, with_maybe
@@ -389,23 +389,38 @@ def rare_first(sets: DataFrame, similarity: float) -> DataFrame:
     return sets.select("row", "comp", "shingles").mapInArrow(trimmed(first), "row long, comp long, n int, w long, at int")
 
 
-def sharing(scratch: Scratch, sets: DataFrame, similarity: float) -> list[DataFrame]:
-    """(row, first): pairs of sets (row, comp, shingles) of two components, in lists of bounded size: all that can be as similar, and others.
+def likely(similarity: float) -> Column:
+    """Whether two sets of n and m shingles whose first common one is at the places `at` and `j` can be as similar: from there on each holds enough for what they must share."""
+    return (F.least("n", "m") >= similarity * F.greatest("n", "m")) & (F.least(F.col("n") - F.col("at"), F.col("m") - F.col("j")) >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-6)
 
-    Sets as similar share one of their first shingles (see rare_first), and from that place on each holds enough for what they must share.
+
+def central(found: DataFrame, similarity: float) -> DataFrame:
+    """(row, first): each set of found (see rare_first) with the most central one that holds one of its first shingles, if they are of two
+    components and can be as similar; a pair at most for each row of found.
+
+    The most central set of a shingle is that with the fewest rarer ones. Of near copies of one text it is the least changed one, with which nearly
+    all link that link with any."""
+    least = found.groupBy("w").agg(F.min(F.struct("at", "row", "n", "comp")).alias("c")).select("w", F.col("c.row").alias("first"), F.col("c.n").alias("m"), F.col("c.at").alias("j"), F.col("c.comp").alias("of"))
+    met = found.join(least, "w").where(likely(similarity) & (F.col("comp") != F.col("of")))
+    return met.select(F.greatest("row", "first").alias("row"), F.least("row", "first").alias("first")).distinct()
+
+
+def sharing(scratch: Scratch, found: DataFrame, similarity: float) -> list[DataFrame]:
+    """(row, first): pairs of sets of found (see rare_first) of two components, in lists of bounded size: all that can be as similar, and others.
+
+    Sets as similar share one of their first shingles, and from that place on each holds enough for what they must share.
     Of the sets with a shingle, those outside the largest component meet all others; many are dealt out in pairs of parts.
     How many lists there are is told by the number of pairs."""
-    found = scratch.save(rare_first(sets, similarity))
     counts = found.groupBy("w", "comp").agg(F.count("*").alias("c")).groupBy("w").agg(F.count("*").alias("comps"), F.sum("c").alias("c"), F.max(F.struct("c", "comp")).alias("big"))
     counts = counts.where("comps > 1").select("w", F.col("big.comp").alias("big"), F.ceil(F.sqrt(F.col("c") * (F.col("c") - F.col("big.c")) / MET)).cast("int").alias("parts"))
     shared = scratch.save(found.join(counts, "w").withColumn("small", F.col("comp") != F.col("big")).drop("big"))
     mine, every = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
     asked = shared.where("small").withColumn("a", mine).withColumn("b", every).drop("small", "parts")
     other = shared.withColumn("b", mine).withColumn("a", every).select("w", "a", "b", F.col("row").alias("first"), F.col("comp").alias("of"), "small", F.col("n").alias("m"), F.col("at").alias("j"))
-    alike = (F.least("n", "m") >= similarity * F.greatest("n", "m")) & (F.least(F.col("n") - F.col("at"), F.col("m") - F.col("j")) >= similarity / (1 + similarity) * (F.col("n") + F.col("m")) - 1e-6)
-    met = asked.join(other, ["w", "a", "b"]).where(alike & (F.col("comp") != F.col("of")) & (~F.col("small") | (F.col("row") > F.col("first"))))
+    met = asked.join(other, ["w", "a", "b"]).where(likely(similarity) & (F.col("comp") != F.col("of")) & (~F.col("small") | (F.col("row") > F.col("first"))))
     pairs = met.select(F.greatest("row", "first").alias("row"), F.least("row", "first").alias("first"))
-    rounds = int(-(-met.count() // (ROUND + 2 * sets.count())))
+    # each set has one shingle that is its first
+    rounds = int(-(-met.count() // (ROUND + 2 * found.where("at = 0").count())))
     return [pairs.where(F.pmod(F.xxhash64("row", "first"), F.lit(rounds)) == i).distinct() for i in range(rounds)]
 
 
@@ -419,8 +434,9 @@ def near_dedup(docs: DataFrame, row_col: str, text_col: str = "text", words: int
     In larger ones the members are compared with the first;
     those that don't link are a group again, as long as such rounds link much, so a dense group gives a pair for
     each member and round. Where a group is not one component then, members of different components are compared if they share a shingle that
-    two so similar must share (see sharing), equal sets as one. So each link within a group is found or implied by others. Where very many of
-    a group are nearly that similar this grows with the square of the group, in rounds of bounded size.
+    two so similar must share (see sharing), equal sets as one, with central members first (see central). So each link within a group is found
+    or implied by others. Where very many of a group are nearly that similar to many others, but to no central one, this grows with the square of
+    the group, in rounds of bounded size.
 
     Short texts have few classes of shingles, so links just at `similarity` are found less often there: of sets of 45 shingles by
     calculation some 93 %, and of sets of under ten that differ in one shingle few.
@@ -521,7 +537,14 @@ def near_dedup(docs: DataFrame, row_col: str, text_col: str = "text", words: int
         one = rest.groupBy("h").agg(F.min("row").alias("first")).join(rest.select(F.col("row").alias("first"), F.col("shingles").alias("b")), "first")
         seen = scratch.save(rest.join(one, "h").select("row", "first", "comp", "shingles", (F.col("shingles") == F.col("b")).alias("same")))
         links = links.unionByName(seen.where("same and row <> first").select(F.col("first").alias("a"), F.col("row").alias("b")))
-        for pairs in sharing(scratch, seen.where("not same or row = first"), similarity):
+        found = scratch.save(rare_first(seen.where("not same or row = first"), similarity))
+        # links with central members first: they leave few components, so that few pairs are left
+        near = scratch.save(alike(central(found, similarity)))
+        if not near.isEmpty():
+            links = links.unionByName(near)
+            label = components(scratch, links).withColumnRenamed("node", "row")
+            found = scratch.save(found.drop("comp").join(label, "row", "left").select("row", F.coalesce("component", "row").alias("comp"), "n", "w", "at"))
+        for pairs in sharing(scratch, found, similarity):
             links = links.unionByName(scratch.save(alike(pairs)))
 
     if links.isEmpty():

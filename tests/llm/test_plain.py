@@ -178,6 +178,30 @@ def test_near_dedup_compares_all_of_a_group(spark):
     assert links == 90 and [i for i in range(len(texts)) if got[i] != (label[i] == i)] == []
 
 
+def test_near_dedup_of_many_edited_copies(spark, monkeypatch):
+    """Copies of one text, much changed ones first: what links to the least changed one is not compared with all others."""
+    rng, made, sharing = np.random.default_rng(3), [], simhash.sharing
+
+    def counted(*args):
+        found = sharing(*args)
+        made.append(sum(x.count() for x in found))
+        return found
+
+    monkeypatch.setattr(simhash, "sharing", counted)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for i in range(300):
+        words = list(base)
+        for at in rng.choice(150, 25 if i < 10 else 0 if i == 150 else 1 + i % 6, replace=False):
+            words[at] = f"n{rng.integers(1e9)}"
+        texts.append(" ".join(words))
+    rows = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
+    got = {r["row"]: r["kept"] for r in simhash.near_dedup(rows, "row").collect()}
+    label, links = near_groups(texts)
+    assert links > 500 and [i for i in range(len(texts)) if got[i] != (label[i] == i)] == []
+    assert len(made) == 1 and made[0] < len(texts)
+
+
 def test_near_dedup_on_documents(spark):
     d = spark.read.parquet(f"{SF}/documents.parquet").groupBy("text").agg(F.max("doc_id").alias("doc_id"))
     rows = d.orderBy("doc_id").collect()
