@@ -6,7 +6,9 @@ import re
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,6 +49,45 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(_plain(text), r"\s+"), lambda w: w != "")
 
 
+#: What tokens() makes of each byte (0 keeps it, 1 ends a word, 2 leaves it out), and of characters of several bytes, by the first one.
+BYTES, LONGER = np.zeros(256, np.uint8), {}
+for _kind, _chars in ((2, lexicon.QUOTES), (1, lexicon.PUNCTUATION + " \t\n\x0b\f\r")):
+    for _c in map(str.encode, _chars):
+        if len(_c) == 1:
+            BYTES[_c[0]] = _kind
+        else:
+            LONGER.setdefault(_c[0], {})[_c] = _kind
+
+
+def lowered(text: Column) -> Column:
+    return F.lower(F.coalesce(text, F.lit("")))
+
+
+def token_lists(low: pa.Array) -> pa.Array:
+    """tokens() of many texts that are in lower case (see lowered), as an array of lists: words are found in the bytes of all texts at once."""
+    low = low.cast(pa.string())
+    _, ends, data = low.buffers()
+    at = np.frombuffer(ends, np.int32)[low.offset : low.offset + len(low) + 1] if len(low) else np.zeros(1, np.int32)
+    raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if at[-1] > at[0] else np.zeros(0, np.uint8)
+    at = at - at[0]
+    kind = BYTES[raw]
+    for lead, chars in LONGER.items():
+        places = np.flatnonzero(raw == lead)
+        for char, k in chars.items():
+            hit = places
+            for i in range(1, len(char)):
+                hit = hit[raw[hit + i] == char[i]]
+            for i in range(len(char)):
+                kind[hit + i] = k
+    kept = np.flatnonzero(kind == 0)
+    ended = kind == 1
+    ended[at[:-1][at[:-1] < len(raw)]] = True  # no word goes on in the next text
+    first = np.flatnonzero(np.diff(np.cumsum(ended, dtype=np.int32)[kept], prepend=-1))
+    row = np.searchsorted(at, kept[first], side="right") - 1
+    words = pa.StringArray.from_buffers(len(first), pa.py_buffer(np.append(first, len(kept)).astype(np.int32)), pa.py_buffer(raw[kept]))
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(low))))), pa.int32()), words)
+
+
 def keywords(text: Column, stop: list[str] = lexicon.STOP_WORDS, longer: int = 3) -> Column:
     return F.array_distinct(F.filter(tokens(text), lambda w: (F.length(w) > longer) & ~w.isin(stop)))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import unicodedata
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -14,12 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon
-from ..functions.text import normalize, tokens
+from ..functions.text import lowered, normalize, token_lists, tokens
 
 #: Pairs of question and term, and questions of a search by vectors, that go to every task; more are joined.
 ASKED, QUERIES = 500_000, 8192
-#: Scores held at once, tokens looked at once, vectors compared at once, queries of a block.
-CELLS, WORDS, BLOCK, QUERY_BLOCK = 1 << 20, 1 << 19, 4096, 1024
+#: Scores held at once, tokens looked at once, bytes of text split at once, vectors compared at once, queries of a block.
+CELLS, WORDS, BYTES, BLOCK, QUERY_BLOCK = 1 << 20, 1 << 19, 1 << 21, 4096, 1024
 #: Latin letters with marks, and what they are without.
 ACCENTED = "".join(chr(c) for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1 and unicodedata.normalize("NFD", chr(c))[0].isascii())
 PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in ACCENTED)
@@ -73,30 +73,42 @@ def bm25_top(
     Null texts are empty. An empty table gives none.
     """
     asked = queries.select("query", F.explode(split(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("times"))
-    words = docs.select(F.col(id_col).alias("id"), split(F.col(text_col)).alias("w"))
-    # the row of each document that tells its length is a term that no document has
-    seen = words.select(F.size("w").alias("dl"), F.explode(F.concat(F.array_distinct("w"), F.array(F.lit("\0")))).alias("term"))
-    stats = seen.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term") == "\0", F.col("dl"))).alias("dl"))
-    total = stats.where(F.col("term") == "\0").agg(F.coalesce(F.max("df"), F.lit(0)).alias("n"), F.coalesce(F.max("dl") / F.max("df"), F.lit(1.0)).alias("avgdl"))
+    # texts go to Python as they are: the functions of Spark that split them take longer than all the rest
+    words = docs.select(F.col(id_col).alias("id"), (lowered if split is tokens else split)(F.col(text_col)).alias("w"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """How many documents hold each term; without a term how many there are, and their tokens."""
+        for batch in batches:
+            for _, lists in words_in(batch.column("w")):
+                sizes = np.asarray(pc.fill_null(lists.value_lengths(), 0))
+                coded = lists.flatten().dictionary_encode()
+                many = max(1, len(coded.dictionary))
+                held = np.unique(np.repeat(np.arange(len(lists)), sizes) * many + np.asarray(coded.indices)) % many
+                df = np.append(np.bincount(held, minlength=many)[: len(coded.dictionary)], len(lists) - lists.null_count)
+                dl = np.append(np.zeros(len(coded.dictionary), np.int64), sizes.sum(dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([coded.dictionary, pa.nulls(1, coded.dictionary.type)]).cast(pa.string()), pa.array(df), pa.array(dl)], names=["term", "df", "dl"])
+
+    stats = words.select("w").mapInArrow(count, "term string, df long, dl long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("dl").alias("dl"))
+    total = stats.where("term is null").agg(F.coalesce(F.max("df"), F.lit(0)).alias("n"), F.coalesce(F.max("dl") / F.nullif(F.max("df"), F.lit(0)), F.lit(1.0)).alias("avgdl"))
     pairs = asked.limit(ASKED + 1).count()
     if pairs > ASKED:
         n, avgdl = total.first()
-        mean = stats.where(F.col("term") != "\0").agg(F.avg(F.ln(n - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))).first()[0] or 0.0
-        scored = bm25_joined(postings_of(words), asked, stats.where(F.col("term") != "\0"), n, avgdl or 1.0, mean, k1, b, idf, every)
+        mean = stats.where("term is not null").agg(F.avg(F.ln(n - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))).first()[0] or 0.0
+        scored = bm25_joined(postings_of(docs.select(F.col(id_col).alias("id"), split(F.col(text_col)).alias("w"))), asked, stats.where("term is not null"), n, avgdl or 1.0, mean, k1, b, idf, every)
         return top_k(scored, k)
 
     names = asked.toPandas()  # at most ASKED rows
     wanted = F.broadcast(asked.select("term").distinct().withColumn("asked", F.lit(True)))
     # one job: the asked terms' frequencies, and sums over all terms by frequency, of which there are few
-    counted = stats.join(wanted, "term", "left").groupBy("df", F.when(F.col("asked") | (F.col("term") == "\0"), F.col("term")).alias("term")).agg(F.count("*").alias("terms"), F.max("dl").alias("dl")).toPandas()
-    own = counted[counted["term"] == "\0"]
+    counted = stats.join(wanted, "term", "left").groupBy("df", F.when(F.col("asked"), F.col("term")).alias("word"), F.col("term").isNull().alias("all")).agg(F.count("*").alias("terms"), F.max("dl").alias("dl")).toPandas()
+    own = counted[counted["all"].astype(bool)]
     n = int(own["df"].iloc[0]) if len(own) else 0
     avgdl = float(own["dl"].iloc[0]) / n if n and own["dl"].iloc[0] else 1.0
-    vocabulary = counted[counted["term"] != "\0"]
+    vocabulary = counted[~counted["all"].astype(bool)]
     raw = np.log(n - vocabulary["df"].to_numpy(float) + 0.5) - np.log(vocabulary["df"].to_numpy(float) + 0.5)
     mean = float(np.average(raw, weights=vocabulary["terms"])) if len(raw) else 0.0
-    known = vocabulary["term"].notna().to_numpy()
-    df = dict(zip(vocabulary["term"][known], vocabulary["df"][known], strict=True))
+    known = vocabulary["word"].notna().to_numpy()
+    df = dict(zip(vocabulary["word"][known], vocabulary["df"][known], strict=True))
 
     terms = sorted(set(names["term"]))
     at = {t: i for i, t in enumerate(terms)}
@@ -109,6 +121,7 @@ def bm25_top(
     by = np.argsort(row, kind="stable")
     ask = column[by], names["times"].to_numpy(np.float64)[by]
     starts = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(terms))))) if len(row) else np.zeros(1, np.int64)
+    known_terms = pa.array(terms, pa.string())
     needed = np.bincount(column, minlength=len(ids))
     step = max(1, CELLS // max(1, len(ids)))
 
@@ -118,10 +131,10 @@ def bm25_top(
         for batch in batches:
             if not batch.num_rows or not len(ids):
                 continue
-            for at_row, lists in sliced(batch.column("w"), WORDS):
-                sizes = np.asarray(lists.value_lengths())
+            for at_row, lists in words_in(batch.column("w")):
+                sizes = np.asarray(pc.fill_null(lists.value_lengths(), 0))
                 coded = lists.flatten().dictionary_encode()
-                code = np.array([at.get(t, -1) for t in coded.dictionary.to_pylist()], np.int64)
+                code = np.asarray(pc.fill_null(pc.index_in(coded.dictionary.cast(pa.string()), value_set=known_terms), -1)).astype(np.int64)
                 term = code[np.asarray(coded.indices)] if len(code) else np.zeros(0, np.int64)
                 doc = np.repeat(np.arange(len(lists)), sizes)
                 cell, tf = np.unique(doc[term >= 0] * len(terms) + term[term >= 0], return_counts=True)
@@ -180,20 +193,26 @@ def top_k(scored: DataFrame, k: int, by: str = "query", score: str = "score", ti
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def digest(word: bytes) -> int:
+    """The first two bytes of a word's digest."""
+    return int.from_bytes(hashlib.md5(word).digest()[:2], "big")
+
+
 def embedding(text: Column, dims: int = 64) -> Column:
     """A stand-in for a model's vector: the counts of a text's words by a digest, of length 1; zeros without words."""
-    return embedded(tokens(text), dims)
+    return embedded(lowered(text), dims)
 
 
-def embedded(words: Column, dims: int = 64) -> Column:
-    """The vector of a text that is given as its tokens. A word is a Python object once for each slice of WORDS tokens."""
+def embedded(tokens_or_text: Column, dims: int = 64) -> Column:
+    """The vector of a text that is given as its tokens, or in lower case. A word is a Python object once for each slice of WORDS tokens or BYTES bytes."""
 
     @F.arrow_udf("array<double>")
     def count(lists: pa.Array) -> pa.Array:
-        out = []
-        for _, part in sliced(lists, WORDS):
+        out, known = [], lru_cache(1 << 17)(digest)  # common words' digests are worked out once
+        for _, part in words_in(lists):
             coded = part.flatten().dictionary_encode()
-            place = np.array([int(hashlib.md5(w.encode()).hexdigest()[:4], 16) % dims for w in coded.dictionary.to_pylist()], np.int64)
+            words = coded.dictionary.cast(pa.string()).cast(pa.binary()).to_pylist()
+            place = np.fromiter(map(known, words), np.int64, len(words)) % dims
             row = np.repeat(np.arange(len(part)), np.asarray(pc.fill_null(part.value_lengths(), 0)))
             v = np.bincount(row * dims + place[np.asarray(coded.indices)], minlength=len(part) * dims).reshape(-1, dims).astype(np.float64)
             size = np.sqrt((v * v).sum(1, keepdims=True))
@@ -201,12 +220,22 @@ def embedded(words: Column, dims: int = 64) -> Column:
         flat = np.concatenate(out) if out else np.zeros(0)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1) * dims, pa.int32()), pa.array(flat))
 
-    return count(words)
+    return count(tokens_or_text)
+
+
+def words_in(column: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """Slices of a column of lists of words, or of texts in lower case as lists of their tokens, each with where it begins."""
+    if pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
+        yield from sliced(column, WORDS)
+    else:
+        for begin, part in sliced(column, BYTES):
+            yield begin, token_lists(part)
 
 
 def sliced(lists: pa.Array, most: int) -> Iterator[tuple[int, pa.Array]]:
-    """Slices of an array of lists that hold about `most` values, one list at least, each with where it begins."""
-    ends = np.cumsum(np.asarray(pc.fill_null(lists.value_lengths(), 0)), dtype=np.int64)
+    """Slices of an array of lists (texts) that hold about `most` values (bytes), one list at least, each with where it begins."""
+    sizes = pc.binary_length(lists) if pa.types.is_string(lists.type) or pa.types.is_large_string(lists.type) else lists.value_lengths()
+    ends = np.cumsum(np.asarray(pc.fill_null(sizes, 0)), dtype=np.int64)
     begin = 0
     while begin < len(lists):
         before = ends[begin - 1] if begin else 0
