@@ -76,19 +76,7 @@ def bm25_top(
     # texts go to Python as they are: the functions of Spark that split them take longer than all the rest
     words = docs.select(F.col(id_col).alias("id"), (lowered if split is tokens else split)(F.col(text_col)).alias("w"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """How many documents hold each term; without a term how many there are, and their tokens."""
-        for batch in batches:
-            for _, lists in words_in(batch.column("w")):
-                sizes = np.asarray(pc.fill_null(lists.value_lengths(), 0))
-                coded = lists.flatten().dictionary_encode()
-                many = max(1, len(coded.dictionary))
-                held = np.unique(np.repeat(np.arange(len(lists)), sizes) * many + np.asarray(coded.indices)) % many
-                df = np.append(np.bincount(held, minlength=many)[: len(coded.dictionary)], len(lists) - lists.null_count)
-                dl = np.append(np.zeros(len(coded.dictionary), np.int64), sizes.sum(dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays([coded.dictionary, pa.nulls(1, coded.dictionary.type)]).cast(pa.string()), pa.array(df), pa.array(dl)], names=["term", "df", "dl"])
-
-    stats = words.select("w").mapInArrow(count, "term string, df long, dl long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("dl").alias("dl"))
+    stats = frequencies(words)
     total = stats.where("term is null").agg(F.coalesce(F.max("df"), F.lit(0)).alias("n"), F.coalesce(F.max("dl") / F.nullif(F.max("df"), F.lit(0)), F.lit(1.0)).alias("avgdl"))
     pairs = asked.limit(ASKED + 1).count()
     if pairs > ASKED:
@@ -168,6 +156,23 @@ def bm25_top(
     return top_k(scored, k)
 
 
+def frequencies(words: DataFrame) -> DataFrame:
+    """(term, df, dl): how many documents hold each term; without a term how many there are, and their tokens. words has texts in lower case or lists of tokens as w."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, lists in words_in(batch.column("w")):
+                sizes = np.asarray(pc.fill_null(lists.value_lengths(), 0))
+                coded = lists.flatten().dictionary_encode()
+                many = max(1, len(coded.dictionary))
+                held = np.unique(np.repeat(np.arange(len(lists)), sizes) * many + np.asarray(coded.indices)) % many
+                df = np.append(np.bincount(held, minlength=many)[: len(coded.dictionary)], len(lists) - lists.null_count)
+                dl = np.append(np.zeros(len(coded.dictionary), np.int64), sizes.sum(dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([coded.dictionary, pa.nulls(1, coded.dictionary.type)]).cast(pa.string()), pa.array(df), pa.array(dl)], names=["term", "df", "dl"])
+
+    return words.select("w").mapInArrow(count, "term string, df long, dl long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("dl").alias("dl"))
+
+
 def postings_of(words: DataFrame) -> DataFrame:
     return words.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
 
