@@ -19,8 +19,8 @@ from . import retrieval
 
 #: Documents of a range at most (65,536 can be told apart); terms and postings of a folder on average, folders at most; folders that a search names at most.
 RANGE, TERMS, POSTINGS, FOLDERS, NAMED = 1024, 512, 1 << 19, 4096, 1000
-#: Postings that a task holds at once; postings of a row that is dealt out by range too.
-HELD, WIDE = 1 << 20, 1 << 16
+#: Postings that a task holds at once; rows of so many times a row's mean are dealt out by range too.
+HELD, WIDE = 1 << 20, 4
 #: What a row's blocks are packed as: bounds of each block; its documents' places in their range; the same of asked terms, by their numbers.
 BOUNDS = pa.schema({"term": pa.string(), "range": pa.int64(), "n": pa.int32(), "max_tf": pa.int32(), "min_dl": pa.int64()})
 POSTED = pa.schema({"place": pa.uint16(), "tf": pa.int32()})
@@ -67,7 +67,7 @@ def build(docs: DataFrame, path: str, id_col: str, text_col: str, split: Callabl
     kind = docs.schema[id_col].dataType.simpleString()
     rows = words.where("id is not null").mapInArrow(_pack(RANGE, HELD, folders), f"folder int, range long, n long, bounds binary, postings binary, ids array<{kind}>, dls array<long>")
     # rows of many postings, of the commonest terms, are dealt out by range too, or their folders would grow with the documents
-    part = F.when((F.col("folder") < 0) | (F.col("n") >= WIDE), F.pmod(F.xxhash64("range"), F.lit(max(1, n // (64 * RANGE))))).otherwise(0)
+    part = F.when((F.col("folder") < 0) | (F.col("n") * folders >= WIDE * HELD), F.pmod(F.xxhash64("range"), F.lit(max(1, n // (64 * RANGE))))).otherwise(0)
     rows.repartition("folder", part).sortWithinPartitions("folder", "range").write.mode("overwrite").partitionBy("folder").parquet(f"{path}/blocks")
     stats = {"format_version": "6.0", "documents": n, "mean_length": total / n if n and total else 1.0, "mean_weight": mean or 0.0, "terms": known, "folders": folders, "id": kind}
     spark.createDataFrame([(json.dumps(stats),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/statistics")
